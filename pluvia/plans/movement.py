@@ -124,7 +124,7 @@ def _scores(forecasts, truth):
     wet = truth.select(F.col("f").alias("__valid"), "r", "c", "v").where("v >= 2")
     made = forecasts.where("p > 0")
     met = made.withColumn("__valid", F.col("f") + F.col("lead")).join(wet, ["__valid", "r", "c"], "left")
-    by = met.groupBy(*keys).agg(F.sum("p").alias("sum_f"), F.count_if((F.col("p") >= 2) & F.col("v").isNotNull()).alias("hit"), F.count_if((F.col("p") >= 2) & F.col("v").isNull()).alias("fa"))
+    by = met.withColumn("wet", F.round("p", 6) >= 2).groupBy(*keys).agg(F.sum("p").alias("sum_f"), F.count_if(F.col("wet") & F.col("v").isNotNull()).alias("hit"), F.count_if(F.col("wet") & F.col("v").isNull()).alias("fa"))
     there = wet.groupBy("__valid").agg(F.count("*").alias("wet"))
     joined = by.withColumn("__valid", F.col("f") + F.col("lead")).join(there, "__valid")
     return joined.groupBy("model", "lead").agg(F.count("*").alias("cases"), F.round(F.sum("sum_f"), 4).alias("sum_f"), F.sum("hit").alias("hit"), F.sum(F.col("wet") - F.col("hit")).alias("miss"), F.sum("fa").alias("fa"))
@@ -151,7 +151,7 @@ def _walk_sql(name, vectors, factor=1.0, outside=False):
         "placed": f"SELECT f, lead, r, c, greatest(0.0, least(47.0, c - sx)) AS x, greatest(0.0, least(31.0, r - sy)) AS y FROM iv, range(32) a(r), range(48) b(c) WHERE true {inside}",
         "corner": "SELECT f, lead, r, c, x, y, least(31, CAST(floor(y) AS BIGINT) + i) AS yr, least(47, CAST(floor(x) AS BIGINT) + j) AS xc, (CASE WHEN i = 1 THEN y - floor(y) ELSE 1 - (y - floor(y)) END) * (CASE WHEN j = 1 THEN x - floor(x) ELSE 1 - (x - floor(x)) END) AS w FROM placed, range(2) p(i), range(2) q(j)",
         "made": "SELECT k.f, lead, k.r, k.c, sum(w * v) AS p FROM corner k JOIN cells s ON s.f = k.f AND s.r = yr AND s.c = xc GROUP BY ALL HAVING sum(w * v) > 0",
-        "hits": "SELECT made.f, lead, sum(p) AS sum_f, count(*) FILTER (WHERE p >= 2 AND s.v >= 2) AS hit, count(*) FILTER (WHERE p >= 2 AND (s.v IS NULL OR s.v < 2)) AS fa FROM made LEFT JOIN cells s ON s.f = made.f + lead AND s.r = made.r AND s.c = made.c GROUP BY ALL",
+        "hits": "SELECT made.f, lead, sum(p) AS sum_f, count(*) FILTER (WHERE round(p, 6) >= 2 AND s.v >= 2) AS hit, count(*) FILTER (WHERE round(p, 6) >= 2 AND (s.v IS NULL OR s.v < 2)) AS fa FROM made LEFT JOIN cells s ON s.f = made.f + lead AND s.r = made.r AND s.c = made.c GROUP BY ALL",
         "wets": "SELECT f, count(*) AS wet FROM cells WHERE v >= 2 GROUP BY f",
         "result": f"SELECT '{name}' AS model, lead, count(*) AS cases, round(sum(sum_f), 4) AS sum_f, CAST(sum(hit) AS BIGINT) AS hit, CAST(sum(wet - hit) AS BIGINT) AS miss, CAST(sum(fa) AS BIGINT) AS fa FROM hits JOIN wets ON wets.f = hits.f + lead GROUP BY lead",
     }
@@ -222,7 +222,7 @@ def wind_compare(spark, sf_dir):
     return both.agg(F.count("*").alias("n"), r6(F.percentile(F.sqrt((bx - ax) * (bx - ax) + (by - ay) * (by - ay)), F.lit(0.5))).alias("change"), r6(F.avg((turn <= 30).cast("double"))).alias("within_30"))
 
 
-@query(sql("SELECT f, br, bc, round(dx2 - dx1 - (dy2 - dy1), 6) AS curl FROM (SELECT f, br, bc, lead(dy, 1, dy) OVER c AS dx2, lag(dy, 1, dy) OVER c AS dx1, lead(dx, 1, dx) OVER r AS dy2, lag(dx, 1, dx) OVER r AS dy1 FROM raw WINDOW c AS (PARTITION BY f, br ORDER BY bc), r AS (PARTITION BY f, bc ORDER BY br))", "dense", **_match("raw")))
+@query(sql("SELECT f, br, bc, CAST(dx2 - dx1 - (dy2 - dy1) AS DOUBLE) AS curl FROM (SELECT f, br, bc, lead(dy, 1, dy) OVER c AS dx2, lag(dy, 1, dy) OVER c AS dx1, lead(dx, 1, dx) OVER r AS dy2, lag(dx, 1, dx) OVER r AS dy1 FROM raw WINDOW c AS (PARTITION BY f, br ORDER BY bc), r AS (PARTITION BY f, bc ORDER BY br))", "dense", **_match("raw")))
 def vorticity(spark, sf_dir):
     """Differences of the vectors across each block, one-sided at the edges."""
     from pyspark.sql.window import Window

@@ -149,7 +149,8 @@ def unit_sums(spark, sf_dir):
 
 
 def _versus(spark, sf_dir):
-    return pool.against(pool.unit_sums(trial.score_rows(spark, sf_dir)))
+    """A row for each episode, model and lead: kept, as draws and sums both read it."""
+    return pool.against(pool.unit_sums(trial.score_rows(spark, sf_dir))).persist()
 
 
 @query(sql("SELECT model, lead, count(*) AS units, round(CAST(sum(e0) AS DOUBLE) / sum(r0) - CAST(sum(e) AS DOUBLE) / sum(r), 6) AS gain FROM versus GROUP BY model, lead", "versus"))
@@ -192,7 +193,7 @@ def boot_paired_ci(spark, sf_dir):
 
 def _by_spell(spark, sf_dir):
     rows = trial.score_rows(spark, sf_dir).join(E.spells(trial.fine_events(spark, sf_dir)), "event")
-    return pool.against(pool.unit_sums(rows, "spell"))
+    return pool.against(pool.unit_sums(rows, "spell")).persist()
 
 
 _SPELL_UNITS = {
