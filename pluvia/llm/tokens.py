@@ -26,12 +26,13 @@ from pyspark.sql import functions as F
 from pluvia.llm.common import table, text_of
 
 MARK = "▁"
+HEAD = 7
 
 
 class PrefixCounter:
     """Counts for one BPE model with byte fallback and the identity as its normalizer."""
 
-    def __init__(self, model: str, max_segments: int = 400_000):
+    def __init__(self, model: str, max_segments: int = 1_000_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model)
@@ -39,12 +40,14 @@ class PrefixCounter:
         self.rank = {sp.id_to_piece(i): -sp.get_score(i) for i in plain}
         if any(MARK in p.lstrip(MARK) for p in self.rank) or sp.normalize("ﬁ \n") != f"{MARK}ﬁ{MARK}\n":
             raise ValueError("the model's pieces cross words, or it changes texts before encoding")
-        self.longest = max(map(len, self.rank))
+        self.endings = {p[i:] for p in self.rank for i in range(len(p))}  # what may stand before a prefix's end
         chars = set("".join(self.rank))
         apart = "".join(c for c in "\n\t\r" if c not in chars)
         self.segments = re.compile(f"[{apart}]|{MARK}+[^{MARK}{apart}]*|[^{MARK}{apart}]+" if apart else f"{MARK}+[^{MARK}]*|[^{MARK}]+").findall
-        self.max_segments, self.known = max_segments, {}
+        self.max_segments, self.totals = max_segments, {}
         self.pairs: dict[tuple[str, str], bool] = {}
+        self.built: dict[str, tuple | None] = {}
+        self.heads: dict[str, tuple[list[int], list[str]]] = {}
 
     def encode(self, text: str) -> list[str]:
         """Merges the best ranked pair, leftmost first, until none is left. For short texts only."""
@@ -56,40 +59,105 @@ class PrefixCounter:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def halves(self, token: str):
+        """The two tokens whose merge gives this one last, (None, None) for a character, None if its own encoding is another one.
+
+        Third, whether all merges on the way to it have rising ranks, so that ranks tell their order.
+        """
+        if token not in self.built:
+            parts, rank, before = list(token), self.rank, None
+            while len(parts) > 1:
+                best, at = min((rank.get(parts[i] + parts[i + 1], float("inf")), i) for i in range(len(parts) - 1))
+                if best == float("inf"):
+                    break
+                before = parts[at], parts[at + 1]
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            if len(parts) > 1:
+                self.built[token] = None
+            elif before is None:
+                self.built[token] = None, None, True
+            else:
+                inner = [self.halves(x) for x in before]
+                rising = all(x and x[2] for x in inner) and all(len(x) == 1 or rank[x] < rank[token] for x in before)
+                self.built[token] = *before, rising
+        return self.built[token]
+
     def fits(self, left: str, right: str) -> bool:
-        key = (left, right)
-        if (known := self.pairs.get(key)) is None:
-            known = self.pairs[key] = self.encode(left + right) == ([left, right] if left else [right])
-        return known
+        """Whether the encoding of left and right together is the two of them: no merge across their border comes first.
+
+        Undoes the merges of both tokens from the last one back; what then meets at the border must
+        not have a merge that ranks before the one undone (a merge further left goes first on ties).
+        """
+        a = self.halves(left) if left else (None, None, True)
+        b = self.halves(right)
+        if a is None or b is None:
+            return False
+        if not left:
+            return True
+        if not (a[2] and b[2]):
+            return self.encode(left + right) == [left, right]
+        rank, limit = self.rank, float("inf")
+        while True:
+            if rank.get(left + right, limit) < limit:
+                return False
+            ra, rb = rank[left] if a[0] else -1.0, rank[right] if b[0] else -1.0
+            if ra < 0 and rb < 0:
+                return True
+            if ra > rb:
+                limit, left = ra, a[1]
+                a = self.halves(left)
+            else:
+                limit, right = rb + 0.5, b[0]
+                b = self.halves(right)
 
     def prefix_counts(self, segment: str) -> list[int]:
         """Tokens of segment[:i] for i from 1 to its length."""
-        rank, longest, fits = self.rank, self.longest, self.fits
-        counts, last = [0], [""]
-        for end in range(1, len(segment) + 1):
-            char = segment[end - 1]
-            if char not in rank:  # falls back to its bytes, which merge with nothing
-                counts.append(counts[-1] + len(char.encode()))
+        if len(segment) > HEAD:  # many segments begin alike: their first prefixes are known
+            if (known := self.heads.get(segment[:HEAD])) is None:
+                if len(self.heads) >= self.max_segments // 4:
+                    self.heads.clear()
+                known = self.heads[segment[:HEAD]] = self._extend(segment[:HEAD], [0], [""])
+            return self._extend(segment, [*known[0]], [*known[1]])[0][1:]
+        return self._extend(segment, [0], [""])[0][1:]
+
+    def _extend(self, segment: str, counts: list[int], last: list[str]) -> tuple[list[int], list[str]]:
+        """Goes on from the prefixes in counts and last, the token that ends each."""
+        rank, endings, pairs = self.rank, self.endings, self.pairs
+        for end in range(len(counts), len(segment) + 1):
+            begin = end - 1
+            token = segment[begin]
+            if token not in rank:  # falls back to its bytes, which merge with nothing
+                counts.append(counts[-1] + len(token.encode()))
                 last.append("")
                 continue
-            for begin in range(max(0, end - longest), end):
+            found = [(begin, token)]
+            while begin:
+                begin -= 1
                 token = segment[begin:end]
-                if token in rank and fits(last[begin], token):
+                if token not in endings:
+                    break
+                if token in rank:
+                    found.append((begin, token))
+            for begin, token in reversed(found):
+                fit = pairs.get((last[begin], token))
+                if fit is None:
+                    fit = pairs[last[begin], token] = self.fits(last[begin], token)
+                if fit:
                     counts.append(counts[begin] + 1)
                     last.append(token)
                     break
             else:
                 raise AssertionError(f"no token ends prefix {end} of {segment!r}")
-        return counts[1:]
-
-    def counts(self, segment: str) -> list[int]:
-        known = self.known
-        if (got := known.get(segment)) is None:
-            if len(known) >= self.max_segments:
-                known.clear()
-            got = self.prefix_counts(segment)
-            if len(segment) <= 64:
-                known[segment] = got
+        return counts, last
+
+    def total(self, segment: str) -> int:
+        """Tokens of the segment: its last prefix's count, kept for the next time."""
+        totals = self.totals
+        if len(totals) >= self.max_segments:
+            totals.clear()
+        got = self.prefix_counts(segment)[-1]
+        if len(segment) <= 64:
+            totals[segment] = got
         return got
 
     def split(self, text: str) -> list[str]:
@@ -99,26 +167,29 @@ class PrefixCounter:
         """Tokens of text[:i] for i from 0 to its length. The mark before the text is no character of it."""
         base, out = 0, []
         for s in self.split(text):
-            own = self.counts(s)
+            own = self.prefix_counts(s)
             out += [base + x for x in own]
             base += own[-1]
         return [0, *out[1:]] if text else [0]
 
     def measure(self, text: str, limit: int) -> tuple[int, int]:
         """Tokens of the text, and the length of its longest prefix of at most limit tokens."""
-        known, total, chars, fit, counts = self.known, 0, -1, 0, self.counts
-        segments = self.split(text)
+        segments, known = self.split(text), self.totals.get
+        total, chars, fit = 0, -1, 0
         for s in segments:
-            total += (known.get(s) or counts(s))[-1]
+            total += known(s) or self.total(s)
         if total <= limit:
             return total, len(text)
         base = 0
         for s in segments:
             if base > limit:
                 break
-            own = counts(s)
-            fit = max([fit, *(chars + i + 1 for i, x in enumerate(own) if base + x <= limit)])
-            base += own[-1]
+            whole = known(s) or self.total(s)
+            if base + whole <= limit:
+                fit = chars + len(s)
+            else:
+                fit = max([fit, *(chars + i + 1 for i, x in enumerate(self.prefix_counts(s)) if base + x <= limit)])
+            base += whole
             chars += len(s)
         return total, max(0, fit)
 
