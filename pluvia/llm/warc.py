@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pluvia.llm.common import shared_dir, table, text_of
+from pluvia.llm.common import shared_dir, table, text_of, written
 
 DATE = "2024-01-01T00:00:00Z"
 MANIFEST = "temporary string, final string, records long, bytes long"
@@ -62,14 +62,20 @@ def record(page_id: int | None, url: str, payload: bytes, size: int, digest: str
 
 
 def plan(pages: DataFrame) -> DataFrame:
-    """(page_id, url, html, size, digest, revisit, refers_to) of each page."""
-    html = F.encode(text_of("html"), "utf-8")
-    each = pages.select(F.col("page_id").cast("long"), text_of("url").alias("url"), text_of("html").alias("html"), F.unhex(F.sha1(html)).alias("digest"), F.octet_length(text_of("html")).cast("long").alias("size"))
-    last = each.select("digest", "size", "page_id").groupBy("digest", "size").agg(F.max("page_id").alias("last"))
-    # one row for each payload on one side, so that a payload with many copies can be split over tasks
-    both = each.join(last, ["digest", "size"])
-    revisit = F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last"))
-    return both.select("page_id", "url", F.when(~revisit, F.col("html")).alias("html"), "size", "digest", revisit.alias("revisit"), F.when(revisit, F.col("last")).alias("refers_to"))
+    """(page_id, mark, url, html, size, digest, refers_to): a row for each page, and a mark before each one that revisits another.
+
+    Marks come from ids and digests alone. They meet their pages where both are range-sorted by page
+    id, so that payloads move once.
+    """
+    html = text_of("html")
+    each = pages.select(F.col("page_id").cast("long"), text_of("url").alias("url"), html.alias("html"), F.unhex(F.sha1(F.encode(html, "utf-8"))).alias("digest"), F.octet_length(html).cast("long").alias("size"))
+    ids = each.select("page_id", "digest", "size")
+    last = ids.groupBy("digest", "size").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1 AND last IS NOT NULL").drop("n")
+    last = written(last, "payloads")  # one row for each repeated payload; stored, so that the join can split one with many copies
+    revisits = ids.join(last, ["digest", "size"]).where(~F.col("page_id").eqNullSafe(F.col("last"))).distinct()
+    none = lambda kind: F.lit(None).cast(kind)
+    marks = revisits.select("page_id", F.lit(0).alias("mark"), none("string").alias("url"), none("string").alias("html"), "size", "digest", F.col("last").alias("refers_to"))
+    return marks.unionByName(each.select("page_id", F.lit(1).alias("mark"), "url", "html", "size", "digest", none("long").alias("refers_to")))
 
 
 def _filesystem(uri: str):
@@ -82,10 +88,17 @@ def _write(batches, folder, roll, level):
     """Writes this task's records; yields a row for each finished file."""
     files, root = _filesystem(folder)
     out, temporary, first, n, size, content = None, "", None, 0, 0, None
+    marked: dict[tuple[bytes, int], int] = {}  # what the pages of the current id refer to
+    current = None
     for batch in batches:
         for r in batch.to_pylist():
-            payload = (r["html"] or "").encode()
-            data = gzip.compress(record(r["page_id"], r["url"], payload, r["size"], base64.b32encode(r["digest"]).decode(), r["refers_to"], r["revisit"]), level, mtime=0)
+            if r["page_id"] != current:
+                marked, current = {}, r["page_id"]
+            if not r["mark"]:
+                marked[r["digest"], r["size"]] = r["refers_to"]
+                continue
+            to = marked.get((r["digest"], r["size"]))
+            data = gzip.compress(record(r["page_id"], r["url"], b"" if to is not None else r["html"].encode(), r["size"], base64.b32encode(r["digest"]).decode(), to, to is not None), level, mtime=0)
             if out is not None and size + len(data) > roll:
                 out.close()
                 yield _listed(temporary, root, first, n, size, content)
@@ -127,7 +140,7 @@ def write(pages: DataFrame, folder: str, roll: int = 64 << 20, level: int = 6) -
     files, root = _filesystem(folder)
     files.create_dir(f"{root}/temporary", recursive=True)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = plan(pages).repartitionByRange(parts, F.col("page_id").asc_nulls_first(), "url").sortWithinPartitions(F.col("page_id").asc_nulls_first(), "url", "digest")
+    ordered = plan(pages).repartitionByRange(parts, F.col("page_id").asc_nulls_first()).sortWithinPartitions(F.col("page_id").asc_nulls_first(), "mark", "url", "digest")
     ordered.mapInArrow(lambda b: _write(b, folder, roll, level), MANIFEST).write.parquet(f"{folder}/manifest-written")
     listed = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest-written")
     # files of equal content have one name: the smallest temporary one is renamed, once
