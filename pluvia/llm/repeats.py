@@ -12,9 +12,10 @@ a text. So windows can only be equal if their segments' anchors are:
    by binary search on prefix polynomial hashes. Neighbours whose extension reaches 200 bytes are
    then compared byte by byte; should hashes have collided, the group is sorted by its bytes;
 4. anchors with more than ``hot`` different segments would be large groups. Their windows are
-   counted by a digest of their bytes instead, with partial sums before the shuffle.
+   dealt anew, by blocks of 16 (then single ones) and the bytes that a block's windows share;
+   blocks that agree become one row, and the smaller groups are sorted as in step 3.
 
-Steps 1 to 3 find every repeated window, and their union is cut out of each text.
+This finds every repeated window, and their union is cut out of each text.
 
 A null text is empty. Texts under 200 bytes are kept whole. Repeated rows are copies of one
 another. Null or repeated doc_ids: rows get ids of their own first. Empty tables give no rows.
@@ -34,7 +35,7 @@ from pluvia.llm.quality import arrow_texts
 
 LENGTH = 200
 GRAM = 32
-SLICE = 1 << 20
+SLICE = 1 << 18
 PLACE = np.uint64((1 << 22) - 1)
 SEED = 20240229
 
@@ -252,7 +253,7 @@ RUNS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 FOUND = "anchor long, sid long, runs array<struct<a:int,b:int>>"
 
 
-def _sorted_groups(batches, most=6000):
+def _sorted_groups(batches, most=1500):
     """Rows of an anchor follow one another; whole groups are taken together until there are enough."""
     hasher = Hasher(most * 3 * LENGTH)
     held: list[dict] = []
@@ -284,10 +285,9 @@ def _cut(batches):
     """The bytes of each wanted segment."""
     for batch in batches:
         texts = batch.column("text").cast(pa.binary())
-        wanted = batch.column("wanted").to_pylist()
         rows = []
-        for i, some in enumerate(wanted):
-            if some:
+        for i, listed in enumerate(batch.column("wanted")):
+            if some := listed.as_py():
                 text = texts[i].as_py()
                 rows += [(w["anchor"], w["sid"], w["n"], w["windows"], w["place"], text[w["lo"] : w["lo"] + w["windows"] + LENGTH - 1]) for w in some]
         columns = list(zip(*rows, strict=True)) if rows else [()] * 6
@@ -295,37 +295,60 @@ def _cut(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["anchor", "sid", "n", "windows", "place", "bytes"])
 
 
-def _window_digests(batches):
-    for batch in batches:
-        out = ([], [], [], [], [])
-        for r in batch.to_pylist():
-            for w in range(r["windows"]):
-                d = hashlib.blake2b(r["bytes"][w : w + LENGTH], digest_size=16).digest()
-                for column, v in zip(out, (r["anchor"], r["sid"], w, d, r["n"]), strict=True):
-                    column.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64()), strict=True)], ["anchor", "sid", "w", "d", "n"])
+PIECE = "anchor long, sid long, first int, n long, anchor2 long, sid2 long, windows int, place int, bytes binary"
 
 
-def repeated_runs(rows: DataFrame, hot: int = 256) -> DataFrame:
+def _split(batches, width):
+    """Each segment's windows in blocks of width places before the anchor; a block is known by the bytes that all its windows share."""
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+    names = ["anchor", "sid", "first", "n", "anchor2", "sid2", "windows", "place", "bytes"]
+    for batch in batches:
+        rows = []
+        for r in batch.to_pylist():
+            text, place, last = r["bytes"], r["place"], r["place"] - r["windows"] + 1
+            for block in range(last // width, place // width + 1):
+                high, low = min(place, block * width + width - 1), max(last, block * width)
+                core = place - block * width  # where the block's last window starts
+                data = text[place - high : place - low + LENGTH]
+                shared = b"%d|%d|" % (r["anchor"], block) + text[core : core + LENGTH - width + 1]
+                rows.append((r["anchor"], r["sid"], place - high, r["n"], digest(shared), digest(b"%d|" % high + data), high - low + 1, high, data))
+        columns = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+
+def repeated_in_groups(cut: DataFrame, hot: int, widths: tuple[int, ...] = (16, 1)) -> DataFrame:
+    """(anchor, sid, runs) of different segments (anchor, sid, n, windows, place, bytes): by sorting the suffixes of each anchor's group.
+
+    A group of more than hot segments is dealt anew by blocks of its windows; blocks that agree become one
+    row before the next sort. Single windows never form a group, so the last width ends this.
+    """
+    parts = int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if widths:
+        big = cut.groupBy("anchor").agg(F.count("*").alias("c")).where(F.col("c") > hot).select("anchor")
+        big = written(big, "large-groups")
+        split = written(cut.join(big, "anchor", "left_semi").mapInArrow(lambda b, w=widths[0]: _split(b, w), PIECE), "pieces")
+        pieces = split.groupBy("anchor2", "sid2").agg(F.sum("n").alias("n"), F.first("windows").alias("windows"), F.first("place").alias("place"), F.first("bytes").alias("bytes"))
+        pieces = written(pieces.withColumnsRenamed({"anchor2": "anchor", "sid2": "sid"}), "pieces")
+        found = repeated_in_groups(pieces, hot, widths[1:]).withColumnsRenamed({"anchor": "anchor2", "sid": "sid2"})
+        back = split.select("anchor", "sid", "first", "anchor2", "sid2").join(found, ["anchor2", "sid2"])
+        back = back.select("anchor", "sid", F.transform("runs", lambda r: F.struct((r["a"] + F.col("first")).alias("a"), (r["b"] + F.col("first")).alias("b"))).alias("runs"))
+        cut = cut.join(big, "anchor", "left_anti")
+    runs = cut.repartition(parts, "anchor").sortWithinPartitions("anchor", "sid").mapInArrow(_sorted_groups, FOUND).where(F.size("runs") > 0)
+    return runs.unionByName(back) if widths else runs
+
+
+def repeated_runs(rows: DataFrame, hot: int = 1000) -> DataFrame:
     """(row, a, b): runs of repeated windows of each text of (row, text), first and last start in bytes."""
-    spark = rows.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = rows.where(F.octet_length("text") >= LENGTH).mapInArrow(_segments, SEGMENT)
     often = found.groupBy("anchor").agg(F.count("*").alias("c"), F.min("sid").alias("s"), F.max("sid").alias("t")).where("c > 1").select("anchor", (F.col("s") != F.col("t")).alias("mixed"))
+    often = written(often, "anchors")  # stored, so that the join can split an anchor with many segments
     some = written(found.join(often, "anchor"), "segments")
     plain = some.where(~F.col("mixed")).select("row", F.col("lo").alias("a"), (F.col("lo") + F.col("windows") - 1).alias("b"))
     differ = some.where("mixed")
     kinds = differ.groupBy("anchor", "sid").agg(F.count("*").alias("n"), F.min(F.struct("row", "lo", "windows", "place")).alias("x"))
     wanted = kinds.groupBy("x.row").agg(F.collect_list(F.struct("anchor", "sid", "n", "x.windows", "x.place", "x.lo")).alias("wanted"))
-    cut = rows.join(wanted, "row", "left").mapInArrow(_cut, "anchor long, sid long, n long, windows int, place int, bytes binary")
-    cut = written(cut, "suffixes")
-    big = cut.groupBy("anchor").count().where(F.col("count") > hot).select("anchor")
-    small = cut.join(big, "anchor", "left_anti")
-    runs = small.repartition(parts, "anchor").sortWithinPartitions("anchor", "sid").mapInArrow(_sorted_groups, FOUND)
-    windows = cut.join(big, "anchor", "left_semi").mapInArrow(_window_digests, "anchor long, sid long, w int, d binary, n long")
-    twice = windows.groupBy("anchor", "d").agg(F.sum("n").alias("m")).where("m > 1")
-    hits = windows.join(twice, ["anchor", "d"], "left_semi").groupBy("anchor", "sid").agg(F.transform(F.collect_set("w"), lambda w: F.struct(w.alias("a"), w.alias("b"))).alias("runs"))
-    runs = runs.unionByName(hits).where(F.size("runs") > 0)
+    cut = written(rows.join(wanted, "row", "left").mapInArrow(_cut, "anchor long, sid long, n long, windows int, place int, bytes binary"), "suffixes")
+    runs = repeated_in_groups(cut, hot)
     part = differ.join(runs, ["anchor", "sid"]).select("row", "lo", F.explode("runs").alias("r")).select("row", (F.col("lo") + F.col("r.a")).alias("a"), (F.col("lo") + F.col("r.b")).alias("b"))
     return plain.unionByName(part)
 
@@ -334,8 +357,8 @@ def _keep(batches, texts_too):
     for batch in batches:
         texts = batch.column("text").cast(pa.binary())
         out: tuple[list, ...] = ([], [], [], [], [])
-        for i, runs in enumerate(batch.column("runs").to_pylist()):
-            text = texts[i].as_py()
+        for i, listed in enumerate(batch.column("runs")):
+            text, runs = texts[i].as_py(), listed.as_py()
             parts, last, removed, spans = [], 0, 0, 0
             for s, e in _merged([(r["a"], r["b"] + LENGTH) for r in runs] if runs else []):
                 parts.append(text[last:s])
@@ -357,7 +380,7 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
-def remove_repeats(docs: DataFrame, texts: bool = True, hot: int = 256) -> DataFrame:
+def remove_repeats(docs: DataFrame, texts: bool = True, hot: int = 1000) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) of each row; kept, the bytes that stay, only with texts."""
     bare = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     total, ids, known = bare.agg(F.count("*"), F.count_distinct("doc_id"), F.count("doc_id")).first()
