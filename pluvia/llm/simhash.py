@@ -161,7 +161,7 @@ def op9_near_duplicates(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("row"), "text")
     prints = written(fingerprints(docs), "fingerprints")
     found = near_duplicates(prints)
-    names = found.groupBy("root").agg(F.min("row").alias("component_id"))
+    names = written(found.groupBy("root").agg(F.min("row").alias("component_id")), "names")  # stored, so that the join can split a large component
     return found.join(names, "root").select(F.col("row").alias("doc_id"), _hex("fp").alias("fingerprint"), "component_id")
 
 
