@@ -13,12 +13,14 @@ LEADS = 3
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raster.trial_cells(spark, sf_dir)
+    """The archive of a session: kept, as an archive is built once and read by every study."""
+    return raster.trial_cells(spark, sf_dir).persist()
 
 
 def index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a frame, kept like the archive: episodes are found without reading frames."""
     rain = cells(spark, sf_dir)
-    return E.frame_index(raster.observed(rain), raster.axis(rain))
+    return E.frame_index(raster.observed(rain), raster.axis(rain)).persist()
 
 
 def fine_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,8 +42,9 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def score_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each episode, issue, model and lead, kept: all pooling starts from these few sums."""
     found = pairs(spark, sf_dir).repartition(*score.KEYS)
-    return score.counts(found).join(score.fss_sums(found, 4), list(score.KEYS))
+    return score.counts(found).join(score.fss_sums(found, 4), list(score.KEYS)).persist()
 
 
 #: Common table expressions for the queries' SQL, each with those that it needs before it.

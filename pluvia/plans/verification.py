@@ -283,11 +283,13 @@ def heavy_light_classes(spark, sf_dir):
     return raster.dense(trial.cells(spark, sf_dir)).groupBy("f", F.expr("CASE WHEN v < 1 THEN 0 WHEN v < 3 THEN 1 WHEN v < 6 THEN 2 ELSE 3 END").alias("class")).agg(F.count("*").alias("n"))
 
 
-@query(sql("SELECT valid, r, c, round(avg(p), 6) AS chance, count(*) AS members FROM (SELECT f + lead AS valid, r, c, CASE WHEN p >= 2 THEN 1.0 ELSE 0.0 END AS p FROM fc WHERE model = 'shift') GROUP BY ALL HAVING count(*) > 1 AND avg(p) > 0", "fc"))
+@query(sql("SELECT valid, r, c, round(avg(CASE WHEN v >= 2 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS chance, count(*) AS members FROM (SELECT g.f + lead AS valid, r, least(47, c + 2 * lead) AS c, lead, v, c AS c0 FROM obs g, range(1, 4) l(lead) WHERE (g.f + lead) % 24 = 5 AND c + 2 * lead <= 47) GROUP BY valid, r, c HAVING count(*) > 1 AND avg(CASE WHEN v >= 2 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) > 0", "obs"))
 def lagged_ensemble(spark, sf_dir):
-    """Chance of rain from the forecasts of several issue times for one valid time."""
-    shift = trial.pairs(spark, sf_dir).where("model = 'shift'")
-    return shift.groupBy((F.col("f") + F.col("lead")).alias("valid"), "r", "c").agg(F.avg((F.col("p") >= 2).cast("double")).alias("chance"), F.count("*").alias("members")).where("members > 1 AND chance > 0").withColumn("chance", r6("chance"))
+    """Chance of rain from the forecasts of up to three earlier frames for one valid time: each lead moves cells by twice its length; cells without inflow have fewer members."""
+    seen = raster.observed(trial.cells(spark, sf_dir))
+    made = seen.withColumn("lead", F.explode(F.sequence(F.lit(1), F.lit(LEADS)))).select((F.col("f") + F.col("lead")).alias("valid"), "r", (F.col("c") + 2 * F.col("lead")).alias("c"), "v").where("valid % 24 = 5 AND c <= 47")
+    share = F.avg(F.when(F.col("v") >= 2, 1.0).otherwise(0.0))
+    return made.groupBy("valid", "r", "c").agg(share.alias("chance"), F.count("*").alias("members")).where("members > 1 AND chance > 0").withColumn("chance", r6("chance"))
 
 
 @query(sql("SELECT model, n, o, bin, round(CAST(o AS DOUBLE) / n, 6) AS rate FROM (SELECT model, CAST(least(floor(pn * 20), 19) AS INTEGER) AS bin, count(*) AS n, CAST(sum(wt) AS BIGINT) AS o FROM nb2 WHERE t IS NOT NULL GROUP BY ALL) WHERE n >= 50", "wetfc", **_NB))
