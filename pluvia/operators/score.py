@@ -12,14 +12,16 @@ KEYS = ("event", "f", "model", "lead")
 THRESHOLDS = (1, 2, 4)
 
 
-def box_sum(df: DataFrame, value: Column, half: int, keys: tuple[str, ...], name: str) -> DataFrame:
-    """Sum of value over the (2 half + 1) squared cells around each cell of dense fields; what lies beyond the edge counts as zero.
+def box_sums(df: DataFrame, values: dict[str, Column], half: int, keys: tuple[str, ...]) -> DataFrame:
+    """Sums of values over the (2 half + 1) squared cells around each cell of dense fields; what lies beyond the edge counts as zero.
 
-    The two windows run within a field, so the fields' partitioning serves both.
+    One window runs along the rows for all values, one along the columns; both stay within a field,
+    so the fields' partitioning serves both.
     """
     across = Window.partitionBy(*keys, "r").orderBy("c").rangeBetween(-half, half)
     down = Window.partitionBy(*keys, "c").orderBy("r").rangeBetween(-half, half)
-    return df.withColumn("__row", F.sum(value).over(across)).withColumn(name, F.sum("__row").over(down)).drop("__row")
+    rows = df.select("*", *(F.sum(v).over(across).alias(f"__{name}") for name, v in values.items()))
+    return rows.select("*", *(F.sum(f"__{name}").over(down).alias(name) for name in values)).drop(*(f"__{name}" for name in values))
 
 
 def with_truth(forecasts: DataFrame, truth: DataFrame) -> DataFrame:
@@ -30,28 +32,42 @@ def with_truth(forecasts: DataFrame, truth: DataFrame) -> DataFrame:
 
 def counts(pairs: DataFrame, keys: tuple[str, ...] = KEYS, thresholds=THRESHOLDS, wet: float = WET, prob: Column | None = None) -> DataFrame:
     """Cell by cell sums over the cells that the truth covers."""
-    p, t = F.col("p"), F.col("t")
-    parts = [F.count("*").alias("n"), F.sum(p).alias("sum_f"), F.sum(t).alias("sum_t"), F.sum((p - t) * (p - t)).alias("sse")]
-    parts.append(F.when((F.stddev_pop("p") > 0) & (F.stddev_pop("t") > 0), F.corr(p.cast("double"), t.cast("double"))).alias("corr"))
+    return pairs.groupBy(*keys).agg(*count_columns(thresholds, wet, prob)).where("n > 0")
+
+
+def count_columns(thresholds=THRESHOLDS, wet: float = WET, prob: Column | None = None) -> list[Column]:
+    """Aggregates of rows (p, t); those without truth add nothing."""
+    t = F.col("t")
+    p = F.when(t.isNotNull(), F.col("p"))
+    parts = [F.count("t").alias("n"), F.sum(p).alias("sum_f"), F.sum(t).alias("sum_t"), F.sum((p - t) * (p - t)).alias("sse")]
+    parts.append(F.when((F.stddev_pop(p) > 0) & (F.stddev_pop("t") > 0), F.corr(p.cast("double"), t.cast("double"))).alias("corr"))
     for x in thresholds:
         parts += [F.count_if((p >= x) & (t >= x)).alias(f"hit_{x}"), F.count_if((p < x) & (t >= x)).alias(f"miss_{x}"), F.count_if((p >= x) & (t < x)).alias(f"fa_{x}")]
     chance = prob if prob is not None else (p >= wet).cast("double")
     parts.append(F.sum((chance - (t >= wet).cast("double")) ** 2).alias("brier"))
-    return pairs.where(t.isNotNull()).groupBy(*keys).agg(*parts)
+    return parts
 
 
 def fractions(pairs: DataFrame, half: int, keys: tuple[str, ...] = KEYS, wet: float = WET) -> DataFrame:
     """pairs with np and nt: wet cells of forecast and truth around each cell; cells without truth count as dry in both."""
     known = F.col("t").isNotNull()
-    spread = pairs.repartition(*keys)
-    spread = box_sum(spread, F.when(known & (F.col("p") >= wet), 1).otherwise(0), half, keys, "np")
-    return box_sum(spread, F.when(known & (F.col("t") >= wet), 1).otherwise(0), half, keys, "nt")
+    wet_p, wet_t = F.when(known & (F.col("p") >= wet), 1).otherwise(0), F.when(known & (F.col("t") >= wet), 1).otherwise(0)
+    return box_sums(pairs.repartition(*keys), {"np": wet_p, "nt": wet_t}, half, keys)
 
 
 def fss_sums(pairs: DataFrame, half: int, keys: tuple[str, ...] = KEYS, wet: float = WET, name: str = "fss") -> DataFrame:
     """Error and reference sums of the fractions score, in counts of cells squared: divide by the window's size squared for fractions."""
+    return fractions(pairs, half, keys, wet).groupBy(*keys).agg(*fss_columns(name))
+
+
+def fss_columns(name: str = "fss") -> list[Column]:
     np_, nt = F.col("np"), F.col("nt")
-    return fractions(pairs, half, keys, wet).groupBy(*keys).agg(F.sum((np_ - nt) * (np_ - nt)).alias(f"{name}_e"), F.sum(np_ * np_ + nt * nt).alias(f"{name}_r"))
+    return [F.sum((np_ - nt) * (np_ - nt)).alias(f"{name}_e"), F.sum(np_ * np_ + nt * nt).alias(f"{name}_r")]
+
+
+def rows(pairs: DataFrame, half: int = 4, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """Score rows: counts and fractions sums in one aggregation over fields that are dealt out once."""
+    return fractions(pairs, half, keys).groupBy(*keys).agg(*count_columns(), *fss_columns()).where("n > 0")
 
 
 def fss_bands(pairs: DataFrame, half: int, keys: tuple[str, ...], wet: float = WET) -> DataFrame:
@@ -63,8 +79,7 @@ def fss_bands(pairs: DataFrame, half: int, keys: tuple[str, ...], wet: float = W
 def neighbourhood(pairs: DataFrame, half: int, keys: tuple[str, ...] = KEYS, wet: float = WET) -> DataFrame:
     """pairs with pn: the share of wet forecast cells among the covered cells around each cell."""
     known = F.col("t").isNotNull()
-    spread = box_sum(pairs.repartition(*keys), F.when(known & (F.col("p") >= wet), 1).otherwise(0), half, keys, "num")
-    spread = box_sum(spread, known.cast("int"), half, keys, "den")
+    spread = box_sums(pairs.repartition(*keys), {"num": F.when(known & (F.col("p") >= wet), 1).otherwise(0), "den": known.cast("int")}, half, keys)
     return spread.withColumn("pn", F.when(F.col("den") > 0, F.col("num") / F.col("den")).otherwise(0.0)).drop("num", "den")
 
 

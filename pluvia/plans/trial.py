@@ -34,17 +34,18 @@ def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forecasts of two models at the issue times, with the truth."""
-    rain = cells(spark, sf_dir)
-    seen = raster.observed(rain)
-    when = issues(spark, sf_dir)
-    both = forecast.persistence(when, seen, LEADS).unionByName(forecast.shifted(when, seen, LEADS, 2, 0))
-    return score.with_truth(both, seen)
+    seen = raster.observed(cells(spark, sf_dir))
+    when = issues(spark, sf_dir).persist()
+    # only frames that are issued on, or are valid for one, take part in the joins
+    last = seen.join(when.select("f").distinct(), "f", "left_semi")
+    valid = forecast.leads(when, LEADS).select((F.col("f") + F.col("lead")).alias("f")).distinct()
+    both = forecast.persistence(when, last, LEADS).unionByName(forecast.shifted(when, last, LEADS, 2, 0))
+    return score.with_truth(both, seen.join(valid, "f", "left_semi"))
 
 
 def score_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each episode, issue, model and lead, kept: all pooling starts from these few sums."""
-    found = pairs(spark, sf_dir).repartition(*score.KEYS)
-    return score.counts(found).join(score.fss_sums(found, 4), list(score.KEYS)).persist()
+    return score.rows(pairs(spark, sf_dir)).persist()
 
 
 #: Common table expressions for the queries' SQL, each with those that it needs before it.
