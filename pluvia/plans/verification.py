@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from pluvia.operators import episodes as E
 from pluvia.operators import forecast, pool, score
 from pluvia.plans import trial
+from pluvia.plans.analyses import stored
 from pluvia.plans.trial import LEADS, sql
 from pluvia.sources import raster
 from pluvia.spec import TRIAL
@@ -155,8 +156,8 @@ def unit_sums(spark, sf_dir):
 
 
 def _versus(spark, sf_dir):
-    """A row for each episode, model and lead: kept, as draws and sums both read it."""
-    return pool.against(pool.unit_sums(trial.score_rows(spark, sf_dir))).persist()
+    """A row for each episode, model and lead: stored, as draws and sums both read it and plan on from it."""
+    return stored(spark)(pool.against(pool.unit_sums(trial.score_rows(spark, sf_dir))))
 
 
 @query(sql("SELECT model, lead, count(*) AS units, round(CAST(sum(e0) AS DOUBLE) / sum(r0) - CAST(sum(e) AS DOUBLE) / sum(r), 6) AS gain FROM versus GROUP BY model, lead", "versus"))
@@ -199,7 +200,7 @@ def boot_paired_ci(spark, sf_dir):
 
 def _by_spell(spark, sf_dir):
     rows = trial.score_rows(spark, sf_dir).join(E.spells(trial.fine_events(spark, sf_dir)), "event")
-    return pool.against(pool.unit_sums(rows, "spell")).persist()
+    return stored(spark)(pool.against(pool.unit_sums(rows, "spell")))
 
 
 _SPELL_UNITS = {
