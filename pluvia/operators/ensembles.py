@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pluvia.operators import motion
 from pluvia.spec import TRIAL, GridSpec
@@ -24,9 +25,18 @@ DRY_DB = -15.0
 def gauss_window(cells: DataFrame, wet: Column, sigma: float, grid: GridSpec = TRIAL, ratio: float = 1.0, angle: float = 0.0) -> DataFrame:
     """(f, r, c, chance) of dense cells (f, r, c, v): Gaussian mean of wet over what is covered, along an angle and across it.
 
-    Only wet cells and those without coverage spread; the kernel's weight inside the grid is a table of its own.
+    A round kernel is the product of two lines of weights: two windows on one partitioning by frame.
+    With a ratio, only wet cells and those without coverage spread; the kernel's weight inside the grid is a table of its own.
     """
     reach = math.ceil(3 * sigma)
+    if ratio == 1.0:
+        line = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-reach, reach + 1)]
+        across, down = Window.partitionBy("f", "r").orderBy("c"), Window.partitionBy("f", "c").orderBy("r")
+        mean = lambda name, over: sum(F.coalesce(F.lag(name, -k).over(over), F.lit(0.0)) * (w / sum(line)) for k, w in zip(range(-reach, reach + 1), line, strict=True))
+        marked = cells.repartition("f").select("f", "r", "c", F.when(F.col("v").isNotNull() & wet, 1.0).otherwise(0.0).alias("a"), F.when(F.col("v").isNotNull(), 1.0).otherwise(0.0).alias("b"))
+        lines = marked.select("f", "r", "c", mean("a", across).alias("a"), mean("b", across).alias("b"))
+        box = lines.select("f", "r", "c", mean("a", down).alias("a"), mean("b", down).alias("b"))
+        return box.select("f", "r", "c", F.when(F.col("b") > 1e-6, F.least(F.lit(1.0), F.col("a") / F.col("b"))).otherwise(0.0).alias("chance"))
     offsets = [(i, j, x * math.cos(angle) + i * math.sin(angle), -x * math.sin(angle) + i * math.cos(angle)) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1) for x in (j,)]
     raw = [(i, j, math.exp(-0.5 * ((a / sigma) ** 2 + (c / (ratio * sigma)) ** 2))) for i, j, a, c in offsets]
     total = sum(w for *_, w in raw)

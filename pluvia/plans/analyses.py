@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import functions as F
@@ -120,10 +121,10 @@ def fixed_echo_components(spark, sf_dir):
     return labels.join(core, ["r", "c"]).groupBy(F.col("label").cast("long").alias("label")).agg(F.count("*").alias("cells"), F.max("wet_dry").alias("peak"))
 
 
-@query(sql("SELECT DISTINCT f, r // 8 AS br, c // 8 AS bc FROM (SELECT o.f, o.r + i AS r, o.c + j AS c FROM obs o, range(-2, 3) a(i), range(-2, 3) b(j) WHERE v IS NULL AND abs(i) + abs(j) <= 2 AND o.f % 24 = 0) WHERE r BETWEEN 0 AND 31 AND c BETWEEN 0 AND 47", "obs"))
+@query(sql("SELECT DISTINCT f, r // 8 AS br, c // 8 AS bc FROM (SELECT o.f, o.r + i AS r, o.c + j AS c FROM obs o, range(-2, 3) a(i), range(-2, 3) b(j) WHERE v IS NULL AND abs(i) + abs(j) <= 2) WHERE r BETWEEN 0 AND 31 AND c BETWEEN 0 AND 47", "obs"))
 def dilation(spark, sf_dir):
-    """Blocks that cells without coverage reach in two steps, on every 24th frame."""
-    gone = raster.observed(trial.cells(spark, sf_dir)).where("v IS NULL AND f % 24 = 0")
+    """Blocks that cells without coverage reach in two steps."""
+    gone = raster.observed(trial.cells(spark, sf_dir)).where("v IS NULL")
     steps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-2, 3) for j in range(-2, 3) if abs(i) + abs(j) <= 2))
     near = gone.select("f", "r", "c", F.explode(steps).alias("d")).select("f", (F.col("r") + F.col("d.i")).alias("r"), (F.col("c") + F.col("d.j")).alias("c")).where("r BETWEEN 0 AND 31 AND c BETWEEN 0 AND 47")
     return near.select("f", F.floor(F.col("r") / 8).alias("br"), F.floor(F.col("c") / 8).alias("bc")).distinct()
@@ -153,10 +154,10 @@ def point_in_polygon(spark, sf_dir):
     return stations(spark, sf_dir).select("id", (crossed % 2 == 1).alias("inside"))
 
 
-@query(sql("SELECT s.f, s.r, s.c, round(coalesce(x, 0), 3) AS v FROM (SELECT f, r, c FROM (SELECT DISTINCT f FROM obs WHERE f % 24 = 1), range(8) a(r), range(12) b(c)) s LEFT JOIN (SELECT f, r // 4 AS r, c // 4 AS c, avg(v) AS x FROM obs GROUP BY ALL) USING (f, r, c)", "obs"))
+@query(sql("SELECT s.f, s.r, s.c, round(coalesce(x, 0), 3) AS v FROM (SELECT f, r, c FROM (SELECT DISTINCT f FROM obs), range(8) a(r), range(12) b(c)) s LEFT JOIN (SELECT f, r // 4 AS r, c // 4 AS c, avg(v) AS x FROM obs GROUP BY ALL) USING (f, r, c)", "obs"))
 def coarsen(spark, sf_dir):
     """Means of four by four cells; without any covered cell, zero."""
-    seen = raster.observed(trial.cells(spark, sf_dir)).where("f % 24 = 1")
+    seen = raster.observed(trial.cells(spark, sf_dir))
     return seen.groupBy("f", F.floor(F.col("r") / 4).alias("r"), F.floor(F.col("c") / 4).alias("c")).agg(F.round(F.coalesce(F.avg("v"), F.lit(0.0)), 3).alias("v"))
 
 
@@ -173,7 +174,7 @@ def map_projection(spark, sf_dir):
     return placed.select("id", r6("x").alias("x"), r6("y").alias("y"), r6(5.0 + F.col("x") / 640 * 11.5).alias("lon"), r6(58.5 - F.col("y") / 480 * 4.6).alias("lat"))
 
 
-_BOX3 = {"xs": "SELECT f, r, c, sum(coalesce(v, 0)) OVER w AS a, sum({0}) OVER w AS b FROM obs WHERE f % 7 = 0 WINDOW w AS (PARTITION BY f, r ORDER BY c RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING)", "ys": "SELECT f, r, c, sum(a) OVER w AS s, sum(b) OVER w AS n FROM xs WINDOW w AS (PARTITION BY f, c ORDER BY r RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING)"}
+_BOX3 = {"xs": "SELECT f, r, c, sum(coalesce(v, 0)) OVER w AS a, sum({0}) OVER w AS b FROM obs WINDOW w AS (PARTITION BY f, r ORDER BY c RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING)", "ys": "SELECT f, r, c, sum(a) OVER w AS s, sum(b) OVER w AS n FROM xs WINDOW w AS (PARTITION BY f, c ORDER BY r RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING)"}
 
 
 def _box3(count):
@@ -182,22 +183,23 @@ def _box3(count):
 
 @query(sql("SELECT f, r // 2 AS r, c // 2 AS c, round(CASE WHEN n / 9.0::DOUBLE >= 0.5 THEN CAST(s AS DOUBLE) / n END, 6) AS v FROM ys WHERE r % 2 = 1 AND c % 2 = 1", "obs", **_box3("CASE WHEN v IS NOT NULL THEN 1 ELSE 0 END")))
 def regrid_area(spark, sf_dir):
-    seen = raster.observed(trial.cells(spark, sf_dir)).where("f % 7 = 0")
+    seen = raster.observed(trial.cells(spark, sf_dir))
     return G.regrid(seen, 3, 16, 24, 2, "area").withColumn("v", r6("v"))
 
 
 @query(sql("SELECT f, r // 2 AS r, c // 2 AS c, round(CASE WHEN n > 0 THEN CAST(s AS DOUBLE) / n ELSE 0.0 END, 6) AS v FROM ys WHERE r % 2 = 1 AND c % 2 = 1", "obs", **_box3("CASE WHEN v > 0 THEN 1 ELSE 0 END")))
 def regrid_legacy(spark, sf_dir):
-    seen = raster.observed(trial.cells(spark, sf_dir)).where("f % 7 = 0")
+    seen = raster.observed(trial.cells(spark, sf_dir))
     return G.regrid(seen, 3, 16, 24, 2, "legacy").withColumn("v", r6("v"))
 
 
-@query(sql("SELECT id, f, v FROM (SELECT id, CAST(trunc((58.5 - lat) / (58.5::DOUBLE - 53.9::DOUBLE) * 32) AS INTEGER) AS r, CAST(trunc((lon - 5.0) / (16.5::DOUBLE - 5.0::DOUBLE) * 48) AS INTEGER) AS c FROM st WHERE id % 10 = 0) p LEFT JOIN (SELECT * FROM obs WHERE f % 48 = 1) o USING (r, c)", "obs", **_ST))
+@query(sql("SELECT id, day, n, v FROM (SELECT id, CAST(trunc((58.5 - lat) / (58.5::DOUBLE - 53.9::DOUBLE) * 32) AS INTEGER) AS r, CAST(trunc((lon - 5.0) / (16.5::DOUBLE - 5.0::DOUBLE) * 48) AS INTEGER) AS c FROM st) p LEFT JOIN (SELECT r, c, f // 24 AS day, count(v) AS n, round(avg(v), 6) AS v FROM obs GROUP BY ALL) o USING (r, c)", "obs", **_ST))
 def point_reading(spark, sf_dir):
-    """The cell under each tenth station, on every second day."""
+    """Each day's mean of the cell under each station; days are summed up before they meet the stations."""
     r, c = G.cell_of(TRIAL, F.col("lat"), F.col("lon"))
-    points = stations(spark, sf_dir).where("id % 10 = 0").select("id", r.alias("r"), c.alias("c"))
-    return points.join(raster.observed(trial.cells(spark, sf_dir)).where("f % 48 = 1"), ["r", "c"], "left").select("id", "f", "v")
+    points = stations(spark, sf_dir).select("id", r.alias("r"), c.alias("c"))
+    days = raster.observed(trial.cells(spark, sf_dir)).groupBy("r", "c", F.floor(F.col("f") / 24).alias("day")).agg(F.count("v").alias("n"), r6(F.avg("v")).alias("v"))
+    return points.join(days, ["r", "c"], "left").select("id", "day", "n", "v")
 
 
 # --- joins in time
@@ -233,11 +235,11 @@ def nearest_in_time(spark, sf_dir):
     return asof.nearest(_events(spark, sf_dir, "click").drop("value"), _samples(spark, sf_dir), "k", "t", "value", 3600)
 
 
-@query("SELECT a.event_id, a.user_id, CAST(floor(epoch(a.ts) / 300 + 0.5) AS BIGINT) AS slot, round(b.value, 2) AS truth FROM events a JOIN (SELECT user_id, CAST(floor(epoch(ts) / 300 + 0.5) AS BIGINT) AS slot, max(value) AS value FROM events WHERE event_type <> 'click' GROUP BY ALL) b ON a.user_id = b.user_id AND CAST(floor(epoch(a.ts) / 300 + 0.5) AS BIGINT) = b.slot WHERE a.event_type = 'click' AND a.event_id NOT IN (SELECT event_id FROM events WHERE event_id % 10 = 0)")
+@query("SELECT a.event_id, a.user_id, CAST(floor(epoch(a.ts) / 300 + 0.5) AS BIGINT) AS slot, round(b.value, 2) AS truth FROM events a JOIN (SELECT user_id, CAST(floor(epoch(ts) / 300 + 0.5) AS BIGINT) AS slot, max(value) AS value FROM events WHERE event_type <> 'click' GROUP BY ALL) b ON a.user_id = b.user_id AND CAST(floor(epoch(a.ts) / 300 + 0.5) AS BIGINT) = b.slot WHERE a.event_type = 'click' AND a.event_id NOT IN (SELECT event_id FROM events WHERE value < 10)")
 def pending_scored(spark, sf_dir):
     """Forecasts meet the truth of their rounded slot; those scored already are left out."""
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 300 + 0.5).alias("slot"))
-    done = e.where("event_id % 10 = 0").select("event_id")
+    done = e.where("value < 10").select("event_id")
     truth = e.where("event_type <> 'click'").groupBy("user_id", "slot").agg(F.round(F.max("value"), 2).alias("truth"))
     return e.where("event_type = 'click'").join(done, "event_id", "left_anti").join(truth, ["user_id", "slot"]).select("event_id", "user_id", "slot", "truth")
 
@@ -250,11 +252,11 @@ def column_update(spark, sf_dir):
     return old.join(new, "o_orderkey", "left").select("o_orderkey", F.when(F.col("hit"), F.round(F.col("o_totalprice") * 1.1, 2)).otherwise(F.col("o_totalprice")).alias("price"), F.coalesce("hit", F.lit(False)).alias("updated"))
 
 
-@query("SELECT DISTINCT CAST(floor(epoch(ts) / 86400) AS BIGINT) AS day FROM events WHERE CAST(floor(epoch(ts) / 86400) AS BIGINT) NOT IN (SELECT CAST(floor(epoch(ts) / 86400) AS BIGINT) FROM events WHERE event_id % 400 = 0)")
+@query("SELECT DISTINCT CAST(floor(epoch(ts) / 86400) AS BIGINT) AS day FROM events WHERE CAST(floor(epoch(ts) / 86400) AS BIGINT) NOT IN (SELECT CAST(floor(epoch(ts) / 86400) AS BIGINT) FROM events WHERE user_id = 7)")
 def incremental_days(spark, sf_dir):
-    """Days that the index lacks."""
-    e = table(spark, sf_dir, "events").select("event_id", F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 86400).alias("day"))
-    return e.select("day").distinct().join(e.where("event_id % 400 = 0").select("day"), "day", "left_anti")
+    """Days that the index, here the days of one user, lacks."""
+    e = table(spark, sf_dir, "events").select("user_id", F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 86400).alias("day"))
+    return e.select("day").distinct().join(e.where("user_id = 7").select("day"), "day", "left_anti")
 
 
 # --- stations and cities
@@ -263,21 +265,20 @@ def incremental_days(spark, sf_dir):
 @query(sql("SELECT a.id, round(median(b.v), 6) AS median3 FROM (SELECT id, nid, row_number() OVER (PARTITION BY id ORDER BY d, nid) AS k FROM (SELECT a.id, b.id AS nid, pow((a.lon - b.lon) * cos(radians(56.0)), 2) + pow(a.lat - b.lat, 2) AS d FROM st a JOIN st b ON a.area = b.area AND a.id <> b.id)) a JOIN (SELECT c_custkey AS id, c_acctbal AS v FROM customer) b ON b.id = a.nid WHERE k <= 3 GROUP BY a.id", **_ST))
 def gauge_neighbours(spark, sf_dir):
     """Median of the three nearest stations of the same area."""
-    s = stations(spark, sf_dir)
-    other = s.select("area", F.col("id").alias("nid"), F.col("lon").alias("x"), F.col("lat").alias("y"))
-    d = F.pow((F.col("lon") - F.col("x")) * F.cos(F.radians(F.lit(56.0))), F.lit(2)) + F.pow(F.col("lat") - F.col("y"), F.lit(2))
-    near = s.join(other, "area").where("id <> nid").withColumn("d", d).withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy("d", "nid"))).where("k <= 3")
+    near = G.nearest(stations(spark, sf_dir).withColumnsRenamed({"lon": "x", "lat": "y"}), 3, stored(spark), math.cos(math.radians(56.0)))
     v = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("nid"), F.col("c_acctbal").alias("v"))
-    return near.join(v, "nid").groupBy("id").agg(r6(F.percentile("v", F.lit(0.5))).alias("median3"))
+    return near.join(v, near["other"] == v["nid"]).groupBy("id").agg(r6(F.percentile("v", F.lit(0.5))).alias("median3"))
 
 
-@query(sql("SELECT a.id, b.id AS other, round(d, 4) AS d FROM (SELECT a.id, b.id AS oid, sqrt(pow((a.lon - b.lon) * 111.2 * cos(radians(56.0)), 2) + pow((a.lat - b.lat) * 111.2, 2)) AS d FROM st a JOIN st b ON a.id % 4 = 0 AND b.id % 4 = 1) x JOIN st a ON a.id = x.id JOIN st b ON b.id = x.oid WHERE d <= 25", **_ST))
+@query(sql("SELECT id, other, round(d, 4) AS d FROM (SELECT a.id, b.id AS other, sqrt(pow((a.lon - b.lon) * 111.2 * cos(radians(56.0)), 2) + pow((a.lat - b.lat) * 111.2, 2)) AS d FROM st a, tr b) WHERE d <= 25", **_ST, tr="SELECT s_suppkey AS id, 5 + s_suppkey * 53 % 1000 / 1000.0::DOUBLE * 11.5 AS lon, 53.9 + s_suppkey * 29 % 1000 / 1000.0::DOUBLE * 4.6 AS lat FROM supplier"))
 def station_near_tracks(spark, sf_dir):
-    """Pairs within 25 km: both sides are dealt into squares of that size, and meet in a square or its neighbours."""
+    """Tracks (suppliers) within 25 km of each station: both sides are dealt into squares of that size, and meet in a square or its neighbours."""
     side = 25.0
-    s = stations(spark, sf_dir).select("id", (F.col("lon") * 111.2 * F.cos(F.radians(F.lit(56.0)))).alias("x"), (F.col("lat") * 111.2).alias("y"))
-    a = s.where("id % 4 = 0").withColumn("i", F.explode(F.array(*(F.floor(F.col("x") / side) + k for k in (-1, 0, 1))))).withColumn("j", F.explode(F.array(*(F.floor(F.col("y") / side) + k for k in (-1, 0, 1)))))
-    b = s.where("id % 4 = 1").select(F.col("id").alias("other"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.floor(F.col("x") / side).alias("i"), F.floor(F.col("y") / side).alias("j"))
+    k, x, y = F.col("s_suppkey"), F.col("lon") * 111.2 * F.cos(F.radians(F.lit(56.0))), F.col("lat") * 111.2
+    tracks = table(spark, sf_dir, "supplier").select(k.alias("id"), (5 + k * 53 % 1000 / 1000 * 11.5).alias("lon"), (53.9 + k * 29 % 1000 / 1000 * 4.6).alias("lat"))
+    a = stations(spark, sf_dir).select("id", x.alias("x"), y.alias("y"), F.floor(x / side).alias("i"), F.floor(y / side).alias("j"))
+    around = F.explode(F.array(*(F.struct(F.lit(p).alias("p"), F.lit(q).alias("q")) for p in (-1, 0, 1) for q in (-1, 0, 1)))).alias("n")
+    b = tracks.select(F.col("id").alias("other"), x.alias("x2"), y.alias("y2"), around).withColumns({"i": F.floor(F.col("x2") / side) + F.col("n.p"), "j": F.floor(F.col("y2") / side) + F.col("n.q")})
     d = F.sqrt((F.col("x") - F.col("x2")) ** 2 + (F.col("y") - F.col("y2")) ** 2)
     return a.join(b, ["i", "j"]).withColumn("d", d).where("d <= 25").select("id", "other", F.round("d", 4).alias("d"))
 

@@ -31,15 +31,16 @@ def r6(c):
 
 _KERNEL = {
     "kern": "SELECT i, j, w / sum(w) OVER () AS w FROM (SELECT i, j, exp(-0.5 * (i * i + j * j) / 1.44) AS w FROM range(-4, 5) a(i), range(-4, 5) b(j))",
-    "src": "SELECT f, r + i AS r, c + j AS c, w, v FROM (SELECT * FROM obs WHERE f % 24 = 1), kern",
-    "chance": "SELECT f, r, c, sum(CASE WHEN v >= 2 THEN w ELSE 0 END) AS top, sum(CASE WHEN v IS NOT NULL THEN w ELSE 0 END) AS below FROM src WHERE r BETWEEN 0 AND 31 AND c BETWEEN 0 AND 47 GROUP BY ALL",
+    "chance": "SELECT f, r, c, sum(CASE WHEN v >= 2 THEN w ELSE 0 END) AS top, sum(CASE WHEN v IS NOT NULL THEN w ELSE 0 END) AS below FROM (SELECT f, r + i AS r, c + j AS c, w, v FROM obs, kern) WHERE r BETWEEN 0 AND 31 AND c BETWEEN 0 AND 47 GROUP BY f, r, c",
 }
 
 
-@query(sql("SELECT f, r, c, round(CASE WHEN below > 1e-6 THEN least(1.0, top / below) ELSE 0.0 END, 5) AS chance FROM chance", "obs", **_KERNEL))
+@query(sql("SELECT f, r, round(sum(x), 5) AS expected, round(max(x), 5) AS peak FROM (SELECT f, r, CASE WHEN below > 1e-6 THEN least(1.0, top / below) ELSE 0.0 END AS x FROM chance) GROUP BY f, r", "obs", **_KERNEL))
 def gauss_window(spark, sf_dir):
-    seen = raster.observed(trial.cells(spark, sf_dir)).where("f % 24 = 1")
-    return ensembles.gauss_window(seen, F.col("v") >= 2, 1.2).withColumn("chance", F.round("chance", 5))
+    """Chances of rain on every frame, summed up for each line of cells."""
+    seen = raster.observed(trial.cells(spark, sf_dir))
+    chance = ensembles.gauss_window(seen, F.col("v") >= 2, 1.2)
+    return chance.groupBy("f", "r").agg(F.round(F.sum("chance"), 5).alias("expected"), F.round(F.max("chance"), 5).alias("peak"))
 
 
 def _offset(name):

@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from pluvia.operators import geometry as G
 from pluvia.operators import pool, registry, score
-from pluvia.plans import movement, trial, verification
+from pluvia.plans import analyses, movement, trial, verification
 from pluvia.plans.analyses import _ST, MAIN, stations
 from pluvia.plans.trial import sql
 from pluvia.sources import raster
@@ -34,9 +34,8 @@ def r6(c):
 def gauge_faulty(spark, sf_dir):
     """Stations whose total is under half the median of their three nearest neighbours'."""
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("area"), F.col("s_acctbal").alias("v"), (F.col("s_suppkey") * 37 % 1000).cast("double").alias("lon"), (F.col("s_suppkey") * 61 % 1000).cast("double").alias("lat"))
-    other = s.select("area", F.col("id").alias("nid"), F.col("v").alias("nv"), F.col("lon").alias("x"), F.col("lat").alias("y"))
-    d = (F.col("lon") - F.col("x")) ** 2 + (F.col("lat") - F.col("y")) ** 2
-    near = s.join(other, "area").where("id <> nid").withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy(d, "nid"))).where("k <= 3")
+    near = G.nearest(s.select("area", "id", F.col("lon").alias("x"), F.col("lat").alias("y")), 3, analyses.stored(spark))
+    near = near.join(s.select("id", "v"), "id").join(s.select(F.col("id").alias("other"), F.col("v").alias("nv")), "other")
     return near.groupBy("id").agg(F.max("v").alias("v"), r6(F.percentile("nv", F.lit(0.5))).alias("median3")).where("v < 0.5 * median3")
 
 
