@@ -143,8 +143,8 @@ class Model:
 
 
 def features(text: str, lexicon: Lexicon, known: dict) -> list[float]:
-    hits, n, last = [], 0, None
-    for n, m in enumerate(WORDS.finditer(text.lower()), 1):
+    hits, n, last, low = [], 0, None, text.lower()
+    for n, m in enumerate(WORDS.finditer(low), 1):
         word = m[0]
         got = known.get(word, last)
         if got is last:
@@ -155,7 +155,7 @@ def features(text: str, lexicon: Lexicon, known: dict) -> list[float]:
             hits.append((n, m.start(), m.end(), got))
     counts, best, company = Counter(), 0.0, 0
     for k, (place, start, end, (kind, weight)) in enumerate(hits):
-        around = text.lower()[max(0, start - 60) : start], text.lower()[end : end + 60]
+        around = low[max(0, start - 60) : start], low[end : end + 60]
         before = sum(around[0].count(q) for q in QUOTES)
         quoted = (before % 2 == 1 and any(q in around[1] for q in QUOTES)) or any(w in REPORTING for w in WORDS.findall(around[0])[-3:])
         counts["quoted" if quoted else kind] += 1
