@@ -141,6 +141,8 @@ class PrefixCounter:
             for begin, token in reversed(found):
                 fit = pairs.get((last[begin], token))
                 if fit is None:
+                    if len(pairs) >= 2 * self.max_segments:
+                        pairs.clear()
                     fit = pairs[last[begin], token] = self.fits(last[begin], token)
                 if fit:
                     counts.append(counts[begin] + 1)
