@@ -9,7 +9,8 @@ words of reporting, or among other hits. A logistic regression on the counts of
 misspelled and quoted hits gives the score.
 
 The fit uses at most ``max_rows`` labelled rows of each label; one half of them (by hash) gives
-the lexicon, the other half the weights. All texts are scored whole.
+the lexicon, the other half the weights. The lexicon keeps at most ``terms`` words and stems,
+those with the highest ratios over the whole half. All texts are scored whole.
 
 A null text is empty, has no hits and gets the intercept's score. Rows are scored one by one.
 Without labelled rows of both labels all scores are the label's smoothed share. Other columns
@@ -181,14 +182,15 @@ def _term_counts(batches):
             terms = {("word", w) for w in words if len(w) >= 3} | {("stem", w[:k]) for w in words for k in STEMS if len(w) > k}
             for t in terms:
                 counts.setdefault(t, [0, 0])[label] += 1
-    rows = [(k, t, n[1], n[0]) for (k, t), n in counts.items() if n[1]]
+    rows = [(k, t, n[1], n[0]) for (k, t), n in counts.items()]
     columns = list(zip(*rows, strict=True)) if rows else [()] * 4
     kinds = (pa.string(), pa.string(), pa.int64(), pa.int64())
     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["kind", "term", "toxic", "other"])
 
 
 def _document_counts(sample: DataFrame) -> DataFrame:
-    return sample.mapInArrow(_term_counts, "kind string, term string, toxic long, other long").groupBy("kind", "term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    counts = sample.mapInArrow(_term_counts, "kind string, term string, toxic long, other long").groupBy("kind", "term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    return counts.where("toxic > 0")
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", keep=None, max_rows: int = 3000, terms: int = 400) -> Model:

@@ -156,6 +156,16 @@ def test_toxicity(spark, docs, empty, labels):
     assert toxicity.score(empty, model).count() == 0
 
 
+def test_toxicity_lexicon_is_the_same_for_any_partitioning(spark):
+    rng = random.Random(5)
+    common = [f"common{chr(97 + i)}word" for i in range(20)]
+    data = [(i, " ".join([prose(10, rng), *(w for w in common if rng.random() < 0.04), *["scoundrel"] * (i % 2)])) for i in range(800)]
+    marks = spark.createDataFrame([(i, i % 2) for i, _ in data], "doc_id long, toxic int")
+    one, many = (toxicity.train(spark.createDataFrame(data, "doc_id long, text string").repartition(n), marks) for n in (1, 200))
+    assert "scoundrel" in one.words
+    assert (one.words, one.stems) == (many.words, many.stems)
+
+
 ITEMS = [(0, "rain cloud map"), (1, None), (2, ""), (3, "The MAP"), (None, "gust"), (10, "the rain"), (4, "the rain")]
 
 
