@@ -8,9 +8,10 @@ with a digit in it, is scored by its log-likelihood for each character under the
 against that of ordinary words; those that score like the labelled ones are added as spans
 of kind ``grammar`` unless they overlap a base span.
 
-The credentials to learn from are what the base patterns find in at most ``max_docs``
-documents (those with the smallest hashes of doc_id), at most ``max_values`` of a kind.
-All texts are scanned whole.
+The credentials to learn from are what the base patterns find in all documents, of each kind
+the ``max_values`` different ones with the smallest hashes. Ordinary words are the ``max_words``
+most frequent in at most ``max_docs`` documents (those with the smallest hashes of doc_id), all
+of whose words are counted. All texts are scanned whole.
 
 A null text is empty; a text without finds has empty strings and zeros. Rows are scanned one
 by one, so repeated rows repeat their results. An empty table gives no rows. With no
@@ -189,33 +190,32 @@ def spans_of(text: str, grammar: Grammar | None) -> list[tuple[int, int, str, st
     return sorted(base + more, key=lambda s: (s[0], KINDS.index(s[2]), s[1])) if more else base
 
 
-def _examples(batches, max_words):
+def _credentials(batches):
     for batch in batches:
-        kinds, values = [], []
-        words = Counter()
-        for t in batch.column("text").to_pylist():
-            found = base_spans(t)
-            kinds += [s[2] for s in found]
-            values += [s[3] for s in found]
-            if len(words) < max_words:
-                words.update(w for w in t.split() if w.isascii() and w.isalpha())
-        top = words.most_common(max_words)
-        yield pa.RecordBatch.from_arrays([pa.array(kinds + ["word"] * len(top)), pa.array(values + [w for w, _ in top]), pa.array([1] * len(values) + [n for _, n in top], pa.int64())], ["kind", "value", "n"])
+        found = [s for t in batch.column("text").to_pylist() for s in base_spans(t)]
+        yield pa.RecordBatch.from_arrays([pa.array([s[2] for s in found], pa.string()), pa.array([s[3] for s in found], pa.string())], ["kind", "value"])
+
+
+def _words(batches):
+    """The words of each batch with their counts, all of them."""
+    for batch in batches:
+        words = Counter(w for t in batch.column("text").to_pylist() for w in t.split() if w.isascii() and w.isalpha())
+        yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["value", "n"])
 
 
 def infer(docs: DataFrame, max_docs: int = 8000, max_values: int = 300, max_words: int = 3000) -> Grammar:
-    """Learns from what the base patterns find in at most max_docs documents."""
-    ids = sample_rows(docs.select("doc_id").where("doc_id IS NOT NULL").distinct(), max_docs, "doc_id")
-    found = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(ids), "doc_id").select("text")  # max_docs bounds what is broadcast
-    parts = found.mapInArrow(lambda b: _examples(b, max_words), "kind string, value string, n long").groupBy("kind", "value").agg(F.sum("n").alias("n"))
-    picked = parts.where("kind <> 'word'").orderBy(F.xxhash64("value"), "value", "kind").limit(3 * max_values).union(parts.where("kind = 'word'").orderBy(F.desc("n"), "value").limit(max_words))
+    """Learns from max_values of each kind of what the base patterns find in all documents, and from the words of at most max_docs."""
+    texts = docs.select(text_of().alias("text"))
+    found = texts.mapInArrow(_credentials, "kind string, value string").distinct().persist()
     values: dict[str, list[str]] = {}
-    words: Counter = Counter()
-    for kind, value, n in sorted(picked.collect()):
-        if kind == "word":
-            words[value] = n
-        elif len(values.setdefault(kind, [])) < max_values:
-            values[kind].append(value)
+    for kind in KINDS[:3]:
+        picked = found.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(max_values).collect()
+        values[kind] = sorted(r["value"] for r in picked)
+    found.unpersist()
+    ids = sample_rows(docs.select("doc_id").where("doc_id IS NOT NULL").distinct(), max_docs, "doc_id")
+    some = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(ids), "doc_id").select("text")  # max_docs bounds what is broadcast
+    counts = some.mapInArrow(_words, "value string, n long").groupBy("value").agg(F.sum("n").alias("n"))
+    words = Counter({r["value"]: r["n"] for r in counts.orderBy(F.desc("n"), "value").limit(max_words).collect()})
     return Grammar(values, words)
 
 

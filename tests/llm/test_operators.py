@@ -72,6 +72,22 @@ def test_grammar_finds_credentials_of_a_learned_format():
     assert grammar.added("see https4/nothing/to/find/here2 and etaoinshretaoin1", []) == []
 
 
+def test_secrets_learn_every_kind_from_all_documents(spark):
+    rng = random.Random(7)
+    some = lambda n, chars: "".join(rng.choice(chars) for _ in range(n))
+    texts = [f"password={some(12, 'abcdefghjkmnpq23456789')}" for _ in range(5000)] + [f"key AKIA{some(16, 'ABCDEFGH2345')}" for _ in range(20)]
+    data = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert set(secrets.infer(data).kinds) == {"assign", "access"}
+    assert set(secrets.infer(data, max_docs=10).kinds) == {"assign", "access"}
+
+
+def test_secret_words_do_not_depend_on_row_order(spark):
+    rng = random.Random(9)
+    data = [(i, " ".join(rng.choice("abcdefghijklmnop") * rng.randrange(1, 8) for _ in range(20))) for i in range(300)]
+    a, b = (secrets.infer(spark.createDataFrame(d, "doc_id long, text string").repartition(n), max_words=40) for d, n in ((data, 1), (data[::-1], 7)))
+    assert (a.single, a.pairs) == (b.single, b.pairs)
+
+
 def test_quality_scores_whole_texts(spark, docs, empty, labels):
     net = quality.train(docs, labels)
     got = quality.score(docs, net, "p").collect()
