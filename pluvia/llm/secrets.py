@@ -6,7 +6,8 @@ do too, are merged (red-blue order), which turns the tree into a small probabili
 automaton with loops. Every candidate of a text, a run of 16 or more credential characters
 with a digit in it, is scored by its log-likelihood for each character under the automata
 against that of ordinary words; those that score like the labelled ones are added as spans
-of kind ``grammar`` unless they overlap a base span.
+of kind ``grammar`` unless base spans cover them whole. Runs without a digit and shorter runs
+are no candidates.
 
 The credentials to learn from are what the base patterns find in all documents, of each kind
 the ``max_values`` different ones with the smallest hashes. Ordinary words are the ``max_words``
@@ -145,6 +146,14 @@ class Automaton:
         return total
 
 
+def _covered(start: int, end: int, base: list) -> bool:
+    """Whether base spans, which come by start, leave nothing of a run."""
+    for s, e, *_ in base:
+        if s <= start < e:
+            start = e
+    return start >= end
+
+
 class Grammar:
     """Automata by kind, the model of ordinary words, and the score from which a candidate counts."""
 
@@ -177,7 +186,7 @@ class Grammar:
         for m in RUN.finditer(text):
             value = m[0].strip("=.-/")
             at = m.start() + m[0].find(value)
-            if len(value) < 16 or not DIGIT.search(value) or any(s < at + len(value) and at < e for s, e, *_ in base):
+            if len(value) < 16 or not DIGIT.search(value) or _covered(at, at + len(value), base):
                 continue
             if self.score(value) >= 0:
                 out.append((at, at + len(value), "grammar", value))

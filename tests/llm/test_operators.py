@@ -72,6 +72,19 @@ def test_grammar_finds_credentials_of_a_learned_format():
     assert grammar.added("see https4/nothing/to/find/here2 and etaoinshretaoin1", []) == []
 
 
+def test_grammar_scores_runs_that_base_spans_cover_in_part():
+    rng = random.Random(3)
+    key = lambda: "sk-" + "".join(rng.choice("ABCDEF0123456789") for _ in range(8)) + "".join(rng.choice("abcdef0123456789") for _ in range(30))
+    words = Counter({"".join(rng.choice("etaoinshr") for _ in range(7)): 1 for _ in range(2000)})
+    grammar = secrets.Grammar({"assign": [key() for _ in range(120)]}, words)
+    secret = key()
+    found = secrets.spans_of(f"see {secret} there", grammar)
+    assert {"hex", "grammar"} == {s[2] for s in found}
+    assert (4, 4 + len(secret)) in {s[:2] for s in found}
+    text = f"token={secret}"
+    assert [s[2] for s in secrets.spans_of(text, grammar) if s[2] == "grammar"] == []
+
+
 def test_secrets_learn_every_kind_from_all_documents(spark):
     rng = random.Random(7)
     some = lambda n, chars: "".join(rng.choice(chars) for _ in range(n))
