@@ -1,20 +1,25 @@
 """WARC: a deterministic sharded writer, and a reader.
 
-Records are range-sorted by page id; each task rolls its files by compressed size, one gzip
-member a record, with headers and digests made from the payload. A file is written under a
-temporary name that holds the attempt; what a task finished is listed in a manifest, which
-Spark commits. Only listed files are then renamed to their final names, made of the first page
-id and the content's digest, so a rerun or a lost executor leaves no second copy; the list of
-final names is the committed archive, and the only thing that readers look at.
+Records are range-sorted by page id and payload digest into shards. The shards' bounds are
+keys picked by their hashes, so they, and with them all files, depend on the rows alone: not on
+partitions, samples or attempts. Within a shard, files roll by compressed size, one gzip member
+a record, with headers and digests made from the payload. A file is written under a temporary
+name; what a task finished is listed in a manifest, which Spark commits. Only listed files are
+then renamed to their final names, made of the shard, the file's number in it and the content's
+digest, so a rerun or a lost executor leaves no second copy and no two files share a name. The
+manifest's records are counted against the pages before the rename; a difference is an error.
+The list of final names is the committed archive, and the only thing that readers look at.
 
 Of records with equal payloads, the one with the largest page id is the response; the others
 are revisits that refer to it. Their HTTP header keeps the payload's length, their body is
 empty.
 
 A null payload is empty, a null url an empty one. A null page id sorts first and is never
-referred to, unless no page of that payload has an id. Rows with equal page ids and payloads
-are all responses if that id is the largest. Empty tables write no files. Other columns are
-ignored.
+referred to; pages whose payload has no page with an id are all responses. Rows with equal page
+ids and payloads are all responses if that id is the largest. Rows that repeat whole are records
+each; they stay in one shard, whose files roll as always. Pages of one id, or without one, are
+dealt over shards by their digests. Empty tables write no files. Other columns, also
+of the names used here, are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +28,7 @@ import base64
 import gzip
 import hashlib
 import io
+import math
 import uuid
 import zlib
 
@@ -34,6 +40,8 @@ from pluvia.llm.common import shared_dir, table, text_of, written
 
 DATE = "2024-01-01T00:00:00Z"
 MANIFEST = "temporary string, final string, records long, bytes long"
+LISTED = pa.schema([("temporary", pa.string()), ("final", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())])
+PIECE = 1 << 16
 
 
 def sha1(data: bytes) -> str:
@@ -78,6 +86,35 @@ def plan(pages: DataFrame) -> DataFrame:
     return marks.unionByName(each.select("page_id", F.lit(1).alias("mark"), "url", "html", "size", "digest", none("long").alias("refers_to")))
 
 
+KEY = ("page_id", "digest")
+#: Bounds of shards are one key in so many, by hash: a shard holds about this many pages, and there are about MOST_SHARDS of them at most.
+SHARD_PAGES, MOST_SHARDS = 1024, 32_768
+
+
+def bounds(pages: DataFrame, shard_pages: int = SHARD_PAGES) -> tuple[list, int]:
+    """The keys at which shards begin, in order, and the number of pages. Every key has the same chance, whatever the partitions."""
+    keys = pages.select(F.col("page_id").cast("long").alias("page_id"), F.unhex(F.sha1(F.encode(text_of("html"), "utf-8"))).alias("digest"))
+    total = keys.count()
+    one_in = max(shard_pages, -(-total // MOST_SHARDS))
+    picked = keys.where(F.pmod(F.xxhash64(*KEY), F.lit(one_in)) == 0).distinct().orderBy(F.col("page_id").asc_nulls_first(), "digest").collect() if total > shard_pages else []
+    return [(r["page_id"], bytes(r["digest"])) for r in picked], total
+
+
+def with_shard(records: DataFrame, begins: list) -> DataFrame:
+    """records with the number of bounds at or before each one's key, found in two steps over about sqrt(n) bounds each."""
+    if not begins:
+        return records.withColumn("shard", F.lit(0))
+    kind = "array<struct<page_id:bigint,digest:binary>>"
+    spark, step = records.sparkSession, math.isqrt(len(begins)) + 1
+    groups = [begins[i : i + step] for i in range(0, len(begins), step)]
+    table_ = spark.createDataFrame([([g[0] for g in groups], groups)], f"firsts {kind}, bounds array<{kind}>")
+    key = F.struct(*(F.col(c).alias(c) for c in KEY))
+    joined = records.join(F.broadcast(table_))  # one row of about MOST_SHARDS keys
+    upto = F.size(F.filter("firsts", lambda x: x <= key))
+    inside = F.size(F.filter(F.get("bounds", F.col("__g") - 1), lambda x: x <= key))
+    return joined.withColumn("__g", upto).withColumn("shard", F.when(F.col("__g") == 0, 0).otherwise((F.col("__g") - 1) * step + inside)).drop("__g", "firsts", "bounds")
+
+
 def _filesystem(uri: str):
     import pyarrow.fs
 
@@ -85,39 +122,39 @@ def _filesystem(uri: str):
 
 
 def _write(batches, folder, roll, level):
-    """Writes this task's records; yields a row for each finished file."""
+    """Writes this task's records, shard by shard; yields a row for each finished file."""
     files, root = _filesystem(folder)
-    out, temporary, first, n, size, content = None, "", None, 0, 0, None
-    marked: dict[tuple[bytes, int], int] = {}  # what the pages of the current id refer to
-    current = None
+    out, temporary, shard, number, n, size, content = None, "", None, 0, 0, 0, None
+    marked: dict[tuple[int | None, bytes, int], int] = {}  # what the pages of the current key refer to
+
+    def finished():
+        out.close()
+        name = f"{root}/pages-{shard:05d}-{number:05d}-{content.hexdigest()[:16]}.warc.gz"
+        return pa.RecordBatch.from_pylist([{"temporary": temporary, "final": name, "records": n, "bytes": size}], schema=LISTED)
+
     for batch in batches:
-        for r in batch.to_pylist():
-            if r["page_id"] != current:
-                marked, current = {}, r["page_id"]
+        columns = {c: batch.column(c) for c in batch.schema.names}
+        for i in range(batch.num_rows):  # one payload at a time
+            r = {c: v[i].as_py() for c, v in columns.items()}
+            key = (r["page_id"], r["digest"], r["size"])
             if not r["mark"]:
-                marked[r["digest"], r["size"]] = r["refers_to"]
+                marked = {key: r["refers_to"]}
                 continue
-            to = marked.get((r["digest"], r["size"]))
+            to = marked.get(key)
             data = gzip.compress(record(r["page_id"], r["url"], b"" if to is not None else r["html"].encode(), r["size"], base64.b32encode(r["digest"]).decode(), to, to is not None), level, mtime=0)
-            if out is not None and size + len(data) > roll:
-                out.close()
-                yield _listed(temporary, root, first, n, size, content)
+            if out is not None and (r["shard"] != shard or size + len(data) > roll):
+                yield finished()
                 out = None
             if out is None:
-                temporary = f"{root}/temporary/{uuid.uuid4().hex}.warc.gz"
-                out, first, n, size, content = files.open_output_stream(temporary, compression=None), r["page_id"], 0, 0, hashlib.sha256()
+                number = number + 1 if r["shard"] == shard else 0
+                shard, temporary = r["shard"], f"{root}/temporary/{uuid.uuid4().hex}.warc.gz"
+                out, n, size, content = files.open_output_stream(temporary, compression=None), 0, 0, hashlib.sha256()
             out.write(data)
             content.update(data)
             n += 1
             size += len(data)
     if out is not None:
-        out.close()
-        yield _listed(temporary, root, first, n, size, content)
-
-
-def _listed(temporary, root, first, n, size, content):
-    name = f"{root}/pages-{(first or 0) + (1 << 63):020d}-{content.hexdigest()[:16]}.warc.gz"
-    return pa.RecordBatch.from_pylist([{"temporary": temporary, "final": name, "records": n, "bytes": size}], schema=pa.schema([("temporary", pa.string()), ("final", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())]))
+        yield finished()
 
 
 def _commit(batches, folder):
@@ -134,25 +171,28 @@ def _commit(batches, folder):
         yield batch
 
 
-def write(pages: DataFrame, folder: str, roll: int = 64 << 20, level: int = 6) -> DataFrame:
+def write(pages: DataFrame, folder: str, roll: int = 64 << 20, level: int = 6, shard_pages: int = SHARD_PAGES) -> DataFrame:
     """Writes the archive below folder, a URI that all executors reach; returns the committed manifest."""
     spark = pages.sparkSession
     files, root = _filesystem(folder)
     files.create_dir(f"{root}/temporary", recursive=True)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = plan(pages).repartitionByRange(parts, F.col("page_id").asc_nulls_first()).sortWithinPartitions(F.col("page_id").asc_nulls_first(), "mark", "url", "digest")
+    begins, total = bounds(pages, shard_pages)
+    order = [F.col("page_id").asc_nulls_first(), "digest", "size", "mark", "url"]
+    ordered = with_shard(plan(pages), begins).repartitionByRange(parts, "shard").sortWithinPartitions("shard", *order)
     ordered.mapInArrow(lambda b: _write(b, folder, roll, level), MANIFEST).write.parquet(f"{folder}/manifest-written")
     listed = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest-written")
-    # files of equal content have one name: the smallest temporary one is renamed, once
-    once = listed.groupBy("final", "records", "bytes").agg(F.min("temporary").alias("temporary"), F.count("*").alias("copies")).select("temporary", "final", "records", "bytes")
-    once.mapInArrow(lambda b: _commit(b, folder), MANIFEST).write.parquet(f"{folder}/manifest")
+    records, names, rows = listed.agg(F.coalesce(F.sum("records"), F.lit(0)), F.count_distinct("final"), F.count("*")).first()
+    if records != total or names != rows:
+        raise OSError(f"{records} records in {rows} files of {names} names were written for {total} pages")
+    listed.mapInArrow(lambda b: _commit(b, folder), MANIFEST).write.parquet(f"{folder}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 
 def members(stream):
-    """The records of an archive of one gzip member each, read in pieces."""
+    """The records of an archive of one gzip member each, read in pieces: what follows a member is copied, so pieces are small."""
     inflate, held = zlib.decompressobj(31), io.BytesIO()
-    data = stream.read(1 << 20)
+    data = stream.read(PIECE)
     while data:
         held.write(inflate.decompress(data))
         data = inflate.unused_data
@@ -160,7 +200,7 @@ def members(stream):
             yield held.getvalue()
             inflate, held = zlib.decompressobj(31), io.BytesIO()
         if not data:
-            data = stream.read(1 << 20)
+            data = stream.read(PIECE)
 
 
 def parse(data: bytes) -> dict:

@@ -302,6 +302,32 @@ def test_warc_round_trip(spark):
     assert warc.read(spark, folder).count() == 0
 
 
+def test_warc_keeps_rows_that_repeat(spark):
+    import tempfile
+
+    data = [(7, "u", "same")] * 6 + [(None, None, None)] * 5 + [(8, "v", "same")]
+    folder = "file://" + tempfile.mkdtemp()
+    warc.write(spark.createDataFrame(data, "page_id long, url string, html string").repartition(2), folder, roll=1)
+    got = Counter((r.page_id, r.record_type, r.refers_to) for r in warc.read(spark, folder).collect())
+    assert got == {(7, "revisit", 8): 6, (8, "response", None): 1, (None, "response", None): 5}
+
+
+def test_warc_files_depend_on_the_rows_alone(spark):
+    import tempfile
+
+    data = [(i * 37 % 1000 if i % 50 else None, f"u{i}", "body %d" % (i % 300)) for i in range(900)]
+    names = []
+    for n, parts in ((1, 2), (7, 5)):
+        folder = "file://" + tempfile.mkdtemp()
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        made = warc.write(spark.createDataFrame(data, "page_id long, url string, html string").repartition(n), folder, roll=5000, shard_pages=40)
+        names.append(sorted((r.final.rsplit("/", 1)[1], r.records, r.bytes) for r in made.collect()))
+        assert warc.read(spark, folder).count() == 900
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert names[0] == names[1] and len({n[:11] for n, *_ in names[0]}) > 5
+
+
 def test_simhash(spark, docs, empty):
     import xxhash
 
