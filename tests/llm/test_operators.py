@@ -1,6 +1,7 @@
 """Each operator against a plain version of itself, with nulls, empty and long texts, ties, repeated rows, empty tables and further columns."""
 
 import hashlib
+import os
 import random
 import re
 from collections import Counter
@@ -120,7 +121,7 @@ def test_network_matches_a_plain_convolution():
     def plain(t):
         n = (len(t) + 6) // 256 + 1
         data = t + bytes(n * 256 + 6 - len(t))
-        pooled = np.array([np.max([sum(net.filters[k][data[s + k]] for k in range(6)) for s in range(b * 256, b * 256 + 256, 2)], axis=0) for b in range(n)])
+        pooled = np.array([np.max([sum(net.filters[k][data[s + k]] for k in range(6)) for s in range(b * 256, b * 256 + 256)], axis=0) for b in range(n)])
         chunks = np.array([np.maximum(pooled[i], pooled[i + 1]) for i in range(n - 1)] or [pooled[0]])
         z = np.maximum(np.maximum(chunks + net.bias, 0) @ net.hidden, 0) @ net.out + 0.1
         return 1 / (1 + np.exp(-(np.array([z.mean(), z.max(), z.min(), 1]) @ net.mix)))
@@ -128,6 +129,43 @@ def test_network_matches_a_plain_convolution():
     sizes = np.array([len(t) for t in texts])
     got = quality.document_scores(net, np.frombuffer(b"".join(texts), np.uint8), np.cumsum(sizes) - sizes, sizes)
     assert np.allclose(got, [plain(t) for t in texts], atol=1e-4)
+    alone = [quality.document_scores(net, np.frombuffer(t, np.uint8), np.zeros(1, np.int64), np.array([len(t)]))[0] for t in texts]
+    assert np.allclose(got, alone, atol=1e-5)
+
+
+def test_a_long_text_after_a_short_one_takes_no_more_memory_than_alone():
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    net = quality.Network(rng.normal(size=(6, 256, 32)).astype(np.float32), np.zeros(32, np.float32), rng.normal(size=(32, 4)).astype(np.float32), np.zeros(4, np.float32), rng.normal(size=4).astype(np.float32), 0.1, np.array([0.5, 0.2, 0.3, -0.1]))
+    net.tables()
+    long = rng.integers(0, 256, 8 << 20).astype(np.uint8)
+    peaks, scores = [], []
+    for sizes in ([8 << 20], [10, 8 << 20, 10]):
+        data, sizes = np.concatenate([long[:s] for s in sizes]), np.array(sizes)
+        tracemalloc.start()
+        scores.append(quality.document_scores(net, data, np.cumsum(sizes) - sizes, sizes))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert scores[0][0] == scores[1][1]
+    assert peaks[0] < 80 << 20 and peaks[1] < 1.2 * peaks[0]
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01"), reason="no tables")
+def test_quality_of_held_out_rows(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
+    got = quality.op2_quality(spark, "/root/testdata/sf0.01").where("held_out").join(labels.where("quality IS NOT NULL"), "doc_id").select("predicted", "quality").collect()
+    assert len(got) > 50 and sum(r.predicted == r.quality for r in got) > 0.95 * len(got)
+
+
+def test_quality_keeps_columns_of_its_own_names(spark, docs, labels):
+    net = quality.train(docs, labels)
+    odd = docs.withColumn("__quality", F.lit(1)).withColumn("__score_text", F.lit("x"))
+    all_ = quality.score(odd, net)
+    assert [*sorted(all_.columns)] == sorted(odd.columns) and all_.count() == docs.count()
+    kept = quality.keep(odd, net, 0.4)
+    assert kept.columns == odd.columns
+    assert Counter(r.doc_id for r in kept.collect()) == Counter(r.doc_id for r in all_.where("score >= 0.4").collect())
 
 
 def test_token_counts_of_every_prefix(docs, empty):
