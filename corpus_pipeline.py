@@ -20,7 +20,7 @@ ORACLE_SQL = None
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose probability of quality is under 0.3 go; it is learned outside the held-out fold of all documents given."""
     net = quality.train(docs, table(spark, sf_dir, "labels"), keep=~fold("doc_id", 5, 0))
-    return quality.score(docs, net, "__quality").where("__quality >= 0.3").drop("__quality")
+    return quality.keep(docs, net, 0.3)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
