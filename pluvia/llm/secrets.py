@@ -3,20 +3,25 @@
 Grammar inference: the labelled credentials of a kind form a prefix tree with counts; states
 whose outgoing and ending frequencies agree within a Hoeffding bound, and whose successors
 do too, are merged (red-blue order), which turns the tree into a small probabilistic
-automaton with loops. Every candidate of a text, a run of 16 or more credential characters
-with a digit in it, is scored by its log-likelihood for each character under the automata
-against that of ordinary words; those that score like the labelled ones are added as spans
-of kind ``grammar`` unless base spans cover them whole. Runs without a digit and shorter runs
-are no candidates.
-
-The credentials to learn from are what the base patterns find in all documents, of each kind
-the ``max_values`` different ones with the smallest hashes. Ordinary words are the ``max_words``
-most frequent in at most ``max_docs`` documents (those with the smallest hashes of doc_id), all
-of whose words are counted. All texts are scanned whole.
+automaton with loops. A string's probability is that of its symbols and of stopping after
+them. Every candidate of a text is scored: each run of the credential alphabet (the base
+patterns') that is at least as long as the shortest labelled credential, parted at ``=`` and
+without ``.``, ``-`` and ``/`` at its ends. It counts if its log-likelihood ratio against
+ordinary text is at least ``evidence`` nats, and, for each character, at least what all
+but ``tail`` of the labelled credentials of the kind reach under an automaton that did not learn from them. Those
+are added as spans of kind ``grammar``, unless base spans cover them whole.
+
+The credentials to learn from are what the base patterns find in all documents: of each kind
+the ``max_values`` different ones with the smallest hashes, of at most ``max_length``
+characters (longer ones teach nothing; longer candidates are scored like all others). Ordinary
+text is a model of neighbouring characters, counted over all runs of all documents. All texts
+are scanned whole. Results do not depend on partitions or the order of rows.
 
 A null text is empty; a text without finds has empty strings and zeros. Rows are scanned one
 by one, so repeated rows repeat their results. An empty table gives no rows. With no
-credential to learn from, only base spans are found.
+credential to learn from, only base spans are found; with few, their automaton is coarse, as
+states of few visits merge. Very long runs take time in proportion to their length. Columns
+other than doc_id and text are ignored by the scan, and kept by redact, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,19 +30,27 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pluvia.llm.common import sample_rows, table, text_of
+from pluvia.llm.common import table, text_of, written
+from pluvia.llm.quality import arrow_texts
 
 KINDS = ("assign", "access", "hex", "grammar")
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ASSIGN = re.compile(r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
-RUN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
-DIGIT = re.compile(r"[0-9]")
+#: The credential alphabet. In the model of ordinary text, 0 is whatever else stands around a run.
+ALPHABET = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
+CLASSES = len(ALPHABET) + 1
+CLASS = np.zeros(256, np.uint16)
+CLASS[np.frombuffer(ALPHABET, np.uint8)] = np.arange(1, CLASSES)
+#: Share of a state's visits that symbols it has not seen get, each; share of the uniform distribution in ordinary text.
+SMOOTH, UNIFORM = 0.1, 0.05
+PIECE = 1 << 20
 
 
 def base_spans(text: str) -> list[tuple[int, int, str, str]]:
@@ -111,10 +124,10 @@ class Automaton:
     def _merge_all(self) -> None:
         red, seen = [0], {0}
         while True:
-            blue = sorted((self.visits(t), q, c, t) for q in red for c, t in self.next[q].items() if t not in seen)
+            blue = [(self.visits(t), -i, c, q, t) for i, q in enumerate(red) for c, t in self.next[q].items() if t not in seen]
             if not blue:
                 break
-            _, q, c, t = blue[-1]  # the best supported first
+            *_, c, q, t = max(blue)  # the best supported first
             for r in red:
                 if self._alike(r, t):
                     self.next[q][c] = r
@@ -124,26 +137,39 @@ class Automaton:
                 red.append(t)
                 seen.add(t)
         number = {q: i for i, q in enumerate(red)}
-        symbols = max(2, len({c for q in red for c in self.count[q]}))
+        symbols = len({c for q in red for c in self.count[q]}) + 2  # any other one, and the end
         self.states = []
         for q in red:
-            n = self.visits(q)
-            self.states.append(({c: (math.log((self.count[q][c] + 0.1) / (n + 0.1 * symbols)), number[t]) for c, t in self.next[q].items()}, math.log(0.1 / (n + 0.1 * symbols))))
+            share = lambda n, all_=self.visits(q): math.log((n + SMOOTH) / (all_ + SMOOTH * symbols))
+            self.states.append(({c: (share(self.count[q][c]), number[t]) for c, t in self.next[q].items()}, share(0), share(self.ends[q])))
         del self.next, self.count, self.ends
 
     def log_likelihood(self, value: str) -> float:
-        """Of the symbols; one that a state lacks costs its smoothing and starts anew."""
+        """Of the symbols and the end; a symbol that a state lacks costs its smoothing and starts anew."""
         total, at = 0.0, 0
         for c in value:
-            arcs, miss = self.states[at]
+            arcs, miss, _ = self.states[at]
             step = arcs.get(c)
             if step is None:
-                total += miss - 4.0
+                total += miss
                 at = 0
             else:
                 total += step[0]
                 at = step[1]
-        return total
+        return total + self.states[at][2]
+
+
+def pair_counts(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """How often each class of character follows each other one in the texts; what is around a text counts as no run."""
+    out = np.zeros(CLASSES * CLASSES, np.int64)
+    for s, n in zip(starts.tolist(), sizes.tolist(), strict=True):
+        before = np.zeros(1, np.uint16)
+        for at in range(s, s + n, PIECE):
+            c = np.concatenate((before, CLASS[data[at : min(s + n, at + PIECE)]]))
+            out += np.bincount(c[:-1] * np.uint16(CLASSES) + c[1:], minlength=len(out))
+            before = c[-1:]
+        out[int(before[0]) * CLASSES] += 1
+    return out.reshape(CLASSES, CLASSES)
 
 
 def _covered(start: int, end: int, base: list) -> bool:
@@ -155,43 +181,61 @@ def _covered(start: int, end: int, base: list) -> bool:
 
 
 class Grammar:
-    """Automata by kind, the model of ordinary words, and the score from which a candidate counts."""
-
-    def __init__(self, values: dict[str, list[str]], words: Counter, slack: float = 0.15, least: float = 0.5):
-        pairs, single = Counter(), Counter()
-        for w, n in words.items():
-            for a, b in zip(" " + w, w, strict=False):
-                pairs[a, b] += n
-                single[a] += n
-        self.single, self.pairs = dict(single), dict(pairs)
-        self.kinds = {}
+    """Automata by kind, the model of ordinary text, and the scores from which a candidate counts."""
+
+    def __init__(self, values: dict[str, list[str]], pairs: np.ndarray, evidence: float = math.log(1e6), tail: float = 0.01):
+        pairs = pairs.astype(float)
+        pairs[0, 0] = 0  # runs only
+        share = (pairs + 1 / CLASSES) / (pairs.sum(axis=1, keepdims=True) + 1)
+        logs = np.log((1 - UNIFORM) * share + UNIFORM / CLASSES)
+        names = ["", *ALPHABET.decode()]
+        self.plain = {(a, b): float(logs[i, j]) for i, a in enumerate(names) for j, b in enumerate(names)}
+        self.evidence, self.known, self.kinds = evidence, {}, {}
+        self.shortest = min((len(v) for some in values.values() for v in some), default=0)
         for kind, some in sorted(values.items()):
-            if len(some) >= 5:
-                auto = Automaton(some)
-                scores = sorted(self._score(auto, v) for v in some)
-                self.kinds[kind] = (auto, max(least, scores[len(scores) // 50] - slack))
-
-    def _score(self, auto: Automaton, value: str) -> float:
-        plain = sum(math.log((self.pairs.get((a, b), 0) + 0.5) / (self.single.get(a, 0) + 40)) for a, b in zip(" " + value, value, strict=False))
-        return (auto.log_likelihood(value) - plain) / len(value)
+            if some:
+                # each half is scored by what the other half teaches
+                halves = (some[::2], some[1::2]) if len(some) > 1 else (some, some)
+                scores = sorted(self._ratio(auto, v) / len(v) for auto, rest in ((Automaton(a), b) for a, b in (halves, halves[::-1])) for v in rest)
+                self.kinds[kind] = (Automaton(some), scores[int(tail * len(scores))])
+        self.runs = re.compile(r"[A-Za-z0-9+/_.-]{%d,}" % max(1, self.shortest))
+
+    def _ratio(self, auto: Automaton, value: str) -> float:
+        plain, before = self.plain, ""
+        total = 0.0
+        for c in value:
+            total += plain[before, c]
+            before = c
+        return auto.log_likelihood(value) - total - plain[before, ""]
 
     def score(self, value: str) -> float:
-        """How far the best automaton's score exceeds its bound; negative for what is no credential."""
-        return max((self._score(a, value) - bound for a, bound in self.kinds.values()), default=-math.inf)
+        """By how many nats the best automaton's ratio exceeds what its kind asks for; negative for what is no credential."""
+        return max((r - max(self.evidence, bound * len(value)) for r, bound in ((self._ratio(a, value), b) for a, b in self.kinds.values())), default=-math.inf)
+
+    def _counts(self, value: str) -> bool:
+        got = self.known.get(value)
+        if got is None:
+            got = self.score(value) >= 0
+            if len(value) <= 64:  # words come again and again
+                if len(self.known) >= 200_000:
+                    self.known.clear()
+                self.known[value] = got
+        return got
 
     def added(self, text: str, base: list) -> list[tuple[int, int, str, str]]:
-        if not self.kinds or not any(len(w) >= 16 for w in text.split()):
+        if not self.kinds:
             return []
         out = []
-        for m in RUN.finditer(text):
-            value = m[0].strip("=.-/")
+        for m in self.runs.finditer(text):
+            value = m[0].strip(".-/")
             at = m.start() + m[0].find(value)
-            if len(value) < 16 or not DIGIT.search(value) or _covered(at, at + len(value), base):
-                continue
-            if self.score(value) >= 0:
+            if len(value) >= self.shortest and self._counts(value) and not _covered(at, at + len(value), base):
                 out.append((at, at + len(value), "grammar", value))
         return out
 
+    def __getstate__(self):
+        return self.__dict__ | {"known": {}}
+
 
 def spans_of(text: str, grammar: Grammar | None) -> list[tuple[int, int, str, str]]:
     base = base_spans(text)
@@ -199,33 +243,33 @@ def spans_of(text: str, grammar: Grammar | None) -> list[tuple[int, int, str, st
     return sorted(base + more, key=lambda s: (s[0], KINDS.index(s[2]), s[1])) if more else base
 
 
-def _credentials(batches):
+def _learn(batches, max_length):
+    """Credentials of each batch, and at the end this task's counts of neighbouring characters: (kind, value, n)."""
+    pairs = np.zeros((CLASSES, CLASSES), np.int64)
     for batch in batches:
-        found = [s for t in batch.column("text").to_pylist() for s in base_spans(t)]
-        yield pa.RecordBatch.from_arrays([pa.array([s[2] for s in found], pa.string()), pa.array([s[3] for s in found], pa.string())], ["kind", "value"])
+        found = {(s[2], s[3]) for t in batch.column("text") for s in base_spans(t.as_py()) if len(s[3]) <= max_length}
+        pairs += pair_counts(*arrow_texts(batch.column("text")))
+        yield _counted([(k, v, 1) for k, v in found])
+    yield _counted([("pair", str(i), int(pairs.flat[i])) for i in np.flatnonzero(pairs)])
 
 
-def _words(batches):
-    """The words of each batch with their counts, all of them."""
-    for batch in batches:
-        words = Counter(w for t in batch.column("text").to_pylist() for w in t.split() if w.isascii() and w.isalpha())
-        yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["value", "n"])
+def _counted(rows: list[tuple[str, str, int]]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [()] * 3
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.int64()), strict=True)], ["kind", "value", "n"])
 
 
-def infer(docs: DataFrame, max_docs: int = 8000, max_values: int = 300, max_words: int = 3000) -> Grammar:
-    """Learns from max_values of each kind of what the base patterns find in all documents, and from the words of at most max_docs."""
-    texts = docs.select(text_of().alias("text"))
-    found = texts.mapInArrow(_credentials, "kind string, value string").distinct().persist()
+def infer(docs: DataFrame, max_values: int = 300, max_length: int = 256) -> Grammar:
+    """Learns from max_values of each kind of what the base patterns find in all documents, and from all documents' runs."""
+    found = docs.select(text_of().alias("text")).mapInArrow(lambda b: _learn(b, max_length), "kind string, value string, n long")
+    found = written(found.groupBy("kind", "value").agg(F.sum("n").alias("n")), "credentials")
     values: dict[str, list[str]] = {}
     for kind in KINDS[:3]:
         picked = found.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(max_values).collect()
         values[kind] = sorted(r["value"] for r in picked)
-    found.unpersist()
-    ids = sample_rows(docs.select("doc_id").where("doc_id IS NOT NULL").distinct(), max_docs, "doc_id")
-    some = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(ids), "doc_id").select("text")  # max_docs bounds what is broadcast
-    counts = some.mapInArrow(_words, "value string, n long").groupBy("value").agg(F.sum("n").alias("n"))
-    words = Counter({r["value"]: r["n"] for r in counts.orderBy(F.desc("n"), "value").limit(max_words).collect()})
-    return Grammar(values, words)
+    pairs = np.zeros(CLASSES * CLASSES, np.int64)
+    for r in found.where("kind = 'pair'").collect():  # CLASSES squared rows at most
+        pairs[int(r["value"])] = r["n"]
+    return Grammar(values, pairs.reshape(CLASSES, CLASSES))
 
 
 def scan(docs: DataFrame, grammar: Grammar | None) -> DataFrame:
@@ -234,7 +278,7 @@ def scan(docs: DataFrame, grammar: Grammar | None) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            out = [[{"start": s, "end": e, "kind": k} for s, e, k, _ in spans_of(t, given.value)] for t in batch.column("text").to_pylist()]
+            out = [[{"start": s, "end": e, "kind": k} for s, e, k, _ in spans_of(t.as_py(), given.value)] for t in batch.column("text")]
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, kind)], ["doc_id", "spans"])
 
@@ -249,7 +293,8 @@ def redact(docs: DataFrame, grammar: Grammar | None, mark: str = "[REDACTED]") -
     def run(batches):
         for batch in batches:
             out = []
-            for t in batch.column(at).to_pylist():
+            for t in batch.column(at):
+                t = t.as_py()
                 spans = spans_of(t, given.value) if t else []
                 if spans:
                     parts, last = [], 0

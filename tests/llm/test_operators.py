@@ -63,21 +63,112 @@ def test_secret_spans(docs, empty):
     assert not any(base_plain(r.text or "") for r in clean.where("doc_id = 14").collect())
 
 
-def test_grammar_finds_credentials_of_a_learned_format():
+def ordinary(rng, n=2000, letters="etaoinshr"):
+    """Counts of neighbouring characters in words of some letters, and some numbers."""
+    text = " ".join(["".join(rng.choice(letters) for _ in range(7)) for _ in range(n)] + [str(rng.randrange(10**8)) for _ in range(n // 10)]).encode()
+    return secrets.pair_counts(np.frombuffer(text, np.uint8), np.zeros(1, int), np.array([len(text)]))
+
+
+def test_pair_counts_are_those_of_the_texts_runs(monkeypatch):
+    monkeypatch.setattr(secrets, "PIECE", 3)
+    texts = ["", "ab", "a", "b a-b", "é=ab", "   ", "abcabcabc"]
+    plain = Counter()
+    for t in texts:
+        for a, b in zip(" " + t, t + " ", strict=True):
+            plain[a if a.encode() in secrets.ALPHABET else "", b if b.encode() in secrets.ALPHABET else ""] += 1
+    raw = [t.encode() for t in texts]
+    sizes = np.array([len(t) for t in raw])
+    got = secrets.pair_counts(np.frombuffer(b"".join(raw), np.uint8), np.cumsum(sizes) - sizes, sizes)
+    names = ["", *secrets.ALPHABET.decode()]
+    mine = {(names[i], names[j]): int(got[i, j]) for i, j in zip(*np.nonzero(got), strict=True)}
+    assert {k: n for k, n in mine.items() if k != ("", "")} == {k: n for k, n in plain.items() if k != ("", "") and n}
+
+
+def plain_automaton(values, value, alpha=0.05):
+    """Log-likelihood of value under merged states, each state being looked up anew among the tree's prefixes after every merge."""
+    count = Counter(v[:i] for v in values for i in range(len(v) + 1))
+    ends = Counter(values)
+    symbols_seen = sorted({c for v in values for c in v})
+    bound = np.sqrt(0.5 * np.log(2 / alpha))
+    step, n_red = {}, 1  # (red state, symbol) -> red state
+
+    def place(prefix):
+        """The red state of a prefix and what is left of it below a state that is not red."""
+        at = 0
+        for i, c in enumerate(prefix):
+            if (at, c) not in step:
+                return at, prefix[i:]
+            at = step[at, c]
+        return at, ""
+
+    while True:
+        visits, stops = Counter(), Counter()
+        for p, n in count.items():
+            visits[place(p)] += n
+            stops[place(p)] += ends[p]
+
+        def child(node, c):
+            at, rest = node
+            return (step[at, c], "") if not rest and (at, c) in step else (at, rest + c)
+
+        def alike(a, b):
+            n, m = visits[a], visits[b]
+            if not n or not m:
+                return True
+            far = bound * (n**-0.5 + m**-0.5)
+            if abs(stops[a] / n - stops[b] / m) > far:
+                return False
+            for c in symbols_seen:
+                x, y = visits_by(a, c), visits_by(b, c)
+                if abs(x / n - y / m) > far or (x and y and not alike(child(a, c), child(b, c))):
+                    return False
+            return True
+
+        def visits_by(node, c):
+            return sum(n for p, n in count.items() if p.endswith(c) and place(p[:-1]) == node)
+
+        blue = [(visits[q, c], -q, c) for q in range(n_red) for c in symbols_seen if (q, c) not in step and visits[q, c]]
+        if not blue:
+            break
+        _, q, c = max(blue)
+        same = [r for r in range(n_red) if alike((r, ""), (-q, c))]
+        if not same:
+            n_red += 1
+        step[-q, c] = same[0] if same else n_red - 1
+    total, at, k = 0.0, 0, len(symbols_seen) + 2
+    share = lambda n: np.log((n + secrets.SMOOTH) / (visits[at, ""] + secrets.SMOOTH * k))
+    for c in value:
+        n = visits_by((at, ""), c)
+        total += share(n)
+        at = step[at, c] if n else 0
+    return total + share(stops[at, ""])
+
+
+def test_merged_states_are_those_of_a_plain_merge():
+    rng = random.Random(13)
+    for _ in range(4):
+        values = ["k-" * rng.randrange(1, 3) + "".join(rng.choice("ab") for _ in range(rng.randrange(2, 5))) + "z" * rng.randrange(3) for _ in range(25)]
+        auto = secrets.Automaton(values, alpha=0.3)
+        for v in [*values[:6], "", "q", "k-qab", "zzzz"]:
+            assert abs(auto.log_likelihood(v) - plain_automaton(values, v, alpha=0.3)) < 1e-9, (values, v)
+
+
+def test_grammar_finds_credentials_of_a_learned_format_and_nothing_else():
     rng = random.Random(3)
     key = lambda: "sk-" + "".join(rng.choice("ABCDEF0123456789") for _ in range(32))
-    words = Counter({"".join(rng.choice("etaoinshr") for _ in range(7)): 1 for _ in range(2000)})
-    grammar = secrets.Grammar({"assign": [key() for _ in range(120)]}, words)
-    secret = key()
-    assert [s[2] for s in grammar.added(f"see {secret} there", [])] == ["grammar"]
-    assert grammar.added("see https4/nothing/to/find/here2 and etaoinshretaoin1", []) == []
+    short = lambda: "".join(rng.choice("QWXZJK") for _ in range(10))
+    grammar = secrets.Grammar({"assign": [key() for _ in range(120)], "access": [short() for _ in range(60)]}, ordinary(rng))
+    assert sum(secrets.spans_of(f"see {k}. There", grammar) == [(4, 4 + len(k), "grammar", k)] for k in (key() for _ in range(100))) >= 95
+    found = [[s[3] for s in grammar.added(f"x={k}", [])] == [k] for k in (short() for _ in range(100))]
+    assert sum(found) >= 90  # no digit in them, and they are short
+    words = ["".join(rng.choice("etaoinshr") for _ in range(rng.randrange(3, 20))) for _ in range(3000)] + [str(rng.randrange(10**k)) for k in range(1, 18) for _ in range(20)]
+    assert grammar.added(" ".join([*words, "https4/nothing/to/find/here2 etaoinshretaoin1 2024-01-31"]), []) == []
 
 
 def test_grammar_scores_runs_that_base_spans_cover_in_part():
     rng = random.Random(3)
     key = lambda: "sk-" + "".join(rng.choice("ABCDEF0123456789") for _ in range(8)) + "".join(rng.choice("abcdef0123456789") for _ in range(30))
-    words = Counter({"".join(rng.choice("etaoinshr") for _ in range(7)): 1 for _ in range(2000)})
-    grammar = secrets.Grammar({"assign": [key() for _ in range(120)]}, words)
+    grammar = secrets.Grammar({"assign": [key() for _ in range(120)]}, ordinary(rng))
     secret = key()
     found = secrets.spans_of(f"see {secret} there", grammar)
     assert {"hex", "grammar"} == {s[2] for s in found}
@@ -89,17 +180,19 @@ def test_grammar_scores_runs_that_base_spans_cover_in_part():
 def test_secrets_learn_every_kind_from_all_documents(spark):
     rng = random.Random(7)
     some = lambda n, chars: "".join(rng.choice(chars) for _ in range(n))
-    texts = [f"password={some(12, 'abcdefghjkmnpq23456789')}" for _ in range(5000)] + [f"key AKIA{some(16, 'ABCDEFGH2345')}" for _ in range(20)]
+    texts = [f"password={some(12, 'abcdefghjkmnpq23456789')}" for _ in range(5000)] + [f"key AKIA{some(16, 'ABCDEFGH2345')}" for _ in range(20)] + ["secret=" + "Z9" * 5_000_000, some(24, "0123456789abcdef")]
     data = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert set(secrets.infer(data).kinds) == {"assign", "access"}
-    assert set(secrets.infer(data, max_docs=10).kinds) == {"assign", "access"}
+    grammar = secrets.infer(data)
+    assert set(grammar.kinds) == {"assign", "access", "hex"}
+    got = secrets.scan(data.where("doc_id >= 5020"), grammar).collect()
+    assert {(s.start, s.end, s.kind) for r in got for s in r.spans} >= {(0, 10_000_007, "assign"), (0, 24, "hex")}
 
 
-def test_secret_words_do_not_depend_on_row_order(spark):
+def test_secret_grammar_does_not_depend_on_row_order(spark):
     rng = random.Random(9)
-    data = [(i, " ".join(rng.choice("abcdefghijklmnop") * rng.randrange(1, 8) for _ in range(20))) for i in range(300)]
-    a, b = (secrets.infer(spark.createDataFrame(d, "doc_id long, text string").repartition(n), max_words=40) for d, n in ((data, 1), (data[::-1], 7)))
-    assert (a.single, a.pairs) == (b.single, b.pairs)
+    data = [(i, " ".join(rng.choice("abcdefghijklmnop") * rng.randrange(1, 8) for _ in range(20)) + f" token={rng.getrandbits(60):x}") for i in range(300)]
+    a, b = (secrets.infer(spark.createDataFrame(d, "doc_id long, text string").repartition(n), max_values=40) for d, n in ((data, 1), (data[::-1], 16)))
+    assert a.plain == b.plain and {k: (x.states, y) for k, (x, y) in a.kinds.items()} == {k: (x.states, y) for k, (x, y) in b.kinds.items()}
 
 
 def test_quality_scores_whole_texts(spark, docs, empty, labels):
