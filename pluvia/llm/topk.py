@@ -6,14 +6,21 @@ weights: term by term, its weight times the posting array is added to the dense
 of the block, from which a partition selection keeps the k best. The blocks' selections are
 merged by query.
 
-Every query block meets every candidate block, so all scores are computed; blocks are bounded
-(``block`` candidates, ``queries`` queries), and no block is held by more than one task at a
-time. Selections leave a task only after it has merged all its blocks of a query.
-
-Vectors that are null, or hold a null or a component that is not finite, take no part; nor do
-rows with a null id. Of vectors of different sizes, missing components count as zero. Rows
-with equal ids are different candidates, but no query meets a row with its own id. Ties go to
-the smaller id. Empty vectors score 0. Other columns are ignored.
+Every query block meets every candidate block, so all scores are computed: work and the bytes
+of the pairs of blocks grow with the square of the rows. Blocks are bounded (``block``
+candidates, ``queries`` queries) and are cut from the rows as they are read, whatever their
+ids. Selections leave a task only after it has merged all its blocks of a query.
+
+Sums that could leave the exact range of 64-bit integers (told by the largest weights of both
+blocks) are made with Python's integers, so ranks are exact for all finite components; a score
+beyond the range of the result's long is shown as that range's end, and ranked by ``beyond``,
+bytes that sort like the whole number.
+
+Vectors that are null, or hold a null or a component that is not finite (or is not when
+scaled), take no part; nor do rows with a null id. Of vectors of different sizes, missing components count as zero. Every
+row is a candidate and, if asked, a query of its own, told apart by its block and place: rows
+with equal ids each get a list, and meet each other. Ties go to the smaller id. Empty vectors
+score 0. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,25 +31,67 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pluvia.llm.common import table
+from pluvia.llm.common import table, written
 
-BLOB = "block int, n int, width int, ids binary, weights binary"
+BLOB = "block long, n int, width int, ids binary, weights binary, places binary"
+LONG = (1 << 63) - 1
 
 
-def _pack(key, frame):
-    import pandas as pd
+def _numbers(column: pa.Array, i: int, kind) -> np.ndarray:
+    """A binary value as numbers, without a copy."""
+    return np.frombuffer(column[i].as_buffer(), kind)
 
-    width = max(map(len, frame["terms"]), default=0)
-    weights = np.zeros((width, len(frame)), np.int64)
-    frame = frame.sort_values("vec_id", kind="stable")
-    for i, terms in enumerate(frame["terms"]):
-        weights[: len(terms), i] = terms
-    return pd.DataFrame({"block": [key[0]], "n": [len(frame)], "width": [width], "ids": [frame["vec_id"].to_numpy(np.int64).tobytes()], "weights": [weights.tobytes()]})
 
+def packed(vectors: DataFrame, size: int) -> DataFrame:
+    """Blocks of at most size rows (vec_id, terms, asked): ids, for each term the weights of all of them, and the places of those asked for.
 
-def packed(vectors: DataFrame, blocks: int) -> DataFrame:
-    """One row for each block of vectors: ids, and for each term the weights of all of them."""
-    return vectors.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).groupBy("block").applyInPandas(_pack, BLOB)
+    A block's number is made of its partition and its place in it.
+    """
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        number, held, count = TaskContext.get().partitionId() << 32, [], 0
+        for batch in batches:
+            at = 0
+            while at < batch.num_rows:
+                part = batch.slice(at, size - count)
+                held.append(part)
+                at, count = at + part.num_rows, count + part.num_rows
+                if count == size:
+                    yield _pack(number, held)
+                    number, held, count = number + 1, [], 0
+        if held:
+            yield _pack(number, held)
+
+    return vectors.mapInArrow(run, BLOB)
+
+
+def _blob(block, ids: np.ndarray, weights: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
+    numbers = (pa.array([block], pa.int64()), pa.array([weights.shape[1]], pa.int32()), pa.array([len(weights)], pa.int32()))
+    return pa.RecordBatch.from_arrays([*numbers, *(pa.array([x.tobytes()], pa.binary()) for x in (ids, weights, places))], [c.split()[0] for c in BLOB.split(", ")])
+
+
+def _pack(number: int, batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    rows = pa.Table.from_batches(batches)
+    terms = pa.concat_arrays([c.cast(pa.list_(pa.float64())) for c in rows.column("terms").chunks])
+    sizes = terms.value_lengths().to_numpy(zero_copy_only=False)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    weights = np.zeros((int(sizes.max(initial=0)), len(sizes)))
+    weights[np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes), owner] = terms.flatten().to_numpy()
+    return _blob(number, rows.column("vec_id").to_numpy(), weights, np.flatnonzero(rows.column("asked").to_numpy()))
+
+
+def _asked(batches, most):
+    """The rows of blocks that are asked for, as blocks of at most so many; places tell where they stand in the block of all."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            block, n, width = (batch.column(c)[i].as_py() for c in ("block", "n", "width"))
+            ids, places = (_numbers(batch.column(c), i, np.int64) for c in ("ids", "places"))
+            weights = _numbers(batch.column("weights"), i, float).reshape(width, n)
+            for b in range(0, len(places), most):
+                some = places[b : b + most]
+                yield _blob(block, ids[some], np.ascontiguousarray(weights[:, some]), some)
 
 
 def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
@@ -52,82 +101,102 @@ def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
         keep = np.flatnonzero(scores >= floor)  # all that tie with the last one stay until ids decide
     else:
         keep = np.arange(len(scores))
+    if scores.dtype == object:
+        return np.array(sorted(keep.tolist(), key=lambda i: (-scores[i], ids[i]))[:k], int)
     return keep[np.lexsort((ids[keep], -scores[keep]))[:k]]
 
 
-def accumulate(query: np.ndarray, postings: np.ndarray) -> np.ndarray:
-    scores = np.zeros(postings.shape[1], np.int64)
-    for term in np.flatnonzero(query[: len(postings)]):
-        scores += query[term] * postings[term]
+def accumulate(query: np.ndarray, postings: np.ndarray, top: float) -> np.ndarray:
+    """Scores of all candidates, none of whose weights exceeds top; whole numbers as doubles, or as Python's integers where sums could pass 2^53."""
+    terms = np.flatnonzero(query[: len(postings)])
+    wide = len(terms) * float(np.abs(query[terms]).max(initial=0)) * top >= 2.0**53
+    scores = np.zeros(postings.shape[1], object if wide else float)
+    for term in terms:
+        if wide:
+            w = int(query[term])
+            scores += np.array([w * int(x) for x in postings[term].tolist()], object)
+        else:
+            scores += query[term] * postings[term]
     return scores
 
 
+def beyond(score: int) -> bytes | None:
+    """Bytes that sort like whole numbers outside the long's range; None inside."""
+    if -LONG <= score < LONG:
+        return None
+    size = abs(score).to_bytes((abs(score).bit_length() + 7) // 8, "big")
+    whole = len(size).to_bytes(4, "big") + size
+    return whole if score > 0 else bytes(255 - b for b in whole)
+
+
+SELECTED = pa.schema([("q_block", pa.int64()), ("q_place", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("beyond", pa.binary())])
+
+
 def _search(batches, k):
     """Top k of each query over the candidate blocks that this task meets."""
-    held: dict[int, dict[int, tuple[np.ndarray, np.ndarray]]] = {}
+    held: dict[tuple[int, int], dict[int, tuple]] = {}
     for batch in batches:
-        for row in batch.to_pylist():
-            ids, n = np.frombuffer(row["ids"], np.int64), row["n"]
-            postings = np.frombuffer(row["weights"], np.int64).reshape(row["width"], n)
-            asked = np.frombuffer(row["q_ids"], np.int64)
-            weights = np.frombuffer(row["q_weights"], np.int64).reshape(row["q_width"], row["q_n"])
-            mine = held.setdefault(row["q_block"], {})
-            for j, q in enumerate(asked):
-                scores = accumulate(weights[:, j], postings)
-                own = np.flatnonzero(ids == q)
-                places, values = (np.delete(ids, own), np.delete(scores, own)) if len(own) else (ids, scores)
-                top = best(places, values, k)
-                if j in mine:
-                    places, values = np.concatenate((mine[j][0], places[top])), np.concatenate((mine[j][1], values[top]))
-                    top = best(places, values, k)
-                mine[j] = (places[top], values[top])
-            held[row["q_block"]]["ids"] = asked
+        c = {name: batch.column(name) for name in batch.schema.names}
+        for i in range(batch.num_rows):
+            n, width, q_n, q_width, block, q_block = (c[x][i].as_py() for x in ("n", "width", "q_n", "q_width", "block", "q_block"))
+            ids, postings = _numbers(c["ids"], i, np.int64), _numbers(c["weights"], i, float).reshape(width, n)
+            asked, weights, places = _numbers(c["q_ids"], i, np.int64), _numbers(c["q_weights"], i, float).reshape(q_width, q_n), _numbers(c["q_places"], i, np.int64)
+            top_weight = float(np.abs(postings).max(initial=0))
+            mine = held.setdefault((q_block, int(places[0])), {})
+            for j, (q, place) in enumerate(zip(asked.tolist(), places.tolist(), strict=True)):
+                scores, names = accumulate(weights[:, j], postings, top_weight), ids
+                if block == q_block:  # the query's own row
+                    scores, names = np.delete(scores, place), np.delete(ids, place)
+                top = best(names, scores, k)
+                names, scores = names[top], scores[top]
+                if place in mine:
+                    wide = scores.dtype == object or mine[place][2].dtype == object
+                    names = np.concatenate((mine[place][1], names))
+                    scores = np.array([*map(int, mine[place][2]), *map(int, scores)], object) if wide else np.concatenate((mine[place][2], scores))
+                    top = best(names, scores, k)
+                    names, scores = names[top], scores[top]
+                mine[place] = (q, names, scores)
             if len(held) > 4:  # bounds memory; what leaves early is merged later
-                yield _rows({b: held.pop(b) for b in list(held) if b != row["q_block"]})
+                yield _rows({b: held.pop(b) for b in list(held) if b != (q_block, int(places[0]))})
     if held:
         yield _rows(held)
 
 
 def _rows(held):
-    q, v, s = [], [], []
-    for one in held.values():
-        asked = one["ids"]
-        for j, (ids, scores) in ((j, x) for j, x in one.items() if j != "ids"):
-            q.append(np.full(len(ids), asked[j]))
-            v.append(ids)
-            s.append(scores)
-    join = lambda parts: pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64), pa.int64())
-    return pa.RecordBatch.from_arrays([join(q), join(v), join(s)], ["query_id", "vec_id", "score"])
+    rows = [(block, place, q, v, int(s)) for (block, _), one in held.items() for place, (q, ids, scores) in one.items() for v, s in zip(ids.tolist(), scores.tolist(), strict=True)]
+    columns = [list(x) for x in zip(*rows, strict=True)] if rows else [[] for _ in range(5)]
+    shown = [max(-LONG - 1, min(LONG, s)) for s in columns[4]]
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip([*columns[:4], shown, [beyond(s) for s in columns[4]]], SELECTED.types, strict=True)], schema=SELECTED)
 
 
 def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
-    """(vec_id, terms): floor(scale * x) of each component, rows that take part only."""
-    x = F.transform("embedding", lambda v: v.cast("double"))
+    """(vec_id, terms): floor(scale * x) of each component as a double without a fraction, rows that take part only."""
+    x = F.transform("embedding", lambda v: v.cast("double") * scale)
     bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    return vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(~bad).select(F.col("vec_id").cast("long"), F.transform(x, lambda v: F.floor(v * scale).cast("long")).alias("terms"))
+    whole = lambda v: F.when(F.abs(v) < 2.0**53, F.floor(v).cast("double")).otherwise(v)  # noqa: E731  larger doubles have no fraction
+    return vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(~bad).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, whole).alias("terms"))
 
 
 def search(vectors: DataFrame, asked, k: int = 5, block: int = 8192, queries: int = 1024) -> DataFrame:
-    """(query_id, rank, vec_id, score) for the rows of (vec_id, terms) that asked admits, against all others."""
-    total, wanted = vectors.agg(F.count("*"), F.count_if(asked)).first()
-    blocks, rounds = max(1, -(-total // block)), max(1, -(-wanted // queries))
-    mine = packed(vectors, blocks)
-    theirs = packed(vectors.where(asked), rounds).select(*(F.col(c).alias(f"q_{c}") for c in ("block", "n", "width", "ids", "weights")))
-    spread = theirs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))  # a query block for each candidate block, as rows of bytes
-    pairs = mine.join(spread, "block")
-    found = pairs.mapInArrow(lambda b: _search(b, k), "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+    """(query_id, rank, vec_id, score, beyond) for the rows of (vec_id, terms) that asked, a Column, admits, against all other rows."""
+    mine = written(packed(vectors.withColumn("asked", F.coalesce(asked, F.lit(False))), block), "vectors")  # a place in a block names a row, so blocks are cut once
+    slots = max(1, mine.count())
+    theirs = mine.mapInArrow(lambda b: _asked(b, queries), BLOB)
+    theirs = theirs.select(*(F.col(c).alias(f"q_{c}") for c in theirs.columns)).withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))  # to about one candidate block each, as rows of bytes
+    pairs = mine.drop("places").withColumn("slot", F.pmod(F.xxhash64("block"), F.lit(slots)).cast("int")).join(theirs, "slot")
+    found = pairs.mapInArrow(lambda b: _search(b, k), "q_block long, q_place long, query_id long, vec_id long, score long, beyond binary")
+    order = Window.partitionBy("q_block", "q_place").orderBy(F.desc("score"), F.desc_nulls_last("beyond"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score", "beyond")
 
 
 def op6_exact_topk(spark, sf_dir: str) -> DataFrame:
-    return search(quantised(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")), F.col("vec_id") % 50 == 0)
+    return search(quantised(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")), F.col("vec_id") % 50 == 0).drop("beyond")
 
 
 ORACLE_OP6 = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS t FROM embeddings
+WITH v AS (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS t FROM embeddings
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.t, c.t) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
+s AS (SELECT q.row, q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.t, c.t) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.row <> q.row)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM
-(SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+(SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
 """

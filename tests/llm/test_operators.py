@@ -356,18 +356,24 @@ def test_decontamination(spark, docs, empty, block_bytes):
     assert decontaminate.search(empty, bench).count() == 0 and decontaminate.clean(docs, bench.limit(0)).count() == docs.count()
 
 
-def test_topk(spark):
+@pytest.mark.parametrize("block", [64, 8192])
+def test_topk(spark, block):
     rng = random.Random(6)
     data = [(i, [rng.choice([-0.5, 0.0, 0.013, 0.5, 2.0]) for _ in range(6)], 0) for i in range(300)]
-    data += [(300, None, 1), (301, [1.0, None], 1), (302, [1.0, float("nan")], 1), (303, [float("inf")], 1), (None, [1.0], 1), (100, [0.5] * 6, 1), (304, [], 2), (350, [2.0], 2)]
-    some = topk.quantised(spark.createDataFrame(data, "vec_id long, embedding array<float>, label int"))
-    got = topk.search(some, F.col("vec_id") % 50 == 0, block=64, queries=2).collect()
-    clean = [(i, [int(np.floor(256 * np.float64(np.float32(x)))) for x in v]) for i, v, _ in data if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    data += [(300, None, 1), (301, [1.0, None], 1), (302, [1.0, float("nan")], 1), (303, [float("inf")], 1), (None, [1.0], 1), (100, [0.5] * 6, 1), (100, [0.5] * 6, 1), (304, [], 2), (350, [2.0], 2)]
+    data += [(400 + i, [1e12 + i, -3e11], 3) for i in range(4)] + [(450, [-1e13, 1.0], 3), (451, [1e305], 3), (452, [1e307], 3), (500, [-1e300], 3)]
+    some = topk.quantised(spark.createDataFrame(data, "vec_id long, embedding array<double>, block int").repartition(3))
+    got = topk.search(some, F.col("vec_id") % 50 == 0, block=block, queries=2).collect()
+    clean = [(i, [int(np.floor(256 * x)) for x in v]) for i, v, _ in data if i is not None and v is not None and all(x is not None and np.isfinite(256 * x) for x in v)]
     score = lambda a, b: sum(x * y for x, y in zip(a, b, strict=False))
-    for q in {i for i, _ in clean if i % 50 == 0} - {100}:
-        own = next(v for i, v in clean if i == q)
-        best = sorted(((-score(own, v), i) for i, v in clean if i != q))[:5]
-        assert [(-r.score, r.vec_id) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == best
+    shown = lambda s: max(-(1 << 63), min((1 << 63) - 1, s))
+    lists = []
+    for at, (q, own) in enumerate(clean):
+        if q % 50 == 0:
+            best = sorted((-score(own, v), i) for k, (i, v) in enumerate(clean) if k != at)[:5]
+            lists += [(q, rank, i, shown(-s)) for rank, (s, i) in enumerate(best, 1)]
+    assert Counter((r.query_id, r.rank, r.vec_id, r.score) for r in got) == Counter(lists)
+    assert sum(r.query_id == 100 and r.rank == 1 for r in got) == 3 and sum(r.beyond is not None for r in got) > 5
     assert topk.search(some.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
