@@ -4,40 +4,51 @@ The lexicon is learned from labelled texts: words, and stems that open words, th
 texts from others by a log-likelihood ratio. It forms a trie; the Levenshtein automaton of the
 allowed distance (0 for short terms, 1 from five letters, 2 from nine) runs along its edges, and
 the intersection is made deterministic as words are read, so that a word costs one table lookup
-for each letter. Each hit is seen in its window of eight words: within quotation marks, next to
-words of reporting, or among other hits. A logistic regression on the counts of exact, stem,
-misspelled and quoted hits gives the score.
-
-The fit uses at most ``max_rows`` labelled rows of each label; one half of them (by hash) gives
-the lexicon, the other half the weights. The lexicon keeps at most ``terms`` words and stems,
-those with the highest ratios over the whole half. All texts are scored whole.
-
-A null text is empty, has no hits and gets the intercept's score. Rows are scored one by one.
-Without labelled rows of both labels all scores are the label's smoothed share. Other columns
-are ignored.
+for each letter. Each hit is seen in its window, eight words to either side: it is quoted if the
+nearest quotation mark before it opens and the nearest one after it closes (a mark between two
+letters is an apostrophe and counts as none), or if one of the three words before it reports
+speech; and it has company if another hit stands in the window. A logistic regression on the
+counts of exact, stem, misspelled, quoted and accompanied hits gives the score.
+
+The fit uses at most ``max_rows`` labelled rows of each label, those with the smallest hashes of
+their ids; of documents with one id, one, and equal texts teach once. Every second row of each
+label gives the lexicon, the others the weights; if a label has a single row, all rows serve
+both. The lexicon holds every word and stem of three toxic texts or more whose log odds reach
+``least_odds`` and whose log-likelihood ratio reaches one of ``ratios``: the one whose weights
+predict left-out folds best (the smallest, if there are under 50 rows or under 5 of a label). ``reporting``,
+the words that report speech, is a parameter. All texts are scored whole.
+
+A null text is empty, has no hits and gets the intercept's score. Rows are scored one by one, so
+repeated rows repeat their scores. Without labelled rows of both labels all scores are the
+label's smoothed share. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, deque
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pluvia.llm.common import fold, sample_rows, table, text_of
 
 WORDS = re.compile(r"[^\W_]+(?:[@$!|*'][^\W_]+)*")
-QUOTES = "\"“”„«»‘’"
-#: Words that report what others said.
+MARKS = re.compile("[\"'“”„«»‘’‚‹›]")
+OPENING, CLOSING = "“„«‘‚‹", "”»’›"
+#: Words that report what others said; what train() takes unless it is given others.
 REPORTING = frozenset("said says quoted called wrote writes term word phrase sagte schrieb nannte dijo escribió llamó dit écrit appelé".split())
-NEAR = 8
+NEAR, SPEECH = 8, 3
 STEMS = (4, 5, 6)
 FEATURES = 9
+#: A task's automaton starts anew when it has made so many states.
+MOST_STATES = 50_000
 
 
 class Lexicon:
@@ -68,6 +79,9 @@ class Lexicon:
                 if ends is self.word:
                     self.allowed[at] = max(self.allowed[at], allow)
         self.alphabet = {c for d in self.children for c in d}
+        self._begin()
+
+    def _begin(self) -> None:
         self.states: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.moves: list[dict[str, int]] = []
@@ -116,6 +130,8 @@ class Lexicon:
 
     def match(self, word: str) -> tuple[str, float] | None:
         """(exact, stem or near; the term's weight), or None."""
+        if len(self.sets) > MOST_STATES:
+            self._begin()
         state, stem, alphabet = self.start, None, self.alphabet
         moves, sets = self.moves, self.sets
         for c in word:
@@ -140,11 +156,30 @@ class Model:
     words: dict[str, float] = field(default_factory=dict)
     stems: dict[str, float] = field(default_factory=dict)
     weights: np.ndarray = field(default_factory=lambda: np.zeros(FEATURES))
+    reporting: frozenset = REPORTING
     constant: float | None = None
 
 
-def features(text: str, lexicon: Lexicon, known: dict) -> list[float]:
-    hits, n, last, low = [], 0, None, text.lower()
+def side(text: str, at: int) -> int:
+    """1 for a mark that opens a quotation, -1 for one that closes it, 0 for an apostrophe."""
+    before, after = text[at - 1 : at] if at else "", text[at + 1 : at + 2]
+    if before.isalnum() and after.isalnum():
+        return 0
+    if before.isalnum() != after.isalnum():
+        return 1 if after.isalnum() else -1
+    bare_before, bare_after = not before.strip(), not after.strip()
+    if bare_before != bare_after:
+        return 1 if bare_before else -1
+    return (text[at] in OPENING) - (text[at] in CLOSING)
+
+
+def _quoted(text: str, left: int, start: int, end: int, right: int) -> bool:
+    last = next((s for m in reversed(list(MARKS.finditer(text, left, start))) if (s := side(text, m.start()))), 0)
+    return last > 0 and next((s for m in MARKS.finditer(text, end, right) if (s := side(text, m.start()))), 0) < 0
+
+
+def features(text: str, lexicon: Lexicon, known: dict, reporting: frozenset = REPORTING) -> list[float]:
+    hits, n, last, low, recent = [], 0, None, text.lower(), deque(maxlen=NEAR)
     for n, m in enumerate(WORDS.finditer(low), 1):
         word = m[0]
         got = known.get(word, last)
@@ -153,12 +188,16 @@ def features(text: str, lexicon: Lexicon, known: dict) -> list[float]:
                 known.clear()
             got = known[word] = lexicon.match(word) or 0
         if got:
-            hits.append((n, m.start(), m.end(), got))
+            left = recent[0].start() if recent else 0
+            if len(recent) < NEAR:
+                left = 0  # marks before the first word
+            ahead = list(islice(WORDS.finditer(low, m.end()), NEAR))
+            right = ahead[-1].end() if len(ahead) == NEAR else len(low)
+            told = any(w[0] in reporting for w in list(recent)[-SPEECH:])
+            hits.append((n, got, told or _quoted(low, max(0, left - 1), m.start(), m.end(), right + 1)))
+        recent.append(m)
     counts, best, company = Counter(), 0.0, 0
-    for k, (place, start, end, (kind, weight)) in enumerate(hits):
-        around = low[max(0, start - 60) : start], low[end : end + 60]
-        before = sum(around[0].count(q) for q in QUOTES)
-        quoted = (before % 2 == 1 and any(q in around[1] for q in QUOTES)) or any(w in REPORTING for w in WORDS.findall(around[0])[-3:])
+    for k, (place, (kind, weight), quoted) in enumerate(hits):
         counts["quoted" if quoted else kind] += 1
         best = max(best, 0.0 if quoted else weight)
         company += any(abs(place - hits[j][0]) <= NEAR for j in (k - 1, k + 1) if 0 <= j < len(hits))
@@ -169,7 +208,7 @@ def features(text: str, lexicon: Lexicon, known: dict) -> list[float]:
 def _score_batch(texts: list[str], lexicon: Lexicon, known: dict, model: Model) -> np.ndarray:
     if model.constant is not None:
         return np.full(len(texts), model.constant)
-    x = np.array([features(t, lexicon, known) for t in texts]).reshape(len(texts), FEATURES)
+    x = np.array([features(t, lexicon, known, model.reporting) for t in texts]).reshape(len(texts), FEATURES)
     return 1 / (1 + np.exp(-np.clip(x @ model.weights, -30, 30)))
 
 
@@ -193,45 +232,75 @@ def _document_counts(sample: DataFrame) -> DataFrame:
     return counts.where("toxic > 0")
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", keep=None, max_rows: int = 3000, terms: int = 400) -> Model:
+def _chosen(top: list, least_ratio: float, reporting: frozenset) -> Model:
+    """The lexicon of the terms that reach the ratio; a stem counts only if it opens more words than one."""
+    some = [r for r in top if r["ratio"] >= least_ratio]
+    opens: dict[str, int] = {}
+    for r in some:
+        if r["kind"] == "word":
+            for k in STEMS:
+                opens[r["term"][:k]] = max(opens.get(r["term"][:k], 0), r["toxic"])
+    return Model({r["term"]: r["odds"] for r in some if r["kind"] == "word"}, {r["term"]: r["odds"] for r in some if r["kind"] == "stem" and r["toxic"] > 1.2 * opens.get(r["term"], 0)}, reporting=reporting)
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    ridge, w = np.diag([0.01, *[0.3] * (x.shape[1] - 1)]), np.zeros(x.shape[1])
+    for _ in range(40):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        w += np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + ridge, x.T @ (weight * (y - p)) - ridge @ w)
+    return w
+
+
+def _loss(x: np.ndarray, y: np.ndarray, weight: np.ndarray, folds: int = 5) -> float:
+    """Log loss of rows that a fit on the other folds scores."""
+    fold_, total = np.arange(len(y)) % folds, 0.0
+    for k in range(folds):
+        out = fold_ == k
+        z = np.clip(x[out] @ _logistic(x[~out], y[~out], weight[~out]), -30, 30)
+        total += float((weight[out] * np.logaddexp(0, np.where(y[out] == 1, -z, z))).sum())
+    return total
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", keep=None, max_rows: int = 3000, ratios: tuple = (5.0, 8.0, 12.0, 20.0), least_odds: float = 1.5, reporting: frozenset = REPORTING) -> Model:
     """Fits on at most max_rows labelled rows of each label that keep admits (a Column on doc_id)."""
     rows = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
-    rows = (rows.where(keep) if keep is not None else rows).select("doc_id", F.col(label).cast("int").alias("label"))
+    rows = (rows.where(keep) if keep is not None else rows).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).distinct()
     share = rows.agg(F.avg("label"), F.count("*")).first()
     picked = sample_rows(rows.where("label = 1"), max_rows, "doc_id").unionByName(sample_rows(rows.where("label = 0"), max_rows, "doc_id"))
-    sample = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(picked), "doc_id")  # max_rows bounds what is broadcast
-    sample = sample.withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2))).persist()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    found = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("x"))  # max_rows bounds what is broadcast
+    found = found.groupBy("label", "x").agg(F.min("doc_id").alias("doc_id"))
+    turn = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id"))  # over max_rows rows at most
+    sample = found.select("doc_id", "label", F.col("x.text").alias("text"), (turn % 2).alias("half")).persist()
     sizes = {(h, y): n for h, y, n in sample.groupBy("half", "label").count().collect()}
-    if len(sizes) < 4:
+    if len({y for _, y in sizes}) < 2:
         sample.unpersist()
         return Model(constant=float(((share[0] or 0) * share[1] + 1) / (share[1] + 2)))
-    yes, no = sizes[0, 1], sizes[0, 0]
-    counts = _document_counts(sample.where("half = 0").select("text", "label"))
+    first, second = (sample.where("half = 1"), sample.where("half = 0")) if len(sizes) == 4 else (sample, sample)
+    yes, no = (sizes.get((1, y), 0) + (sizes.get((0, y), 0) if len(sizes) < 4 else 0) for y in (1, 0))
+    counts = _document_counts(first.select("text", "label"))
     odds = F.log((F.col("toxic") + 0.5) / (yes + 1)) - F.log((F.col("other") + 0.5) / (no + 1))
     # Dunning's ratio, for the toxic side only
     total = yes + no
     ratio = F.col("toxic") * F.log(F.col("toxic") * total / ((F.col("toxic") + F.col("other")) * F.lit(yes))) + F.when(F.col("other") > 0, F.col("other") * F.log(F.col("other") * total / ((F.col("toxic") + F.col("other")) * F.lit(no)))).otherwise(0.0)
-    top = counts.withColumn("odds", odds).withColumn("ratio", ratio).where("toxic >= 3 AND odds > 1.5 AND ratio > 2").orderBy(F.desc("ratio"), "term", "kind").limit(terms).collect()
-    # a stem says more than a word only if it opens other words too
-    exact = {(r["term"]): r["toxic"] for r in top if r["kind"] == "word"}
-    model = Model({r["term"]: r["odds"] for r in top if r["kind"] == "word"}, {r["term"]: r["odds"] for r in top if r["kind"] == "stem" and r["toxic"] > 1.2 * max((n for w, n in exact.items() if w.startswith(r["term"])), default=0)})
+    top = counts.withColumn("odds", odds).withColumn("ratio", ratio).where((F.col("toxic") >= 3) & (F.col("odds") > least_odds) & (F.col("ratio") >= min(ratios))).orderBy("term", "kind").collect()  # max_rows bounds the terms
+    models = [_chosen(top, r, reporting) for r in ratios]
 
     def rest(batches):
-        lexicon, known = Lexicon(model.words, model.stems), {}
+        lexicons = [(Lexicon(m.words, m.stems), {}) for m in models]
         for batch in batches:
-            x = [features(t, lexicon, known) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "label", "x"])
+            x = [[features(t, lexicon, known, reporting) for lexicon, known in lexicons] for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(x, pa.list_(pa.list_(pa.float64())))], ["doc_id", "label", "x"])
 
-    got = sorted((r["doc_id"], r["label"], r["x"]) for r in sample.where("half = 1").select("doc_id", "label", "text").mapInArrow(rest, "doc_id long, label int, x array<double>").collect())
+    got = sorted((r["doc_id"], r["label"], r["x"]) for r in second.select("doc_id", "label", "text").mapInArrow(rest, "doc_id long, label int, x array<array<double>>").collect())
     sample.unpersist()
-    x, y = np.array([g[2] for g in got]), np.array([g[1] for g in got], float)
+    xs, y = np.array([g[2] for g in got]), np.array([g[1] for g in got], float)
     # each label weighs as in all labelled rows
     weight = np.where(y == 1, share[0] / y.mean(), (1 - share[0]) / (1 - y.mean()))
-    ridge, w = np.diag([0.01, *[0.3] * (FEATURES - 1)]), np.zeros(FEATURES)
-    for _ in range(40):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w += np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + ridge, x.T @ (weight * (y - p)) - ridge @ w)
-    model.weights = w
+    # of equal losses, the larger lexicon
+    best = min(range(len(models)), key=lambda k: round(_loss(xs[:, k], y, weight), 9)) if len(y) >= 50 and 5 <= y.sum() <= len(y) - 5 else 0
+    model = models[best]
+    model.weights = _logistic(xs[:, best], y, weight)
     return model
 
 

@@ -301,6 +301,92 @@ def test_levenshtein_automaton():
         assert kind == ("exact" if 0 in near else "stem" if word.startswith("vequ") else "near" if near else None), word
 
 
+def test_quotation_marks_and_apostrophes():
+    lexicon = toxicity.Lexicon({"scoundrel": 2.0}, {})
+    kind = lambda t: next(k for k, i in (("exact", 1), ("near", 3), ("quoted", 4)) if toxicity.features(t, lexicon, {})[i] > 0)
+    assert kind("we don’t like it you scoundrel isn’t it") == kind("we do not like it you scoundrel is not it") == "exact"
+    assert kind("we don't like it, you scoundrel, don't we") == "exact"
+    for t in ('he cried "you scoundrel!" and left', "«scoundrel»", "« scoundrel »", "„du scoundrel“, rief er", "»scoundrel«", "‘scoundrel’ is a word", "the word scoundrel", "she wrote that scoundrel"):
+        assert kind(t) == "quoted", t
+    for t in ('"good" you scoundrel "bye"', '"a b c d e f g h i scoundrel b c"', "a word of no use scoundrel", '"scoundrel'):
+        assert kind(t) == "exact", t
+
+
+def plain_features(text, words, stems, reporting):
+    low = text.lower()
+    tokens = [(m.start(), m.end()) for m in re.finditer(r"[^\W_]+(?:[@$!|*'][^\W_]+)*", low)]
+
+    def distance(a, b):
+        d = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            d, before = [i], d
+            for j, y in enumerate(b, 1):
+                d.append(min(d[-1] + 1, before[j] + 1, before[j - 1] + (x != y)))
+        return d[-1]
+
+    def kind(w):
+        if w in words:
+            return "exact", words[w]
+        if heads := [s for k, s in stems.items() if w.startswith(k)]:
+            return "stem", heads[0]
+        near = sorted((d, -x) for t, x in words.items() if (d := distance(w, t)) <= (0 if len(t) < 5 else 1 if len(t) < 9 else 2))
+        return ("near", -near[0][1]) if near else None
+
+    def mark(i):
+        b, a = low[i - 1] if i else " ", low[i + 1] if i + 1 < len(low) else " "
+        if b.isalnum() and a.isalnum():
+            return 0
+        if b.isalnum() or a.isalnum():
+            return 1 if a.isalnum() else -1
+        if b.isspace() != a.isspace():
+            return 1 if b.isspace() else -1
+        return (low[i] in "“„«‘‚‹") - (low[i] in "”»’›")
+
+    hits = [(i, k) for i, (s, e) in enumerate(tokens) if (k := kind(low[s:e]))]
+    n = Counter()
+    best = 0.0
+    for i, (name, weight) in hits:
+        s, e = tokens[i]
+        left = max(0, tokens[i - 8][0] - 1) if i >= 8 else 0
+        right = tokens[i + 8][1] + 1 if i + 8 < len(tokens) else len(low)
+        sides = lambda at: [x for j in at if low[j] in "\"'“”„«»‘’‚‹›" and (x := mark(j))]
+        before, after = sides(range(left, s)), sides(range(e, min(right, len(low))))
+        quoted = (before[-1:] == [1] and after[:1] == [-1]) or any(low[x:y] in reporting for x, y in tokens[max(0, i - 3) : i])
+        n["quoted" if quoted else name] += 1
+        best = max(best, 0.0 if quoted else weight)
+        n["company"] += any(0 < abs(i - j) <= 8 for j, _ in hits)
+    open_ = n["exact"] + n["stem"]
+    return [1.0, np.log1p(n["exact"]), np.log1p(n["stem"]), np.log1p(n["near"]), np.log1p(n["quoted"]), best, np.log1p(n["company"]), min(1.0, 20 * open_ / max(1, len(tokens))), float(open_ > 0)]
+
+
+def test_toxicity_features_are_those_of_a_plain_version(monkeypatch):
+    monkeypatch.setattr(toxicity, "MOST_STATES", 30)
+    rng = random.Random(17)
+    words, stems = {"scoundrel": 2.0, "idiot": 1.5, "bad": 1.0}, {"vequ": 1.2}
+    lexicon, known = toxicity.Lexicon(words, stems), {}
+    parts = ["scoundrel", "scoundrl", "Idiot", "idoit", "bad", "bed", "vequous", "rain", "the", "don’t", "said", '"', "“", "”", "« ", " »", "‘", "’", "'", ", ", ".", " ", " ", " ", " ", "(", ")"]
+    for _ in range(400):
+        text = "".join(rng.choice(parts) + " " * rng.randrange(2) for _ in range(rng.randrange(60)))
+        assert np.allclose(toxicity.features(text, lexicon, known), plain_features(text, words, stems, toxicity.REPORTING)), text
+
+
+def test_toxicity_with_few_rows_of_a_label(spark):
+    data = [(i, "you scoundrel go" if i < 4 else "the rain falls") for i in range(40)]
+    some = spark.createDataFrame(data, "doc_id long, text string")
+    for n in (1, 2, 3):
+        marks = spark.createDataFrame([(i, int(i < n)) for i in range(40) if i < n or i >= 4], "doc_id long, toxic int")
+        assert toxicity.train(some, marks).constant is None
+    assert toxicity.train(some, spark.createDataFrame([(5, 0), (6, 0), (900, 1)], "doc_id long, toxic int")).constant is not None
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.1"), reason="no tables")
+def test_toxicity_of_held_out_rows(spark):
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    got = toxicity.op4_toxicity(spark, "/root/testdata/sf0.1").where("held_out").join(labels.where("toxic IS NOT NULL"), "doc_id").select("predicted", "toxic").collect()
+    assert sum(r.predicted == r.toxic for r in got) > 0.97 * len(got)
+    assert sum(r.predicted for r in got if r.toxic) > 0.9 * sum(r.toxic for r in got)
+
+
 def test_toxicity(spark, docs, empty, labels):
     rng = random.Random(1)
     data = [(i, prose(30, rng) + (" scoundrel " if i % 2 else " ") + prose(5, rng)) for i in range(400)]
