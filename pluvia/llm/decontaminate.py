@@ -1,23 +1,27 @@
 """Benchmark decontamination by Wu-Manber search over words.
 
 A pattern is a window of ten consecutive words of a benchmark item (an item of fewer words is
-one window). For the patterns of one length m, the shift table gives, for a block of two
-words, how far its last occurrence in any pattern lies before the pattern's end; a block in
-no pattern lets the search skip m - 1 words. Where the shift is zero, the block's bucket
-holds the patterns that end in it, the first block filters them, and the rest are compared
-word by word. Patterns of fewer words have tables of their own.
+one window). For the patterns of one length m, the shift table gives, for the hash of a block of
+two words, how far its last occurrence in any pattern lies before the pattern's end; a block in
+no pattern lets the search skip m - 1 words. Where the shift is zero, the block's bucket holds
+the patterns that end in it, ordered by the hash of all their words, and those of the text's
+hash are compared word by word. Patterns of fewer words have tables of their own. Tables are
+arrays: about 40 bytes a window beside the words themselves, of which each is held once.
 
-Benchmark items go to the executors in blocks of at most ``block_bytes`` of text; each block
-searches all documents, and the blocks' finds are put together by document.
+Benchmark items go to the executors in blocks of at most ``block_bytes`` of text (a longer item
+is a block of its own); each block searches all documents, and the blocks' finds are put
+together by document.
 
 Null and empty texts have no words; null and empty items give no window. Items with a null
 item_id count for hits, but have no id to list. Repeated windows and items of equal text each
 list their ids; repeated document rows are searched one by one (with several blocks they are
-told apart by a row id). An empty benchmark leaves every document clean.
+told apart by a row id). An empty benchmark leaves every document clean. clean() keeps all
+columns, whatever their names.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +32,7 @@ from pluvia.llm.common import table, text_of, written
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 WINDOW = 10
 BLOCK = 2
+BLOCK_BYTES = 8 << 20
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -40,67 +45,98 @@ def windows_of(words: list[bytes], size: int = WINDOW) -> list[tuple[bytes, ...]
     return [tuple(words[i : i + size]) for i in range(len(words) - size + 1)]
 
 
+#: Odd multipliers of the hash of a window's words, one for each place.
+FACTORS = [int(x) | 1 for x in np.random.default_rng(10).integers(1 << 40, 1 << 62, 64)]
+WIDE = (1 << 64) - 1
+
+
 class WuManber:
-    """Tables for patterns of one length."""
+    """Tables for the patterns of one length: starts are their places in the items' words, one for each different pattern."""
 
-    def __init__(self, length: int, patterns: dict[tuple[bytes, ...], int]):
-        self.length, self.block = length, min(BLOCK, length)
+    def __init__(self, length: int, ids: np.ndarray, starts: np.ndarray, vocabulary: list[bytes]):
+        self.length, self.block, self.vocabulary, self.ids = length, min(BLOCK, length), vocabulary, ids
         self.default = length - self.block + 1
-        self.shift: dict[tuple[bytes, ...], int] = {}
-        self.bucket: dict[tuple[bytes, ...], list] = {}
-        for p, number in patterns.items():
-            for end in range(self.block, length + 1):
-                block = p[end - self.block : end]
-                self.shift[block] = min(self.shift.get(block, self.default), length - end)
-            self.bucket.setdefault(p[-self.block :], []).append((p[: self.block], p, number))
-
-    def search(self, words: list[bytes]):
-        """(start, pattern number) of each occurrence."""
-        n, m, shift, default = len(words), self.length, self.shift.get, self.default
+        bits = max(10, int(4 * len(starts)).bit_length())
+        self.mask = (1 << bits) - 1
+        self.shift = bytearray([self.default]) * (1 << bits)
+        view = np.frombuffer(self.shift, np.uint8)
+        for end in range(self.block, length + 1):  # nearer to the end, smaller: the last to write is the least
+            view[self._blocks(starts + end)] = length - end
+        last = self._blocks(starts + length)
+        whole = np.zeros(len(starts), np.uint64)
+        for j in range(length):
+            whole += ids[starts + j].astype(np.uint64) * np.uint64(FACTORS[j % 64])
+        order = np.lexsort((whole, last))
+        self.starts, self.whole, self.order = starts[order], whole[order], order
+        self.bucket = np.searchsorted(last[order], np.arange((1 << bits) + 1))
+
+    def _blocks(self, ends: np.ndarray) -> np.ndarray:
+        one, two = self.ids[ends - self.block].astype(np.uint64), self.ids[ends - 1].astype(np.uint64)
+        return ((one * np.uint64(FACTORS[0]) + two * np.uint64(FACTORS[1])) & np.uint64(WIDE) >> np.uint64(20)).astype(np.int64) & self.mask
+
+    def search(self, words: list[bytes], known: list[int | None]):
+        """(start, pattern) of each occurrence; known: each word's number, None if no item has it."""
+        n, m, block, default, shift, mask = len(words), self.length, self.block, self.default, self.shift, self.mask
+        x, y, low = FACTORS[0], FACTORS[1], WIDE >> 20
         end = m
-        if self.block == 1:
-            bucket = self.bucket.get
-            for i, w in enumerate(words):
-                for _, _, number in bucket((w,), ()):
-                    yield i, number
-            return
         while end <= n:
-            step = shift((words[end - 2], words[end - 1]), default)
+            one, two = known[end - block], known[end - 1]
+            if one is None or two is None:
+                end += default
+                continue
+            at = (one * x + two * y) & low & mask
+            step = shift[at]
             if step:
                 end += step
                 continue
-            start = end - m
-            first = (words[start], words[start + 1])
-            for prefix, pattern, number in self.bucket.get((words[end - 2], words[end - 1]), ()):
-                if prefix == first and tuple(words[start:end]) == pattern:
-                    yield start, number
+            window = known[end - m : end]
+            if None not in window:
+                whole = sum(w * FACTORS[j % 64] for j, w in enumerate(window)) & WIDE
+                lo, hi = int(self.bucket[at]), int(self.bucket[at + 1])
+                k = lo + int(np.searchsorted(self.whole[lo:hi], np.uint64(whole)))
+                while k < hi and int(self.whole[k]) == whole:
+                    start = int(self.starts[k])
+                    if all(self.vocabulary[i] == w for i, w in zip(self.ids[start : start + m].tolist(), words[end - m : end], strict=True)):
+                        yield end - m, int(self.order[k])
+                    k += 1
             end += 1
 
 
 class Matcher:
+    """Wu-Manber tables of some items, (id, text) each."""
+
     def __init__(self, items: list[tuple[str | None, str | None]], size: int = WINDOW):
-        numbers: dict[tuple[bytes, ...], int] = {}
-        self.owners: list[set[int]] = []
-        for k, (_, text) in enumerate(items):
-            for w in windows_of(words_of(text), size):
-                if w not in numbers:
-                    numbers[w] = len(self.owners)
-                    self.owners.append(set())
-                self.owners[numbers[w]].add(k)
-        self.lengths = [len(w) for w in numbers]
-        by: dict[int, dict] = {}
-        for w, number in numbers.items():
-            by.setdefault(len(w), {})[w] = number
-        self.searches = [WuManber(m, p) for m, p in sorted(by.items())]
-        self.ids = [i for i, _ in items]
+        number: dict[bytes, int] = {}
+        parts, lengths = [], []
+        for _, text in items:
+            words = words_of(text)
+            parts.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words)))
+            lengths.append(len(words))
+        ids, lengths = np.concatenate([*parts, np.zeros(0, np.int32)]), np.array(lengths, np.int64)
+        first = np.cumsum(lengths) - lengths
+        self.number, self.ids, self.searches = number, [i for i, _ in items], []
+        vocabulary = list(number)
+        for m in sorted({min(size, n) for n in lengths.tolist() if n}):
+            of = np.flatnonzero(np.minimum(lengths, size) == m)
+            many = lengths[of] - m + 1
+            item = np.repeat(of, many)
+            starts = first[item] + np.arange(len(item)) - np.repeat(np.cumsum(many) - many, many)
+            _, at, same = np.unique(np.lib.stride_tricks.sliding_window_view(ids, m)[starts], axis=0, return_index=True, return_inverse=True)
+            order = np.argsort(same, kind="stable")
+            self.searches.append((WuManber(m, ids, starts[at], vocabulary), item[order], np.searchsorted(same[order], np.arange(len(at) + 1))))
 
     def find(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
         """Merged runs (start, end) of hit words, and the places of the items found."""
-        runs, found = [], set()
-        for s in self.searches:
-            for start, number in s.search(words):
-                runs.append((start, start + self.lengths[number]))
-                found |= self.owners[number]
+        runs, seen = [], set()
+        known = list(map(self.number.get, words))
+        for k, (tables, _, _) in enumerate(self.searches):
+            for start, pattern in tables.search(words, known):
+                runs.append((start, start + tables.length))
+                seen.add((k, pattern))
+        found: set[int] = set()
+        for k, pattern in seen:
+            _, owners, begin = self.searches[k]
+            found.update(owners[begin[pattern] : begin[pattern + 1]].tolist())
         merged: list[list[int]] = []
         for s, e in sorted(runs):
             if merged and s <= merged[-1][1]:
@@ -121,8 +157,8 @@ def _search_block(docs: DataFrame, items: list, size: int) -> DataFrame:
         pair = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
         for batch in batches:
             n, runs, ids = [], [], []
-            for t in batch.column("text").to_pylist():
-                words = words_of(t)
+            for t in batch.column("text"):
+                words = words_of(t.as_py())
                 hit, found = matcher.find(words)
                 n.append(len(words))
                 runs.append([{"s": s, "e": e} for s, e in hit])
@@ -132,20 +168,40 @@ def _search_block(docs: DataFrame, items: list, size: int) -> DataFrame:
     return docs.mapInArrow(run, SCHEMA)
 
 
-def search(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_bytes: int = 16 << 20) -> DataFrame:
+def item_blocks(benchmark: DataFrame, block_bytes: int):
+    """The items, (id, text) each, in blocks of at most block_bytes of text; one block is on the driver at a time."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), text_of().alias("text")).where("text <> ''").withColumn("size", F.octet_length("text") + 16)
+    # as many parts by hash as leave room for uneven ones; parts of one block are put together
+    total = items.agg(F.sum("size")).first()[0] or 0
+    parts = max(1, -(-4 * total // block_bytes))
+    if parts <= 4:
+        yield [(r["item_id"], r["text"]) for r in items.collect()]
+        return
+    items = written(items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))), "benchmark")
+    sizes = {r["part"]: r["size"] for r in items.groupBy("part").agg(F.sum("size").alias("size")).collect()}
+    group, used = [], 0
+    for part, size in sorted(sizes.items()):
+        if group and used + size > block_bytes:
+            yield [(r["item_id"], r["text"]) for r in items.where(F.col("part").isin(group)).collect()]
+            group, used = [], 0
+        group.append(part)
+        used += size
+    yield [(r["item_id"], r["text"]) for r in items.where(F.col("part").isin(group)).collect()]
+
+
+def search(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(row_id, doc_id, n_words, runs, items) for every document: its hit word runs and the items found in it."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), text_of().alias("text")).where("text <> ''")
-    weight = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    blocks = max(1, -(-weight // block_bytes))
-    bare = docs.select(F.lit(0).cast("long").alias("row_id"), F.col("doc_id").cast("long"), text_of().alias("text"))
-    if blocks == 1:
-        return _search_block(bare, [tuple(r) for r in items.collect()], size)
+    bare = docs.select(F.lit(0).cast("long").alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    blocks = item_blocks(benchmark, block_bytes)
+    part, following = next(blocks), next(blocks, None)
+    if following is None:
+        return _search_block(bare, part, size)
     marked = written(bare.withColumn("row_id", F.monotonically_increasing_id()), "decontaminate")
     out = None
-    for b in range(blocks):
-        part = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()]
+    while part is not None:
         found = written(_search_block(marked, part, size), "decontaminate")  # one block of items at a time
         out = found if out is None else out.unionByName(found)
+        part, following = following, next(blocks, None)
     return out.groupBy("row_id").agg(F.min("doc_id").alias("doc_id"), F.min("n_words").alias("n_words"), F.sort_array(F.flatten(F.collect_list("runs"))).alias("runs"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
 
 
@@ -159,27 +215,25 @@ def hits(found: DataFrame) -> DataFrame:
     return found.withColumn("n_hit", step)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """docs without those that hold a benchmark window; all columns stay."""
-    given = [tuple(r) for r in benchmark.select(F.col("item_id").cast("string"), text_of()).collect()] if _small(benchmark) else None
-    if given is None:  # many items: find the rows first, then leave them out
-        marked = written(docs.withColumn("__row", F.monotonically_increasing_id()), "decontaminate")
-        bad = search(marked.select(F.col("__row").alias("doc_id"), "text"), benchmark, size).where(F.size("runs") > 0).select(F.col("doc_id").alias("__row"))
-        return marked.join(bad, "__row", "left_anti").drop("__row")
-    items = docs.sparkSession.sparkContext.broadcast(given)
+def clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs without those that hold a benchmark window; all columns stay. What one block of items leaves goes on to the next."""
+    at = docs.columns.index("text")
+    for k, part in enumerate(item_blocks(benchmark, block_bytes)):
+        if k:
+            docs = written(docs, "decontaminate")
+        docs = _without(docs, docs.sparkSession.sparkContext.broadcast(part), at, size)
+    return docs
 
+
+def _without(docs: DataFrame, items, at: int, size: int) -> DataFrame:
     def run(batches):
         matcher = Matcher(items.value, size)
         for batch in batches:
-            yield batch.filter(pa.array([not matcher.find(words_of(t))[0] for t in batch.column("text").to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([not matcher.find(words_of(t.as_py()))[0] for t in batch.column(at)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
 
-def _small(benchmark: DataFrame, most: int = 16 << 20) -> bool:
-    return (benchmark.agg(F.sum(F.octet_length(text_of()) + 16)).first()[0] or 0) <= most
-
-
 def op5_decontaminate(spark, sf_dir: str) -> DataFrame:
     found = hits(search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
     return found.select(
