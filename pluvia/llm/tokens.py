@@ -8,16 +8,23 @@ all prefixes answer how many tokens a text has, where a budget ends and what a c
 without encoding anything again.
 
 No token crosses the start of a run of word marks, nor a character that no piece holds, so
-a text falls into segments whose counts add up; the counts of a segment are computed once
-in each task and looked up afterwards.
+a text falls into segments whose counts add up. A text's prefix counts are its segments'
+arrays of counts, one after another, each with the count that stands before it; all answers
+about the text come from them, and nothing is computed twice: segments of up to ``SHORT``
+characters are kept for the task (``max_segments`` of them at most), longer ones for the text.
 
 A null text is empty and has no tokens; empty texts have none. Very long segments take
-time in proportion to their length. Repeated rows are counted one by one.
+time in proportion to their length, and two bytes (four from 65,536 tokens on) for each
+character. Repeated rows are counted one by one. Columns other than doc_id and text are
+ignored.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
+from bisect import bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,12 +34,13 @@ from pluvia.llm.common import table, text_of
 
 MARK = "▁"
 HEAD = 7
+SHORT = 64
 
 
 class PrefixCounter:
     """Counts for one BPE model with byte fallback and the identity as its normalizer."""
 
-    def __init__(self, model: str, max_segments: int = 1_000_000):
+    def __init__(self, model: str, max_segments: int = 400_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model)
@@ -44,7 +52,8 @@ class PrefixCounter:
         chars = set("".join(self.rank))
         apart = "".join(c for c in "\n\t\r" if c not in chars)
         self.segments = re.compile(f"[{apart}]|{MARK}+[^{MARK}{apart}]*|[^{MARK}{apart}]+" if apart else f"{MARK}+[^{MARK}]*|[^{MARK}]+").findall
-        self.max_segments, self.totals = max_segments, {}
+        self.max_segments = max_segments
+        self.kept: dict[str, array] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.built: dict[str, tuple | None] = {}
         self.heads: dict[str, tuple[list[int], list[str]]] = {}
@@ -114,7 +123,7 @@ class PrefixCounter:
         """Tokens of segment[:i] for i from 1 to its length."""
         if len(segment) > HEAD:  # many segments begin alike: their first prefixes are known
             if (known := self.heads.get(segment[:HEAD])) is None:
-                if len(self.heads) >= self.max_segments // 4:
+                if len(self.heads) >= self.max_segments:
                     self.heads.clear()
                 known = self.heads[segment[:HEAD]] = self._extend(segment[:HEAD], [0], [""])
             return self._extend(segment, [*known[0]], [*known[1]])[0][1:]
@@ -141,7 +150,7 @@ class PrefixCounter:
             for begin, token in reversed(found):
                 fit = pairs.get((last[begin], token))
                 if fit is None:
-                    if len(pairs) >= 2 * self.max_segments:
+                    if len(pairs) >= 5 * self.max_segments:
                         pairs.clear()
                     fit = pairs[last[begin], token] = self.fits(last[begin], token)
                 if fit:
@@ -152,64 +161,77 @@ class PrefixCounter:
                 raise AssertionError(f"no token ends prefix {end} of {segment!r}")
         return counts, last
 
-    def total(self, segment: str) -> int:
-        """Tokens of the segment: its last prefix's count, kept for the next time."""
-        totals = self.totals
-        if len(totals) >= self.max_segments:
-            totals.clear()
-        got = self.prefix_counts(segment)[-1]
-        if len(segment) <= 64:
-            totals[segment] = got
+    def counts(self, segment: str) -> array:
+        """The segment's prefix counts as an array."""
+        got = self.kept.get(segment)
+        if got is None:
+            plain = self.prefix_counts(segment)
+            got = array("H" if plain[-1] < 1 << 16 else "I", plain)
+            if len(segment) <= SHORT:
+                if len(self.kept) >= self.max_segments:
+                    self.kept.clear()
+                self.kept[segment] = got
         return got
 
     def split(self, text: str) -> list[str]:
         return self.segments((MARK + text).replace(" ", MARK)) if text else []
 
-    def all_prefixes(self, text: str) -> list[int]:
+    def prefixes(self, text: str) -> Prefixes:
+        return Prefixes([*map(self.counts, self.split(text))])
+
+
+class Prefixes:
+    """The token counts of all prefixes of a text: its segments' arrays and the count before each."""
+
+    def __init__(self, arrays: list[array]):
+        self.arrays = arrays
+        self.before = list(accumulate((a[-1] for a in arrays), initial=0))
+
+    @property
+    def total(self) -> int:
+        return self.before[-1]
+
+    def all(self) -> list[int]:
         """Tokens of text[:i] for i from 0 to its length. The mark before the text is no character of it."""
-        base, out = 0, []
-        for s in self.split(text):
-            own = self.prefix_counts(s)
-            out += [base + x for x in own]
-            base += own[-1]
-        return [0, *out[1:]] if text else [0]
-
-    def measure(self, text: str, limit: int) -> tuple[int, int]:
-        """Tokens of the text, and the length of its longest prefix of at most limit tokens."""
-        segments, known = self.split(text), self.totals.get
-        total, chars, fit = 0, -1, 0
-        for s in segments:
-            total += known(s) or self.total(s)
-        if total <= limit:
-            return total, len(text)
-        base = 0
-        for s in segments:
+        out = [base + x for base, a in zip(self.before, self.arrays, strict=False) for x in a]
+        return [0, *out[1:]] if out else [0]
+
+    def within(self, limit: int) -> int:
+        """Characters of the longest prefix of at most limit tokens."""
+        if self.total <= limit:
+            return max(0, sum(map(len, self.arrays)) - 1)
+        best = chars = -1  # the mark before the text
+        for base, a in zip(self.before, self.arrays, strict=False):
             if base > limit:
                 break
-            whole = known(s) or self.total(s)
-            if base + whole <= limit:
-                fit = chars + len(s)
-            else:
-                fit = max([fit, *(chars + i + 1 for i, x in enumerate(self.prefix_counts(s)) if base + x <= limit)])
-            base += whole
-            chars += len(s)
-        return total, max(0, fit)
+            if base + a[-1] <= limit:
+                best = chars + len(a)
+            else:  # counts may fall again where a token takes in more characters
+                best = max([best, *(chars + i for i, x in enumerate(a, 1) if base + x <= limit)])
+            chars += len(a)
+        return max(0, best)
+
 
+def count_tokens(docs: DataFrame, model: str, limit: int = 4096, prefixes: bool = False) -> DataFrame:
+    """(doc_id, n_bytes, n_tokens, over_limit, fit_chars): fit_chars, the longest prefix within the limit, in code points.
 
-def count_tokens(docs: DataFrame, model: str, limit: int = 4096) -> DataFrame:
-    """(doc_id, n_bytes, n_tokens, over_limit, fit_chars): fit_chars, the longest prefix within the limit, in code points."""
+    With prefixes, also prefix_tokens: the array of the counts of all prefixes, from the empty one on.
+    """
+    schema = "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fit_chars long" + ", prefix_tokens array<int>" * prefixes
+    kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.int32()))
 
     def run(batches):
         counter = PrefixCounter(model)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            got = [counter.measure(t, limit) for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array([g[0] for g in got], pa.int64()), pa.array([g[0] > limit for g in got], pa.bool_()), pa.array([g[1] for g in got], pa.int64())],
-                ["doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars"],
-            )
-
-    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fit_chars long")
+            rows = []
+            for t in batch.column("text"):
+                t = t.as_py()
+                p = counter.prefixes(t)
+                rows.append((len(t.encode()), p.total, p.total > limit, p.within(limit), *([p.all()] if prefixes else [])))
+            columns = zip(*rows, strict=True) if rows else [()] * (4 + prefixes)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=False))], [f.split()[0] for f in schema.split(", ")])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, schema)
 
 
 def op3_token_counts(spark, sf_dir: str) -> DataFrame:

@@ -273,8 +273,26 @@ def test_token_counts_of_every_prefix(docs, empty):
     counter, rng = tokens.PrefixCounter(model), random.Random(4)
     for _ in range(300):
         t = "".join(rng.choice("ab  \n\té中▁\x00<s>The ing") for _ in range(rng.randrange(25)))
-        assert counter.all_prefixes(t) == [len(sp.encode(t[:i])) for i in range(len(t) + 1)]
-        assert counter.measure(t, 4)[1] == max(i for i in range(len(t) + 1) if len(sp.encode(t[:i])) <= 4)
+        p, plain = counter.prefixes(t), [len(sp.encode(t[:i])) for i in range(len(t) + 1)]
+        assert p.all() == plain and p.total == plain[-1]
+        assert p.within(4) == max(i for i in range(len(t) + 1) if plain[i] <= 4)
+    some = docs.where("doc_id IN (0, 1, 4, 13, 14, 15)").select("doc_id", "text")
+    text = dict(some.collect())
+    for r in tokens.count_tokens(some, model, limit=50, prefixes=True).collect():
+        t = text[r.doc_id] or ""
+        assert r.prefix_tokens[-1] == r.n_tokens and len(r.prefix_tokens) == len(t) + 1 and r.prefix_tokens[r.fit_chars] <= 50
+        assert all(r.prefix_tokens[i] == len(sp.encode(t[:i])) for i in range(0, len(t), 37))
+
+
+def test_a_prefix_is_computed_once(monkeypatch):
+    public = pytest.importorskip("public_tokenizers")
+    counter, calls = tokens.PrefixCounter(public.path("piece_bpe_32k.model")), Counter()
+    plain = counter.prefix_counts
+    monkeypatch.setattr(counter, "prefix_counts", lambda s: calls.update([s]) or plain(s))
+    for text in ("the rain the rain the rain " * 40, "x" * 3000 + " rain"):
+        p = counter.prefixes(text)
+        assert p.within(10) < p.within(100) and p.total > 100
+    assert max(calls.values()) == 1
 
 
 def test_levenshtein_automaton():
@@ -437,11 +455,26 @@ def test_decontamination(spark, docs, empty, block_bytes):
     small = docs.where("doc_id IS NULL OR doc_id NOT IN (11, 12)")
     got = decontaminate.hits(decontaminate.search(small, bench, block_bytes=block_bytes)).collect()
     assert Counter((r.doc_id, r.n_words, r.n_hit, tuple(sorted(r["items"]))) for r in got) == Counter((r[0], *plain(r[1])) for r in rows() if r[0] not in (11, 12))
-    kept = decontaminate.clean(docs, bench)
+    kept = decontaminate.clean(docs, bench, block_bytes=block_bytes)
     assert kept.columns == docs.columns and Counter(r.doc_id for r in kept.collect() if r.doc_id not in (11, 12)) == Counter(r[0] for r in rows() if r[0] not in (11, 12) and not plain(r[1])[1])
     assert decontaminate.search(empty, bench).count() == 0 and decontaminate.clean(docs, bench.limit(0)).count() == docs.count()
 
 
+def test_decontamination_tables_stay_small():
+    import tracemalloc
+
+    rng = random.Random(2)
+    items = [(str(i), " ".join(f"w{rng.randrange(30_000)}" for _ in range(300))) for i in range(1500)]
+    size = sum(len(t) for _, t in items)
+    tracemalloc.start()
+    matcher = decontaminate.Matcher(items)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 * size  # 320 MB for a block of 8 MB
+    words = decontaminate.words_of("some words then " + " ".join(items[7][1].split()[5:30]) + " and more")
+    assert matcher.find(words) == ([(3, 28)], {7})
+
+
 @pytest.mark.parametrize("block", [64, 8192])
 def test_topk(spark, block):
     rng = random.Random(6)
