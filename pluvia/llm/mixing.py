@@ -1,6 +1,6 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
-Each document gets a hash-random key (md5 of its id). Within its source, documents are ordered
+Each document gets a hash-random key (md5 of its id and its text's md5). Within its source, documents are ordered
 by key; their words' prefix sums are computed in two levels: sums of key ranges (the key's
 first digits), running sums of those ranges, and running sums within a range. A source with a
 budget of several times its size repeats whole epochs; the rest of the budget is cut exactly,
@@ -9,10 +9,12 @@ the document at the cut giving only its first words.
 A source's target is its weight's share of all words, at most three times its size; what
 exceeds that is reshared by weight (water filling, in closed form over the sources).
 
-A null text has size 0 and takes 0. A null source is a source, the last one. Null ids sort
-first within their source; rows with equal ids follow one another in an order that depends
-only on their sizes, so repeated rows give the same rows in every run. An empty table gives
-no rows; if all sizes are 0, all targets are 0.
+A null text has size 0 and takes 0. A null source is a source, the last one. A null id counts
+as an empty one: rows of one id, or without one, have keys of their own as long as their texts
+differ, so they are spread like others. Rows that repeat whole have one key; they are
+interchangeable, so every run gives the same rows. An empty table gives no rows; if all sizes
+are 0, all targets are 0. Sources themselves (not documents) are ordered in one task, so there
+may be as many as one task sorts. Columns other than doc_id, source and text are ignored.
 """
 
 from __future__ import annotations
@@ -31,11 +33,12 @@ MOST = 3
 def sized(docs: DataFrame) -> DataFrame:
     """(doc_id, source, size, key): words of the text, hash-random key."""
     size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size.alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("key"))
+    key = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit("")).cast("binary"))).cast("binary"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), key.alias("key"))
 
 
 def targets(sources: DataFrame) -> DataFrame:
-    """(source, source_size, target) from one row for each source."""
+    """(source, source_size, target) from one row for each source; these rows are ordered in one task."""
     order = Window.orderBy(F.col("source").asc_nulls_last())
     weighed = sources.withColumn("weight", ((F.row_number().over(order) - 1) % 3 + 1).cast("double")).withColumn("cap", F.lit(MOST) * F.col("source_size"))
     # sources fill up in the order of their caps for each unit of weight
@@ -74,7 +77,7 @@ def op7_mix_sources(spark, sf_dir: str) -> DataFrame:
 
 
 ORACLE_OP7 = r"""
-WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM documents),
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))) AS key FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS weight, 3 * source_size AS cap FROM s),
 f AS (SELECT *, row_number() OVER (ORDER BY cap / weight, source NULLS LAST) AS k FROM w),
