@@ -14,23 +14,56 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor and the driver can reach; a local one only where the session names none."""
+    """The folder every executor and the driver can reach, as spark.checkpoint.dir names it.
+
+    Where the session names none, a local session gets a temporary one; on a cluster that is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = known.get() if known.isDefined() else None
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="pluvia-")
-        spark.sparkContext.setCheckpointDir(base)
+        spark.conf.set("spark.checkpoint.dir", base)
     return base if "://" in base or base.startswith("file:") else f"file://{base}"
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage and survives the loss of executors."""
+    return stored(df, tag)[0]
+
+
+def stored(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
+    """As written(), with the table's path."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/pluvia/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a table of stored() that no plan reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: At most so many keys are hot: each holds at least this share of all rows.
+HOT_SHARE = 1000
+
+
+def split_join(left: DataFrame, right: DataFrame, key: str, rows: int, counts: DataFrame | None = None) -> DataFrame:
+    """left joined (inner) with right, which holds each key once; no key of left, however frequent, goes to one task.
+
+    rows bounds left's rows. Keys with more than rows / HOT_SHARE rows are at most HOT_SHARE, so their rows of
+    right are broadcast; all others meet in a shuffle. counts (key, n) saves counting again.
+    """
+    least = max(64, -(-rows // HOT_SHARE))
+    counted = counts if counts is not None else left.groupBy(key).agg(F.count("*").alias("n"))
+    hot = right.join(F.broadcast(counted.where(F.col("n") > least).select(key)), key)  # HOT_SHARE keys at most, by count
+    cold = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(right, key)
+    return cold.unionByName(left.join(F.broadcast(hot), key))
 
 
 def text_of(column: str = "text") -> Column:

@@ -623,6 +623,8 @@ def test_simhash(spark, docs, empty):
         for f in fps:
             expected.setdefault(find(f), set()).add(f)
         assert sorted(map(sorted, groups.values())) == sorted(map(sorted, expected.values()))
+    odd = docs.withColumn("__row", F.lit(1)).withColumn("root", F.lit("r"))
+    assert simhash.keep_one(odd).columns == odd.columns
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
     ids = Counter(r.doc_id for r in kept.collect())
@@ -630,6 +632,37 @@ def test_simhash(spark, docs, empty):
     assert simhash.keep_one(empty).count() == 0
 
 
+def test_fingerprints_of_long_texts_are_made_piece_by_piece(monkeypatch):
+    texts = [prose(400, random.Random(i)) for i in range(5)] + ["  a b\tc \n d", "a b c", " ", "x" * 300 + " y z w v"]
+    whole = [simhash.fingerprint(t) for t in texts]
+    for piece in (1, 7, 64):
+        monkeypatch.setattr(simhash, "PIECE", piece)
+        assert [simhash.fingerprint(t) for t in texts] == whole
+
+
+def test_near_duplicate_classes(spark, monkeypatch):
+    from pluvia.llm import common
+
+    rng = random.Random(4)
+    base = [rng.getrandbits(63) for _ in range(30)]
+    prints = [(i, b ^ (1 << rng.randrange(60)) ^ (1 << rng.randrange(60))) for i, b in enumerate(base * 8)] + [(1000 + i, base[0]) for i in range(300)] + [(5, 0), (5, 0), (None, 0), (None, (1 << 62) - 1)]
+    rows = spark.createDataFrame([(d, k, f) for k, (d, f) in enumerate(prints)], "doc_id long, row long, fp long")
+    group = list(range(len(prints)))
+    for i, (_, f) in enumerate(prints):
+        for j in range(i):
+            if (f ^ prints[j][1]).bit_count() <= 4 and group[i] != group[j]:
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    least = {}
+    for (d, _), g in zip(prints, group, strict=True):
+        if d is not None:
+            least[g] = min(d, least.get(g, d))
+    for share in (1000, 100_000):
+        monkeypatch.setattr(common, "HOT_SHARE", share)
+        got = simhash.classes(rows).collect()
+        assert Counter((r.doc_id, r.fingerprint, r.component_id) for r in got) == Counter((d, f"{f:016x}", least.get(g)) for (d, f), g in zip(prints, group, strict=True))
+
+
 @pytest.mark.parametrize("hot", [1000, 2])
 def test_repeats(spark, docs, empty, hot):
     got = repeats.remove_repeats(docs, hot=hot).collect()
