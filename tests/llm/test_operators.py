@@ -685,9 +685,37 @@ def test_repeats_survive_colliding_hashes(monkeypatch):
     rng = np.random.default_rng(1)
     texts = [bytes(rng.integers(97, 99, 260).tolist()) for _ in range(6)]
     texts[3] = texts[0][:230] + texts[3][230:]
-    monkeypatch.setattr(repeats, "_powers", lambda n: (np.zeros(256, np.uint64), np.ones(n, np.uint64), np.ones(n, np.uint64)))
+    monkeypatch.setattr(repeats, "_powers", lambda n, seed: (np.zeros(256, np.uint64), np.ones(n, np.uint64), np.ones(n, np.uint64)))
     n = np.full(6, 61)
     runs = repeats.repeated_windows(repeats.Hasher(4000), np.zeros(6, int), np.ones(6, int), n, n - 1, texts)
     count = Counter(t[i : i + 200] for t in texts for i in range(61))
     repeated = [{i for i in range(61) if count[t[i : i + 200]] > 1} for t in texts]
     assert len(repeated[0]) > 30 and [{i for a, b in r for i in range(a, b + 1)} for r in runs] == repeated
+
+
+def test_periodic_texts_give_few_rows():
+    import pyarrow as pa
+
+    for text, most in (("a" * 600_000, 20), ("abc" * 200_000, 30), ("x" * 300 + "y" * 300, 250)):
+        batch = pa.RecordBatch.from_arrays([pa.array([3]), pa.array([text])], ["row", "text"])
+        got = pa.Table.from_batches(repeats._segments([batch], repeats.SEED)).to_pylist()
+        assert len(got) <= most and sum(r["n"] for r in got) > 1
+        assert len(text) < 1000 or sum(r["windows"] for r in got if r["n"] == 0) >= len(text) - 300
+
+
+def test_names_that_clash_are_told_and_equal_rows_are_one():
+    import pyarrow as pa
+
+    a, b = b"a" * 100 + b"b" * 120, b"c" * 220
+    rows = [(1, 5, 1, 21, 60, a), (1, 5, 2, 21, 60, a), (1, 5, 1, 21, 60, b), (2, 5, 1, 21, 60, b)]
+    columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), repeats.CUT_KINDS, strict=True)]
+    got = pa.Table.from_batches(repeats._sorted_groups([pa.RecordBatch.from_arrays(columns, repeats._names(repeats.CUT))])).to_pylist()
+    assert [(r["anchor"], r["clash"], [(x["a"], x["b"]) for x in r["runs"]]) for r in got] == [(1, False, [(0, 20)]), (1, True, []), (2, False, [])]
+
+
+def test_repeats_of_a_long_text(spark):
+    rng = random.Random(3)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(700_000))
+    texts = [long, long[300_000:301_000], "q" * 1_000_000, long[5:180] + "!" + long[400_000:400_220]]
+    got = {r.doc_id: r for r in repeats.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)).collect()}
+    assert [(got[i].n_bytes, got[i].n_removed, got[i].n_spans) for i in range(4)] == [(700_000, 1220, 2), (1000, 1000, 1), (1_000_000, 1_000_000, 1), (396, 220, 1)]
