@@ -7,34 +7,44 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def _union(left: DataFrame, right: DataFrame, key: str, time: str, value: str) -> DataFrame:
+    """(key, time, side, row, x): rows of the left, x of the right, for windows by key."""
+    rows = left.select(key, time, F.lit(1).alias("side"), F.struct(*left.columns).alias("row"), F.lit(None).cast("struct<t:bigint,v:double>").alias("x"))
+    values = right.select(key, time, F.lit(0).alias("side"), F.lit(None).cast(rows.schema["row"].dataType).alias("row"), F.struct(F.col(time).cast("long").alias("t"), F.col(value).cast("double").alias("v")).alias("x"))
+    return rows.unionByName(values)
+
+
 def backward(left: DataFrame, right: DataFrame, key: str, time: str, value: str, tolerance: int) -> DataFrame:
     """left with the value of right's latest row at or before its time, NULL if that is older than the tolerance.
 
-    Both sides go through one window by key: a shuffle, no pairs.
+    Both sides go through one window by key and stretch of time as long as the tolerance, to which the values of
+    the stretch before are added: a shuffle, no pairs, and a frequent key is many windows.
     """
-    rows = left.select(key, time, F.lit(1).alias("side"), F.struct(*left.columns).alias("row"), F.lit(None).cast("struct<t:bigint,v:double>").alias("x"))
-    values = right.select(key, time, F.lit(0).alias("side"), F.lit(None).cast(rows.schema["row"].dataType).alias("row"), F.struct(F.col(time).cast("long").alias("t"), F.col(value).cast("double").alias("v")).alias("x"))
-    order = Window.partitionBy(key).orderBy(time, "side", F.col("x.v")).rowsBetween(Window.unboundedPreceding, 0)
-    seen = rows.unionByName(values).withColumn("last", F.last("x", True).over(order)).where("side = 1")
+    stretch = F.floor(F.col(time) / max(1, tolerance))
+    both = _union(left, right, key, time, value)
+    spread = both.withColumn("stretch", F.explode(F.when(F.col("side") == 1, F.array(stretch)).otherwise(F.array(stretch, stretch + 1))))
+    order = Window.partitionBy(key, "stretch").orderBy(time, "side", F.col("x.v")).rowsBetween(Window.unboundedPreceding, 0)
+    seen = spread.withColumn("last", F.last("x", True).over(order)).where("side = 1")
     fresh = F.col(time) - F.col("last.t") <= tolerance
     return seen.select("row.*", F.when(fresh, F.col("last.v")).alias(value))
 
 
+def _around(left: DataFrame, right: DataFrame, key: str, time: str, value: str) -> DataFrame:
+    """Rows of the left with the samples at or before (a) and at or after (b) their times. A key's rows are ordered in one task."""
+    before = Window.partitionBy(key).orderBy(time).rangeBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy(key).orderBy(time).rangeBetween(0, Window.unboundedFollowing)
+    return _union(left, right, key, time, value).withColumn("a", F.last("x", True).over(before)).withColumn("b", F.first("x", True).over(after)).where("side = 1")
+
+
 def linear(left: DataFrame, right: DataFrame, key: str, time: str, value: str) -> DataFrame:
     """left with right's value at its time, linear between the samples around it; NULL outside them. Sample times are distinct."""
-    rows = left.select(key, time, F.lit(1).alias("side"), F.struct(*left.columns).alias("row"), F.lit(None).cast("struct<t:bigint,v:double>").alias("x"))
-    values = right.select(key, time, F.lit(0).alias("side"), F.lit(None).cast(rows.schema["row"].dataType).alias("row"), F.struct(F.col(time).cast("long").alias("t"), F.col(value).cast("double").alias("v")).alias("x"))
-    order = Window.partitionBy(key).orderBy(time).rangeBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(key).orderBy(time).rangeBetween(0, Window.unboundedFollowing)
-    seen = rows.unionByName(values).withColumn("a", F.last("x", True).over(order)).withColumn("b", F.first("x", True).over(ahead)).where("side = 1")
-    a, b = F.col("a"), F.col("b")
+    seen, a, b = _around(left, right, key, time, value), F.col("a"), F.col("b")
     between = a["v"] + (b["v"] - a["v"]) * (F.col(time) - a["t"]) / (b["t"] - a["t"])
     return seen.select("row.*", F.when(a.isNull() | b.isNull(), None).when(a["t"] == b["t"], a["v"]).otherwise(between).alias(value))
 
 
-def nearest(left: DataFrame, right: DataFrame, key: str, time: str, value: str, bucket: int) -> DataFrame:
-    """left with the value of the nearest row of right within the bucket's length, the earlier one on ties: an equi-join on time buckets."""
-    mine = left.withColumn("__b", F.explode(F.array(*(F.floor(F.col(time) / bucket) + i for i in (-1, 0, 1)))))
-    theirs = right.select(F.col(key).alias("__k"), F.floor(F.col(time) / bucket).alias("__b2"), F.col(time).alias("__t"), F.col(value).alias("__v"))
-    met = mine.join(theirs, (F.col(key) == F.col("__k")) & (F.col("__b") == F.col("__b2")) & (F.abs(F.col(time) - F.col("__t")) <= bucket), "left")
-    return met.groupBy(*left.columns).agg(F.min_by("__v", F.when(F.col("__t").isNotNull(), F.struct(F.abs(F.col(time) - F.col("__t")), "__t"))).alias(value))
+def nearest(left: DataFrame, right: DataFrame, key: str, time: str, value: str) -> DataFrame:
+    """left with the value of the nearest row of right, however far; the earlier one on ties, NULL without any. Sample times are distinct."""
+    seen, a, b = _around(left, right, key, time, value), F.col("a"), F.col("b")
+    later = a.isNull() | (b["t"] - F.col(time) < F.col(time) - a["t"])
+    return seen.select("row.*", F.when(later, b["v"]).otherwise(a["v"]).alias(value))

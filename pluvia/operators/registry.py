@@ -43,6 +43,17 @@ def _flow_forecasts(frames: DataFrame, issues: DataFrame, name: str, steps: int,
     return rows.mapInArrow(run, motion.FORECAST)
 
 
+def history(name: str) -> int:
+    """Frames up to the issue that a model needs; without them it gives no forecast."""
+    if name in FLOWS:
+        return FLOWS[name]
+    if name in CASCADES:
+        return 3
+    if name in SIZED or name in HALF_LIVES:
+        return 2
+    return 1 if name == "persistence" else (motion.BLOCK_MODELS.get(name) or motion.VECTOR_MODELS[name])[0]
+
+
 def forecasts(name: str, cells: DataFrame, issues: DataFrame, steps: int, grid: GridSpec = TRIAL, block: int = 8, radius: int = 2) -> DataFrame:
     """Forecasts of one model at the issue frames (f); issues without the model's whole history give none."""
     frames, when = raster.frames(cells, grid), issues.select("f").distinct()

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import uuid
 
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,6 +13,7 @@ from pluvia.plans import trial
 from pluvia.plans.trial import sql
 from pluvia.sources import raster
 from pluvia.sources.raster import table
+from pluvia.sources.shared import stored
 from pluvia.spec import GRIDS, RADARS, TRIAL
 
 QUERIES, ORACLE = {}, {}
@@ -34,22 +34,6 @@ def r6(c):
     return F.round(c, 6)
 
 
-def stored(spark):
-    """A writer of tables between the rounds of a loop: in the session's shared folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="pluvia-")
-
-    def write(df):
-        path = f"{base}/pluvia/loop-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
-    return write
-
-
 def stations(spark, sf_dir):
     """Customers as stations: places from their keys."""
     k = F.col("c_custkey")
@@ -206,23 +190,23 @@ def point_reading(spark, sf_dir):
 
 
 def _events(spark, sf_dir, kind):
-    return table(spark, sf_dir, "events").where(F.col("event_type") == kind).select("event_id", F.pmod("user_id", F.lit(16)).alias("k"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("t"), F.round("value", 2).alias("value"))
+    return table(spark, sf_dir, "events").where(F.col("event_type") == kind).select("event_id", F.col("user_id").alias("k"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("t"), F.round("value", 2).alias("value"))
 
 
 def _samples(spark, sf_dir):
     """One sample for each key and second."""
-    return table(spark, sf_dir, "events").where("event_type <> 'click'").select(F.pmod("user_id", F.lit(16)).alias("k"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("t"), "value").groupBy("k", "t").agg(F.round(F.max("value"), 2).alias("value"))
+    return table(spark, sf_dir, "events").where("event_type <> 'click'").select(F.col("user_id").alias("k"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("t"), "value").groupBy("k", "t").agg(F.round(F.max("value"), 2).alias("value"))
 
 
 _EV = {
-    "l": "SELECT event_id, user_id % 16 AS k, CAST(floor(epoch(ts)) AS BIGINT) AS t FROM events WHERE event_type = 'click'",
-    "s": "SELECT user_id % 16 AS k, CAST(floor(epoch(ts)) AS BIGINT) AS t, round(max(value), 2) AS value FROM events WHERE event_type <> 'click' GROUP BY ALL",
+    "l": "SELECT event_id, user_id AS k, CAST(floor(epoch(ts)) AS BIGINT) AS t FROM events WHERE event_type = 'click'",
+    "s": "SELECT user_id AS k, CAST(floor(epoch(ts)) AS BIGINT) AS t, round(max(value), 2) AS value FROM events WHERE event_type <> 'click' GROUP BY ALL",
 }
 
 
-@query(sql("SELECT event_id, k, t, CASE WHEN t - st <= 1200 THEN value END AS value FROM (SELECT l.event_id, l.k, l.t, s.t AS st, s.value FROM l ASOF LEFT JOIN s ON l.k = s.k AND l.t >= s.t)", **_EV))
+@query(sql("SELECT event_id, k, t, CASE WHEN t - st <= 43200 THEN value END AS value FROM (SELECT l.event_id, l.k, l.t, s.t AS st, s.value FROM l ASOF LEFT JOIN s ON l.k = s.k AND l.t >= s.t)", **_EV))
 def asof_backward(spark, sf_dir):
-    return asof.backward(_events(spark, sf_dir, "click").drop("value"), _samples(spark, sf_dir), "k", "t", "value", 1200)
+    return asof.backward(_events(spark, sf_dir, "click").drop("value"), _samples(spark, sf_dir), "k", "t", "value", 43200)
 
 
 @query(sql("SELECT event_id, k, t, round(CASE WHEN ta IS NULL OR tb IS NULL THEN NULL WHEN ta = tb THEN av ELSE av + (bv - av) * (t - ta) / (tb - ta) END, 6) AS value FROM (SELECT a.*, b.t AS tb, b.value AS bv FROM (SELECT l.event_id, l.k, l.t, s.t AS ta, s.value AS av FROM l ASOF LEFT JOIN s ON l.k = s.k AND l.t >= s.t) a ASOF LEFT JOIN s b ON a.k = b.k AND a.t <= b.t)", **_EV))
@@ -230,9 +214,9 @@ def asof_linear(spark, sf_dir):
     return asof.linear(_events(spark, sf_dir, "click").drop("value"), _samples(spark, sf_dir), "k", "t", "value").withColumn("value", r6("value"))
 
 
-@query(sql("SELECT event_id, k, t, value FROM (SELECT l.event_id, l.k, l.t, s.value, row_number() OVER (PARTITION BY l.event_id ORDER BY abs(l.t - s.t), s.t) AS n FROM l LEFT JOIN s ON l.k = s.k AND abs(l.t - s.t) <= 3600) WHERE n = 1", **_EV))
+@query(sql("SELECT event_id, k, t, value FROM (SELECT l.event_id, l.k, l.t, s.value, row_number() OVER (PARTITION BY l.event_id ORDER BY abs(l.t - s.t), s.t) AS n FROM l LEFT JOIN s ON l.k = s.k) WHERE n = 1", **_EV))
 def nearest_in_time(spark, sf_dir):
-    return asof.nearest(_events(spark, sf_dir, "click").drop("value"), _samples(spark, sf_dir), "k", "t", "value", 3600)
+    return asof.nearest(_events(spark, sf_dir, "click").drop("value"), _samples(spark, sf_dir), "k", "t", "value")
 
 
 @query("SELECT a.event_id, a.user_id, CAST(floor(epoch(a.ts) / 300 + 0.5) AS BIGINT) AS slot, round(b.value, 2) AS truth FROM events a JOIN (SELECT user_id, CAST(floor(epoch(ts) / 300 + 0.5) AS BIGINT) AS slot, max(value) AS value FROM events WHERE event_type <> 'click' GROUP BY ALL) b ON a.user_id = b.user_id AND CAST(floor(epoch(a.ts) / 300 + 0.5) AS BIGINT) = b.slot WHERE a.event_type = 'click' AND a.event_id NOT IN (SELECT event_id FROM events WHERE value < 10)")
@@ -244,19 +228,21 @@ def pending_scored(spark, sf_dir):
     return e.where("event_type = 'click'").join(done, "event_id", "left_anti").join(truth, ["user_id", "slot"]).select("event_id", "user_id", "slot", "truth")
 
 
-@query("SELECT o.o_orderkey, CASE WHEN n.o_orderkey IS NOT NULL THEN round(o.o_totalprice * 1.1, 2) ELSE o.o_totalprice END AS price, n.o_orderkey IS NOT NULL AS updated FROM orders o LEFT JOIN (SELECT DISTINCT l_orderkey AS o_orderkey FROM lineitem WHERE l_returnflag = 'R') n USING (o_orderkey)")
+@query("SELECT o.o_orderkey, CASE WHEN n.o_orderkey IS NOT NULL THEN (11 * cents + 5) // 10 ELSE cents END AS cents, n.o_orderkey IS NOT NULL AS updated FROM (SELECT o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders) o LEFT JOIN (SELECT DISTINCT l_orderkey AS o_orderkey FROM lineitem WHERE l_returnflag = 'R') n USING (o_orderkey)")
 def column_update(spark, sf_dir):
-    """One column rewritten where the newer table has the key."""
-    old = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    """One column, in whole cents, rewritten where the newer table has the key; a newer key that the old table lacks is an error."""
+    old = table(spark, sf_dir, "orders").select("o_orderkey", F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
     new = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey")).distinct().withColumn("hit", F.lit(True))
-    return old.join(new, "o_orderkey", "left").select("o_orderkey", F.when(F.col("hit"), F.round(F.col("o_totalprice") * 1.1, 2)).otherwise(F.col("o_totalprice")).alias("price"), F.coalesce("hit", F.lit(False)).alias("updated"))
+    both = old.join(new, "o_orderkey", "full")
+    known = F.when(F.col("cents").isNull(), F.raise_error(F.concat(F.lit("no such order: "), F.col("o_orderkey").cast("string"))).cast("long")).otherwise(F.col("cents"))
+    return both.select("o_orderkey", F.when(F.col("hit"), F.expr("(11 * cents + 5) div 10") + 0 * known).otherwise(known).alias("cents"), F.coalesce("hit", F.lit(False)).alias("updated"))
 
 
-@query("SELECT DISTINCT CAST(floor(epoch(ts) / 86400) AS BIGINT) AS day FROM events WHERE CAST(floor(epoch(ts) / 86400) AS BIGINT) NOT IN (SELECT CAST(floor(epoch(ts) / 86400) AS BIGINT) FROM events WHERE user_id = 7)")
+@query("SELECT DISTINCT CAST(floor(epoch(ts) / 3600) AS BIGINT) AS hour FROM events WHERE CAST(floor(epoch(ts) / 3600) AS BIGINT) NOT IN (SELECT CAST(floor(epoch(ts) / 3600) AS BIGINT) FROM events WHERE event_type = 'purchase')")
 def incremental_days(spark, sf_dir):
-    """Days that the index, here the days of one user, lacks."""
-    e = table(spark, sf_dir, "events").select("user_id", F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 86400).alias("day"))
-    return e.select("day").distinct().join(e.where("user_id = 7").select("day"), "day", "left_anti")
+    """Hours that the index, here the hours of purchases, lacks."""
+    e = table(spark, sf_dir, "events").select("event_type", F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 3600).alias("hour"))
+    return e.select("hour").distinct().join(e.where("event_type = 'purchase'").select("hour").distinct(), "hour", "left_anti")
 
 
 # --- stations and cities
@@ -340,7 +326,7 @@ def rank_corr(spark, sf_dir):
 
 def _series(spark, sf_dir):
     """(k, t, mm, kind): observed hours, then a nowcast, then an outlook only after the nowcast's end."""
-    e = table(spark, sf_dir, "events").select(F.pmod("user_id", F.lit(8)).alias("k"), F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 3600).alias("t"), "event_type", "value")
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("k"), F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 3600).alias("t"), "event_type", "value")
     hourly = e.groupBy("k", "t").agg(F.round(F.sum("value"), 2).alias("mm"))
     top = hourly.agg(F.max("t").alias("end"))
     placed = hourly.join(F.broadcast(top)).withColumn("kind", F.when(F.col("t") <= F.col("end") - 48, "observed").when(F.col("t") <= F.col("end") - 24, "nowcast"))  # one row
@@ -351,7 +337,7 @@ def _series(spark, sf_dir):
 
 
 _SER = {
-    "hourly": "SELECT user_id % 8 AS k, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS t, round(sum(value), 2) AS mm FROM events GROUP BY ALL",
+    "hourly": "SELECT user_id AS k, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS t, round(sum(value), 2) AS mm FROM events GROUP BY ALL",
     "fin": "SELECT max(t) AS fin FROM hourly",
     "placed": "SELECT k, t, mm, CASE WHEN t <= fin - 48 THEN 'observed' WHEN t <= fin - 24 THEN 'nowcast' END AS kind FROM hourly, fin",
     "series": "SELECT * FROM placed WHERE kind IS NOT NULL UNION ALL SELECT k, t, mm, 'outlook' FROM hourly h, fin WHERE t > fin - 36 AND t > coalesce((SELECT max(t) FROM placed p WHERE p.k = h.k AND kind = 'nowcast'), -1)",

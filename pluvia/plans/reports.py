@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -10,7 +12,7 @@ from pluvia.operators import pool, registry, score
 from pluvia.plans import analyses, movement, trial, verification
 from pluvia.plans.analyses import _ST, MAIN, stations
 from pluvia.plans.trial import sql
-from pluvia.sources import raster
+from pluvia.sources import raster, shared
 from pluvia.sources.raster import table
 
 QUERIES, ORACLE = {}, {}
@@ -34,7 +36,7 @@ def r6(c):
 def gauge_faulty(spark, sf_dir):
     """Stations whose total is under half the median of their three nearest neighbours'."""
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("area"), F.col("s_acctbal").alias("v"), (F.col("s_suppkey") * 37 % 1000).cast("double").alias("lon"), (F.col("s_suppkey") * 61 % 1000).cast("double").alias("lat"))
-    near = G.nearest(s.select("area", "id", F.col("lon").alias("x"), F.col("lat").alias("y")), 3, analyses.stored(spark))
+    near = G.nearest(s.select("area", "id", F.col("lon").alias("x"), F.col("lat").alias("y")), 3, shared.stored(spark))
     near = near.join(s.select("id", "v"), "id").join(s.select(F.col("id").alias("other"), F.col("v").alias("nv")), "other")
     return near.groupBy("id").agg(F.max("v").alias("v"), r6(F.percentile("nv", F.lit(0.5))).alias("median3")).where("v < 0.5 * median3")
 
@@ -92,15 +94,8 @@ def summary_lines(spark, sf_dir):
 @query(sql("SELECT event, f, model, lead, n, sum_f, sum_t, round(corr, 6) AS corr FROM counts", "counts"))
 def jsonl_round_trip(spark, sf_dir):
     """Score rows written as lines of JSON and read back with their schema; absent keys are NULL."""
-    import uuid
-
     rows = score.counts(trial.pairs(spark, sf_dir)).select("event", "f", "model", "lead", "n", "sum_f", "sum_t", r6("corr").alias("corr"))
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="pluvia-")
-    path = f"{base}/pluvia/rows-{uuid.uuid4().hex}"
+    path = shared.path(spark, "rows")
     rows.write.json(path)
     return spark.read.schema(rows.schema).json(path)
 
@@ -140,11 +135,11 @@ def paired_log_ratio(spark, sf_dir):
 
 
 @query(sql("SELECT count(*) AS rows, round(max(b.w / a.w), 6) AS widest, round(quantile_cont(b.w / a.w, 0.5), 6) AS median FROM (SELECT model, lead, quantile_cont(s0 - s, 0.975) - quantile_cont(s0 - s, 0.025) AS w FROM each_a GROUP BY ALL) a JOIN (SELECT model, lead, quantile_cont(s0 - s, 0.975) - quantile_cont(s0 - s, 0.025) AS w FROM each_b GROUP BY ALL) b USING (model, lead)", "versus", "spell",
-    **{f"{k}_a" if k != "each" else "each_a": v.replace("numbered", "numbered_a").replace("drawn", "drawn_a").replace("JOIN vs ", "JOIN vs_a ") for k, v in {"vs": "SELECT * FROM versus", **verification._draws_sql("versus", 500, 0)}.items()},
-    su=verification._SPELL_UNITS["su"], **{f"{k}_b" if k != "each" else "each_b": v.replace("numbered", "numbered_b").replace("drawn", "drawn_b").replace("JOIN vs ", "JOIN vs_b ").replace("FROM vs)", "FROM vs_b)") for k, v in {"vs": verification._SPELL_UNITS["vs"], **verification._draws_sql("vs", 500, 2)}.items()}))
+    **{f"{k}_a" if k != "each" else "each_a": v.replace("numbered", "numbered_a").replace("drawn", "drawn_a").replace("JOIN vs ", "JOIN vs_a ") for k, v in {"vs": "SELECT * FROM versus", **verification._draws_sql("versus", verification.DRAWS, 0)}.items()},
+    su=verification._SPELL_UNITS["su"], **{f"{k}_b" if k != "each" else "each_b": v.replace("numbered", "numbered_b").replace("drawn", "drawn_b").replace("JOIN vs ", "JOIN vs_b ").replace("FROM vs)", "FROM vs_b)") for k, v in {"vs": verification._SPELL_UNITS["vs"], **verification._draws_sql("vs", verification.DRAWS, 2)}.items()}))
 def interval_widening(spark, sf_dir):
     """How much wider the intervals are when spells are drawn instead of episodes."""
-    width = lambda pairs, seed: pool.interval(pairs, pool.draws(pairs, 500, seed), pool.gain(), ["model", "lead"]).select("model", "lead", (F.col("high") - F.col("low")).alias("w"))
+    width = lambda pairs, seed: pool.interval(pairs, pool.draws(pairs, verification.DRAWS, seed), pool.gain(), ["model", "lead"]).select("model", "lead", (F.col("high") - F.col("low")).alias("w"))
     a, b = width(verification._versus(spark, sf_dir), 0), width(verification._by_spell(spark, sf_dir), 2).withColumnRenamed("w", "wb")
     ratio = F.col("wb") / F.col("w")
     return a.join(b, ["model", "lead"]).agg(F.count("*").alias("rows"), r6(F.max(ratio)).alias("widest"), r6(F.percentile(ratio, F.lit(0.5))).alias("median"))
@@ -159,40 +154,44 @@ def cell_centres(spark, sf_dir):
 
 @query()
 def curve_tangents(spark, sf_dir):
-    """Monotone cubic tangents of each user's hourly totals: the limiter carries from point to point, so a group is one sequence."""
-    e = table(spark, sf_dir, "events").select(F.pmod("user_id", F.lit(64)).alias("k"), F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 3600).alias("t"), "value")
-    series = e.groupBy("k", "t").agg(F.sum("value").alias("y"))
-
-    def tangents(frame):
-        import numpy as np
+    """Monotone cubic tangents of each user's hourly totals (Fritsch and Carlson 1980). Slopes and their harmonic means are windows; the limiter carries from point to point."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("k"), F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 3600).alias("t"), "value")
+    along = Window.partitionBy("k").orderBy("t")
+    series = e.groupBy("k", "t").agg(F.sum("value").alias("y")).withColumn("slope", (F.lead("y").over(along) - F.col("y")) / (F.lead("t").over(along) - F.col("t")))
+    left, right = F.lag("slope").over(along), F.col("slope")
+    inner = F.when(left * right > 0, 2 / (1 / left + 1 / right)).otherwise(0.0)
+    start = F.when(left.isNull(), F.coalesce(right, F.lit(0.0))).when(right.isNull(), left).otherwise(inner)
+
+    def limit(frame):
         import pandas as pd
 
         frame = frame.sort_values("t")
-        x, y = frame["t"].to_numpy(float), frame["y"].to_numpy(float)
-        slope = np.diff(y) / np.diff(x) if len(x) > 1 else np.zeros(1)
-        inner = np.where(slope[:-1] * slope[1:] > 0, 2 * slope[:-1] * slope[1:] / np.where(slope[:-1] + slope[1:] == 0, 1, slope[:-1] + slope[1:]), 0.0)
-        m = np.concatenate((slope[:1], inner, slope[-1:])) if len(x) > 1 else np.zeros(1)
-        for i in range(len(x) - 1):
-            if slope[i] == 0:
-                m[i] = m[i + 1] = 0
-            else:
-                size = np.hypot(m[i] / slope[i], m[i + 1] / slope[i])
-                if size > 3:
-                    m[i], m[i + 1] = 3 * m[i] / size, 3 * m[i + 1] / size
-        return pd.DataFrame({"k": frame["k"], "t": frame["t"], "m": np.round(m, 6)})
-
-    return series.groupBy("k").applyInPandas(tangents, "k long, t long, m double")
+        return pd.DataFrame({"k": frame["k"], "t": frame["t"], "m": list(limited(frame["slope"].tolist()[:-1], frame["start"].tolist()))})
+
+    return series.withColumn("start", start).select("k", "t", "slope", "start").groupBy("k").applyInPandas(limit, "k long, t long, m double").withColumn("m", r6("m"))
+
+
+def limited(slopes, tangents):
+    """Tangents scaled so that each piece stays monotone: a piece scales both of its ends, and hands the scaled right one on."""
+    carried = tangents[0]
+    for slope, ahead in zip(slopes, tangents[1:], strict=True):
+        reach = math.hypot(carried, ahead)
+        scale = min(1.0, 3 * abs(slope) / reach) if reach else 1.0  # 0 on a flat piece
+        yield carried * scale
+        carried = ahead * scale
+    yield carried
 
 
 def _add_models():
+    texts = {"bw2": movement._block_sql("bw2"), "block-sub": movement._block_sql("block-sub")}
     for name in ("gwx3", "block-26km", "block-sub", "bw2", "lk", "sprog", "steps-mean"):
 
         def run(spark, sf_dir, name=name):
-            cells = trial.cells(spark, sf_dir)
-            return movement._scores(registry.forecasts(name, cells, movement._issues(spark, sf_dir), 2), cells)
+            cells, issues = trial.cells(spark, sf_dir), movement._issues(spark, sf_dir)
+            return movement._scores(registry.forecasts(name, cells, issues, 2, radius=movement.RADIUS), cells, issues, registry.history(name), name)
 
         run.__name__ = f"registry_{name.replace('-', '_')}"
-        query()(run)
+        query(texts.get(name))(run)
 
 
 _add_models()

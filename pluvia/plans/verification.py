@@ -8,12 +8,13 @@ from pyspark.sql.window import Window
 from pluvia.operators import episodes as E
 from pluvia.operators import forecast, pool, score
 from pluvia.plans import trial
-from pluvia.plans.analyses import stored
 from pluvia.plans.trial import LEADS, sql
 from pluvia.sources import raster
+from pluvia.sources.shared import stored
 from pluvia.spec import TRIAL
 
 QUERIES, ORACLE = {}, {}
+DRAWS = 2000
 
 
 def query(oracle: str | None = None):
@@ -185,17 +186,17 @@ def _ci(df):
     return df.select("model", "lead", r6("low").alias("low"), r6("high").alias("high"))
 
 
-@query(sql(_CI.format("s0 - s"), "versus", vs="SELECT * FROM versus", **_draws_sql("versus", 500, 0)))
+@query(sql(_CI.format("s0 - s"), "versus", vs="SELECT * FROM versus", **_draws_sql("versus", DRAWS, 0)))
 def boot_gain_ci(spark, sf_dir):
     pairs = _versus(spark, sf_dir)
-    return _ci(pool.interval(pairs, pool.draws(pairs, 500, 0), pool.gain(), ["model", "lead"]))
+    return _ci(pool.interval(pairs, pool.draws(pairs, DRAWS, 0), pool.gain(), ["model", "lead"]))
 
 
-@query(sql(_CI.format("(1 - s) / (1 - s0) - 1"), "versus", vs="SELECT * FROM versus", **_draws_sql("versus", 500, 1)))
+@query(sql(_CI.format("(1 - s) / (1 - s0) - 1"), "versus", vs="SELECT * FROM versus", **_draws_sql("versus", DRAWS, 1)))
 def boot_paired_ci(spark, sf_dir):
     pairs = _versus(spark, sf_dir)
     relative = (1 - F.sum("e").cast("double") / F.sum("r")) / (1 - F.sum("e0").cast("double") / F.sum("r0")) - 1
-    return _ci(pool.interval(pairs, pool.draws(pairs, 500, 1), relative, ["model", "lead"]))
+    return _ci(pool.interval(pairs, pool.draws(pairs, DRAWS, 1), relative, ["model", "lead"]))
 
 
 def _by_spell(spark, sf_dir):
@@ -209,23 +210,23 @@ _SPELL_UNITS = {
 }
 
 
-@query(sql(_CI.format("s0 - s"), "rows", "spell", **_SPELL_UNITS, **_draws_sql("vs", 500, 2)))
+@query(sql(_CI.format("s0 - s"), "rows", "spell", **_SPELL_UNITS, **_draws_sql("vs", DRAWS, 2)))
 def boot_units(spark, sf_dir):
     """The same interval with spells as the units that are drawn."""
     pairs = _by_spell(spark, sf_dir)
-    return _ci(pool.interval(pairs, pool.draws(pairs, 500, 2), pool.gain(), ["model", "lead"]))
+    return _ci(pool.interval(pairs, pool.draws(pairs, DRAWS, 2), pool.gain(), ["model", "lead"]))
 
 
 _HALVES = {"vh": "SELECT *, unit % 2 AS half FROM versus"}
 
 
-@query(sql("SELECT lead, round(quantile_cont(d, 0.025), 6) AS low, round(quantile_cont(d, 0.975), 6) AS high FROM dd GROUP BY lead", "versus", **_HALVES, vs="SELECT * FROM versus", **{k: v for k, v in _draws_sql("versus", 500, 3).items() if k != "each"},
+@query(sql("SELECT lead, round(quantile_cont(d, 0.025), 6) AS low, round(quantile_cont(d, 0.975), 6) AS high FROM dd GROUP BY lead", "versus", **_HALVES, vs="SELECT * FROM versus", **{k: v for k, v in _draws_sql("versus", DRAWS, 3).items() if k != "each"},
     halves="SELECT lead, draw, half, CAST(sum(w * e0) AS DOUBLE) / sum(w * r0) - CAST(sum(w * e) AS DOUBLE) / sum(w * r) AS g FROM drawn JOIN numbered USING (k) JOIN vh USING (unit) GROUP BY ALL",
     dd="SELECT a.lead, a.draw, a.g - b.g AS d FROM halves a JOIN halves b ON a.lead = b.lead AND a.draw = b.draw AND a.half = 1 AND b.half = 0"))
 def boot_did(spark, sf_dir):
     """Difference of two groups' gains, both from the same draws."""
     pairs = _versus(spark, sf_dir).withColumn("half", F.col("unit") % 2)
-    weights = pool.draws(pairs, 500, 3)
+    weights = pool.draws(pairs, DRAWS, 3)
     w = F.col("w")
     each = pairs.join(weights, "unit").groupBy("lead", "draw", "half").agg((F.sum(w * F.col("e0")) / F.sum(w * F.col("r0")) - F.sum(w * F.col("e")) / F.sum(w * F.col("r"))).alias("g"))
     both = each.where("half = 1").alias("a").join(each.where("half = 0").alias("b"), ["lead", "draw"]).select("lead", (F.col("a.g") - F.col("b.g")).alias("d"))
@@ -290,11 +291,11 @@ def heavy_light_classes(spark, sf_dir):
     return raster.dense(trial.cells(spark, sf_dir)).groupBy("f", F.expr("CASE WHEN v < 1 THEN 0 WHEN v < 3 THEN 1 WHEN v < 6 THEN 2 ELSE 3 END").alias("class")).agg(F.count("*").alias("n"))
 
 
-@query(sql("SELECT valid, r, c, round(avg(CASE WHEN v >= 2 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS chance, count(*) AS members FROM (SELECT g.f + lead AS valid, r, least(47, c + 2 * lead) AS c, lead, v, c AS c0 FROM obs g, range(1, 4) l(lead) WHERE (g.f + lead) % 24 = 5 AND c + 2 * lead <= 47) GROUP BY valid, r, c HAVING count(*) > 1 AND avg(CASE WHEN v >= 2 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) > 0", "obs"))
+@query(sql("SELECT valid, r, c, round(avg(CASE WHEN v >= 2 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS chance, count(*) AS members FROM (SELECT g.f + lead AS valid, r, least(47, c + 2 * lead) AS c, lead, v, c AS c0 FROM obs g, range(1, 4) l(lead) WHERE c + 2 * lead <= 47) GROUP BY valid, r, c HAVING count(*) > 1 AND avg(CASE WHEN v >= 2 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) > 0", "obs"))
 def lagged_ensemble(spark, sf_dir):
     """Chance of rain from the forecasts of up to three earlier frames for one valid time: each lead moves cells by twice its length; cells without inflow have fewer members."""
     seen = raster.observed(trial.cells(spark, sf_dir))
-    made = seen.withColumn("lead", F.explode(F.sequence(F.lit(1), F.lit(LEADS)))).select((F.col("f") + F.col("lead")).alias("valid"), "r", (F.col("c") + 2 * F.col("lead")).alias("c"), "v").where("valid % 24 = 5 AND c <= 47")
+    made = seen.withColumn("lead", F.explode(F.sequence(F.lit(1), F.lit(LEADS)))).select((F.col("f") + F.col("lead")).alias("valid"), "r", (F.col("c") + 2 * F.col("lead")).alias("c"), "v").where(F.col("c") < TRIAL.cols)
     share = F.avg(F.when(F.col("v") >= 2, 1.0).otherwise(0.0))
     return made.groupBy("valid", "r", "c").agg(share.alias("chance"), F.count("*").alias("members")).where("members > 1 AND chance > 0").withColumn("chance", r6("chance"))
 

@@ -2,20 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-
-def shared(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="pluvia-")
-    return base
+from pluvia.sources import shared
 
 
 def source(spark: SparkSession, sf_dir: str, name: str = "events") -> DataFrame:
@@ -27,7 +18,7 @@ def source(spark: SparkSession, sf_dir: str, name: str = "events") -> DataFrame:
 def drained(stream: DataFrame) -> DataFrame:
     """All that is there now goes through the stream into a table, exactly once; then the table."""
     spark = stream.sparkSession
-    folder = f"{shared(spark)}/pluvia/stream-{uuid.uuid4().hex}"
+    folder = shared.path(spark, "stream")
     stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
