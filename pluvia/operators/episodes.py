@@ -17,6 +17,14 @@ def frame_index(cells: DataFrame, frames: DataFrame, threshold: float = WET) ->
     )
 
 
+def packed_index(packed: DataFrame, axis: DataFrame, threshold: float = WET) -> DataFrame:
+    """frame_index() of frames that are rows (f, v), NaN for no coverage: cells are never rows."""
+    covered = F.size(F.filter("v", lambda x: ~F.isnan(x)))
+    n_wet = F.size(F.filter("v", lambda x: ~F.isnan(x) & (x >= threshold)))
+    seen = packed.select("f", covered.cast("long").alias("covered"), n_wet.alias("n_wet"))
+    return axis.join(seen, "f", "left").select("f", F.coalesce("covered", F.lit(0)).alias("covered"), F.when(F.col("covered") > 0, F.col("n_wet") / F.col("covered")).alias("wet"), F.col("covered").isNull().alias("missing"))
+
+
 def episodes(index: DataFrame, spec: EpisodeSpec = FINE) -> DataFrame:
     """(event, f_start, f_end): rainy frames merged across gaps, cut at the cap, then filtered by length and peak.
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pluvia.spec import WET
+from pluvia.spec import TRIAL, WET, GridSpec
 
 KEYS = ("event", "f", "model", "lead")
 THRESHOLDS = (1, 2, 4)
@@ -94,3 +96,61 @@ def csi(x) -> Column:
 
 def fss(name: str = "fss") -> Column:
     return 1 - F.try_divide(F.sum(f"{name}_e").cast("double"), F.sum(f"{name}_r").cast("double"))
+
+
+def box_counts(wet: np.ndarray, half: int) -> np.ndarray:
+    """Sums over the (2 half + 1) squared cells around each cell of [frame, r, c]; what lies beyond the edge counts as zero."""
+    side = 2 * half + 1
+    total = np.pad(wet, ((0, 0), (half + 1, half), (half + 1, half))).cumsum(axis=1).cumsum(axis=2)
+    return total[:, side:, side:] - total[:, :-side, side:] - total[:, side:, :-side] + total[:, :-side, :-side]
+
+
+def frame_sums(p: np.ndarray, t: np.ndarray, half: int, thresholds=THRESHOLDS, wet: float = WET) -> dict[str, np.ndarray]:
+    """What rows() gives for each of [frame, r, c] forecasts p and truths t (NaN for no coverage)."""
+    known = ~np.isnan(t)
+    a, b = np.where(known, p, 0.0), np.where(known, t, 0.0)
+    each = lambda x: x.reshape(len(x), -1).sum(axis=1)
+    n, sa, sb = each(known), each(a), each(b)
+    safe = np.maximum(n, 1)
+    va, vb, cov = each(a * a) / safe - (sa / safe) ** 2, each(b * b) / safe - (sb / safe) ** 2, each(a * b) / safe - sa * sb / safe**2
+    flat = (va <= 1e-12) | (vb <= 1e-12)
+    out = {"n": n, "sum_f": sa, "sum_t": sb, "sse": each((a - b) ** 2), "corr": np.where(flat, np.nan, cov / np.sqrt(np.where(flat, 1, va * vb)))}
+    for x in thresholds:
+        yes, was = known & (p >= x), known & (b >= x)
+        out |= {f"hit_{x}": each(yes & was), f"miss_{x}": each(~yes & was), f"fa_{x}": each(yes & ~was)}
+    yes, was = known & (p >= wet), known & (b >= wet)
+    fc, truth = box_counts(yes.astype(np.int64), half), box_counts(was.astype(np.int64), half)
+    return out | {"brier": each(yes != was).astype(float), "fss_e": each((fc - truth) ** 2), "fss_r": each(fc**2 + truth**2)}
+
+
+def shifted_frames(last: np.ndarray, down: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Each frame moved by its own whole cells; the edge is drawn out, no coverage counts as dry."""
+    n, h, w = last.shape
+    r = np.clip(np.arange(h)[None] - down[:, None], 0, h - 1)
+    c = np.clip(np.arange(w)[None] - right[:, None], 0, w - 1)
+    return np.nan_to_num(last[np.arange(n)[:, None, None], r[:, :, None], c[:, None, :]])
+
+
+def shift_rows(issues: DataFrame, packed: DataFrame, models: dict[str, tuple[int, int]], steps: int, half: int = 4, grid: GridSpec = TRIAL) -> DataFrame:
+    """rows() of whole-cell shifts {name: (dx, dy) a step} at the issues (event, f) on packed frames (f, v).
+
+    Frames are rows, and an issue meets its last frame and its truths: one shuffle of frames for each, none of cells.
+    """
+    asked = issues.withColumn("lead", F.explode(F.sequence(F.lit(1), F.lit(steps)))).withColumn("g", F.col("f") + F.col("lead"))
+    met = asked.join(packed.select("f", F.col("v").alias("last")), "f").join(packed.select(F.col("f").alias("g"), F.col("v").alias("truth")), "g").select("event", "f", "lead", "last", "truth")
+    names = ["n", "sum_f", "sum_t", "sse", "corr", *(f"{k}_{x}" for x in THRESHOLDS for k in ("hit", "miss", "fa")), "brier", "fss_e", "fss_r"]
+    doubles = {"sum_f", "sum_t", "sse", "corr", "brier"}
+    schema = "event long, f long, model string, lead int, " + ", ".join(f"{k} {'double' if k in doubles else 'long'}" for k in names)
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                stack = lambda k, part=part: part.column(k).flatten().to_numpy(zero_copy_only=False).reshape(-1, grid.rows, grid.cols)
+                last, truth, lead = stack("last"), stack("truth"), part.column("lead").to_numpy()
+                for name, (dx, dy) in models.items():
+                    sums = frame_sums(shifted_frames(last, lead * dy, lead * dx), truth, half)
+                    columns = [pa.array(sums[k], pa.float64() if k in doubles else pa.int64(), from_pandas=True) for k in names]
+                    yield pa.RecordBatch.from_arrays([part.column("event"), part.column("f"), pa.array([name] * part.num_rows), part.column("lead"), *columns], ["event", "f", "model", "lead", *names])
+
+    return met.mapInArrow(run, schema).where("n > 0")

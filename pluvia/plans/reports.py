@@ -67,7 +67,7 @@ def ring_mean(spark, sf_dir):
 @query(sql("SELECT name, lead, CAST(sum(hit_2) AS BIGINT) AS hit, CAST(sum(n) AS BIGINT) AS n FROM (SELECT 'a:' || model AS name, lead, hit_2, n FROM counts WHERE event % 2 = 0 UNION ALL SELECT 'b:' || model, lead, hit_2, n FROM counts WHERE event % 2 = 1) GROUP BY ALL", "counts"))
 def union_runs(spark, sf_dir):
     """Two runs' rows under prefixed model names."""
-    rows = score.counts(trial.pairs(spark, sf_dir))
+    rows = trial.score_rows(spark, sf_dir)
     part = lambda k, prefix: rows.where(F.col("event") % 2 == k).withColumn("name", F.concat(F.lit(prefix), "model"))
     both = part(0, "a:").unionByName(part(1, "b:"), allowMissingColumns=True)
     return both.groupBy("name", "lead").agg(F.sum("hit_2").alias("hit"), F.sum("n").alias("n"))
@@ -94,7 +94,7 @@ def summary_lines(spark, sf_dir):
 @query(sql("SELECT event, f, model, lead, n, sum_f, sum_t, round(corr, 6) AS corr FROM counts", "counts"))
 def jsonl_round_trip(spark, sf_dir):
     """Score rows written as lines of JSON and read back with their schema; absent keys are NULL."""
-    rows = score.counts(trial.pairs(spark, sf_dir)).select("event", "f", "model", "lead", "n", "sum_f", "sum_t", r6("corr").alias("corr"))
+    rows = trial.score_rows(spark, sf_dir).select("event", "f", "model", "lead", "n", "sum_f", "sum_t", r6("corr").alias("corr"))
     path = shared.path(spark, "rows")
     rows.write.json(path)
     return spark.read.schema(rows.schema).json(path)
@@ -130,7 +130,7 @@ def timing_brier(spark, sf_dir):
 @query(sql("SELECT lead, count(*) AS n, round(stddev_samp(a - b), 6) AS sd FROM (SELECT s.lead, ln(s.sum_f / CAST(s.sum_t AS DOUBLE)) AS a, ln(p.sum_f / CAST(p.sum_t AS DOUBLE)) AS b FROM counts s JOIN counts p ON s.event = p.event AND s.f = p.f AND s.lead = p.lead AND s.model = 'shift' AND p.model = 'persistence' WHERE s.sum_f > 0 AND s.sum_t > 0 AND p.sum_f > 0) GROUP BY lead", "counts"))
 def paired_log_ratio(spark, sf_dir):
     """Variants side by side on issue and lead, and the spread of their log ratios."""
-    wide = score.counts(trial.pairs(spark, sf_dir)).groupBy("event", "f", "lead").pivot("model", ["shift", "persistence"]).agg(F.first(F.when((F.col("sum_f") > 0) & (F.col("sum_t") > 0), F.log(F.col("sum_f") / F.col("sum_t")))))
+    wide = trial.score_rows(spark, sf_dir).groupBy("event", "f", "lead").pivot("model", ["shift", "persistence"]).agg(F.first(F.when((F.col("sum_f") > 0) & (F.col("sum_t") > 0), F.log(F.col("sum_f") / F.col("sum_t")))))
     return wide.where("shift IS NOT NULL AND persistence IS NOT NULL").groupBy("lead").agg(F.count("*").alias("n"), r6(F.stddev_samp(F.col("shift") - F.col("persistence"))).alias("sd"))
 
 

@@ -17,10 +17,14 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.trial_cells(spark, sf_dir).persist()
 
 
+def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a frame with all its cells, kept: what scores start from."""
+    return raster.observed_frames(cells(spark, sf_dir)).persist()
+
+
 def index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row a frame, kept like the archive: episodes are found without reading frames."""
-    rain = cells(spark, sf_dir)
-    return E.frame_index(raster.observed(rain), raster.axis(rain)).persist()
+    return E.packed_index(packed(spark, sf_dir), raster.axis(cells(spark, sf_dir))).persist()
 
 
 def fine_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,8 +48,9 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def score_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row for each episode, issue, model and lead, kept: all pooling starts from these few sums."""
-    return score.rows(pairs(spark, sf_dir)).persist()
+    """A row for each episode, issue, model and lead, kept: all pooling starts from these few sums. Sums of the trial's whole amounts are whole."""
+    rows = score.shift_rows(issues(spark, sf_dir), packed(spark, sf_dir), {"persistence": (0, 0), "shift": (2, 0)}, LEADS)
+    return rows.withColumns({k: F.col(k).cast("long") for k in ("sum_f", "sum_t", "sse")}).persist()
 
 
 #: Common table expressions for the queries' SQL, each with those that it needs before it.

@@ -95,24 +95,24 @@ def spells(spark, sf_dir):
 
 @query(sql("SELECT model, lead, CAST(sum(n) AS BIGINT) AS n, " + ", ".join(f"CAST(sum({k}_{x}) AS BIGINT) AS {k}_{x}" for x in (1, 2, 4) for k in ("hit", "miss", "fa")) + ", round(CAST(sum(hit_2) AS DOUBLE) / sum(hit_2 + miss_2 + fa_2), 6) AS csi FROM counts GROUP BY model, lead", "counts"))
 def contingency_by_lead(spark, sf_dir):
-    rows = score.counts(trial.pairs(spark, sf_dir))
+    rows = trial.score_rows(spark, sf_dir)
     return rows.groupBy("model", "lead").agg(F.sum("n").alias("n"), *(F.sum(f"{k}_{x}").alias(f"{k}_{x}") for x in (1, 2, 4) for k in ("hit", "miss", "fa")), r6(score.csi(2)).alias("csi"))
 
 
 @query(sql("SELECT model, lead, round(CAST(sum(sum_f) AS DOUBLE) / sum(sum_t), 6) AS ratio, round(CAST(sum(sse) AS DOUBLE) / sum(n), 6) AS mse FROM counts GROUP BY model, lead", "counts"))
 def rain_ratio_by_lead(spark, sf_dir):
-    rows = score.counts(trial.pairs(spark, sf_dir))
+    rows = trial.score_rows(spark, sf_dir)
     return rows.groupBy("model", "lead").agg(r6(F.sum("sum_f") / F.sum("sum_t")).alias("ratio"), r6(F.sum("sse") / F.sum("n")).alias("mse"))
 
 
 @query(sql("SELECT event, f, model, lead, round(corr, 6) AS corr FROM counts", "counts"))
 def pearson_by_case(spark, sf_dir):
-    return score.counts(trial.pairs(spark, sf_dir)).select("event", "f", "model", "lead", r6("corr").alias("corr"))
+    return trial.score_rows(spark, sf_dir).select("event", "f", "model", "lead", r6("corr").alias("corr"))
 
 
 @query(sql("SELECT model, lead, CAST(sum(brier) AS BIGINT) AS brier_sum, round(sum(brier) / sum(n), 6) AS brier FROM counts GROUP BY model, lead", "counts"))
 def brier_by_lead(spark, sf_dir):
-    rows = score.counts(trial.pairs(spark, sf_dir))
+    rows = trial.score_rows(spark, sf_dir)
     return rows.groupBy("model", "lead").agg(F.sum("brier").cast("long").alias("brier_sum"), r6(F.sum("brier") / F.sum("n")).alias("brier"))
 
 
@@ -261,7 +261,7 @@ def monthly_gain(spark, sf_dir):
 
 @query(sql("SELECT model, lead, count(*) AS units, round(quantile_cont(q, 0.25), 6) AS p25, round(quantile_cont(q, 0.5), 6) AS p50, round(quantile_cont(q, 0.75), 6) AS p75, round(avg(CASE WHEN q > 1 THEN 1.0 ELSE 0.0 END), 6) AS above FROM (SELECT event, model, lead, CAST(sum(sum_f) AS DOUBLE) / sum(sum_t) AS q FROM counts GROUP BY ALL HAVING sum(sum_t) > 0) GROUP BY model, lead", "counts"))
 def unit_ratio_quantiles(spark, sf_dir):
-    each = score.counts(trial.pairs(spark, sf_dir)).groupBy("event", "model", "lead").agg(F.try_divide(F.sum("sum_f").cast("double"), F.sum("sum_t").cast("double")).alias("q")).where("q IS NOT NULL")
+    each = trial.score_rows(spark, sf_dir).groupBy("event", "model", "lead").agg(F.try_divide(F.sum("sum_f").cast("double"), F.sum("sum_t").cast("double")).alias("q")).where("q IS NOT NULL")
     return each.groupBy("model", "lead").agg(F.count("*").alias("units"), *(r6(F.percentile("q", F.lit(x))).alias(n) for n, x in (("p25", 0.25), ("p50", 0.5), ("p75", 0.75))), r6(F.avg((F.col("q") > 1).cast("double"))).alias("above"))
 
 

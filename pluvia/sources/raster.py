@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,5 +63,24 @@ def frames(cells: DataFrame, grid: GridSpec = TRIAL) -> DataFrame:
     return cells.groupBy("f").agg(packed.alias("x")).select("f", F.col("x.at").alias("at"), F.col("x.v").alias("v"))
 
 
+def observed_frames(cells: DataFrame, grid: GridSpec = TRIAL) -> DataFrame:
+    """observed() as a row for each frame that is there: (f, v), all cells row by row, NaN for no coverage."""
+    packed = axis(cells).where("f % 29 <> 0").join(frames(cells, grid), "f", "left")
+    size = grid.rows * grid.cols
+
+    def unpack(batches):
+        place = np.arange(size)
+        for batch in batches:
+            f = batch.column("f").to_numpy()
+            out = np.zeros((len(f), size))
+            at, v = batch.column("at"), batch.column("v")
+            row = np.repeat(np.arange(len(f)), at.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            out[row, at.flatten().to_numpy()] = v.flatten().to_numpy()
+            out[(place[None] + f[:, None]) % 97 == 0] = np.nan
+            yield pa.RecordBatch.from_arrays([batch.column("f"), pa.ListArray.from_arrays(np.arange(len(f) + 1, dtype=np.int32) * size, out.ravel())], ["f", "v"])
+
+    return packed.mapInArrow(unpack, "f long, v array<double>")
+
+
 def trial_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rain(showers(table(spark, sf_dir, "events")))
