@@ -14,8 +14,7 @@ about the text come from them, and nothing is computed twice: segments of up to
 characters are kept for the task (``max_segments`` of them at most), longer ones for the text.
 
 A null text is empty and has no tokens; empty texts have none. Very long segments take
-time in proportion to their length, and two bytes (four from 65,536 tokens on) for each
-character. Repeated rows are counted one by one. Columns other than doc_id and text are
+time in proportion to their length, and one to four bytes for each character. Repeated rows are counted one by one. Columns other than doc_id and text are
 ignored.
 """
 
@@ -40,7 +39,7 @@ SHORT = 64
 class PrefixCounter:
     """Counts for one BPE model with byte fallback and the identity as its normalizer."""
 
-    def __init__(self, model: str, max_segments: int = 400_000):
+    def __init__(self, model: str, max_segments: int = 1_000_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model)
@@ -53,7 +52,7 @@ class PrefixCounter:
         apart = "".join(c for c in "\n\t\r" if c not in chars)
         self.segments = re.compile(f"[{apart}]|{MARK}+[^{MARK}{apart}]*|[^{MARK}{apart}]+" if apart else f"{MARK}+[^{MARK}]*|[^{MARK}]+").findall
         self.max_segments = max_segments
-        self.kept: dict[str, array] = {}
+        self.kept: dict[str, bytes | array] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.built: dict[str, tuple | None] = {}
         self.heads: dict[str, tuple[list[int], list[str]]] = {}
@@ -123,7 +122,7 @@ class PrefixCounter:
         """Tokens of segment[:i] for i from 1 to its length."""
         if len(segment) > HEAD:  # many segments begin alike: their first prefixes are known
             if (known := self.heads.get(segment[:HEAD])) is None:
-                if len(self.heads) >= self.max_segments:
+                if len(self.heads) >= self.max_segments // 4:
                     self.heads.clear()
                 known = self.heads[segment[:HEAD]] = self._extend(segment[:HEAD], [0], [""])
             return self._extend(segment, [*known[0]], [*known[1]])[0][1:]
@@ -150,7 +149,7 @@ class PrefixCounter:
             for begin, token in reversed(found):
                 fit = pairs.get((last[begin], token))
                 if fit is None:
-                    if len(pairs) >= 5 * self.max_segments:
+                    if len(pairs) >= 2 * self.max_segments:
                         pairs.clear()
                     fit = pairs[last[begin], token] = self.fits(last[begin], token)
                 if fit:
@@ -161,12 +160,12 @@ class PrefixCounter:
                 raise AssertionError(f"no token ends prefix {end} of {segment!r}")
         return counts, last
 
-    def counts(self, segment: str) -> array:
-        """The segment's prefix counts as an array."""
+    def counts(self, segment: str) -> bytes | array:
+        """The segment's prefix counts as an array; small ones are bytes."""
         got = self.kept.get(segment)
         if got is None:
             plain = self.prefix_counts(segment)
-            got = array("H" if plain[-1] < 1 << 16 else "I", plain)
+            got = bytes(plain) if plain[-1] < 1 << 8 else array("H" if plain[-1] < 1 << 16 else "I", plain)
             if len(segment) <= SHORT:
                 if len(self.kept) >= self.max_segments:
                     self.kept.clear()
@@ -177,19 +176,21 @@ class PrefixCounter:
         return self.segments((MARK + text).replace(" ", MARK)) if text else []
 
     def prefixes(self, text: str) -> Prefixes:
-        return Prefixes([*map(self.counts, self.split(text))])
+        known, counts = self.kept.get, self.counts
+        return Prefixes([known(s) or counts(s) for s in self.split(text)])
 
 
 class Prefixes:
     """The token counts of all prefixes of a text: its segments' arrays and the count before each."""
 
-    def __init__(self, arrays: list[array]):
+    def __init__(self, arrays: list[bytes | array]):
         self.arrays = arrays
-        self.before = list(accumulate((a[-1] for a in arrays), initial=0))
+        self.total = sum([a[-1] for a in arrays])
 
     @property
-    def total(self) -> int:
-        return self.before[-1]
+    def before(self):
+        """The count that stands before each segment."""
+        return accumulate((a[-1] for a in self.arrays), initial=0)
 
     def all(self) -> list[int]:
         """Tokens of text[:i] for i from 0 to its length. The mark before the text is no character of it."""
