@@ -40,18 +40,10 @@ FROM (SELECT a.f, lead, a.r, a.c, a.v AS p, b.v AS t, a.n AS np, b.n AS nt FROM
     rowed="SELECT *, sum(CASE WHEN v >= 2 THEN 1 ELSE 0 END) OVER (PARTITION BY f, r ORDER BY c RANGE BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS x FROM dense",
     boxes="SELECT f, r, c, v, CAST(sum(x) OVER (PARTITION BY f, c ORDER BY r RANGE BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS BIGINT) AS n FROM rowed"))
 def fss_by_lead(spark, sf_dir):
-    """Persistence on all frames with full coverage.
-
-    Each frame's box sums are made once; a cell's own later values come from range windows along its
-    frames, so leads cost no join. Fields are dense: cells count the frame pairs.
-    """
-    fields = raster.dense(trial.cells(spark, sf_dir)).repartition("f")
-    boxes = score.box_sums(fields, {"n": (F.col("v") >= 2).cast("int")}, 4, ("f",))
-    along = Window.partitionBy("r", "c").orderBy("f")
-    ahead = [F.struct(F.lit(k).alias("lead"), F.first(F.struct("v", "n")).over(along.rangeBetween(k, k)).alias("x")) for k in range(1, LEADS + 1)]
-    both = boxes.select("v", "n", F.array(*ahead).alias("ahead")).select("v", "n", F.explode("ahead").alias("a")).where("a.x IS NOT NULL")
-    p, t, d = F.col("v") >= 2, F.col("a.x.v") >= 2, F.col("n") - F.col("a.x.n")
-    sums = both.groupBy("a.lead").agg((F.count("*") / (TRIAL.rows * TRIAL.cols)).cast("long").alias("n"), F.sum(d * d).alias("err"), F.sum(F.col("n") * F.col("n") + F.col("a.x.n") * F.col("a.x.n")).alias("ref"), F.count_if(p & t).alias("hit"), F.count_if(~p & t).alias("miss"), F.count_if(p & ~t).alias("fa"))
+    """Persistence on all frames with full coverage: frames are rows, and each meets the one that a lead later is true."""
+    packed = raster.unpacked(raster.frames(trial.cells(spark, sf_dir)))
+    rows = score.shift_rows(packed.select(F.lit(0).cast("long").alias("event"), "f"), packed, {"persistence": (0, 0)}, LEADS)
+    sums = rows.groupBy("lead").agg(F.count("*").alias("n"), F.sum("fss_e").alias("err"), F.sum("fss_r").alias("ref"), *(F.sum(f"{k}_2").alias(k) for k in ("hit", "miss", "fa")))
     return sums.select("*", r6(1 - F.col("err") / F.col("ref")).alias("fss"), r6(F.col("hit") / (F.col("hit") + F.col("miss") + F.col("fa"))).alias("csi"))
 
 

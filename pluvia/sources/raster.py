@@ -63,9 +63,8 @@ def frames(cells: DataFrame, grid: GridSpec = TRIAL) -> DataFrame:
     return cells.groupBy("f").agg(packed.alias("x")).select("f", F.col("x.at").alias("at"), F.col("x.v").alias("v"))
 
 
-def observed_frames(cells: DataFrame, grid: GridSpec = TRIAL) -> DataFrame:
-    """observed() as a row for each frame that is there: (f, v), all cells row by row, NaN for no coverage."""
-    packed = axis(cells).where("f % 29 <> 0").join(frames(cells, grid), "f", "left")
+def unpacked(packed: DataFrame, grid: GridSpec = TRIAL, gaps: bool = False) -> DataFrame:
+    """(f, v) of frames (f, at, v), arrays that may be NULL: all cells row by row; with gaps, NaN where a radar would have no coverage."""
     size = grid.rows * grid.cols
 
     def unpack(batches):
@@ -76,10 +75,16 @@ def observed_frames(cells: DataFrame, grid: GridSpec = TRIAL) -> DataFrame:
             at, v = batch.column("at"), batch.column("v")
             row = np.repeat(np.arange(len(f)), at.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
             out[row, at.flatten().to_numpy()] = v.flatten().to_numpy()
-            out[(place[None] + f[:, None]) % 97 == 0] = np.nan
+            if gaps:
+                out[(place[None] + f[:, None]) % 97 == 0] = np.nan
             yield pa.RecordBatch.from_arrays([batch.column("f"), pa.ListArray.from_arrays(np.arange(len(f) + 1, dtype=np.int32) * size, out.ravel())], ["f", "v"])
 
-    return packed.mapInArrow(unpack, "f long, v array<double>")
+    return packed.select("f", "at", "v").mapInArrow(unpack, "f long, v array<double>")
+
+
+def observed_frames(cells: DataFrame, grid: GridSpec = TRIAL) -> DataFrame:
+    """observed() as a row for each frame that is there: (f, v), all cells row by row, NaN for no coverage."""
+    return unpacked(axis(cells).where("f % 29 <> 0").join(frames(cells, grid), "f", "left"), grid, gaps=True)
 
 
 def trial_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
