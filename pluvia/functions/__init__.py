@@ -1 +1 @@
-
+"""Expressions and aggregates by name."""

@@ -82,6 +82,12 @@ def unpacked(packed: DataFrame, grid: GridSpec = TRIAL, gaps: bool = False) -> D
     return packed.select("f", "at", "v").mapInArrow(unpack, "f long, v array<double>")
 
 
+def packed_cells(cells: DataFrame, grid: GridSpec) -> DataFrame:
+    """(f, v) of dense cells (f, r, c, v): all cells row by row, NaN where v is NULL."""
+    rows = F.array_sort(F.collect_list(F.struct((F.col("r") * grid.cols + F.col("c")).alias("at"), F.coalesce(F.col("v").cast("double"), F.lit(float("nan"))).alias("v"))))
+    return cells.groupBy("f").agg(rows.alias("x")).select("f", F.col("x.v").alias("v"))
+
+
 def observed_frames(cells: DataFrame, grid: GridSpec = TRIAL) -> DataFrame:
     """observed() as a row for each frame that is there: (f, v), all cells row by row, NaN for no coverage."""
     return unpacked(axis(cells).where("f % 29 <> 0").join(frames(cells, grid), "f", "left"), grid, gaps=True)

@@ -12,7 +12,11 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 TABLES = "region nation customer supplier part orders lineitem events".split()
 MINE = {name for m in entry.MODULES for name in m.QUERIES}
 #: Those whose like is compared here under another name; the driver compares all of them.
-ALIKE = {"boot_paired_ci", "boot_units", "interval_widening", "monthly_gain", "tertiles", "calibrated_brier", "wins_share", "unit_sums", "brier_by_lead", "model_gw2", "model_global", "model_gw2z", "model_gw4s110", "model_gw4sub", "registry_bw2", "registry_block_sub", "city_scores", "gauge_scores", "unit_ratio_quantiles", "rain_ratio_by_lead", "timing_events"}
+ALIKE = {
+    "boot_paired_ci", "boot_units", "boot_did", "interval_widening", "monthly_gain", "tertiles", "calibrated_brier", "wins_share", "unit_sums", "brier_by_lead", "gain_vs_persistence", "pearson_by_case", "rain_ratio_by_lead",
+    "model_gw2", "model_global", "model_global4", "model_gw2z", "model_gw4s110", "model_gw4sub", "model_gw4suba", "model_gw4f", "model_bw4", "model_block_sub_all", "registry_bw2", "registry_block_sub", "block_ssd", "pair_vectors",
+    "city_scores", "city_hours", "gauge_scores", "unit_ratio_quantiles", "timing_events", "union_runs", "reliability_bins", "city_csi_ci", "brier_windows_ci", "vector_variants", "mask_effect", "cadence_gains", "display_bundle", "mask_sweep", "band_summary",
+}
 #: Those whose result may be empty.
 EMPTY = {"gauge_faulty"}
 
@@ -78,3 +82,31 @@ def test_regression_constants(spark):
 
 def test_entry_names():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_local_chances_are_those_of_numpy(spark):
+    import numpy as np
+
+    from pluvia.plans import studies, trial
+
+    frames = {r.f: np.array(r.v).reshape(32, 48) for r in trial.packed(spark, SF).collect()}
+    issues = {r.f for r in trial.issues(spark, SF).select("f").collect()}
+    i, j = np.mgrid[-3:4, -3:4]
+    want = {}
+    for combo, (sigma, ratio, angle) in studies.COMBOS.items():
+        w = np.exp(-0.5 * (((j * np.cos(angle) + i * np.sin(angle)) / sigma) ** 2 + ((-j * np.sin(angle) + i * np.cos(angle)) / (ratio * sigma)) ** 2))
+        spread = lambda x, w=w / w.sum(): sum(w[a + 3, b + 3] * np.pad(x, 3)[3 - a : 35 - a, 3 - b : 51 - b] for a in range(-3, 4) for b in range(-3, 4))
+        for thr in (1, 2, 4):
+            for f in issues:
+                known = ~np.isnan(frames[f])
+                below = spread(known.astype(float))
+                chance = np.where(below > 1e-6, np.minimum(1, spread((known & (np.nan_to_num(frames[f]) >= thr)).astype(float)) / np.maximum(below, 1e-9)), 0)
+                for lead in (1, 2, 3):
+                    if f + lead in frames:
+                        seen = ~np.isnan(frames[f + lead])
+                        was = frames[f + lead][seen] >= thr
+                        have = want.setdefault((thr, combo, lead), [0, 0, 0.0])
+                        have[:] = have[0] + len(was), have[1] + int(was.sum()), have[2] + float(((chance[seen] - was) ** 2).sum())
+    got = {(r.thr, r.combo, r.lead): (r.n, r.o, r.brier) for r in studies.local_chances(spark, SF).collect()}
+    assert got.keys() == want.keys() and len(got) == 18
+    assert all(got[k][:2] == tuple(want[k][:2]) and abs(got[k][2] - want[k][2]) < 1e-2 for k in got)
