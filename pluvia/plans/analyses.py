@@ -306,11 +306,11 @@ def city_rollup(spark, sf_dir):
     return rolled.select("model", F.coalesce("city", F.lit("all")).alias("city"), r6("csi").alias("csi"))
 
 
-@query(sql("SELECT model, round(CAST(sum(mm) AS DOUBLE) / nullif(sum(obs), 0), 6) AS ratio, round(corr(mm, obs), 6) AS corr, round(CAST(count(*) FILTER (WHERE mm >= 3 AND obs >= 3) AS DOUBLE) / greatest(1, count(*) FILTER (WHERE obs >= 3)), 6) AS pod, round(CAST(count(*) FILTER (WHERE mm >= 3 AND obs < 3) AS DOUBLE) / greatest(1, count(*) FILTER (WHERE mm >= 3)), 6) AS far FROM hours GROUP BY model", "fc", **_CITY))
+@query(sql("SELECT model, round(CAST(sum(mm) AS DOUBLE) / nullif(sum(obs), 0), 6) AS ratio, round(corr(mm, obs), 6) AS corr, round(CAST(count(*) FILTER (WHERE mm >= 3 AND obs >= 3) AS DOUBLE) / greatest(1, count(*) FILTER (WHERE obs >= 3)), 6) AS pod, round(CAST(count(*) FILTER (WHERE mm >= 3 AND obs < 3) AS DOUBLE) / greatest(1, count(*) FILTER (WHERE mm >= 3)), 6) AS far, round(CAST(count(*) FILTER (WHERE mm >= 3 AND obs >= 3) AS DOUBLE) / greatest(1, count(*) FILTER (WHERE mm >= 3 OR obs >= 3)), 6) AS csi, count(*) FILTER (WHERE mm >= 3 AND obs < 3) AS wet_dry FROM hours GROUP BY model", "fc", **_CITY))
 def gauge_scores(spark, sf_dir):
     p, t = F.col("mm") >= 3, F.col("obs") >= 3
     one = lambda c: F.greatest(F.lit(1), F.count_if(c))
-    return _city_hours(spark, sf_dir).groupBy("model").agg(r6(F.try_divide(F.sum("mm"), F.sum("obs"))).alias("ratio"), r6(F.corr("mm", "obs")).alias("corr"), r6(F.count_if(p & t) / one(t)).alias("pod"), r6(F.count_if(p & ~t) / one(p)).alias("far"))
+    return _city_hours(spark, sf_dir).groupBy("model").agg(r6(F.try_divide(F.sum("mm"), F.sum("obs"))).alias("ratio"), r6(F.corr("mm", "obs")).alias("corr"), r6(F.count_if(p & t) / one(t)).alias("pod"), r6(F.count_if(p & ~t) / one(p)).alias("far"), r6(F.count_if(p & t) / one(p | t)).alias("csi"), F.count_if(p & ~t).alias("wet_dry"))
 
 
 @query("SELECT l_suppkey, count(*) AS n, round(corr(a, b), 6) AS rho FROM (SELECT l_suppkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_quantity, l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_discount) AS a, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice, l_orderkey, l_linenumber, l_partkey, l_quantity, l_discount) AS b FROM lineitem) GROUP BY l_suppkey")
@@ -349,13 +349,23 @@ def point_series(spark, sf_dir):
     return _series(spark, sf_dir)
 
 
-@query(sql("SELECT k, current, peak, first_wet, CASE WHEN current >= 500 THEN 'rain now' WHEN first_wet IS NOT NULL THEN 'rain in ' || (first_wet - now) || ' h' ELSE 'dry' END AS text FROM (SELECT k, arg_max(mm, t) FILTER (WHERE kind = 'observed') AS current, max(t) FILTER (WHERE kind = 'observed') AS now, max(mm) FILTER (WHERE kind <> 'observed') AS peak, min(t) FILTER (WHERE kind <> 'observed' AND mm >= 500) AS first_wet FROM series GROUP BY k)", **_SER))
+@query(sql("""SELECT k, current, peak, first_wet, last_wet, first_dry, CASE WHEN current >= 500 AND first_dry IS NOT NULL THEN 'rain, dry in ' || (first_dry - now) || ' h' WHEN current >= 500 THEN 'rain now'
+WHEN first_wet IS NOT NULL THEN 'rain in ' || (first_wet - now) || ' h' WHEN last_wet IS NOT NULL AND now - last_wet <= 24 THEN 'dry since ' || (now - last_wet) || ' h' ELSE 'dry' END AS text FROM
+(SELECT k, arg_max(mm, t) FILTER (WHERE kind = 'observed') AS current, max(t) FILTER (WHERE kind = 'observed') AS now, max(mm) FILTER (WHERE kind <> 'observed') AS peak, min(t) FILTER (WHERE kind <> 'observed' AND mm >= 500) AS first_wet,
+max(t) FILTER (WHERE kind = 'observed' AND mm >= 500) AS last_wet, min(t) FILTER (WHERE kind <> 'observed' AND mm < 500) AS first_dry FROM series GROUP BY k)""", **_SER))
 def point_summary(spark, sf_dir):
-    """Current amount, peak ahead, first wet hour, and a sentence."""
-    seen, ahead = F.col("kind") == "observed", F.col("kind") != "observed"
-    each = _series(spark, sf_dir).groupBy("k").agg(F.max_by("mm", F.when(seen, F.col("t"))).alias("current"), F.max(F.when(seen, F.col("t"))).alias("now"), F.max(F.when(ahead, F.col("mm"))).alias("peak"), F.min(F.when(ahead & (F.col("mm") >= 500), F.col("t"))).alias("first_wet"))
-    text = F.when(F.col("current") >= 500, "rain now").when(F.col("first_wet").isNotNull(), F.concat(F.lit("rain in "), (F.col("first_wet") - F.col("now")).cast("string"), F.lit(" h"))).otherwise("dry")
-    return each.select("k", "current", "peak", "first_wet", text.alias("text"))
+    """Current amount, peak ahead, first and last wet and first dry hour, and a sentence."""
+    seen, ahead, wet, t = F.col("kind") == "observed", F.col("kind") != "observed", F.col("mm") >= 500, F.col("t")
+    each = _series(spark, sf_dir).groupBy("k").agg(
+        F.max_by("mm", F.when(seen, t)).alias("current"), F.max(F.when(seen, t)).alias("now"), F.max(F.when(ahead, F.col("mm"))).alias("peak"),
+        F.min(F.when(ahead & wet, t)).alias("first_wet"), F.max(F.when(seen & wet, t)).alias("last_wet"), F.min(F.when(ahead & ~wet, t)).alias("first_dry"),
+    )
+    hours = lambda a, b: (F.col(a) - F.col(b)).cast("string")
+    text = (
+        F.when((F.col("current") >= 500) & F.col("first_dry").isNotNull(), F.concat(F.lit("rain, dry in "), hours("first_dry", "now"), F.lit(" h"))).when(F.col("current") >= 500, "rain now")
+        .when(F.col("first_wet").isNotNull(), F.concat(F.lit("rain in "), hours("first_wet", "now"), F.lit(" h"))).when(F.col("now") - F.col("last_wet") <= 24, F.concat(F.lit("dry since "), hours("now", "last_wet"), F.lit(" h"))).otherwise("dry")
+    )
+    return each.select("k", "current", "peak", "first_wet", "last_wet", "first_dry", text.alias("text"))
 
 
 # --- ingest

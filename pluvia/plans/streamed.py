@@ -43,3 +43,17 @@ def stream_pending(spark, sf_dir):
 def stream_issued(spark, sf_dir):
     e = streams.source(spark, sf_dir).select(F.col("user_id").alias("k"), F.unix_timestamp("ts").alias("t"))
     return streams.drained(streams.issued(e, 6 * 3600))
+
+
+@query("SELECT event_type, start, count(*) AS n, round(sum(value), 2) AS total FROM (SELECT event_type, value, CAST(floor(epoch(ts) / 3600) AS BIGINT) * 3600 - 3600 * k AS start FROM events, range(6) b(k)) GROUP BY event_type, start HAVING start + 6 * 3600 <= (SELECT epoch(max(ts)) - 7200 FROM events)")
+def stream_history(spark, sf_dir):
+    """Six hours of history behind every full hour."""
+    out = streams.drained(streams.histories(streams.source(spark, sf_dir), "6 hours", "1 hour", "2 hours"))
+    return out.select("event_type", F.unix_timestamp("start").alias("start"), "n", F.round("total", 2).alias("total"))
+
+
+@query("SELECT k, id, t FROM (SELECT event_type AS k, event_id AS id, CAST(floor(epoch(ts)) AS BIGINT) AS t, row_number() OVER (PARTITION BY event_type ORDER BY CAST(floor(epoch(ts)) AS BIGINT) DESC, event_id DESC) AS place FROM events) WHERE place > 3")
+def stream_retention(spark, sf_dir):
+    """What a collector that keeps the newest three of each kind lets go."""
+    e = streams.source(spark, sf_dir).select(F.col("event_type").alias("k"), F.col("event_id").alias("id"), F.unix_timestamp("ts").alias("t"))
+    return streams.drained(streams.retired(e, 3))

@@ -29,6 +29,30 @@ def tumbling(events: DataFrame, width: str, late: str) -> DataFrame:
     return counted.select("event_type", F.col("w.start").alias("start"), "n", "total")
 
 
+def histories(events: DataFrame, width: str, every: str, late: str) -> DataFrame:
+    """(event_type, start, n, total) of each sliding window that the watermark has passed: the history that stands behind a moment."""
+    counted = events.withWatermark("ts", late).groupBy(F.window("ts", width, every).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return counted.select("event_type", F.col("w.start").alias("start"), "n", "total")
+
+
+def retired(events: DataFrame, keep: int) -> DataFrame:
+    """(k, id, t) of what leaves as each key's newest rows by (t, id) are kept; the state holds those."""
+
+    def step(key, batches, state: GroupState):
+        import pandas as pd
+
+        held = list(zip(*state.get, strict=True)) if state.exists else []
+        gone = []
+        for batch in batches:  # one batch beside the few that are kept
+            rows = sorted([*held, *zip(batch["t"].tolist(), batch["id"].tolist(), strict=True)])
+            gone, held = gone + rows[:-keep], rows[-keep:]
+        if held:
+            state.update(([t for t, _ in held], [i for _, i in held]))
+        yield pd.DataFrame({"k": [key[0]] * len(gone), "id": [i for _, i in gone], "t": [t for t, _ in gone]})
+
+    return events.groupBy("k").applyInPandasWithState(step, "k string, id long, t long", "t array<long>, id array<long>", "append", GroupStateTimeout.NoTimeout)
+
+
 def sessions(events: DataFrame, gap: str, late: str) -> DataFrame:
     """(event_type, start, until, n) of each closed session; a gap of exactly the given length does not part."""
     counted = events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "event_type").agg(F.count("*").alias("n"), F.max("ts").alias("until"))
