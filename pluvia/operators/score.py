@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pluvia.sources.shared import spread
 from pluvia.spec import TRIAL, WET, GridSpec
 
 KEYS = ("event", "f", "model", "lead")
@@ -137,7 +138,7 @@ def shift_rows(issues: DataFrame, packed: DataFrame, models: dict[str, tuple[int
     Frames are rows, and an issue meets its last frame and its truths: one shuffle of frames for each, none of cells.
     """
     asked = issues.withColumn("lead", F.explode(F.sequence(F.lit(1), F.lit(steps)))).withColumn("g", F.col("f") + F.col("lead"))
-    met = asked.join(packed.select("f", F.col("v").alias("last")), "f").join(packed.select(F.col("f").alias("g"), F.col("v").alias("truth")), "g").select("event", "f", "lead", "last", "truth")
+    met = asked.join(packed.select("f", F.col("v").alias("last")), "f").join(spread(packed.select(F.col("f").alias("g"), F.col("v").alias("truth")), "g"), "g").select("event", "f", "lead", "last", "truth")
     names = ["n", "sum_f", "sum_t", "sse", "corr", *(f"{k}_{x}" for x in THRESHOLDS for k in ("hit", "miss", "fa")), "brier", "fss_e", "fss_r"]
     doubles = {"sum_f", "sum_t", "sse", "corr", "brier"}
     schema = "event long, f long, model string, lead int, " + ", ".join(f"{k} {'double' if k in doubles else 'long'}" for k in names)

@@ -32,3 +32,8 @@ def stored(spark: SparkSession):
         return spark.read.schema(df.schema).parquet(to)
 
     return write
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by keys into as many partitions as shuffles have: few bytes with much work in each row are not put together into few tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
