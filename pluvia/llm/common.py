@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,3 +79,33 @@ def fold(column: str, n: int, k: int) -> Column:
 def sample_rows(labels: DataFrame, n: int, *by: str) -> DataFrame:
     """At most n rows, those with the smallest hashes of their ids: the same ones in every run."""
     return labels.orderBy(F.xxhash64(*by), *by).limit(n)
+
+
+def text_blocks(rows: DataFrame, key: str, block_bytes: int):
+    """The rows (key, text), all different and stored, as lists of (key, text); one list is on the driver at a time.
+
+    A list holds at most block_bytes of text beside its longest row: rows are dealt by hash, and
+    where a part is larger, cut by the running size within it.
+    """
+    sized = rows.withColumn("size", (F.octet_length("text") + 16).cast("long"))
+    total = sized.agg(F.sum("size")).first()[0] or 0
+    if total <= block_bytes:
+        yield [(r[key], r["text"]) for r in rows.collect()]
+        return
+    share = max(1, block_bytes // 4)
+    before = F.sum("size").over(Window.partitionBy("part").orderBy("size", key, "text").rowsBetween(Window.unboundedPreceding, -1))
+    dealt = sized.withColumn("part", F.pmod(F.xxhash64(key, "text"), F.lit(-(-total // share)))).withColumn("cut", F.floor(F.coalesce(before, F.lit(0)) / share))
+    cut = written(dealt, "blocks")
+    group, used = [], 0
+    for r in sorted(cut.groupBy("part", "cut").agg(F.sum("size").alias("size")).collect()):
+        if group and used + r["size"] > block_bytes:
+            yield _rows_of(cut, key, group)
+            group, used = [], 0
+        group.append((r["part"], r["cut"]))
+        used += r["size"]
+    yield _rows_of(cut, key, group)
+
+
+def _rows_of(cut: DataFrame, key: str, group: list[tuple[int, int]]) -> list[tuple]:
+    rows = cut.where(F.col("part").isin([p for p, _ in group]) & F.concat_ws(" ", F.col("part").cast("string"), F.col("cut").cast("string")).isin([f"{p} {c}" for p, c in group]))
+    return [(r[key], r["text"]) for r in rows.collect()]
