@@ -1,6 +1,6 @@
 """Queries of the corpus operators, and their SQL where SQL can express them."""
 
-from pluvia.llm import decontaminate, mixing, quality, ranked, repeats, secrets, simhash, tokens, topk, toxicity, warc
+from pluvia.llm import cuckoo, decontaminate, mixing, quality, ranked, repeats, secrets, simhash, tokens, topk, toxicity, warc
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_near_duplicates": simhash.op9_near_duplicates,
     "op10_repeats": repeats.op10_repeats,
     "op11_ranked_search": ranked.op11_ranked_search,
+    "op12_exact_dedup": cuckoo.op12_exact_dedup,
 }
 
 ORACLE_SQL = {
@@ -22,4 +23,5 @@ ORACLE_SQL = {
     "op7_mix_sources": mixing.ORACLE_OP7,
     "op8_warc": warc.ORACLE_OP8,
     "op11_ranked_search": ranked.ORACLE_OP11,
+    "op12_exact_dedup": cuckoo.ORACLE_OP12,
 }
