@@ -1,6 +1,6 @@
 """Queries of the corpus operators, and their SQL where SQL can express them."""
 
-from pluvia.llm import cuckoo, decontaminate, mixing, quality, ranked, repeats, secrets, simhash, tokens, topk, toxicity, warc
+from pluvia.llm import cuckoo, decontaminate, mixing, phrases, quality, ranked, repeats, secrets, simhash, tokens, topk, toxicity, warc
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_repeats": repeats.op10_repeats,
     "op11_ranked_search": ranked.op11_ranked_search,
     "op12_exact_dedup": cuckoo.op12_exact_dedup,
+    "op13_collocations": phrases.op13_collocations,
 }
 
 ORACLE_SQL = {
@@ -24,4 +25,5 @@ ORACLE_SQL = {
     "op8_warc": warc.ORACLE_OP8,
     "op11_ranked_search": ranked.ORACLE_OP11,
     "op12_exact_dedup": cuckoo.ORACLE_OP12,
+    "op13_collocations": phrases.ORACLE_OP13,
 }
