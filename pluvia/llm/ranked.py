@@ -1,20 +1,21 @@
 """Ranked lexical search over an index that is stratified by document length.
 
 The score of a document depends on its length only through the whole number m, so documents of
-equal m form a stratum. A segment is a part of a stratum, one row of the index: its terms, for
-each term its numbers of occurrences (tf) in ascending order, for each (term, tf) the documents.
+equal m form a stratum. A segment is a part of a stratum; the index has a row for each segment
+and term: the numbers of occurrences (tf) in ascending order, and for each of them the documents.
 Within a segment the impact of a term is computed once for each tf and serves all its documents.
 
-A search sums up, for each stratum, the highest impact that a query's terms can have there. The
-strata with the highest bounds are visited first, and the k-th best score found there is a floor
-for all others: each task goes through its segments in the order of their own bounds and leaves
-out those under the floor, which rises as it goes on. A bound equal to the floor is visited, as
+A search keeps the rows of its terms and sums up, for each stratum, the highest impacts that a
+query's terms can have there. The strata with the highest bounds are visited first, and the k-th
+best score found there is a floor for all others: strata without a query whose bound reaches its
+floor are left out, the others are visited in the order of their bounds, and each task leaves out
+the segments under the floor, which rises as it goes on. A bound equal to the floor is visited, as
 a smaller doc_id may win the tie. No document that could be among the k best is left out.
 
-Documents are range-sorted by (m, hash), so a frequent length is several segments of several
-tasks; a segment ends after ``SEGMENT`` terms (one document at least). Queries are the different
-texts of the items, in blocks of at most about ``block_bytes`` that are broadcast; each block
-reads the index twice (bounds; scores) and its best strata once more.
+Documents are dealt by cuts of their lengths and, where many have one length, by hash, so a
+frequent length is several segments of several tasks; a segment ends after ``SEGMENT`` terms (one
+document at least). Queries are the different texts of the items, in blocks of at most about
+``block_bytes`` that are broadcast; each block reads the index once.
 
 Null and empty texts have no terms: such documents are neither counted nor found, such items get
 no rows. Each item row gets its own results, whatever its item_id; items of equal text are
@@ -25,6 +26,7 @@ equal scores. An empty table gives no rows. Other columns are ignored.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, bisect_right
 from typing import NamedTuple
 
 import numpy as np
@@ -36,19 +38,21 @@ from pyspark.sql.window import Window
 from pluvia.llm.common import table, text_blocks, text_of, written
 from pluvia.llm.decontaminate import words_of
 
-TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Terms, with repeats, after which a segment ends.
-SEGMENT = 400_000
+SEGMENT = 1_000_000
 BLOCK_BYTES = 2 << 20
 #: Strata of the highest bounds that give the floor.
 AHEAD = 4
-INDEX = "m long, ids array<long>, terms binary, starts binary, tfs binary, ends binary, docs binary"
+#: Text of a stretch of lengths, and cuts of the lengths at most; beyond, a stretch is dealt by hash.
+STRETCH, CUTS = 32 << 20, 2048
+#: df documents have the term, at most top times; docs: their places in the segment, by tf. The row of the empty term has the documents' ids instead.
+INDEX = "m long, segment long, term string, top int, df int, tfs binary, sizes binary, docs binary"
 
 
 class Index(NamedTuple):
-    """segments: rows of INDEX; documents and terms, with repeats, of the whole corpus."""
+    """postings: rows of INDEX; documents and terms, with repeats, of the whole corpus."""
 
-    segments: DataFrame
+    postings: DataFrame
     n_docs: int
     n_terms: int
 
@@ -61,42 +65,85 @@ class _Numbers(dict):
         return n
 
 
-def build(docs: DataFrame, segment: int = SEGMENT) -> Index:
+def _lengths(batches):
+    """(n, docs, bytes): how many documents of a task have n terms, and their bytes."""
+    found: dict[int, list[int]] = {}
+    for batch in batches:
+        for text in batch.column("text"):
+            have = found.setdefault(len(words_of(raw := text.as_py())), [0, 0])
+            have[:] = have[0] + 1, have[1] + len(raw)
+    found.pop(0, None)
+    columns = [list(found), *zip(*found.values(), strict=True)] if found else [[]] * 3
+    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["n", "docs", "bytes"])
+
+
+def build(docs: DataFrame, segment: int = SEGMENT, stretch: int = STRETCH) -> Index:
     """The index of (doc_id, text), stored in the shared folder."""
-    counted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).withColumn("n", F.regexp_count("text", F.lit(TERM)).cast("long")).where("n > 0")
-    n_docs, n_terms = counted.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    strata = counted.select("doc_id", "text", F.expr(f"25L + (75L * n * {n_docs}L) div {max(1, n_terms)}L").alias("m"))
-    placed = strata.repartitionByRange("m", F.xxhash64("doc_id", "text")).sortWithinPartitions("m")
-    return Index(written(placed.mapInArrow(lambda b: _segments(b, segment), INDEX), "ranked"), n_docs, n_terms)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)).alias("h"))
+    lengths = written(rows.select("text").mapInArrow(_lengths, "n long, docs long, bytes long").groupBy("n").agg(F.sum("docs").alias("docs"), F.sum("bytes").alias("bytes")), "ranked-lengths")
+    n_docs, n_terms, size = lengths.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in (F.col("docs"), F.col("n") * F.col("docs"), F.col("bytes")))).first()
+    parts = max(1, -(-size // stretch))
+    # cuts of the lengths by bytes; a length that holds several shares is between equal cuts
+    shares = [k / min(parts, CUTS) for k in range(1, min(parts, CUTS))]
+    cuts = [int(x) for x in lengths.agg(F.percentile("n", F.array(*map(F.lit, shares)), F.col("bytes"))).first()[0]] if shares and size else []
+    more = -(-parts // CUTS)
+
+    def placed(batches):
+        for batch in batches:
+            m, part = [], []
+            for text, h in zip(batch.column("text"), batch.column("h").to_pylist(), strict=True):
+                n = len(words_of(text.as_py()))
+                low, high = bisect_left(cuts, n), bisect_right(cuts, n)
+                m.append(25 + 75 * n * n_docs // n_terms if n else None)
+                part.append((low + h % (high - low + 1)) * more + (h >> 8) % more)
+            yield batch.append_column("m", pa.array(m, pa.int64())).append_column("part", pa.array(part, pa.int64()))
+
+    dealt = rows.mapInArrow(placed, "doc_id long, text string, h long, m long, part long").where("m IS NOT NULL").drop("h")
+    stored = dealt.repartition("part").sortWithinPartitions("part", "m").mapInArrow(lambda b: _segments(b, segment), INDEX)
+    return Index(written(stored, "ranked"), n_docs, n_terms)
 
 
 def _segments(batches, most):
-    at, ids, words, sizes, count = None, [], [], [], 0
+    """Segments from rows sorted by m; a segment's number is made of its task's and its place there."""
+    from pyspark import TaskContext
+
+    number, at, ids, words, sizes = TaskContext.get().partitionId() << 32, None, [], [], []
     for batch in batches:
         for m, doc_id, text in zip(batch.column("m").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
             found = words_of(text.as_py())
-            if ids and (m != at or count + len(found) > most):
-                yield _segment(at, ids, words, sizes)
-                ids, words, sizes, count = [], [], [], 0
-            at, count = m, count + len(found)
+            if ids and (m != at or len(words) + len(found) > most):
+                yield _segment(at, number, ids, words, sizes)
+                number, ids, words, sizes = number + 1, [], [], []
+            at = m
             ids.append(doc_id)
             words += found
             sizes.append(len(found))
     if ids:
-        yield _segment(at, ids, words, sizes)
+        yield _segment(at, number, ids, words, sizes)
 
 
-def _segment(m: int, ids: list, words: list[bytes], sizes: list[int]) -> pa.RecordBatch:
+def _segment(m: int, number: int, ids: list, words: list[bytes], sizes: list[int]) -> pa.RecordBatch:
     numbers = _Numbers()
     term = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
     pairs, tf = np.unique(term * len(ids) + np.repeat(np.arange(len(ids)), sizes), return_counts=True)
     term, doc = np.divmod(pairs, len(ids))
-    order = np.lexsort((tf, term))  # stable: documents keep their order
+    order = np.argsort(term * (int(tf.max()) + 1) + tf, kind="stable")  # documents keep their order
     term, doc, tf = term[order], doc[order], tf[order]
     first = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (tf[1:] != tf[:-1])])  # of each (term, tf)
-    starts = np.searchsorted(term[first], np.arange(len(numbers) + 1))
-    blobs = (b" ".join(numbers), *(x.astype(np.int32).tobytes() for x in (starts, tf[first], np.r_[first[1:], len(tf)], doc)))
-    return pa.RecordBatch.from_arrays([pa.array([m], pa.int64()), pa.array([ids], pa.list_(pa.int64())), *(pa.array([x], pa.binary()) for x in blobs)], [c.split()[0] for c in INDEX.split(", ")])
+    groups = np.searchsorted(term[first], np.arange(len(numbers) + 1))  # where a term's begin, and
+    begins = np.searchsorted(term, np.arange(len(numbers) + 1))  # where its documents do
+    known = pa.array([i is not None for i in ids])
+    shared = [pa.array(np.full(len(numbers) + 1, x), pa.int64()) for x in (m, number)]
+    blobs = [(tf[first], groups), (np.diff(np.r_[first, len(tf)]), groups), (doc, begins)]
+    last = [known.cast(pa.int8()).to_numpy(zero_copy_only=False).tobytes(), None, np.array([i or 0 for i in ids], np.int64).tobytes()]
+    columns = [pa.concat_arrays([_slices(x, at), pa.array([y], pa.binary())]) for (x, at), y in zip(blobs, last, strict=True)]
+    names = pa.array([*numbers, b""], pa.binary()).cast(pa.string())
+    return pa.RecordBatch.from_arrays([*shared, names, pa.array([*tf[first][groups[1:] - 1].tolist(), 0], pa.int32()), pa.array([*np.diff(begins).tolist(), 0], pa.int32()), *columns], [c.split()[0] for c in INDEX.split(", ")])
+
+
+def _slices(numbers: np.ndarray, at: np.ndarray) -> pa.Array:
+    """The slices between places as binary values of four bytes a number."""
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((4 * at).astype(np.int32)), pa.py_buffer(numbers.astype(np.int32))])
 
 
 def impacts(tf: np.ndarray, m: int) -> np.ndarray:
@@ -130,6 +177,11 @@ class Queries:
         self.weights = np.zeros(len(self.numbers), np.int64)
         self.floor = np.zeros(len(self.names), np.int64)
 
+    def of(self, q: int) -> list[tuple[int, int]]:
+        """(term, repeats) of a query."""
+        part = slice(self.starts[q], self.starts[q + 1] if q + 1 < len(self.starts) else None)
+        return list(zip(self.terms[part].tolist(), self.times[part].tolist(), strict=True))
+
     def bounds(self, terms: np.ndarray, tops: np.ndarray, m: int) -> np.ndarray:
         """The highest score that each query can reach where terms occur at most tops times."""
         best = np.zeros(len(self.numbers), np.int64)
@@ -137,70 +189,65 @@ class Queries:
         return np.add.reduceat(best[self.terms] * self.times, self.starts)
 
 
-class Segment:
-    """The postings of a row of the index for the terms that are asked for."""
-
-    def __init__(self, batch: pa.RecordBatch, i: int, numbers: dict[bytes, int]):
-        read = lambda c: np.frombuffer(batch.column(c)[i].as_buffer(), np.int32)
-        known = list(map(numbers.get, batch.column("terms")[i].as_py().split(b" ")))
-        at = np.array([j for j, k in enumerate(known) if k is not None], np.int64)
-        self.m = batch.column("m")[i].as_py()
-        self.terms = np.array([known[j] for j in at.tolist()], np.int64)
-        self.starts, self.tfs, self.ends = read("starts"), read("tfs"), read("ends")
-        self.first, self.last = self.starts[at], self.starts[at + 1]
-        self.tops = self.tfs[self.last - 1]
-        self.dfs = self.ends[self.last - 1] - np.where(self.first > 0, self.ends[self.first - 1], 0)
-        if "docs" in batch.schema.names:
-            self.docs, self.ids = read("docs"), batch.column("ids")[i].values
-
-    def postings(self, weights: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-        """term -> (documents, what the term adds to each): an impact for each tf, once."""
-        out = {}
-        for term, a, b in zip(self.terms.tolist(), self.first.tolist(), self.last.tolist(), strict=True):
-            begin = self.ends[a - 1] if a else 0
-            sizes = np.diff(self.ends[a:b], prepend=begin)
-            out[term] = self.docs[begin : self.ends[b - 1]], np.repeat(weights[term] * impacts(self.tfs[a:b], self.m), sizes)
-        return out
-
-
-DIRECTORY = "term int, m long, top int, df long"
-
-
-def _directory(batches, numbers):
-    """For each term asked for and stratum: the highest tf and the number of documents."""
-    found: dict[tuple[int, int], list[int]] = {}
-
-    def rows():
-        columns = [[t for t, _ in found], [m for _, m in found], *zip(*found.values(), strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, (pa.int32(), pa.int64(), pa.int32(), pa.int64()), strict=True)], ["term", "m", "top", "df"])
-
-    for batch in batches:
-        for i in range(batch.num_rows):
-            s = Segment(batch, i, numbers)
-            for term, top, df in zip(s.terms.tolist(), s.tops.tolist(), s.dfs.tolist(), strict=True):
-                have = found.setdefault((term, s.m), [0, 0])
-                have[:] = max(have[0], top), have[1] + df
-        if len(found) > 500_000:
-            yield rows()
-            found.clear()
-    if found:
-        yield rows()
-
-
 def _leading(batches, queries, ahead):
     """Of the strata that a task meets, the ahead ones with the highest bounds for each query."""
     best = np.zeros((0, len(queries.names)), np.int64)
     names = np.zeros((0, len(queries.names)), np.int64)
+    for m, bounds in _bounds(batches, queries):
+        best, names = np.vstack((best, bounds)), np.vstack((names, np.full((1, best.shape[1]), m)))
+        if len(best) > 4 * ahead:
+            keep = np.argsort(-best, axis=0, kind="stable")[:ahead]
+            best, names = np.take_along_axis(best, keep, 0), np.take_along_axis(names, keep, 0)
+    at, q = np.nonzero(best)
+    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (q, names[at, q], best[at, q])], ["q", "m", "bound"])
+
+
+def _bounds(batches, queries):
     for batch in batches:
         for m, entries in zip(batch.column("m").to_pylist(), batch.column("entries"), strict=True):
             term, top = (entries.values.field(k).to_numpy(zero_copy_only=False) for k in ("term", "top"))
-            best = np.vstack((best, queries.bounds(term, top, m)))
-            names = np.vstack((names, np.full((1, best.shape[1]), m)))
-            if len(best) > ahead:
-                keep = np.argsort(-best, axis=0, kind="stable")[:ahead]
-                best, names = np.take_along_axis(best, keep, 0), np.take_along_axis(names, keep, 0)
-    at, q = np.nonzero(best)
-    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (q, names[at, q], best[at, q])], ["q", "m", "bound"])
+            yield m, queries.bounds(term, top, m)
+
+
+def _reaching(batches, queries):
+    """(m, bound): the highest bound of each stratum in which a query can reach its floor."""
+    rows = [(m, int(bounds.max())) for m, bounds in _bounds(batches, queries) if (bounds >= np.maximum(queries.floor, 1)).any()]
+    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], ["m", "bound"])
+
+
+class Segment:
+    """The postings of a segment for the terms that are asked for."""
+
+    def __init__(self, m: int):
+        self.m, self.terms, self.tops, self.rows, self.ids, self.known = m, [], [], {}, None, None
+
+    def add(self, batch: pa.RecordBatch, i: int, term: int | None, top: int) -> None:
+        read = lambda c, kind=np.int32: np.frombuffer(batch.column(c)[i].as_buffer(), kind)
+        if term is None:
+            self.known, self.ids = read("tfs", np.int8).astype(bool), read("docs", np.int64)
+        else:
+            self.terms.append(term)
+            self.tops.append(top)
+            self.rows[term] = read("tfs"), read("sizes"), read("docs")
+
+    def adds(self, term: int, weight: int) -> tuple[np.ndarray, np.ndarray]:
+        """The documents of a term, and what it adds to each: an impact for each tf, once."""
+        tfs, sizes, docs = self.rows[term]
+        return docs, np.repeat(weight * impacts(tfs, self.m), sizes)
+
+
+def _each(batches):
+    """Segments, one after the other, from rows in which those of a segment stand together."""
+    at, held = None, None
+    for batch in batches:
+        for i, (number, m, term, top) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("segment", "m", "no", "top")), strict=True)):
+            if number != at:
+                if held is not None:
+                    yield held
+                at, held = number, Segment(m)
+            held.add(batch, i, term, top)
+    if held is not None:
+        yield held
 
 
 FOUND = pa.schema([("q", pa.int64()), ("doc_id", pa.int64()), ("score", pa.int64())])
@@ -210,60 +257,59 @@ def _visit(batches, queries, k, only=None):
     """The k best of each query in the segments that a task meets; only: (m, query) pairs to visit, all if None."""
     floor = queries.floor.copy()
     kept: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-    for batch in batches:
-        segments = [Segment(batch, i, queries.numbers) for i in range(batch.num_rows)]
-        bounds = [queries.bounds(s.terms, s.tops, s.m) for s in segments]
-        for s in sorted(range(len(segments)), key=lambda i: -int(bounds[i].max(initial=0))):
-            segment, asked = segments[s], np.flatnonzero(bounds[s] >= np.maximum(floor, 1))
-            if only is not None:
-                asked = [q for q in asked.tolist() if (segment.m, q) in only]
-            if not len(asked):
-                continue
-            postings, known = segment.postings(queries.weights), segment.ids.is_valid().to_numpy(zero_copy_only=False)
-            ids = segment.ids.fill_null((1 << 63) - 1).to_numpy()
-            for q in map(int, asked):
-                end = queries.starts[q + 1] if q + 1 < len(queries.starts) else len(queries.terms)
-                scores = np.zeros(len(ids), np.int64)
-                for term, times in zip(queries.terms[queries.starts[q] : end].tolist(), queries.times[queries.starts[q] : end].tolist(), strict=True):
-                    if term in postings:
-                        docs, adds = postings[term]
-                        scores[docs] += times * adds
-                some = np.flatnonzero(scores >= max(1, floor[q]))
-                have = kept.get(q)
-                one = (scores[some], ids[some], known[some])
-                one = one if have is None else tuple(map(np.concatenate, zip(have, one, strict=True)))
-                order = np.lexsort((one[1], ~one[2], -one[0]))[:k]
-                kept[q] = tuple(x[order] for x in one)
-                if len(order) == k:
-                    floor[q] = max(floor[q], kept[q][0][-1])
+    for segment in _each(batches):
+        if not segment.terms:
+            continue
+        asked = np.flatnonzero(queries.bounds(np.array(segment.terms), np.array(segment.tops), segment.m) >= np.maximum(floor, 1)).tolist()
+        if only is not None:
+            asked = [q for q in asked if (segment.m, q) in only]
+        adds: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for q in asked:
+            scores = np.zeros(len(segment.ids), np.int64)
+            for term, times in queries.of(q):
+                if term in segment.rows:
+                    if term not in adds:
+                        adds[term] = segment.adds(term, int(queries.weights[term]))
+                    docs, more = adds[term]
+                    scores[docs] += more if times == 1 else times * more
+            some = np.flatnonzero(scores >= max(1, floor[q]))
+            one = scores[some], np.where(segment.known, segment.ids, (1 << 63) - 1)[some], segment.known[some]
+            if q in kept:
+                one = tuple(map(np.concatenate, zip(kept[q], one, strict=True)))
+            order = np.lexsort((one[1], ~one[2], -one[0]))[:k]
+            kept[q] = tuple(x[order] for x in one)
+            if len(order) == k:
+                floor[q] = max(floor[q], kept[q][0][-1])
     for q, (scores, ids, known) in kept.items():
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), queries.names[q]), pa.int64()), pa.array(ids, pa.int64(), mask=~known), pa.array(scores, pa.int64())], schema=FOUND)
 
 
 def _search(index: Index, block: list[tuple[int, str]], k: int, ahead: int) -> DataFrame | None:
     """(q, doc_id, score): the k best of each task for each query of the block."""
-    queries, spark = Queries(block), index.segments.sparkSession
+    queries, spark = Queries(block), index.postings.sparkSession
     if not queries.names:
         return None
-    numbers = spark.sparkContext.broadcast(queries.numbers)
-    directory = written(index.segments.drop("ids", "docs").mapInArrow(lambda b: _directory(b, numbers.value), DIRECTORY), "ranked-bounds")
-    for r in directory.groupBy("term").agg(F.sum("df").alias("df")).collect():  # a row for each term of the block
-        queries.weights[r["term"]] = weight(index.n_docs, r["df"])
+    asked = spark.createDataFrame([("", None), *((t.decode(), n) for t, n in queries.numbers.items())], "term string, no int")  # the block's terms
+    rows = written(index.postings.join(F.broadcast(asked), "term").drop("term"), "ranked-postings")
+    for r in rows.where("no IS NOT NULL").groupBy("no").agg(F.sum("df").alias("df")).collect():  # a row for each term of the block
+        queries.weights[r["no"]] = weight(index.n_docs, r["df"])
     given = spark.sparkContext.broadcast(queries)
-    strata = directory.groupBy("m", "term").agg(F.max("top").alias("top")).groupBy("m").agg(F.collect_list(F.struct("term", "top")).alias("entries"))
+    tops = rows.where("no IS NOT NULL").groupBy("m", F.col("no").alias("term")).agg(F.max("top").alias("top"))
+    strata = written(tops.groupBy("m").agg(F.collect_list(F.struct("term", "top")).alias("entries")), "ranked-strata")  # at most the block's terms each
     leading = strata.mapInArrow(lambda b: _leading(b, given.value, ahead), "q long, m long, bound long")
     first = leading.withColumn("k", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("bound"), "m"))).where(F.col("k") <= ahead)
     only = {(r["m"], r["q"]) for r in first.collect()}  # ahead rows for each query of the block
-    lead = sorted({m for m, _ in only})
     form = "q long, doc_id long, score long"
-    if lead:
-        seen = index.segments.where(F.col("m").isin(lead)).mapInArrow(lambda b: _visit(b, given.value, k, only), form)
-        order = Window.partitionBy("q").orderBy(F.desc("score"))
+    together = lambda df, *by: df.repartition("segment").sortWithinPartitions(*by, "segment")
+    if only:
+        seen = together(rows.where(F.col("m").isin(sorted({m for m, _ in only})))).mapInArrow(lambda b: _visit(b, given.value, k, only), form)
         place = {name: j for j, name in enumerate(queries.names)}
-        for r in seen.withColumn("k", F.row_number().over(order)).where(F.col("k") == k).collect():  # one for each query
+        for r in seen.withColumn("k", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score")))).where(F.col("k") == k).collect():  # one for each query
             queries.floor[place[r["q"]]] = r["score"]
         given = spark.sparkContext.broadcast(queries)
-    return written(index.segments.mapInArrow(lambda b: _visit(b, given.value, k), form), "ranked-found")
+    reaching = strata.mapInArrow(lambda b: _reaching(b, given.value), "m long, bound long")
+    visited = together(rows.join(reaching, "m"), F.desc("bound"))
+    return written(visited.mapInArrow(lambda b: _visit(b, given.value, k), form), "ranked-found")
 
 
 def search(index: Index, items: DataFrame, k: int = 10, block_bytes: int = BLOCK_BYTES, ahead: int = AHEAD) -> DataFrame:

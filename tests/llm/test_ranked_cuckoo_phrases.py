@@ -67,20 +67,29 @@ def test_ranked_search_with_ties_and_empty_tables(spark, docs):
 
 def test_segments_under_the_floor_are_not_visited(spark, docs, monkeypatch):
     index = ranked.build(docs, 200)
-    block = [(0, "hunter2hunter2 one rain")]
-    queries = ranked.Queries(block)
+    queries = ranked.Queries([(0, "rain wind echo 中文 gust")])
     texts = [set(TERM.findall((r.text or "").translate(LOWER))) for r in docs.collect()]
     for term, n in queries.numbers.items():
         queries.weights[n] = ranked.weight(index.n_docs, sum(term.decode() in t for t in texts))
+    asked = spark.createDataFrame([("", None), *((t.decode(), n) for t, n in queries.numbers.items())], "term string, no int")
+    batches = index.postings.join(asked, "term").coalesce(1).sortWithinPartitions("segment").toArrow().to_batches()
     visited = []
-    plain = ranked.Segment.postings
-    monkeypatch.setattr(ranked.Segment, "postings", lambda self, w: visited.append(self.m) or plain(self, w))
-    batches = index.segments.toArrow().to_batches()
+    plain = ranked.Segment.adds
+    monkeypatch.setattr(ranked.Segment, "adds", lambda self, t, w: visited.append(self.m) or plain(self, t, w))
     everything = [r for b in ranked._visit(batches, queries, 1) for r in b.to_pylist()]
-    queries.floor[0] = everything[0]["score"]
     before, visited[:] = len(visited), []
+    queries.floor[0] = everything[0]["score"]
     assert [r for b in ranked._visit(batches, queries, 1) for r in b.to_pylist()] == everything
-    assert 0 < len(visited) <= before < sum(b.num_rows for b in batches)
+    assert 0 < len(visited) < before
+
+
+@pytest.mark.parametrize("stretch", [1 << 12, 1 << 25])
+def test_a_frequent_length_is_dealt_to_several_tasks(spark, stretch):
+    same = spark.range(2000).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words w"), F.col("id")).alias("text"))
+    index = ranked.build(same, 500, stretch)
+    sizes = [r.n for r in index.postings.where("term = 'some'").groupBy("segment").agg(F.sum("df").alias("n")).collect()]
+    assert sum(sizes) == 2000 and max(sizes) <= 166 and index.postings.select("m").distinct().count() == 1
+    assert ranked.search(index, spark.createDataFrame([("q", "w77")], "item_id string, text string")).first().doc_id == 77
 
 
 def test_blocks_of_texts_hold_their_bound(spark):
