@@ -39,7 +39,7 @@ SLOTS = 4
 KICKS = 200
 #: Bytes of text after which a task sends on what it has.
 HELD = 48 << 20
-SHARD = 12 << 20
+SHARD = 3 << 20
 DIGEST_BYTES = 32
 
 

@@ -118,7 +118,7 @@ def as_rows(df):
     return Counter((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in df.collect())
 
 
-@pytest.mark.parametrize(("held", "shard", "digest_bytes"), [(48 << 20, 12 << 20, 32), (300, 2000, 32), (1000, 5000, 1)])
+@pytest.mark.parametrize(("held", "shard", "digest_bytes"), [(48 << 20, 3 << 20, 32), (300, 2000, 32), (1000, 5000, 1)])
 def test_exact_groups(spark, docs, held, shard, digest_bytes):
     """With digests of one byte nearly all contents share theirs with others."""
     given = docs.unionByName(docs.withColumn("doc_id", F.col("doc_id") + 1000))
