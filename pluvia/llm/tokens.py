@@ -165,7 +165,8 @@ class PrefixCounter:
         got = self.kept.get(segment)
         if got is None:
             plain = self.prefix_counts(segment)
-            got = bytes(plain) if plain[-1] < 1 << 8 else array("H" if plain[-1] < 1 << 16 else "I", plain)
+            most = max(plain)  # not the last count: counts may fall again
+            got = bytes(plain) if most < 1 << 8 else array("H" if most < 1 << 16 else "I", plain)
             if len(segment) <= SHORT:
                 if len(self.kept) >= self.max_segments:
                     self.kept.clear()
