@@ -45,6 +45,8 @@ OPENING, CLOSING = "“„«‘‚‹", "”»’›"
 #: Words that report what others said; what train() takes unless it is given others.
 REPORTING = frozenset("said says quoted called wrote writes term word phrase sagte schrieb nannte dijo escribió llamó dit écrit appelé".split())
 NEAR, SPEECH = 8, 3
+#: Longer words are matched each time that they occur.
+KEPT_CHARS = 64
 STEMS = (4, 5, 6)
 FEATURES = 9
 #: A task's automaton starts anew when it has made so many states.
@@ -184,9 +186,11 @@ def features(text: str, lexicon: Lexicon, known: dict, reporting: frozenset = RE
         word = m[0]
         got = known.get(word, last)
         if got is last:
-            if len(known) > 400_000:
-                known.clear()
-            got = known[word] = lexicon.match(word) or 0
+            got = lexicon.match(word) or 0
+            if len(word) <= KEPT_CHARS:  # at most 400,000 of them
+                if len(known) > 400_000:
+                    known.clear()
+                known[word] = got
         if got:
             left = recent[0].start() if recent else 0
             if len(recent) < NEAR:
