@@ -8,25 +8,27 @@ the patterns that end in it, ordered by the hash of all their words, and those o
 hash are compared word by word. Patterns of fewer words have tables of their own. Tables are
 arrays: about 40 bytes a window beside the words themselves, of which each is held once.
 
-Benchmark items go to the executors in blocks of at most ``block_bytes`` of text (a longer item
-is a block of its own); each block searches all documents, and the blocks' finds are put
-together by document.
+The different benchmark items go to the executors in blocks of at most ``block_bytes`` of text
+(beside the longest item); each block searches all documents, and the blocks' finds are put
+together by document. A worker keeps the tables of its last block.
 
 Null and empty texts have no words; null and empty items give no window. Items with a null
-item_id count for hits, but have no id to list. Repeated windows and items of equal text each
-list their ids; repeated document rows are searched one by one (with several blocks they are
+item_id count for hits, but have no id to list. Rows of equal item_id and text are one item. Repeated
+windows and items of equal text each list their ids; repeated document rows are searched one by one (with several blocks they are
 told apart by a row id). An empty benchmark leaves every document clean. clean() keeps all
 columns, whatever their names.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pluvia.llm.common import table, text_of, written
+from pluvia.llm.common import table, text_blocks, text_of, written
 
 #: Everything but ASCII letters, digits and bytes of other characters parts words; A-Z become a-z.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -150,10 +152,10 @@ SCHEMA = "row_id long, doc_id long, n_words long, runs array<struct<s:int,e:int>
 
 
 def _search_block(docs: DataFrame, items: list, size: int) -> DataFrame:
-    given = docs.sparkSession.sparkContext.broadcast(items)
+    given, name = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
 
     def run(batches):
-        matcher = Matcher(given.value, size)
+        matcher = _matcher(given, name, size)
         pair = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
         for batch in batches:
             n, runs, ids = [], [], []
@@ -169,24 +171,20 @@ def _search_block(docs: DataFrame, items: list, size: int) -> DataFrame:
 
 
 def item_blocks(benchmark: DataFrame, block_bytes: int):
-    """The items, (id, text) each, in blocks of at most block_bytes of text; one block is on the driver at a time."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), text_of().alias("text")).where("text <> ''").withColumn("size", F.octet_length("text") + 16)
-    # as many parts by hash as leave room for uneven ones; parts of one block are put together
-    total = items.agg(F.sum("size")).first()[0] or 0
-    parts = max(1, -(-4 * total // block_bytes))
-    if parts <= 4:
-        yield [(r["item_id"], r["text"]) for r in items.collect()]
-        return
-    items = written(items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))), "benchmark")
-    sizes = {r["part"]: r["size"] for r in items.groupBy("part").agg(F.sum("size").alias("size")).collect()}
-    group, used = [], 0
-    for part, size in sorted(sizes.items()):
-        if group and used + size > block_bytes:
-            yield [(r["item_id"], r["text"]) for r in items.where(F.col("part").isin(group)).collect()]
-            group, used = [], 0
-        group.append(part)
-        used += size
-    yield [(r["item_id"], r["text"]) for r in items.where(F.col("part").isin(group)).collect()]
+    """The different items, (id, text) each, in blocks of at most block_bytes of text beside the longest item; one block is on the driver at a time."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), text_of().alias("text")).where("text <> ''").distinct()
+    return text_blocks(written(items, "benchmark"), "item_id", block_bytes)
+
+
+#: The tables of the last block that this worker has searched for.
+_built: dict[str, Matcher] = {}
+
+
+def _matcher(items, name: str, size: int) -> Matcher:
+    if name not in _built:
+        _built.clear()
+        _built[name] = Matcher(items.value, size)
+    return _built[name]
 
 
 def search(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -226,8 +224,10 @@ def clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_bytes
 
 
 def _without(docs: DataFrame, items, at: int, size: int) -> DataFrame:
+    name = uuid.uuid4().hex
+
     def run(batches):
-        matcher = Matcher(items.value, size)
+        matcher = _matcher(items, name, size)
         for batch in batches:
             yield batch.filter(pa.array([not matcher.find(words_of(t.as_py()))[0] for t in batch.column(at)], pa.bool_()))
 
