@@ -7,9 +7,9 @@ of the block, from which a partition selection keeps the k best. The blocks' sel
 merged by query.
 
 Every query block meets every candidate block, so all scores are computed: work and the bytes
-of the pairs of blocks grow with the square of the rows. Blocks are bounded (``block``
-candidates, ``queries`` queries) and are cut from the rows as they are read, whatever their
-ids. Selections leave a task only after it has merged all its blocks of a query.
+of the pairs of blocks grow with the square of the rows. Blocks are bounded (``block`` candidates
+and ``BLOCK_BYTES`` of weights, or one vector; ``queries`` queries) and are cut from the rows as
+they are read, whatever their ids, vectors of very different sizes apart. Selections leave a task only after it has merged all its blocks of a query.
 
 Sums that could leave the exact range of 64-bit integers (told by the largest weights of both
 blocks) are made with Python's integers, so ranks are exact for all finite components; a score
@@ -17,7 +17,7 @@ beyond the range of the result's long is shown as that range's end, and ranked b
 bytes that sort like the whole number.
 
 Vectors that are null, or hold a null or a component that is not finite (or is not when
-scaled), take no part; nor do rows with a null id. Of vectors of different sizes, missing components count as zero. Every
+scaled), take no part. A row with a null id is a candidate, after all others that tie with it. Of vectors of different sizes, missing components count as zero. Every
 row is a candidate and, if asked, a query of its own, told apart by its block and place: rows
 with equal ids each get a list, and meet each other. Ties go to the smaller id. Empty vectors
 score 0. Other columns are ignored.
@@ -35,6 +35,8 @@ from pluvia.llm.common import table, written
 
 BLOB = "block long, n int, width int, ids binary, weights binary, places binary"
 LONG = (1 << 63) - 1
+#: Weights of a block.
+BLOCK_BYTES = 16 << 20
 
 
 def _numbers(column: pa.Array, i: int, kind) -> np.ndarray:
@@ -42,27 +44,37 @@ def _numbers(column: pa.Array, i: int, kind) -> np.ndarray:
     return np.frombuffer(column[i].as_buffer(), kind)
 
 
-def packed(vectors: DataFrame, size: int) -> DataFrame:
-    """Blocks of at most size rows (vec_id, terms, asked): ids, for each term the weights of all of them, and the places of those asked for.
+def packed(vectors: DataFrame, size: int, most: int = BLOCK_BYTES) -> DataFrame:
+    """Blocks of at most size rows (vec_id, terms, asked) and most bytes of weights, or one row: ids, for each term the weights of all of them, and the places of those asked for.
 
-    A block's number is made of its partition and its place in it.
+    A block holds vectors of about one size, between a power of two and the next. Its number is made of its partition and its place in it.
     """
 
     def run(batches):
         from pyspark import TaskContext
 
-        number, held, count = TaskContext.get().partitionId() << 32, [], 0
+        number, held = TaskContext.get().partitionId() << 32, {}
         for batch in batches:
-            at = 0
-            while at < batch.num_rows:
-                part = batch.slice(at, size - count)
-                held.append(part)
-                at, count = at + part.num_rows, count + part.num_rows
-                if count == size:
-                    yield _pack(number, held)
-                    number, held, count = number + 1, [], 0
-        if held:
-            yield _pack(number, held)
+            kinds = np.array([max(n - 1, 0).bit_length() for n in batch.column("terms").value_lengths().to_pylist()])
+            for kind in np.unique(kinds).tolist():
+                rows = batch if (kinds == kind).all() else batch.take(pa.array(np.flatnonzero(kinds == kind)))
+                limit, at = max(1, min(size, most >> kind + 3)), 0
+                while at < rows.num_rows:
+                    parts = held.setdefault(kind, [])
+                    part = rows.slice(at, limit - sum(p.num_rows for p in parts))
+                    parts.append(part)
+                    at += part.num_rows
+                    if sum(p.num_rows for p in parts) == limit:
+                        yield _pack(number, held.pop(kind))
+                        number += 1
+            # what waits is copied out of its batches; widest first, until it is within two blocks
+            held = {kind: [pa.RecordBatch.from_arrays([pa.concat_arrays([p.column(c) for p in parts]) for c in range(parts[0].num_columns)], parts[0].schema.names)] for kind, parts in held.items()}
+            while len(held) > 1 and sum(p.num_rows << kind + 3 for kind, (p,) in held.items()) > 2 * most:
+                yield _pack(number, held.pop(max(held)))
+                number += 1
+        for parts in held.values():
+            yield _pack(number, parts)
+            number += 1
 
     return vectors.mapInArrow(run, BLOB)
 
@@ -79,7 +91,14 @@ def _pack(number: int, batches: list[pa.RecordBatch]) -> pa.RecordBatch:
     owner = np.repeat(np.arange(len(sizes)), sizes)
     weights = np.zeros((int(sizes.max(initial=0)), len(sizes)))
     weights[np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes), owner] = terms.flatten().to_numpy()
-    return _blob(number, rows.column("vec_id").to_numpy(), weights, np.flatnonzero(rows.column("asked").to_numpy()))
+    ids = rows.column("vec_id")
+    named = np.column_stack((ids.is_null().to_numpy(), ids.fill_null(0).to_numpy()))
+    return _blob(number, named.astype(np.int64), weights, np.flatnonzero(rows.column("asked").to_numpy()))
+
+
+def _ids(column: pa.Array, i: int) -> np.ndarray:
+    """For each row whether its id is null, and the id: pairs that sort as ids do, null last."""
+    return _numbers(column, i, np.int64).reshape(-1, 2)
 
 
 def _asked(batches, most):
@@ -87,7 +106,7 @@ def _asked(batches, most):
     for batch in batches:
         for i in range(batch.num_rows):
             block, n, width = (batch.column(c)[i].as_py() for c in ("block", "n", "width"))
-            ids, places = (_numbers(batch.column(c), i, np.int64) for c in ("ids", "places"))
+            ids, places = _ids(batch.column("ids"), i), _numbers(batch.column("places"), i, np.int64)
             weights = _numbers(batch.column("weights"), i, float).reshape(width, n)
             for b in range(0, len(places), most):
                 some = places[b : b + most]
@@ -95,15 +114,15 @@ def _asked(batches, most):
 
 
 def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k highest scores, ties to smaller ids."""
+    """Places of the k highest scores, ties to smaller ids (pairs of _ids)."""
     if len(scores) > k:
         floor = np.partition(scores, len(scores) - k)[len(scores) - k]
         keep = np.flatnonzero(scores >= floor)  # all that tie with the last one stay until ids decide
     else:
         keep = np.arange(len(scores))
     if scores.dtype == object:
-        return np.array(sorted(keep.tolist(), key=lambda i: (-scores[i], ids[i]))[:k], int)
-    return keep[np.lexsort((ids[keep], -scores[keep]))[:k]]
+        return np.array(sorted(keep.tolist(), key=lambda i: (-scores[i], *ids[i].tolist()))[:k], int)
+    return keep[np.lexsort((ids[keep, 1], ids[keep, 0], -scores[keep]))[:k]]
 
 
 def accumulate(query: np.ndarray, postings: np.ndarray, top: float) -> np.ndarray:
@@ -139,14 +158,14 @@ def _search(batches, k):
         c = {name: batch.column(name) for name in batch.schema.names}
         for i in range(batch.num_rows):
             n, width, q_n, q_width, block, q_block = (c[x][i].as_py() for x in ("n", "width", "q_n", "q_width", "block", "q_block"))
-            ids, postings = _numbers(c["ids"], i, np.int64), _numbers(c["weights"], i, float).reshape(width, n)
-            asked, weights, places = _numbers(c["q_ids"], i, np.int64), _numbers(c["q_weights"], i, float).reshape(q_width, q_n), _numbers(c["q_places"], i, np.int64)
+            ids, postings = _ids(c["ids"], i), _numbers(c["weights"], i, float).reshape(width, n)
+            asked, weights, places = _ids(c["q_ids"], i)[:, 1], _numbers(c["q_weights"], i, float).reshape(q_width, q_n), _numbers(c["q_places"], i, np.int64)
             top_weight = float(np.abs(postings).max(initial=0))
             mine = held.setdefault((q_block, int(places[0])), {})
             for j, (q, place) in enumerate(zip(asked.tolist(), places.tolist(), strict=True)):
                 scores, names = accumulate(weights[:, j], postings, top_weight), ids
                 if block == q_block:  # the query's own row
-                    scores, names = np.delete(scores, place), np.delete(ids, place)
+                    scores, names = np.delete(scores, place), np.delete(ids, place, 0)
                 top = best(names, scores, k)
                 names, scores = names[top], scores[top]
                 if place in mine:
@@ -163,7 +182,7 @@ def _search(batches, k):
 
 
 def _rows(held):
-    rows = [(block, place, q, v, int(s)) for (block, _), one in held.items() for place, (q, ids, scores) in one.items() for v, s in zip(ids.tolist(), scores.tolist(), strict=True)]
+    rows = [(block, place, q, None if unnamed else v, int(s)) for (block, _), one in held.items() for place, (q, ids, scores) in one.items() for (unnamed, v), s in zip(ids.tolist(), scores.tolist(), strict=True)]
     columns = [list(x) for x in zip(*rows, strict=True)] if rows else [[] for _ in range(5)]
     shown = [max(-LONG - 1, min(LONG, s)) for s in columns[4]]
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip([*columns[:4], shown, [beyond(s) for s in columns[4]]], SELECTED.types, strict=True)], schema=SELECTED)
@@ -174,7 +193,7 @@ def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
     x = F.transform("embedding", lambda v: v.cast("double") * scale)
     bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     whole = lambda v: F.when(F.abs(v) < 2.0**53, F.floor(v).cast("double")).otherwise(v)  # noqa: E731  larger doubles have no fraction
-    return vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(~bad).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, whole).alias("terms"))
+    return vectors.where(F.col("embedding").isNotNull()).where(~bad).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, whole).alias("terms"))
 
 
 def search(vectors: DataFrame, asked, k: int = 5, block: int = 8192, queries: int = 1024) -> DataFrame:
@@ -185,7 +204,7 @@ def search(vectors: DataFrame, asked, k: int = 5, block: int = 8192, queries: in
     theirs = theirs.select(*(F.col(c).alias(f"q_{c}") for c in theirs.columns)).withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))  # to about one candidate block each, as rows of bytes
     pairs = mine.drop("places").withColumn("slot", F.pmod(F.xxhash64("block"), F.lit(slots)).cast("int")).join(theirs, "slot")
     found = pairs.mapInArrow(lambda b: _search(b, k), "q_block long, q_place long, query_id long, vec_id long, score long, beyond binary")
-    order = Window.partitionBy("q_block", "q_place").orderBy(F.desc("score"), F.desc_nulls_last("beyond"), "vec_id")
+    order = Window.partitionBy("q_block", "q_place").orderBy(F.desc("score"), F.desc_nulls_last("beyond"), F.asc_nulls_last("vec_id"))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score", "beyond")
 
 
@@ -195,7 +214,7 @@ def op6_exact_topk(spark, sf_dir: str) -> DataFrame:
 
 ORACLE_OP6 = """
 WITH v AS (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS t FROM embeddings
-           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT q.row, q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.t, c.t) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.row <> q.row)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM
 (SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
