@@ -11,8 +11,9 @@ exceeds that is reshared by weight (water filling, in closed form over the sourc
 
 A null text has size 0 and takes 0. A null source is a source, the last one. A null id counts
 as an empty one: rows of one id, or without one, have keys of their own as long as their texts
-differ, so they are spread like others. Rows that repeat whole have one key; they are
-interchangeable, so every run gives the same rows. An empty table gives no rows; if all sizes
+differ, so they are spread like others. Rows that repeat whole have one key and are
+interchangeable: those of a task are one row with their number until their places are known, so
+every run gives the same rows and no key's rows meet in one task. An empty table gives no rows; if all sizes
 are 0, all targets are 0. Sources themselves (not documents) are ordered in one task, so there
 may be as many as one task sorts. Columns other than doc_id, source and text are ignored.
 """
@@ -55,21 +56,24 @@ def targets(sources: DataFrame) -> DataFrame:
 
 def mix(sizes: DataFrame) -> DataFrame:
     """(doc_id, size, source_size, target, taken, source) for each row of sized(), which should be stored, as it is read more than once."""
-    ranged = sizes.withColumn("part", F.substring("key", 1, RANGE_DIGITS))
-    parts = ranged.groupBy("source", "part").agg(F.sum("size").alias("part_size"))
+    # rows that repeat whole count as one of n rows in each task that reads them
+    ranged = sizes.withColumn("part", F.substring("key", 1, RANGE_DIGITS)).groupBy("source", "part", "key", "doc_id", "size", F.spark_partition_id().alias("task")).agg(F.count("*").alias("n"))
+    parts = ranged.groupBy("source", "part").agg(F.sum(F.col("size") * F.col("n")).alias("part_size"))
     goals = targets(parts.groupBy("source").agg(F.sum("part_size").alias("source_size")))
     running = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.withColumn("offset", F.coalesce(F.sum("part_size").over(running), F.lit(0))).alias("o")
     placed = offsets.join(goals.alias("g"), F.col("o.source").eqNullSafe(F.col("g.source"))).select("o.source", "o.part", "o.offset", "g.source_size", "g.target").alias("p")
     both = ranged.alias("r").join(placed, F.col("r.source").eqNullSafe(F.col("p.source")) & (F.col("r.part") == F.col("p.part")))
-    rows = both.select("r.doc_id", "r.source", "r.size", "r.key", "r.part", "p.offset", "p.source_size", "p.target")
-    inside = Window.partitionBy("source", "part").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.col("offset") + F.coalesce(F.sum("size").over(inside), F.lit(0))
+    rows = both.select("r.doc_id", "r.source", "r.size", "r.key", "r.part", "r.task", "r.n", "p.offset", "p.source_size", "p.target")
+    inside = Window.partitionBy("source", "part").orderBy("key", "doc_id", "size", "task").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.col("offset") + F.coalesce(F.sum(F.col("size") * F.col("n")).over(inside), F.lit(0))
+    each = rows.withColumn("first", first).withColumn("repeat", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    start = F.col("first") + F.col("repeat") * F.col("size")
     budget = F.floor("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.expr("cast(floor(target) as bigint) div source_size")).otherwise(F.lit(0))
     rest = budget - epochs * F.col("source_size")
     taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - start))
-    return rows.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "source")
+    return each.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "source")
 
 
 def op7_mix_sources(spark, sf_dir: str) -> DataFrame:
