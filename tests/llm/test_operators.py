@@ -284,6 +284,33 @@ def test_token_counts_of_every_prefix(docs, empty):
         assert all(r.prefix_tokens[i] == len(sp.encode(t[:i])) for i in range(0, len(t), 37))
 
 
+@pytest.mark.parametrize(("size", "seeds"), [(255, 60), (65_535, 2)])
+def test_token_counts_of_segments_whose_counts_fall_again(size, seeds):
+    """A long word's counts are kept in the width of the largest, which need not be the last."""
+    public = pytest.importorskip("public_tokenizers")
+    import sentencepiece
+
+    model = public.path("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=model)
+    counter, fell = tokens.PrefixCounter(model), 0
+    for seed in range(seeds):
+        rng = random.Random(seed)
+        letters = "".join(rng.choice("etaoinshrdluABCü中文9") for _ in range(8 * size))
+        p = counter.prefixes(letters)
+        plain = p.all()
+        for total in range(size - 5, size + 6):  # words that end with about so many tokens, and where the count falls next
+            end = plain.index(total)
+            ends = [end, *(i for i in range(end, end + 400) if plain[i] < plain[i - 1])][:3]
+            for i in ends if size < 1000 else ends[-1:]:
+                word = counter.prefixes(letters[:i])
+                counts = word.all()
+                fell += max(counts) > counts[-1]
+                assert word.total == counts[-1] == plain[i] and counts == plain[: i + 1]
+                if size < 1000 or total == size:
+                    assert word.total == len(sp.encode(letters[:i]))
+    assert fell
+
+
 def test_a_prefix_is_computed_once(monkeypatch):
     public = pytest.importorskip("public_tokenizers")
     counter, calls = tokens.PrefixCounter(public.path("piece_bpe_32k.model")), Counter()
@@ -319,6 +346,12 @@ def test_levenshtein_automaton():
         assert kind == ("exact" if 0 in near else "stem" if word.startswith("vequ") else "near" if near else None), word
 
 
+def test_long_words_are_not_kept():
+    lexicon, known = toxicity.Lexicon({"scoundrel": 2.0}, {}), {}
+    toxicity.features("a scoundrel " + " ".join(f"{k}" + "x" * 100_000 for k in range(20)), lexicon, known)
+    assert "scoundrel" in known and max(map(len, known)) <= toxicity.KEPT_CHARS
+
+
 def test_quotation_marks_and_apostrophes():
     lexicon = toxicity.Lexicon({"scoundrel": 2.0}, {})
     kind = lambda t: next(k for k, i in (("exact", 1), ("near", 3), ("quoted", 4)) if toxicity.features(t, lexicon, {})[i] > 0)
@@ -460,6 +493,18 @@ def test_decontamination(spark, docs, empty, block_bytes):
     assert decontaminate.search(empty, bench).count() == 0 and decontaminate.clean(docs, bench.limit(0)).count() == docs.count()
 
 
+def test_decontamination_of_items_that_repeat(spark):
+    """Equal items are one, so their number makes no block larger; blocks hold their bound."""
+    same = spark.range(200_000).select(F.lit("7").alias("item_id"), F.lit("some words " * 8).alias("text"))
+    more = spark.range(3000).select(F.col("id").cast("string").alias("item_id"), F.concat(F.lit("other words "), F.col("id")).alias("text"))
+    blocks = list(decontaminate.item_blocks(same.unionByName(more), 20_000))
+    assert len(blocks) > 3 and max(sum(len(t) + 16 for _, t in b) for b in blocks) <= 20_000 + 104
+    assert sum(map(len, blocks)) == 3001
+    docs = spark.createDataFrame([(1, "here some words " + "some words " * 9), (2, "other words 12"), (3, "x")], "doc_id long, text string")
+    got = decontaminate.hits(decontaminate.search(docs, same.unionByName(more), block_bytes=20_000)).collect()
+    assert {(r.doc_id, tuple(r["items"]), r.n_hit) for r in got} == {(1, ("7",), 20), (2, ("12",), 3), (3, (), 0)}
+
+
 def test_decontamination_tables_stay_small():
     import tracemalloc
 
@@ -483,19 +528,31 @@ def test_topk(spark, block):
     data += [(400 + i, [1e12 + i, -3e11], 3) for i in range(4)] + [(450, [-1e13, 1.0], 3), (451, [1e305], 3), (452, [1e307], 3), (500, [-1e300], 3)]
     some = topk.quantised(spark.createDataFrame(data, "vec_id long, embedding array<double>, block int").repartition(3))
     got = topk.search(some, F.col("vec_id") % 50 == 0, block=block, queries=2).collect()
-    clean = [(i, [int(np.floor(256 * x)) for x in v]) for i, v, _ in data if i is not None and v is not None and all(x is not None and np.isfinite(256 * x) for x in v)]
+    clean = [(i, [int(np.floor(256 * x)) for x in v]) for i, v, _ in data if v is not None and all(x is not None and np.isfinite(256 * x) for x in v)]
     score = lambda a, b: sum(x * y for x, y in zip(a, b, strict=False))
     shown = lambda s: max(-(1 << 63), min((1 << 63) - 1, s))
     lists = []
     for at, (q, own) in enumerate(clean):
-        if q % 50 == 0:
-            best = sorted((-score(own, v), i) for k, (i, v) in enumerate(clean) if k != at)[:5]
-            lists += [(q, rank, i, shown(-s)) for rank, (s, i) in enumerate(best, 1)]
+        if q is not None and q % 50 == 0:
+            best = sorted(((-score(own, v), i is None, i) for k, (i, v) in enumerate(clean) if k != at), key=lambda x: (*x[:2], x[2] or 0))[:5]
+            lists += [(q, rank, i, shown(-s)) for rank, (s, _, i) in enumerate(best, 1)]
     assert Counter((r.query_id, r.rank, r.vec_id, r.score) for r in got) == Counter(lists)
     assert sum(r.query_id == 100 and r.rank == 1 for r in got) == 3 and sum(r.beyond is not None for r in got) > 5
     assert topk.search(some.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_topk_blocks_hold_their_bytes(spark):
+    """A wide vector among narrow ones, and many middling ones, make no block larger than its bound."""
+    data = [(i, [1.0] * 8) for i in range(999)] + [(1000, [2.0] * 50_000), (None, [9.0] * 8)] + [(2000 + i, [0.5] * 3000) for i in range(60)]
+    some = topk.quantised(spark.createDataFrame(data, "vec_id long, embedding array<double>").repartition(2)).withColumn("asked", F.lit(True))
+    blocks = topk.packed(some, 8192, 1 << 20).select("n", "width", F.length("weights").alias("bytes")).collect()
+    assert sum(b.n for b in blocks) == len(data) and all(b.bytes <= 1 << 20 or b.n == 1 for b in blocks) and len(blocks) < 20
+    got = topk.search(some.drop("asked"), F.col("vec_id") == 1000).collect()
+    assert sorted((r["rank"], r.vec_id, r.score) for r in got) == sorted((k, 2000 + k - 1, 512 * 128 * 3000) for k in range(1, 6))
+    tied = topk.search(some.drop("asked").where("vec_id < 4 OR vec_id IS NULL"), F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [r.vec_id for r in tied] == [None, 1, 2, 3]
+
+
 def mixed_plain(data):
     size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
     total = Counter()
@@ -534,6 +591,20 @@ def test_mixing(spark, docs, empty):
     assert mixing.mix(mixing.sized(empty)).count() == 0
 
 
+def test_mixing_of_rows_that_repeat_whole(spark):
+    """Each copy has a place of its own, though they are counted before they meet."""
+    same = spark.range(100_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("two words").alias("text"), F.lit("a").alias("source")).repartition(8)
+    few = spark.createDataFrame([(1, "one", "b"), (2, "a b c", "b"), (2, "a b c", "b")], "doc_id long, text string, source string")
+    docs = same.unionByName(few)
+    sizes = mixing.sized(docs).persist()
+    got = mixing.mix(sizes)
+    taken = {r.source: (r.n, r.taken, r.target) for r in got.groupBy("source").agg(F.count("*").alias("n"), F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()}
+    assert taken["a"][:2] == (100_000, int(taken["a"][2])) and taken["b"] == (3, 21, 21.0)
+    part = F.substring("key", 1, mixing.RANGE_DIGITS)
+    counted = sizes.groupBy("source", part, "key", "doc_id", "size", F.spark_partition_id()).count()
+    assert counted.where("source = 'a'").count() <= 8
+
+
 def test_warc_round_trip(spark):
     data = [(i, f"http://x/{i}\n", "<p>" + "ab" * (i % 5) + "</p>", 1) for i in range(60)] + [(60, None, None, 1), (61, "u", "", 1), (5, "http://x/5", "<p></p>", 1), (None, "n", "<p>abab</p>", 1), (None, "n", "alone", 1), (62, "l", "é" * 50_000, 1)]
     pages = spark.createDataFrame(data, "page_id long, url string, html string, size int").repartition(3)
