@@ -8,6 +8,7 @@ reproduced. An issue whose cascade cannot be fitted gives persistence and says s
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -54,19 +55,64 @@ def gauss_window(cells: DataFrame, wet: Column, sigma: float, grid: GridSpec = T
     return met.select("f", "r", "c", F.when(below > 1e-6, F.least(F.lit(1.0), F.coalesce("top", F.lit(0.0)) / below)).otherwise(0.0).alias("chance"))
 
 
-def member_offsets(members: int, name: str) -> Column:
-    """A member's whole number from -3 to 3 by hash: the same in every run."""
-    return F.conv(F.substring(F.md5(F.concat_ws("|", "member", F.lit(name)).cast("binary")), 1, 8), 16, 10).cast("long") % 7 - 3
+#: The inverse of the normal distribution at the middles of equal shares: a draw is a place in it, so every engine has the same digits.
+NORMAL = [NormalDist().inv_cdf((k + 0.5) / 1000) for k in range(1000)]
+#: Growth of the perturbations of motion along it and across it, g(t) = a t^b + c in km/h, t in minutes (Bowler et al. 2006).
+ALONG, ACROSS = (10.88, 0.23, -7.68), (5.76, 0.31, -2.72)
+
+
+def uniform(*parts: Column) -> Column:
+    """A number between 0 and 1 by hash of the parts: the same in every run and engine."""
+    return (F.conv(F.substring(F.md5(F.concat_ws("|", *parts).cast("binary")), 1, 8), 16, 10).cast("double") + 0.5) / 2.0**32
+
+
+def normal(*parts: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, NORMAL)), (F.floor(uniform(*parts) * len(NORMAL)) + 1).cast("int"))
+
+
+def laplace(*parts: Column) -> Column:
+    """A draw of the Laplace distribution of variance one."""
+    off = uniform(*parts) - 0.5
+    return -F.signum(off) * F.log(1 - 2 * F.abs(off)) / math.sqrt(2)
+
+
+def draws(issues: DataFrame, members: int, **made) -> DataFrame:
+    """(f, draws): an array with a struct for each member; made gives each field's column from the issue's and the member's number."""
+    each = issues.select("f").distinct().withColumn("member", F.explode(F.sequence(F.lit(0), F.lit(members - 1))))
+    fields = [draw(F.col("f").cast("string"), F.col("member").cast("string"), F.lit(name)).alias(name) for name, draw in made.items()]
+    return each.groupBy("f").agg(F.array_sort(F.collect_list(F.struct("member", *fields))).alias("draws"))
 
 
 def shift_ensemble(forecasts: DataFrame, wet: Column, members: int = 40, spread: float = 0.5, grid: GridSpec = TRIAL) -> DataFrame:
-    """(f, lead, r, c, chance): share of members, each one the whole forecast moved by its own offset that grows with the lead; dry outside."""
-    made = forecasts.where(wet).withColumn("member", F.explode(F.sequence(F.lit(0), F.lit(members - 1))))
-    step = lambda name: F.floor(member_offsets(members, name) * spread * F.col("lead") + 0.5)
-    moved = made.select("f", "lead", "member", (F.col("r") + step("y")).cast("int").alias("r"), (F.col("c") + step("x")).cast("int").alias("c"))
+    """(f, lead, r, c, chance): share of members, each one the whole forecast moved; dry outside.
+
+    A member of an issue has two normal draws; they hold for all its leads, over which the offset grows.
+    """
+    wet_cells = forecasts.where(wet).select("f", "lead", "r", "c")
+    made = wet_cells.join(draws(wet_cells, members, y=normal, x=normal), "f").withColumn("draw", F.explode("draws"))
+    step = lambda name: F.floor(F.col(f"draw.{name}") * spread * F.col("lead") + 0.5)
+    moved = made.select("f", "lead", (F.col("r") + step("y")).cast("int").alias("r"), (F.col("c") + step("x")).cast("int").alias("c"))
     return moved.where(F.col("r").between(0, grid.rows - 1) & F.col("c").between(0, grid.cols - 1)).groupBy("f", "lead", "r", "c").agg((F.count("*") / members).alias("chance"))
 
 
+def growth(law: tuple[float, float, float], lead: int, minutes: float, km: float) -> float:
+    """Cells by which a perturbation of strength one has moved rain after so many steps."""
+    a, b, c = law
+    return sum((a * (minutes * k) ** b + c) * minutes / 60 / km for k in range(1, lead + 1))
+
+
+def displacements(vectors: DataFrame, members: int, steps: int, minutes: float = 60, grid: GridSpec = TRIAL) -> DataFrame:
+    """(f, member, lead, dx, dy): where each member carries rain along a vector (f, dx, dy), in cells; one without motion is not perturbed."""
+    speed = F.sqrt(F.col("dx") ** 2 + F.col("dy") ** 2)
+    ux, uy = (F.when(speed > 0, F.col(k) / speed).otherwise(0.0) for k in ("dx", "dy"))
+    moving = vectors.where("dx IS NOT NULL").select("f", "dx", "dy", ux.alias("ux"), uy.alias("uy"))
+    leads = F.array(*(F.struct(F.lit(k).alias("lead"), *(F.lit(growth(law, k, minutes, grid.km)).alias(n) for n, law in (("p", ALONG), ("q", ACROSS)))) for k in range(1, steps + 1)))
+    each = moving.join(draws(moving, members, along=laplace, across=laplace), "f").withColumn("d", F.explode("draws")).withColumn("l", F.explode(leads))
+    p, q = F.col("d.along") * F.col("l.p"), F.col("d.across") * F.col("l.q")
+    lead = F.col("l.lead")
+    return each.select("f", "d.member", lead.alias("lead"), (lead * F.col("dx") + p * F.col("ux") - q * F.col("uy")).alias("dx"), (lead * F.col("dy") + p * F.col("uy") + q * F.col("ux")).alias("dy"))
+
+
 def between(a: np.ndarray, b: np.ndarray, count: int, block: int = 8, radius: int = 4) -> list[np.ndarray]:
     """Frames evenly spaced between two: along the blocks' motion as far as it is trusted, a plain blend otherwise."""
     field = motion.smooth(motion.match_blocks(a, b, block, radius)[0])
@@ -124,14 +170,19 @@ def bands(shape: tuple[int, int], levels: int) -> np.ndarray:
     return out / out.sum(axis=0)
 
 
-def cascade(frames: list[np.ndarray], steps: int, members: int = 0, levels: int = 4, seed: int = 0) -> np.ndarray:
-    """[max(members, 1), steps, h, w]: each scale follows an autoregression of second order along the flow, with noise if members are asked for."""
+def cascade(frames: list[np.ndarray], steps: int, members: int = 0, levels: int = 4, seed: int = 0, pushed: np.ndarray | None = None) -> np.ndarray:
+    """[max(members, 1), steps, h, w]: each scale follows an autoregression of second order along the flow, with noise if members are asked for.
+
+    pushed: for each member and step the cells by which it runs ahead of the flow, and to its side.
+    """
     if len(frames) < 3 or not all((f >= TRACE).any() for f in frames):
         raise ValueError("three frames with rain are needed")
     h, w = frames[-1].shape
     y, x = np.mgrid[0:h, 0:w].astype(float)
     u, v = optical_flow(frames[-3:])
-    back = lambda f, k: motion.sample(f, x - k * u, y - k * v)
+    speed = np.hypot(u, v)
+    ux, uy = (np.divide(z, speed, out=np.zeros((h, w)), where=speed > 0) for z in (u, v))
+    back = lambda f, k, p=0.0, q=0.0: motion.sample(f, x - k * u - p * ux + q * uy, y - k * v - p * uy - q * ux)
     aligned = [decibels(np.maximum(0, back(f, k))) for f, k in zip(frames[-3:], (2, 1, 0), strict=True)]
     mean, masks = aligned[-1].mean(), bands((h, w), levels)
     split = lambda z: np.stack([np.fft.irfft2(np.fft.rfft2(z - mean) * m, s=(h, w)) for m in masks])
@@ -159,32 +210,37 @@ def cascade(frames: list[np.ndarray], steps: int, members: int = 0, levels: int
             total = (b * sd).sum(axis=0)
             ranked = np.empty(h * w)
             ranked[np.argsort(total.ravel(), kind="stable")] = ordered  # keeps the distribution of the last frame
-            out[m, s] = np.maximum(0, back(ranked.reshape(h, w), s + 1))
+            out[m, s] = np.maximum(0, back(ranked.reshape(h, w), s + 1, *(() if pushed is None else pushed[m, s])))
     return out
 
 
 ENSEMBLE = "f long, model string, member int, lead int, r int, c int, p double, fallback boolean"
 
 
-def cascade_forecasts(frames: DataFrame, issues: DataFrame, steps: int, members: int = 0, grid: GridSpec = TRIAL) -> DataFrame:
-    """(f, model, member, lead, r, c, p, fallback) at the issues whose last three frames are there; the seed is the issue."""
+def cascade_forecasts(frames: DataFrame, issues: DataFrame, steps: int, members: int = 0, grid: GridSpec = TRIAL, perturbed: bool = False, minutes: float = 60) -> DataFrame:
+    """(f, model, member, lead, r, c, p, fallback) at the issues whose last three frames are there; the seed is the issue.
+
+    perturbed: each member's motion is perturbed along the flow and across it, by draws of its issue and its own.
+    """
     history = issues.select("f").distinct().withColumn("g", F.explode(F.array(*(F.col("f") - k for k in range(3)))))
     rows = history.join(frames.select(F.col("f").alias("g"), "at", "v"), "g").groupBy("f").agg(F.array_sort(F.collect_list(F.struct("g", "at", "v"))).alias("x")).where(F.size("x") == 3)
-    name = "steps" if members else "sprog"
+    name = ("steps-bps" if perturbed else "steps") if members else "sprog"
+    if perturbed:
+        rows = rows.join(draws(rows, members, along=laplace, across=laplace), "f")
+    laws = np.array([[growth(law, s, minutes, grid.km) for law in (ALONG, ACROSS)] for s in range(1, steps + 1)])
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                grids = [motion.unpack(x["at"], x["v"], grid) for x in row["x"]]
+            for i, f in enumerate(batch.column("f").to_pylist()):
+                x = batch.column("x")[i].values
+                grids = [motion.unpack(x.field("at")[j].values.to_numpy(), x.field("v")[j].values.to_numpy(), grid) for j in range(3)]
+                pushed = np.array([[d["along"], d["across"]] for d in batch.column("draws")[i].as_py()])[:, None] * laws if perturbed else None
                 try:
-                    made, fell = cascade(grids, steps, members, seed=row["f"]), False
+                    made, fell = cascade(grids, steps, members, seed=f, pushed=pushed), False
                 except (ValueError, np.linalg.LinAlgError):
                     made, fell = np.broadcast_to(grids[-1].astype(np.float32), (max(members, 1), steps, grid.rows, grid.cols)), True
-                for m in range(len(made)):
-                    for s in range(steps):
-                        r, c = np.nonzero(made[m, s] > 0)
-                        n = len(r)
-                        full = lambda v, k: pa.array([v] * n, k)  # noqa: B023, E731
-                        yield pa.RecordBatch.from_arrays([full(row["f"], pa.int64()), full(name, pa.string()), full(m, pa.int32()), full(s + 1, pa.int32()), pa.array(r, pa.int32()), pa.array(c, pa.int32()), pa.array(made[m, s][r, c].astype(float)), full(fell, pa.bool_())], ["f", "model", "member", "lead", "r", "c", "p", "fallback"])
+                m, s, r, c = np.nonzero(made > 0)
+                full = lambda v, k: pa.array([v] * len(r), k)  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([full(f, pa.int64()), full(name, pa.string()), pa.array(m, pa.int32()), pa.array(s + 1, pa.int32()), pa.array(r, pa.int32()), pa.array(c, pa.int32()), pa.array(made[m, s, r, c].astype(float)), full(fell, pa.bool_())], ["f", "model", "member", "lead", "r", "c", "p", "fallback"])
 
     return rows.mapInArrow(run, ENSEMBLE)

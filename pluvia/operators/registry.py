@@ -1,7 +1,8 @@
 """All forecast models by name: forecasts(name, cells, issues, steps) -> (f, model, lead, r, c, p) of cells that are not zero.
 
 Names of cascades and flows are those of their kinds; their ensembles give the mean with the share
-of members as probability, and the first member, as models of their own.
+of members as probability, and the first member, as models of their own. Motion is perturbed in
+the -bps- and -default- ensembles.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pluvia.spec import TRIAL, GridSpec
 HALF_LIVES = {"gwx3": 3.0, "gwx6": 6.0}
 SIZED = {f"{kind}-{km}km": (kind, km) for kind in ("block", "block-smooth") for km in (13, 26, 51, 102)}
 FLOWS = {"lk": 4, "lk2": 2, "lk7": 7, "lk8": 8, "lk13": 13}
-CASCADES = {"sprog": 0, "steps-mean": 8, "steps-member": 8, "steps-default-mean": 24, "steps-default-member": 24}
+CASCADES = {"sprog": 0, **{f"{kind}-{what}": n for kind, n in (("steps", 8), ("steps-bps", 8), ("steps-default", 24)) for what in ("mean", "member")}}
 NAMES = ("persistence", *motion.BLOCK_MODELS, *motion.VECTOR_MODELS, *HALF_LIVES, *SIZED, *FLOWS, *CASCADES)
 
 
@@ -69,7 +70,7 @@ def forecasts(name: str, cells: DataFrame, issues: DataFrame, steps: int, grid:
     if name in FLOWS:
         return _flow_forecasts(frames, when, name, steps, grid)
     if name in CASCADES:
-        made = ensembles.cascade_forecasts(frames, when, steps, CASCADES[name], grid)
+        made = ensembles.cascade_forecasts(frames, when, steps, CASCADES[name], grid, perturbed="-bps-" in name or "-default-" in name)
         if name.endswith("mean"):
             made = made.groupBy("f", "lead", "r", "c").agg((F.sum("p") / CASCADES[name]).alias("p"))
         elif name.endswith("member"):

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from pluvia.operators import ensembles, motion
-from pluvia.plans import trial
+from pluvia.plans import movement, trial
 from pluvia.plans.trial import sql
 from pluvia.sources import raster
 from pluvia.spec import TRIAL
@@ -43,16 +43,39 @@ def gauss_window(spark, sf_dir):
     return chance.groupBy("f", "r").agg(F.round(F.sum("chance"), 5).alias("expected"), F.round(F.max("chance"), 5).alias("peak"))
 
 
+#: Draws by hash of issue, member and name, as in ensembles.
+def _uniform(name):
+    return f"((CAST('0x' || substr(md5(f || '|' || m || '|{name}'), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE)"
+
+
 def _offset(name):
-    return f"floor((CAST('0x' || substr(md5(m || '|{name}'), 1, 8) AS BIGINT) % 7 - 3) * 0.5::DOUBLE * lead + 0.5::DOUBLE)"
+    return f"floor({name} * 0.5::DOUBLE * lead + 0.5::DOUBLE)"
+
 
+_DRAWS = {"z": f"SELECT [{', '.join(f'{x!r}::DOUBLE' for x in ensembles.NORMAL)}] AS z", "drawn": f"SELECT f, m, z[CAST(floor({_uniform('y')} * 1000) AS BIGINT) + 1] AS y, z[CAST(floor({_uniform('x')} * 1000) AS BIGINT) + 1] AS x FROM (SELECT DISTINCT f FROM fc), range(40) t(m), z"}
 
-@query(sql(f"SELECT f, lead, r, c, round(count(*) / 40.0::DOUBLE, 6) AS chance FROM (SELECT f, lead, CAST(r + {_offset('y')} AS INTEGER) AS r, CAST(c + {_offset('x')} AS INTEGER) AS c FROM (SELECT DISTINCT f, lead, r, c FROM fc WHERE model = 'shift' AND p >= 2), range(40) t(m)) WHERE r BETWEEN 0 AND 31 AND c BETWEEN 0 AND 47 GROUP BY ALL", "fc"))
+
+@query(sql(f"SELECT f, lead, r, c, round(count(*) / 40.0::DOUBLE, 6) AS chance FROM (SELECT f, lead, CAST(r + {_offset('y')} AS INTEGER) AS r, CAST(c + {_offset('x')} AS INTEGER) AS c FROM (SELECT DISTINCT f, lead, r, c FROM fc WHERE model = 'shift' AND p >= 2) JOIN drawn USING (f)) WHERE r BETWEEN 0 AND 31 AND c BETWEEN 0 AND 47 GROUP BY ALL", "fc", **_DRAWS))
 def shift_ensemble(spark, sf_dir):
     made = trial.pairs(spark, sf_dir).where("model = 'shift'").select("f", "lead", "r", "c", "p").distinct()
     return ensembles.shift_ensemble(made, F.col("p") >= 2).withColumn("chance", r6("chance"))
 
 
+def _laplace(name):
+    return f"(-sign({_uniform(name)} - 0.5::DOUBLE) * ln(1 - 2 * abs({_uniform(name)} - 0.5::DOUBLE)) / sqrt(2::DOUBLE))"
+
+
+def _grown(law):
+    return "CASE lead " + " ".join(f"WHEN {k} THEN {ensembles.growth(law, k, 60, TRIAL.km)!r}::DOUBLE" for k in (1, 2, 3)) + " END"
+
+
+@query(sql(f"SELECT f, m AS member, lead, round(lead * dx + p * dx / s - q * dy / s, 6) AS dx, round(lead * dy + p * dy / s + q * dx / s, 6) AS dy FROM (SELECT f, dx, dy, sqrt(dx * dx + dy * dy) AS s, CAST(m AS INTEGER) AS m, CAST(lead AS INTEGER) AS lead, {_laplace('along')} * {_grown(ensembles.ALONG)} AS p, {_laplace('across')} * {_grown(ensembles.ACROSS)} AS q FROM vec, range(8) a(m), range(1, 4) b(lead) WHERE dx * dx + dy * dy > 0)", "dense", **movement._match("vec")))
+def perturbed_motion(spark, sf_dir):
+    """Where the members of an ensemble with perturbed motion carry rain, in cells."""
+    vectors = motion.pair_vectors(movement._blocks(spark, sf_dir)).where("dx * dx + dy * dy > 0")
+    return ensembles.displacements(vectors, 8, 3).withColumns({k: r6(k) for k in ("dx", "dy")})
+
+
 @query()
 def frame_interpolation(spark, sf_dir):
     """One frame between each pair: (f, total, wet, peak)."""
@@ -86,9 +109,9 @@ def lk_flow(spark, sf_dir):
     return pairs.mapInArrow(run, "f long, dx double, dy double, wet long")
 
 
-def _cascade(spark, sf_dir, members):
+def _cascade(spark, sf_dir, members, perturbed=False):
     cells = trial.cells(spark, sf_dir)
-    made = ensembles.cascade_forecasts(raster.frames(cells), trial.issues(spark, sf_dir), 2, members)
+    made = ensembles.cascade_forecasts(raster.frames(cells), trial.issues(spark, sf_dir), 2, members, perturbed=perturbed)
     return made.groupBy("f", "model", "lead").agg(F.count_distinct("member").alias("members"), F.round(F.sum("p"), 3).alias("total"), F.count_if(F.col("p") >= 2).alias("wet"), F.max("fallback").alias("fallback"))
 
 
@@ -102,3 +125,7 @@ def steps(spark, sf_dir):
     return _cascade(spark, sf_dir, 8)
 
 
+@query()
+def steps_bps(spark, sf_dir):
+    """The ensemble with perturbed motion."""
+    return _cascade(spark, sf_dir, 8, perturbed=True)

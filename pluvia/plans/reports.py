@@ -184,7 +184,7 @@ def limited(slopes, tangents):
 
 def _add_models():
     texts = {"bw2": movement._block_sql("bw2"), "block-sub": movement._block_sql("block-sub")}
-    for name in ("gwx3", "block-26km", "block-sub", "bw2", "lk", "sprog", "steps-mean"):
+    for name in ("gwx3", "block-26km", "block-sub", "bw2", "lk", "sprog", "steps-mean", "steps-bps-mean"):
 
         def run(spark, sf_dir, name=name):
             cells, issues = trial.cells(spark, sf_dir), movement._issues(spark, sf_dir)
