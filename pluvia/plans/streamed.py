@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pluvia.sources import shared
 from pluvia.streaming import streams
 
 QUERIES, ORACLE = {}, {}
@@ -57,3 +58,29 @@ def stream_retention(spark, sf_dir):
     """What a collector that keeps the newest three of each kind lets go."""
     e = streams.source(spark, sf_dir).select(F.col("event_type").alias("k"), F.col("event_id").alias("id"), F.unix_timestamp("ts").alias("t"))
     return streams.drained(streams.retired(e, 3))
+
+
+_FORECASTS = "SELECT event_id AS id, user_id AS k, ts, CAST(floor(epoch(ts) / 600 + 0.5) AS BIGINT) AS slot FROM events WHERE event_type = 'click'"
+_TRUTH = "SELECT event_id AS truth_id, user_id AS k, ts, CAST(floor(epoch(ts) / 600 + 0.5) AS BIGINT) AS slot FROM events WHERE event_type <> 'click'"
+
+
+@query(f"WITH a AS ({_FORECASTS}), b AS ({_TRUTH}), mark AS (SELECT least((SELECT max(ts) FROM a), (SELECT max(ts) FROM b)) - INTERVAL 1 HOUR AS t), met AS (SELECT id, truth_id FROM a JOIN b ON a.k = b.k AND a.slot = b.slot AND b.ts BETWEEN a.ts - INTERVAL 10 MINUTE AND a.ts + INTERVAL 10 MINUTE) SELECT id, truth_id FROM met UNION ALL SELECT id, NULL AS truth_id FROM a, mark WHERE id NOT IN (SELECT id FROM met) AND ts + INTERVAL 10 MINUTE < t")
+def stream_unscored(spark, sf_dir):
+    """Forecasts with their truth, and those whose truth never came, once, as the watermark has passed the time of any."""
+    e = streams.source(spark, sf_dir).withColumn("slot", F.floor(F.col("ts").cast("double") / 600 + 0.5))
+    forecasts = e.where("event_type = 'click'").select(F.col("event_id").alias("id"), F.col("user_id").alias("k"), "ts", "slot")
+    truth = e.where("event_type <> 'click'").select(F.col("event_id").alias("truth_id"), F.col("user_id").alias("k2"), F.col("ts").alias("ts2"), F.col("slot").alias("slot2"))
+    return streams.drained(streams.scored_or_given_up(forecasts, truth, "1 hour").select("id", "truth_id"))
+
+
+_SCANS = "SELECT event_id AS id, user_id AS k, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS slot, value AS v FROM events"
+
+
+@query(f"WITH s AS ({_SCANS}) SELECT a.id, b.id AS truth_id, CAST(b.slot - a.slot AS INTEGER) AS lead, round(a.v - b.v, 6) AS err, b.slot // 24 AS day FROM s a JOIN s b ON a.k = b.k AND b.slot - a.slot BETWEEN 1 AND 12")
+def stream_collected(spark, sf_dir):
+    """What a collector that issues a forecast for twelve hours with each scan has scored, from a source of 5,000 rows a batch."""
+    folder = shared.path(spark, "collected")
+    feed = streams.throttled(spark, f"{sf_dir}/events.parquet", 5000, f"{folder}/state").select(F.col("event_id").alias("id"), F.col("user_id").alias("k"), F.floor(F.col("ts").cast("timestamp").cast("double") / 3600).alias("slot"), F.col("value").alias("v"))
+    collector = streams.Collector(folder, 12, 24)
+    streams.collected(feed, collector, f"{folder}/state")
+    return collector.table(spark, "scores").select("id", "truth_id", "lead", F.round("err", 6).alias("err"), "day")

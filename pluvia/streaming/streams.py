@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from pluvia.sources import shared
+from pluvia.sources import feed, shared
 
 
 def source(spark: SparkSession, sf_dir: str, name: str = "events") -> DataFrame:
@@ -81,3 +81,86 @@ def issued(events: DataFrame, least_seconds: int) -> DataFrame:
         yield pd.DataFrame({"k": [key[0]] * len(out), "t": out})
 
     return events.groupBy("k").applyInPandasWithState(step, "k long, t long", "last long", "append", GroupStateTimeout.NoTimeout)
+
+
+def throttled(spark: SparkSession, path: str, rows_per_batch: int, checkpoint: str, **options) -> DataFrame:
+    """The rows of Parquet files as a stream of batches of at most so many rows; it goes on where the checkpoint ends."""
+    spark.dataSource.register(feed.Throttled)
+    given = {"path": path, "rows_per_batch": rows_per_batch, "resume": feed.last_offset(spark, checkpoint), **options}
+    return spark.readStream.format("throttled").schema(spark.read.parquet(path).schema).options(**given).load()
+
+
+def scored_or_given_up(forecasts: DataFrame, truth: DataFrame, late: str) -> DataFrame:
+    """As scored_when_due(), and each forecast whose truth can no longer arrive once, with NULLs: the state lets it go as the watermark passes its time."""
+    return forecasts.withWatermark("ts", late).join(truth.withWatermark("ts2", late), F.expr("k = k2 AND slot = slot2 AND ts2 BETWEEN ts - INTERVAL 10 MINUTES AND ts + INTERVAL 10 MINUTES"), "leftOuter")
+
+
+class Collector:
+    """Collect, issue, score: each batch adds scans, forecasts made from them, and scores of what has both by now.
+
+    Three tables in a folder, each in partitions by day and batch. A batch writes all of its own
+    partitions anew and reads only earlier ones beside them, so a batch that is run again, after a
+    failure at any point, leaves the tables as one run does. A score needs a forecast and its
+    truth; the batch that brings the later of the two makes it, so each is made once. Earlier rows
+    are read of the days that the batch's rows can meet, which Spark prunes by partition.
+
+    Scans (id, k, slot, v) of one (k, slot) are all kept, as different scans; a scan without k,
+    slot or v is collected, but gives no forecast and is no truth. steps are the leads in slots.
+    """
+
+    SCHEMAS = {  # noqa: RUF012
+        "scans": "id long, k long, slot long, v double, day long, batch long",
+        "forecasts": "id long, k long, issued long, lead int, slot long, p double, day long, batch long",
+        "scores": "id long, truth_id long, lead int, err double, day long, batch long",
+    }
+
+    def __init__(self, folder: str, steps: int, slots_per_day: int):
+        self.folder, self.steps, self.slots = folder, steps, slots_per_day
+
+    def table(self, spark: SparkSession, name: str) -> DataFrame:
+        """A table as it is now; before the first batch an empty one."""
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+            return spark.createDataFrame([], self.SCHEMAS[name])
+        return spark.read.schema(self.SCHEMAS[name]).parquet(f"{self.folder}/{name}")
+
+    def _write(self, df: DataFrame, name: str, batch: int) -> DataFrame:
+        """Puts df in the place of the batch's partitions; gives them back as stored."""
+        spark = df.sparkSession
+        path = f"{self.folder}/{name}"
+        # what an earlier attempt has left on days that this one does not write goes too
+        jvm = spark._jvm
+        root = jvm.org.apache.hadoop.fs.Path(path)
+        system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+        for found in system.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/day=*/batch={batch}")) or []:
+            system.delete(found.getPath(), True)
+        df.withColumn("batch", F.lit(batch).cast("long")).write.mode("append").partitionBy("day", "batch").parquet(path)
+        return self.table(spark, name).where(F.col("batch") == batch)
+
+    def __call__(self, rows: DataFrame, batch: int) -> None:
+        spark = rows.sparkSession
+        day = lambda c: F.floor(F.col(c) / self.slots).cast("long")
+        scans = self._write(rows.select(F.col("id").cast("long"), F.col("k").cast("long"), F.col("slot").cast("long"), F.col("v").cast("double")).withColumn("day", day("slot")), "scans", batch)
+        known = scans.where("k IS NOT NULL AND slot IS NOT NULL AND v IS NOT NULL")
+        made = known.select("id", "k", F.col("slot").alias("issued"), F.col("v").alias("p"), F.explode(F.sequence(F.lit(1), F.lit(self.steps))).alias("lead")).withColumn("slot", F.col("issued") + F.col("lead"))
+        forecasts = self._write(made.select("id", "k", "issued", "lead", "slot", "p").withColumn("day", day("slot")), "forecasts", batch)
+        days = lambda df: df.agg(F.min("day").alias("a"), F.max("day").alias("b")).first()
+        seen, due = days(known), days(forecasts)
+        truth = lambda df: df.where("k IS NOT NULL AND slot IS NOT NULL AND v IS NOT NULL").select("k", "slot", F.col("id").alias("truth_id"), "v")
+        scored = []
+        if seen["a"] is not None:
+            earlier = self.table(spark, "forecasts").where((F.col("batch") < batch) & F.col("day").between(seen["a"], seen["b"]))
+            scored = [forecasts.join(truth(scans), ["k", "slot"]), earlier.join(truth(scans), ["k", "slot"]), forecasts.join(truth(self.table(spark, "scans").where((F.col("batch") < batch) & F.col("day").between(due["a"], due["b"]))), ["k", "slot"])]
+        for found in scored[1:]:
+            scored[0] = scored[0].unionByName(found)
+        out = scored[0].select("id", "truth_id", "lead", (F.col("p") - F.col("v")).alias("err"), "day") if scored else spark.createDataFrame([], self.SCHEMAS["scores"]).drop("batch")
+        self._write(out, "scores", batch)
+
+
+def collected(stream: DataFrame, collector: Collector, checkpoint: str) -> None:
+    """Runs the collector over all that its stream has, batch after batch; a later call goes on where this one ends."""
+    running = stream.writeStream.foreachBatch(lambda rows, batch: collector(rows, batch)).option("checkpointLocation", checkpoint).start()
+    try:
+        running.processAllAvailable()
+    finally:
+        running.stop()
