@@ -97,12 +97,19 @@ def fixed_echo_mask(spark, sf_dir):
     return G.dilate(_core(spark, sf_dir), TRIAL)
 
 
-@query(sql("SELECT label, count(*) AS cells, CAST(max(wet_dry) AS BIGINT) AS peak FROM (SELECT k.r, k.c, wet_dry, min(t.root) AS label FROM core k JOIN reach t ON t.n = k.r * 48 + k.c GROUP BY ALL) GROUP BY label",
-    "core", reach="SELECT n, root FROM (WITH RECURSIVE w(n, root) AS (SELECT r * 48 + c, r * 48 + c FROM core UNION SELECT b.r * 48 + b.c, w.root FROM w JOIN core a ON a.r * 48 + a.c = w.n JOIN core b ON abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1) SELECT * FROM w)"))
+#: Rounds in which all cells of a label take the smallest label next to any of them, and then that one's.
+_LABELS = {"near": "SELECT a.r * 48 + a.c AS n, b.r * 48 + b.c AS m FROM core a JOIN core b ON abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1", "l0": "SELECT r * 48 + c AS n, r * 48 + c AS l FROM core"}
+for _k in range(1, 25):
+    _LABELS |= {f"g{_k}": f"SELECT x.l, min(y.l) AS g FROM near JOIN l{_k - 1} x ON x.n = near.n JOIN l{_k - 1} y ON y.n = near.m GROUP BY x.l", f"l{_k}": f"SELECT n, b.g AS l FROM l{_k - 1} x JOIN g{_k} a ON a.l = x.l JOIN g{_k} b ON b.l = a.g"}
+
+
+@query(sql("SELECT label, cells, peak, row_number() OVER (ORDER BY peak DESC, label) AS place FROM (SELECT l AS label, count(*) AS cells, CAST(max(wet_dry) AS BIGINT) AS peak FROM core JOIN l24 ON n = r * 48 + c GROUP BY l)", "core", **_LABELS))
 def fixed_echo_components(spark, sf_dir):
+    """Connected cells of fixed echo, numbered by their peaks from the highest on; one row for each component is ordered in a task."""
     core = _core(spark, sf_dir)
     labels = G.components(core, TRIAL, stored(spark))
-    return labels.join(core, ["r", "c"]).groupBy(F.col("label").cast("long").alias("label")).agg(F.count("*").alias("cells"), F.max("wet_dry").alias("peak"))
+    found = labels.join(core, ["r", "c"]).groupBy(F.col("label").cast("long").alias("label")).agg(F.count("*").alias("cells"), F.max("wet_dry").alias("peak"))
+    return found.withColumn("place", F.row_number().over(Window.orderBy(F.desc("peak"), "label")).cast("long"))
 
 
 @query(sql("SELECT DISTINCT f, r // 8 AS br, c // 8 AS bc FROM (SELECT o.f, o.r + i AS r, o.c + j AS c FROM obs o, range(-2, 3) a(i), range(-2, 3) b(j) WHERE v IS NULL AND abs(i) + abs(j) <= 2) WHERE r BETWEEN 0 AND 31 AND c BETWEEN 0 AND 47", "obs"))

@@ -57,7 +57,8 @@ def score_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 CTES = {
     "showers": "SELECT event_id, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS f0, event_id * 7 % 32 AS r0, user_id * 5 % 48 AS c0, 2 + CAST(floor(value / 100) AS BIGINT) AS amp, event_id % 3 - 1 AS vr, 1 + user_id % 3 AS vc FROM events WHERE value >= 150",
     "moved": "SELECT f0 + k AS f, r0 + vr * k AS rr, c0 + vc * k AS cc, amp FROM showers, range(6) t(k)",
-    "cells": "SELECT f, r, c, CAST(sum(amp + 2 - abs(r - rr) - abs(c - cc)) AS BIGINT) AS v FROM moved, range(32) a(r), range(48) b(c) WHERE abs(r - rr) + abs(c - cc) < amp + 2 GROUP BY f, r, c",
+    "drizzle": "SELECT CAST(floor(epoch(ts) / 3600) AS BIGINT) AS f, event_id * 7 % 32 AS r, user_id * 5 % 48 AS c FROM events WHERE value < 150",
+    "cells": "SELECT f, r, c, CAST(sum(height) AS BIGINT) AS v FROM (SELECT f, r, c, amp + 2 - abs(r - rr) - abs(c - cc) AS height FROM moved, range(32) a(r), range(48) b(c) WHERE abs(r - rr) + abs(c - cc) < amp + 2 UNION ALL SELECT f, r, c, 1 AS height FROM drizzle) GROUP BY f, r, c",
     "axis": "SELECT unnest(range(a, b + 1)) AS f FROM (SELECT min(f) AS a, max(f) AS b FROM cells)",
     "dense": "SELECT s.f, s.r, s.c, coalesce(v, 0) AS v FROM (SELECT f, r, c FROM (SELECT DISTINCT f FROM cells), range(32) a(r), range(48) b(c)) s LEFT JOIN cells USING (f, r, c)",
     "obs": "SELECT s.f, s.r, s.c, CASE WHEN (s.r * 48 + s.c + s.f) % 97 <> 0 THEN coalesce(v, 0) END AS v FROM (SELECT f, r, c FROM axis, range(32) a(r), range(48) b(c) WHERE f % 29 <> 0) s LEFT JOIN cells USING (f, r, c)",
@@ -88,7 +89,7 @@ CTES = {
     "core": "SELECT r, c, wet_dry, n_dry FROM clim WHERE n_dry > 0 AND wet_dry > 0.04 * n_dry",
 }
 NEEDS = {
-    "moved": ["showers"], "cells": ["moved"], "axis": ["cells"], "dense": ["cells"], "obs": ["axis"], "idx": ["obs"], "rainy": ["idx"], "fine_i": ["rainy"], "fine_c": ["fine_i"], "fine": ["fine_c"],
+    "moved": ["showers"], "cells": ["moved", "drizzle"], "axis": ["cells"], "dense": ["cells"], "obs": ["axis"], "idx": ["obs"], "rainy": ["idx"], "fine_i": ["rainy"], "fine_c": ["fine_i"], "fine": ["fine_c"],
     "coarse_i": ["rainy"], "coarse": ["coarse_i"], "hist2": ["idx"], "issues": ["fine", "hist2"], "asked": ["issues"], "met": ["asked"], "fc": ["met"], "counts": ["fc"], "wetfc": ["fc"], "rowbox": ["wetfc"], "box": ["rowbox"], "fss": ["box"],
     "rows": ["counts", "fss"], "units": ["rows"], "versus": ["units"], "spell": ["fine"], "clim": ["idx"], "core": ["clim"],
 }

@@ -14,17 +14,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Events of at least this value stand for showers, all others for drizzle.
+SHOWER = 150
+
+
+def _placed(events: DataFrame) -> DataFrame:
+    hours = F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 3600).cast("long")
+    return events.select("event_id", "user_id", "value", hours.alias("f0"), (F.col("event_id") * 7 % 32).alias("r0"), (F.col("user_id") * 5 % 48).alias("c0"))
+
+
 def showers(events: DataFrame) -> DataFrame:
     """The events that stand for showers: first frame, centre, amplitude and motion."""
-    hours = F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 3600).cast("long")
-    return events.where("value >= 150").select(
-        "event_id", hours.alias("f0"), (F.col("event_id") * 7 % 32).alias("r0"), (F.col("user_id") * 5 % 48).alias("c0"),
-        (2 + F.floor(F.col("value") / 100)).cast("long").alias("amp"), (F.col("event_id") % 3 - 1).alias("vr"), (1 + F.col("user_id") % 3).alias("vc"),
-    )
+    amp = (2 + F.floor(F.col("value") / 100)).cast("long").alias("amp")
+    return _placed(events).where(F.col("value") >= SHOWER).select("event_id", "f0", "r0", "c0", amp, (F.col("event_id") % 3 - 1).alias("vr"), (1 + F.col("user_id") % 3).alias("vc"))
+
+
+def drizzle(events: DataFrame) -> DataFrame:
+    """(f, r, c, height) of all other events with a value: a single cell of one frame."""
+    return _placed(events).where(F.col("value") < SHOWER).select(F.col("f0").alias("f"), F.col("r0").cast("int").alias("r"), F.col("c0").cast("int").alias("c"), F.lit(1).cast("long").alias("height"))
 
 
-def rain(some: DataFrame, grid: GridSpec = TRIAL, life: int = 6) -> DataFrame:
-    """Non-zero cells (f, r, c, v): each shower is a pyramid that moves for some frames."""
+def rain(some: DataFrame, grid: GridSpec = TRIAL, life: int = 6, more: DataFrame | None = None) -> DataFrame:
+    """Non-zero cells (f, r, c, v): each shower is a pyramid that moves for some frames; more are amounts (f, r, c, height) of cells."""
     moved = some.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(life - 1)))).select((F.col("f0") + F.col("k")).alias("f"), (F.col("r0") + F.col("vr") * F.col("k")).alias("rr"), (F.col("c0") + F.col("vc") * F.col("k")).alias("cc"), "amp")
     low, high = F.greatest(F.lit(0), F.col("rr") - F.col("amp") - 1), F.least(F.lit(grid.rows - 1), F.col("rr") + F.col("amp") + 1)
     rows = moved.where(low <= high).withColumn("r", F.explode(F.sequence(low.cast("int"), high.cast("int"))))
@@ -32,7 +43,8 @@ def rain(some: DataFrame, grid: GridSpec = TRIAL, life: int = 6) -> DataFrame:
     left, right = F.greatest(F.lit(0), F.col("cc") - reach), F.least(F.lit(grid.cols - 1), F.col("cc") + reach)
     cells = rows.where((reach >= 0) & (left <= right)).withColumn("c", F.explode(F.sequence(left.cast("int"), right.cast("int"))))
     height = F.col("amp") + 2 - F.abs(F.col("r") - F.col("rr")) - F.abs(F.col("c") - F.col("cc"))
-    return cells.groupBy("f", "r", "c").agg(F.sum(height).alias("v"))
+    amounts = cells.select("f", "r", "c", height.alias("height"))
+    return (amounts if more is None else amounts.unionByName(more)).groupBy("f", "r", "c").agg(F.sum("height").alias("v"))
 
 
 def grid_of(frames: DataFrame, grid: GridSpec = TRIAL) -> DataFrame:
@@ -94,4 +106,5 @@ def observed_frames(cells: DataFrame, grid: GridSpec = TRIAL) -> DataFrame:
 
 
 def trial_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rain(showers(table(spark, sf_dir, "events")))
+    events = table(spark, sf_dir, "events")
+    return rain(showers(events), more=drizzle(events))
