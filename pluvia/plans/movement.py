@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pluvia.operators import forecast, motion, score
+from pluvia.operators import structure, forecast, motion, score
 from pluvia.plans import trial
 from pluvia.plans.trial import sql
 from pluvia.sources import raster
@@ -323,9 +323,8 @@ def vorticity(spark, sf_dir):
 
 @query(sql("SELECT bin, count(*) AS n, round(avg(d), 6) AS d FROM (SELECT CAST(floor(sqrt(CAST((a.br - b.br) * (a.br - b.br) + (a.bc - b.bc) * (a.bc - b.bc) AS DOUBLE))) AS BIGINT) AS bin, (a.dx - b.dx) * (a.dx - b.dx) + (a.dy - b.dy) * (a.dy - b.dy) AS d FROM raw a JOIN raw b ON a.f = b.f AND (a.br * 6 + a.bc) < (b.br * 6 + b.bc) WHERE a.conf > 0 AND b.conf > 0) GROUP BY bin", "dense", **_match("raw")))
 def structure_function(spark, sf_dir):
-    """Mean squared difference of two blocks' vectors by their distance."""
-    raw = _blocks(spark, sf_dir).where("conf > 0").select("f", (F.col("br") * 6 + F.col("bc")).alias("k"), "br", "bc", "dx", "dy")
-    a, b = raw.alias("a"), raw.alias("b")
-    both = a.join(b, (F.col("a.f") == F.col("b.f")) & (F.col("a.k") < F.col("b.k")))
-    sq = lambda c: (F.col(f"a.{c}") - F.col(f"b.{c}")) ** 2
-    return both.groupBy(F.floor(F.sqrt(sq("br") + sq("bc"))).alias("bin")).agg(F.count("*").alias("n"), r6(F.avg(sq("dx") + sq("dy"))).alias("d"))
+    """Mean squared difference of two blocks' vectors by their distance in blocks."""
+    known = _blocks(spark, sf_dir).where("conf > 0")
+    cols = -(-TRIAL.cols // BLOCK)
+    frames = known.groupBy("f").agg(F.array_sort(F.collect_list(F.struct((F.col("br") * cols + F.col("bc")).cast("int").alias("at"), "dx", "dy"))).alias("x")).select(F.col("x.at").alias("at"), F.col("x.dx").alias("u"), F.col("x.dy").alias("v"))
+    return structure.by_distance(structure.offset_sums(frames, -(-TRIAL.rows // BLOCK), cols)).withColumn("d", r6("d"))
