@@ -18,6 +18,21 @@ def summary(rows: DataFrame, thresholds=(1, 2, 4)) -> DataFrame:
     return rows.groupBy("model", "lead").agg(*parts, *(csi(x).alias(f"csi_{x}") for x in thresholds))
 
 
+def chosen(rows: DataFrame, models: list[str] | None = None, leads: list[int] | None = None, present: list[str] | None = None) -> DataFrame:
+    """The score rows of these models and leads that have these optional keys; None asks for nothing. A key that no row has is in none."""
+    for column, wanted in (("model", models), ("lead", leads)):
+        if wanted is not None:
+            rows = rows.where(F.col(column).isin(wanted))
+    for key in present or []:
+        rows = rows.where(F.col(key).isNotNull() if key in rows.columns else F.lit(False))
+    return rows
+
+
+def fallback_share() -> Column:
+    """Share of cases in which the model had to give another one's forecast; a case that does not say is none."""
+    return F.avg(F.coalesce(F.col("fallback"), F.lit(False)).cast("double"))
+
+
 def unit_sums(rows: DataFrame, unit: str = "event") -> DataFrame:
     """(unit, model, lead, e, r): the sums that a ratio needs, for each resampling unit."""
     return rows.groupBy(F.col(unit).alias("unit"), "model", "lead").agg(F.sum("fss_e").alias("e"), F.sum("fss_r").alias("r"))
