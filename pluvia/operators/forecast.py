@@ -36,7 +36,7 @@ def bilinear(points: DataFrame, fields: DataFrame, x: Column, y: Column, keys: l
 def moved(issues: DataFrame, fields: DataFrame, steps: int, grid: GridSpec = TRIAL, zero_outside: bool = False) -> DataFrame:
     """(.., lead, r, c, p) of issues (.., f, model, dx, dy): each cell reads the last frame where it came from, once.
 
-    zero_outside: no rain enters from beyond the edge. Only cells that can be wet are computed; absent ones are zero.
+    zero_outside: no rain enters from beyond the edge. Every cell of every lead is a row here; scores are made on whole frames (motion.vector_counts).
     """
     wide = leads(issues, steps).withColumn("sx", F.col("lead") * F.col("dx")).withColumn("sy", F.col("lead") * F.col("dy"))
     cells = wide.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(grid.rows - 1)))).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(grid.cols - 1))))

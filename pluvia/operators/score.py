@@ -144,14 +144,53 @@ def shift_rows(issues: DataFrame, packed: DataFrame, models: dict[str, tuple[int
     schema = "event long, f long, model string, lead int, " + ", ".join(f"{k} {'double' if k in doubles else 'long'}" for k in names)
 
     def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                stack = lambda k, part=part: part.column(k).flatten().to_numpy(zero_copy_only=False).reshape(-1, grid.rows, grid.cols)
-                last, truth, lead = stack("last"), stack("truth"), part.column("lead").to_numpy()
-                for name, (dx, dy) in models.items():
-                    sums = frame_sums(shifted_frames(last, lead * dy, lead * dx), truth, half)
-                    columns = [pa.array(sums[k], pa.float64() if k in doubles else pa.int64(), from_pandas=True) for k in names]
-                    yield pa.RecordBatch.from_arrays([part.column("event"), part.column("f"), pa.array([name] * part.num_rows), part.column("lead"), *columns], ["event", "f", "model", "lead", *names])
+        for part in few(batches):
+            stack = lambda k, part=part: part.column(k).flatten().to_numpy(zero_copy_only=False).reshape(-1, grid.rows, grid.cols)
+            last, truth, lead = stack("last"), stack("truth"), part.column("lead").to_numpy()
+            for name, (dx, dy) in models.items():
+                sums = frame_sums(shifted_frames(last, lead * dy, lead * dx), truth, half)
+                columns = [pa.array(sums[k], pa.float64() if k in doubles else pa.int64(), from_pandas=True) for k in names]
+                yield pa.RecordBatch.from_arrays([part.column("event"), part.column("f"), pa.array([name] * part.num_rows), part.column("lead"), *columns], ["event", "f", "model", "lead", *names])
 
     return met.mapInArrow(run, schema).where("n > 0")
+
+
+def wet_counts(p: np.ndarray, t: np.ndarray, wet: float = WET) -> tuple[float, int, int]:
+    """(sum_f, hit, fa) of a forecast frame and its truth; a forecast within half a millionth of the threshold reaches it."""
+    yes, was = np.round(p, 6) >= wet, t >= wet
+    return float(p.sum()), int((yes & was).sum()), int((yes & ~was).sum())
+
+
+def few(batches, rows: int = 64):
+    """Parts of so many rows at most: what is made of them stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+#: Sums of a forecast frame, by issue and lead.
+FRAME_COUNTS = "f long, lead int, sum_f double, hit long, fa long"
+
+
+def with_truths(issues: DataFrame, frames: DataFrame, steps: int) -> DataFrame:
+    """issues (f, ..) with truths, an array (lead, at, v) of the packed frames that are there at each lead; others are dry."""
+    ahead = frames.select("f", "at", "v").withColumn("lead", F.explode(F.sequence(F.lit(1), F.lit(steps)))).withColumn("f", F.col("f") - F.col("lead"))
+    found = ahead.join(issues.select("f").distinct(), "f", "left_semi").groupBy("f").agg(F.array_sort(F.collect_list(F.struct("lead", "at", "v"))).alias("truths"))
+    return issues.join(found, "f", "left")
+
+
+def truths_of(column: pa.Array, i: int, steps: int, grid: GridSpec) -> np.ndarray:
+    """[lead, r, c] of a row of with_truths()."""
+    out = np.zeros((steps, grid.rows * grid.cols))
+    if column[i].is_valid:
+        some = column[i].values
+        for k, lead in enumerate(some.field("lead").to_pylist()):
+            out[lead - 1, some.field("at")[k].values.to_numpy()] = some.field("v")[k].values.to_numpy()
+    return out.reshape(steps, grid.rows, grid.cols)
+
+
+def frame_counts(fs: list[int], made: list[np.ndarray], truths: list[np.ndarray]) -> pa.RecordBatch:
+    """FRAME_COUNTS of forecasts [lead, r, c], one for each issue, and their truths."""
+    rows = [(f, s + 1, *wet_counts(p[s], t[s])) for f, p, t in zip(fs, made, truths, strict=True) for s in range(len(p))]
+    kinds = (pa.int64(), pa.int32(), pa.float64(), pa.int64(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True) if rows else [()] * 5, kinds, strict=True)], [c.split()[0] for c in FRAME_COUNTS.split(", ")])

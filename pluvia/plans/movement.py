@@ -166,22 +166,32 @@ def bilinear_sample(spark, sf_dir):
 
 
 def _scores(forecasts, truth, issues, scans, name, steps=2):
-    """Counts of a sparse forecast (f, lead, r, c, p): (model, lead, cases, sum_f, hit, miss, fa).
+    """_pooled() of a sparse forecast (f, lead, r, c, p)."""
+    wet = truth.select(F.col("f").alias("__valid"), "r", "c", "v").where("v >= 2")
+    met = forecasts.where("p > 0").withColumn("__valid", F.col("f") + F.col("lead")).join(wet, ["__valid", "r", "c"], "left")
+    by = met.withColumn("wet", F.round("p", 6) >= 2).groupBy("f", "lead").agg(F.sum("p").alias("sum_f"), F.count_if(F.col("wet") & F.col("v").isNotNull()).alias("hit"), F.count_if(F.col("wet") & F.col("v").isNull()).alias("fa"))
+    return _pooled(by, truth.groupBy("f").agg(F.count_if(F.col("v") >= 2).alias("wet")), issues, scans, name, steps)
+
+
+def _pooled(by, index, issues, scans, name, steps=2):
+    """Counts of forecasts by issue and lead (f, lead, sum_f, hit, fa): (model, lead, cases, sum_f, hit, miss, fa). index: (f, wet), the frames with rain.
 
     A case is an issue whose last scans frames are there, and a lead whose frame lies in the archive: forecasts
     without a wet cell and frames without one count too.
     """
-    there = truth.select("f").distinct()
-    history = issues.withColumn("g", F.explode(F.array(*(F.col("f") - k for k in range(scans))))).join(there.withColumnRenamed("f", "g"), "g").groupBy("f").agg(F.count("*").alias("n")).where(F.col("n") == scans)
-    end = truth.agg(F.max("f").alias("end"))
+    there = index.select(F.col("f").alias("g"))
+    history = issues.withColumn("g", F.explode(F.array(*(F.col("f") - k for k in range(scans))))).join(there, "g").groupBy("f").agg(F.count("*").alias("n")).where(F.col("n") == scans)
+    end = index.agg(F.max("f").alias("end"))
     cases = forecast.leads(history.select("f"), steps).withColumn("__valid", F.col("f") + F.col("lead")).join(F.broadcast(end)).where("__valid <= end").drop("end")  # one row
-    wet = truth.select(F.col("f").alias("__valid"), "r", "c", "v").where("v >= 2")
-    met = forecasts.where("p > 0").withColumn("__valid", F.col("f") + F.col("lead")).join(wet, ["__valid", "r", "c"], "left")
-    by = met.withColumn("wet", F.round("p", 6) >= 2).groupBy("f", "lead").agg(F.sum("p").alias("sum_f"), F.count_if(F.col("wet") & F.col("v").isNotNull()).alias("hit"), F.count_if(F.col("wet") & F.col("v").isNull()).alias("fa"))
-    all_ = cases.join(by, ["f", "lead"], "left").join(wet.groupBy("__valid").agg(F.count("*").alias("wet")), "__valid", "left").na.fill(0, ["sum_f", "hit", "fa", "wet"])
+    all_ = cases.join(by, ["f", "lead"], "left").join(index.withColumnRenamed("f", "__valid"), "__valid", "left").na.fill(0, ["sum_f", "hit", "fa", "wet"])
     return all_.groupBy(F.lit(name).alias("model"), "lead").agg(F.count("*").alias("cases"), F.round(F.sum("sum_f"), 4).alias("sum_f"), F.sum("hit").alias("hit"), F.sum(F.col("wet") - F.col("hit")).alias("miss"), F.sum("fa").alias("fa"))
 
 
+def _wet(frames):
+    """(f, wet): wet cells of packed frames."""
+    return frames.select("f", F.size(F.filter("v", lambda x: x >= 2)).cast("long").alias("wet"))
+
+
 def _issues(spark, sf_dir):
     return trial.issues(spark, sf_dir).select("f").distinct()
 
@@ -190,9 +200,9 @@ def _vector_model(spark, sf_dir, name, steps=2):
     scans, sub, shrunk, factor, outside = motion.VECTOR_MODELS[name]
     vectors = motion.pair_vectors(_blocks(spark, sf_dir, subcell=sub, smoothed=shrunk), shrunk)
     mean = motion.window_mean(vectors, scans).where(F.col("have") == scans - 1)
-    issues, cells = _issues(spark, sf_dir), trial.cells(spark, sf_dir)
-    when = issues.join(mean, "f").select("f", F.lit(name).alias("model"), (F.col("dx") * factor).alias("dx"), (F.col("dy") * factor).alias("dy"))
-    return _scores(forecast.moved(when, cells, steps, zero_outside=outside), cells, issues, scans, name, steps)
+    issues, frames = _issues(spark, sf_dir), raster.frames(trial.cells(spark, sf_dir))
+    when = issues.join(mean, "f").select("f", (F.col("dx") * factor).alias("dx"), (F.col("dy") * factor).alias("dy"))
+    return _pooled(motion.vector_counts(when, frames, steps, zero_outside=outside), _wet(frames), issues, scans, name, steps)
 
 
 def _score_sql(name: str) -> dict[str, str]:
@@ -280,8 +290,8 @@ def _add_models():
     for name in ("block", "bw4", "block-smooth", "block-sub-all"):
 
         def run(spark, sf_dir, name=name):
-            issues, cells = _issues(spark, sf_dir), trial.cells(spark, sf_dir)
-            return _scores(motion.block_forecasts(raster.frames(cells), issues, name, 2, radius=RADIUS), cells, issues, motion.BLOCK_MODELS[name][0], name)
+            issues, frames = _issues(spark, sf_dir), raster.frames(trial.cells(spark, sf_dir))
+            return _pooled(motion.block_counts(frames, issues, name, 2, radius=RADIUS), _wet(frames), issues, motion.BLOCK_MODELS[name][0], name)
 
         run.__name__ = f"model_{name.replace('-', '_')}"
         query(_block_sql(name))(run)
