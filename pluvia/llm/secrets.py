@@ -2,8 +2,9 @@
 
 Grammar inference: the labelled credentials of a kind form a prefix tree with counts; states
 whose outgoing and ending frequencies agree within a Hoeffding bound, and whose successors
-do too, are merged (red-blue order), which turns the tree into a small probabilistic
-automaton with loops. A string's probability is that of its symbols and of stopping after
+do too, are merged, first those of a depth and then those of different depths, which turns the
+tree into a small probabilistic automaton that keeps places and lengths where a format has them
+and has loops where it repeats. A string's probability is that of its symbols and of stopping after
 them. Every candidate of a text is scored: each run of the credential alphabet (the base
 patterns') that is at least as long as the shortest labelled credential, parted at ``=`` and
 without ``.``, ``-`` and ``/`` at its ends. It counts if its log-likelihood ratio against
@@ -48,7 +49,7 @@ ALPHABET = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=
 CLASSES = len(ALPHABET) + 1
 CLASS = np.zeros(256, np.uint16)
 CLASS[np.frombuffer(ALPHABET, np.uint8)] = np.arange(1, CLASSES)
-#: Share of a state's visits that symbols it has not seen get, each; share of the uniform distribution in ordinary text.
+#: Endings, and goings on, that each state is given beside its own; share of the uniform distribution in ordinary text.
 SMOOTH, UNIFORM = 0.1, 0.05
 PIECE = 1 << 20
 
@@ -66,13 +67,29 @@ def base_spans(text: str) -> list[tuple[int, int, str, str]]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
+#: Kinds of symbols: one that a state has not seen is as likely as its kind lets expect.
+SORTS = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", "+/_.=-")
+SORT = {c: k for k, some in enumerate(SORTS) for c in some}
+#: Shares of a symbol's probability that come from the symbol, from its kind, and from all symbols alike.
+OWN, KIND, ANY = 0.6, 0.35, 0.05
+#: Visits without which states of different depths stay apart.
+SUPPORT = 10
+
+
 class Automaton:
-    """A probabilistic automaton: states with counts of symbols, of endings and of visits."""
+    """A probabilistic automaton: states with counts of symbols, of endings and of visits.
 
-    def __init__(self, values: list[str], alpha: float = 0.05):
+    Compatible states of the same depth are merged first, level by level, so that what stands at a
+    place of all credentials is known well before places are compared; then states of different
+    depths, which makes loops where a format repeats, and keeps lengths where it does not. Merged
+    states' successors by the same symbol are merged too.
+    """
+
+    def __init__(self, values: list[str], alpha: float = 0.05, support: int = SUPPORT):
         self.next: list[dict[str, int]] = [{}]
         self.count: list[Counter] = [Counter()]
         self.ends: list[int] = [0]
+        depth = [0]
         for v in values:
             at = 0
             for c in v:
@@ -82,22 +99,33 @@ class Automaton:
                     self.next.append({})
                     self.count.append(Counter())
                     self.ends.append(0)
+                    depth.append(depth[at] + 1)
                 at = self.next[at][c]
             self.ends[at] += 1
         self.bound = math.sqrt(0.5 * math.log(2 / alpha))
-        self._merge_all()
+        self.parent = list(range(len(self.next)))
+        self._merge_levels(depth)
+        self._merge_depths(support)
+        self._finish()
+
+    def _of(self, q: int) -> int:
+        """The state that q has been merged into."""
+        while self.parent[q] != q:
+            self.parent[q] = q = self.parent[self.parent[q]]
+        return q
 
     def visits(self, q: int) -> int:
         return self.ends[q] + self.count[q].total()
 
     def _alike(self, a: int, b: int) -> bool:
         """Whether two states, and what follows them, may share their probabilities."""
-        todo = [(a, b)]
+        todo, seen = [(a, b)], set()
         while todo:
-            p, q = todo.pop()
-            n, m = self.visits(p), self.visits(q)
-            if not n or not m:
+            p, q = pair = tuple(map(self._of, todo.pop()))
+            if p == q or pair in seen:
                 continue
+            seen.add(pair)
+            n, m = self.visits(p), self.visits(q)
             far = self.bound * (1 / math.sqrt(n) + 1 / math.sqrt(m))
             if abs(self.ends[p] / n - self.ends[q] / m) > far:
                 return False
@@ -108,11 +136,14 @@ class Automaton:
                     todo.append((self.next[p][c], self.next[q][c]))
         return True
 
-    def _fold(self, red: int, blue: int) -> None:
-        """Adds the tree below blue to red and what follows red."""
-        todo = [(red, blue)]
+    def _merge(self, a: int, b: int) -> None:
+        todo = [(a, b)]
         while todo:
-            p, q = todo.pop()
+            p, q = map(self._of, todo.pop())
+            if p == q:
+                continue
+            p, q = min(p, q), max(p, q)
+            self.parent[q] = p
             self.ends[p] += self.ends[q]
             self.count[p].update(self.count[q])
             for c, after in self.next[q].items():
@@ -121,41 +152,52 @@ class Automaton:
                 else:
                     self.next[p][c] = after
 
-    def _merge_all(self) -> None:
-        red, seen = [0], {0}
-        while True:
-            blue = [(self.visits(t), -i, c, q, t) for i, q in enumerate(red) for c, t in self.next[q].items() if t not in seen]
-            if not blue:
-                break
-            *_, c, q, t = max(blue)  # the best supported first
-            for r in red:
-                if self._alike(r, t):
-                    self.next[q][c] = r
-                    self._fold(r, t)
+    def _merge_levels(self, depth: list[int]) -> None:
+        levels: dict[int, list[int]] = {}
+        for q, d in enumerate(depth):
+            levels.setdefault(d, []).append(q)
+        for _, level in sorted(levels.items()):
+            kept: list[int] = []
+            for q in sorted({self._of(q) for q in level}, key=lambda q: (-self.visits(q), q)):  # the best supported first
+                if (r := next((r for r in kept if self._alike(r, q)), None)) is None:
+                    kept.append(q)
+                else:
+                    self._merge(r, q)
+
+    def _merge_depths(self, support: int) -> None:
+        for t in range(1, len(self.parent)):
+            if self.parent[t] != t or self.visits(t) < support:
+                continue
+            for r in range(t):
+                if self.parent[r] == r and self.visits(r) >= support and self._alike(r, t):
+                    self._merge(r, t)
                     break
-            else:
-                red.append(t)
-                seen.add(t)
-        number = {q: i for i, q in enumerate(red)}
-        symbols = len({c for q in red for c in self.count[q]}) + 2  # any other one, and the end
+
+    def _finish(self) -> None:
+        """Log shares: of each symbol with the state after it, of any other symbol, and of the end."""
+        states = [q for q in range(len(self.parent)) if self.parent[q] == q]
+        number = {q: i for i, q in enumerate(states)}
         self.states = []
-        for q in red:
-            share = lambda n, all_=self.visits(q): math.log((n + SMOOTH) / (all_ + SMOOTH * symbols))
-            self.states.append(({c: (share(self.count[q][c]), number[t]) for c, t in self.next[q].items()}, share(0), share(self.ends[q])))
-        del self.next, self.count, self.ends
+        for q in states:
+            n, m = self.visits(q), self.count[q].total()
+            end = (self.ends[q] + SMOOTH) / (n + 2 * SMOOTH)
+            sorts = Counter()
+            for c, k in self.count[q].items():
+                sorts[SORT.get(c)] += k
+            # a symbol that the state lacks leads where most others do
+            onward = number[self._of(self.next[q][max(self.count[q], key=lambda c: (self.count[q][c], c))])] if m else 0
+            share = lambda c, q=q, m=m, sorts=sorts: ANY / len(SORT) + (OWN * self.count[q][c] / m + KIND * sorts[SORT[c]] / m / len(SORTS[SORT[c]]) if m else (OWN + KIND) / len(SORT))
+            arcs = {c: (math.log((1 - end) * share(c)), number[self._of(self.next[q][c])] if c in self.next[q] else onward) for c in SORT}
+            self.states.append((arcs, math.log((1 - end) * ANY / len(SORT)), math.log(end), onward))
+        del self.next, self.count, self.ends, self.parent
 
     def log_likelihood(self, value: str) -> float:
-        """Of the symbols and the end; a symbol that a state lacks costs its smoothing and starts anew."""
+        """Of the symbols and the end."""
         total, at = 0.0, 0
         for c in value:
-            arcs, miss, _ = self.states[at]
-            step = arcs.get(c)
-            if step is None:
-                total += miss
-                at = 0
-            else:
-                total += step[0]
-                at = step[1]
+            arcs, miss, _, onward = self.states[at]
+            share, at = arcs.get(c, (miss, onward))
+            total += share
         return total + self.states[at][2]
 
 
