@@ -8,6 +8,7 @@ from pluvia.operators import structure, forecast, motion, score
 from pluvia.plans import trial
 from pluvia.plans.trial import sql
 from pluvia.sources import raster
+from pluvia.sources.shared import stored
 from pluvia.spec import TRIAL
 
 QUERIES, ORACLE = {}, {}
@@ -33,8 +34,13 @@ BLOCK = 8
 ROWS, COLS = TRIAL.rows, TRIAL.cols
 
 
-def _blocks(spark, sf_dir, **more):
-    return motion.block_motion(raster.frames(trial.cells(spark, sf_dir)), radius=RADIUS, **more)
+def _blocks(spark, sf_dir, frames=None, **more):
+    return motion.block_motion(raster.frames(trial.cells(spark, sf_dir)) if frames is None else frames, radius=RADIUS, **more)
+
+
+def _frames(spark, sf_dir):
+    """The packed frames as a table: matching, forecasts and truths read it, so it is not made for each of them."""
+    return stored(spark)(raster.frames(trial.cells(spark, sf_dir)))
 
 
 def _soft(raw: str) -> dict[str, str]:
@@ -198,9 +204,9 @@ def _issues(spark, sf_dir):
 
 def _vector_model(spark, sf_dir, name, steps=2):
     scans, sub, shrunk, factor, outside = motion.VECTOR_MODELS[name]
-    vectors = motion.pair_vectors(_blocks(spark, sf_dir, subcell=sub, smoothed=shrunk), shrunk)
+    issues, frames = _issues(spark, sf_dir), _frames(spark, sf_dir)
+    vectors = motion.pair_vectors(_blocks(spark, sf_dir, frames, subcell=sub, smoothed=shrunk), shrunk)
     mean = motion.window_mean(vectors, scans).where(F.col("have") == scans - 1)
-    issues, frames = _issues(spark, sf_dir), raster.frames(trial.cells(spark, sf_dir))
     when = issues.join(mean, "f").select("f", (F.col("dx") * factor).alias("dx"), (F.col("dy") * factor).alias("dy"))
     return _pooled(motion.vector_counts(when, frames, steps, zero_outside=outside), _wet(frames), issues, scans, name, steps)
 
@@ -290,7 +296,7 @@ def _add_models():
     for name in ("block", "bw4", "block-smooth", "block-sub-all"):
 
         def run(spark, sf_dir, name=name):
-            issues, frames = _issues(spark, sf_dir), raster.frames(trial.cells(spark, sf_dir))
+            issues, frames = _issues(spark, sf_dir), _frames(spark, sf_dir)
             return _pooled(motion.block_counts(frames, issues, name, 2, radius=RADIUS), _wet(frames), issues, motion.BLOCK_MODELS[name][0], name)
 
         run.__name__ = f"model_{name.replace('-', '_')}"
