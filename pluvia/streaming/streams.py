@@ -42,13 +42,12 @@ def retired(events: DataFrame, keep: int) -> DataFrame:
         import pandas as pd
 
         held = list(zip(*state.get, strict=True)) if state.exists else []
-        gone = []
-        for batch in batches:  # one batch beside the few that are kept
+        for batch in batches:  # an Arrow batch beside the few that are kept; what leaves is sent on at once
             rows = sorted([*held, *zip(batch["t"].tolist(), batch["id"].tolist(), strict=True)])
-            gone, held = gone + rows[:-keep], rows[-keep:]
+            gone, held = rows[:-keep], rows[-keep:]
+            yield pd.DataFrame({"k": [key[0]] * len(gone), "id": [i for _, i in gone], "t": [t for t, _ in gone]})
         if held:
             state.update(([t for t, _ in held], [i for _, i in held]))
-        yield pd.DataFrame({"k": [key[0]] * len(gone), "id": [i for _, i in gone], "t": [t for t, _ in gone]})
 
     return events.groupBy("k").applyInPandasWithState(step, "k string, id long, t long", "t array<long>, id array<long>", "append", GroupStateTimeout.NoTimeout)
 
