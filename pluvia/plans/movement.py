@@ -199,7 +199,8 @@ def _wet(frames):
 
 
 def _issues(spark, sf_dir):
-    return trial.issues(spark, sf_dir).select("f").distinct()
+    """The issue frames as a table: episodes are found once, however often a model's plan asks for them."""
+    return stored(spark)(trial.issues(spark, sf_dir).select("f").distinct())
 
 
 def _vector_model(spark, sf_dir, name, steps=2):
