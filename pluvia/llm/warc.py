@@ -25,10 +25,10 @@ of the names used here, are ignored.
 from __future__ import annotations
 
 import base64
+import bisect
 import gzip
 import hashlib
 import io
-import math
 import uuid
 import zlib
 
@@ -101,18 +101,17 @@ def bounds(pages: DataFrame, shard_pages: int = SHARD_PAGES) -> tuple[list, int]
 
 
 def with_shard(records: DataFrame, begins: list) -> DataFrame:
-    """records with the number of bounds at or before each one's key, found in two steps over about sqrt(n) bounds each."""
+    """records with the number of bounds at or before each one's key. Only keys go to Python, where the broadcast bounds (about MOST_SHARDS) are searched; payloads stay."""
     if not begins:
         return records.withColumn("shard", F.lit(0))
-    kind = "array<struct<page_id:bigint,digest:binary>>"
-    spark, step = records.sparkSession, math.isqrt(len(begins)) + 1
-    groups = [begins[i : i + step] for i in range(0, len(begins), step)]
-    table_ = spark.createDataFrame([([g[0] for g in groups], groups)], f"firsts {kind}, bounds array<{kind}>")
-    key = F.struct(*(F.col(c).alias(c) for c in KEY))
-    joined = records.join(F.broadcast(table_))  # one row of about MOST_SHARDS keys
-    upto = F.size(F.filter("firsts", lambda x: x <= key))
-    inside = F.size(F.filter(F.get("bounds", F.col("__g") - 1), lambda x: x <= key))
-    return joined.withColumn("__g", upto).withColumn("shard", F.when(F.col("__g") == 0, 0).otherwise((F.col("__g") - 1) * step + inside)).drop("__g", "firsts", "bounds")
+    given = records.sparkSession.sparkContext.broadcast([(i is not None, i or 0, d) for i, d in begins])  # nulls first, as in the order of records
+
+    @F.arrow_udf("int")
+    def shard(ids: pa.Array, digests: pa.Array) -> pa.Array:
+        keys = zip(ids.to_pylist(), digests.to_pylist(), strict=True)
+        return pa.array([bisect.bisect_right(given.value, (i is not None, i or 0, d)) for i, d in keys], pa.int32())
+
+    return records.withColumn("shard", shard(*KEY))
 
 
 def _filesystem(uri: str):
@@ -179,7 +178,8 @@ def write(pages: DataFrame, folder: str, roll: int = 64 << 20, level: int = 6, s
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     begins, total = bounds(pages, shard_pages)
     order = [F.col("page_id").asc_nulls_first(), "digest", "size", "mark", "url"]
-    ordered = with_shard(plan(pages), begins).repartitionByRange(parts, "shard").sortWithinPartitions("shard", *order)
+    place = F.floor(F.col("shard") * F.lit(parts) / F.lit(len(begins) + 1)).cast("int")  # shards in order, as many in each task; nothing is sampled
+    ordered = with_shard(plan(pages), begins).repartitionById(parts, place).sortWithinPartitions("shard", *order)
     ordered.mapInArrow(lambda b: _write(b, folder, roll, level), MANIFEST).write.parquet(f"{folder}/manifest-written")
     listed = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest-written")
     records, names, rows = listed.agg(F.coalesce(F.sum("records"), F.lit(0)), F.count_distinct("final"), F.count("*")).first()

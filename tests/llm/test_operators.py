@@ -700,6 +700,18 @@ def test_warc_files_depend_on_the_rows_alone(spark):
     assert names[0] == names[1] and len({n[:11] for n, *_ in names[0]}) > 5
 
 
+def test_warc_shards_are_looked_up_by_key(spark):
+    """The numbers are those of counting bounds, and no row carries the bounds."""
+    rng = random.Random(5)
+    keys = [(rng.choice([None, -3, 0, 2**60, 2**60 + 1, *range(40)]), bytes(rng.randrange(256) for _ in range(2))) for _ in range(400)]
+    order = lambda k: (k[0] is not None, k[0] or 0, k[1])
+    begins = sorted(set(rng.sample(keys, 60)), key=order)
+    made = warc.with_shard(spark.createDataFrame(keys, "page_id long, digest binary"), begins)
+    assert "Join" not in made._jdf.queryExecution().executedPlan().toString() and made.columns == ["page_id", "digest", "shard"]
+    assert all(r.shard == sum(order(b) <= order((r.page_id, bytes(r.digest))) for b in begins) for r in made.collect())
+    assert {r.shard for r in warc.with_shard(made.drop("shard"), []).collect()} == {0}
+
+
 def test_simhash(spark, docs, empty):
     import xxhash
 
