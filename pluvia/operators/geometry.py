@@ -124,3 +124,32 @@ def regrid(cells: DataFrame, k: int, rows: int, cols: int, scale: int, mode: str
     else:
         value = F.when(F.col("n") > 0, F.col("s") / F.col("n")).otherwise(0.0)
     return here.select("f", "r", "c", value.alias("v"))
+
+
+def packed_mask(cells: DataFrame, grid: GridSpec) -> DataFrame:
+    """(rows, cols, at): a mask as one row with its grid's shape; at holds the masked cells (r, c) row by row, a grid's cells at most."""
+    at = F.array_sort(F.collect_set((F.col("r") * grid.cols + F.col("c")).cast("int")))
+    return cells.agg(at.alias("at")).select(F.lit(grid.rows).alias("rows"), F.lit(grid.cols).alias("cols"), "at")
+
+
+def mask_cells(mask: DataFrame, grid: GridSpec) -> DataFrame:
+    """(r, c) of a packed mask; one that was made for another grid, or holds cells outside of it, is an error."""
+    other = F.concat(F.lit(f"the mask is not for {grid.rows} x {grid.cols} cells but for "), F.col("rows").cast("string"), F.lit(" x "), F.col("cols").cast("string"))
+    inside = F.forall("at", lambda x: (x >= 0) & (x < grid.rows * grid.cols))
+    same = (F.col("rows") == grid.rows) & (F.col("cols") == grid.cols) & inside
+    at = mask.select(F.explode(F.when(same, F.col("at")).otherwise(F.raise_error(other).cast("array<int>"))).alias("at"))
+    return at.select(F.expr(f"at div {grid.cols}").cast("int").alias("r"), (F.col("at") % grid.cols).alias("c"))
+
+
+def near_means(stations: DataFrame, tracks: DataFrame, km: float, least: int = 3) -> DataFrame:
+    """(f, id, u, v, n): the mean motion of a frame's tracks (f, x, y, u, v) within km of each station (id, x, y), where there are at least so many.
+
+    Both sides are dealt into squares of that side; a track goes to its own and the eight around it, so they
+    meet in an equi-join, and sums are made before the shuffle by station.
+    """
+    i, j = F.floor(F.col("x") / km), F.floor(F.col("y") / km)
+    around = F.explode(F.array(*(F.struct(F.lit(p).alias("p"), F.lit(q).alias("q")) for p in (-1, 0, 1) for q in (-1, 0, 1)))).alias("to")
+    dealt = tracks.select("f", F.col("x").alias("tx"), F.col("y").alias("ty"), "u", "v", i.alias("i"), j.alias("j"), around).withColumns({"i": F.col("i") + F.col("to.p"), "j": F.col("j") + F.col("to.q")})
+    met = stations.select("id", "x", "y", i.alias("i"), j.alias("j")).join(dealt, ["i", "j"])
+    near = met.where((F.col("x") - F.col("tx")) * (F.col("x") - F.col("tx")) + (F.col("y") - F.col("ty")) * (F.col("y") - F.col("ty")) <= km * km)
+    return near.groupBy("f", "id").agg(F.avg("u").alias("u"), F.avg("v").alias("v"), F.count("*").alias("n")).where(F.col("n") >= least)
