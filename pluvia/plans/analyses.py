@@ -280,11 +280,11 @@ def station_near_tracks(spark, sf_dir):
 CITIES = {"north": (6, 12), "middle": (16, 24), "south": (26, 36)}
 
 
-def _city_hours(spark, sf_dir):
-    """(event, f, city, model, mm, obs): means over the 3 x 3 cells of each city summed over the leads."""
-    around = F.explode(F.array(*(F.struct(F.lit(n).alias("city"), F.lit(r + i).alias("r"), F.lit(c + j).alias("c")) for n, (r, c) in CITIES.items() for i in (-1, 0, 1) for j in (-1, 0, 1)))).alias("k")
+def _city_hours(spark, sf_dir, pairs=None, cell=1):
+    """(event, f, city, model, mm, obs): means over the 3 x 3 cells of each city summed over the leads. cell: the trial's cells in a cell's side of the pairs."""
+    around = F.explode(F.array(*(F.struct(F.lit(n).alias("city"), F.lit(r // cell + i).alias("r"), F.lit(c // cell + j).alias("c")) for n, (r, c) in CITIES.items() for i in (-1, 0, 1) for j in (-1, 0, 1)))).alias("k")
     windows = spark.range(1).select(around).select("k.*")
-    met = trial.pairs(spark, sf_dir).join(F.broadcast(windows), ["r", "c"])  # nine cells a city
+    met = (trial.pairs(spark, sf_dir) if pairs is None else pairs).join(F.broadcast(windows), ["r", "c"])  # nine cells a city
     each = met.groupBy("event", "f", "model", "lead", "city").agg(F.avg("p").alias("p"), F.avg("t").alias("t"))
     return each.groupBy("event", "f", "model", "city").agg(F.sum("p").alias("mm"), F.sum("t").alias("obs"), F.count("t").alias("n")).where("n = 3").drop("n")
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pluvia.operators import structure, forecast, motion, score
+from pluvia.operators import forecast, motion, score, structure
+from pluvia.operators.registry import HALF_LIVES
 from pluvia.plans import trial
 from pluvia.plans.trial import sql
 from pluvia.sources import raster
@@ -277,6 +278,13 @@ def _vector_sql(name):
     return sql("SELECT * FROM result", "dense", "issues", **_match(source), **_walk_sql(name, _mean_sql(scans, source), factor, outside))
 
 
+def _half_life_sql(name):
+    """A vector model of thirteen scans whose weights halve with the pairs' age."""
+    weight = f"pow(0.5::DOUBLE, (a.f - b.f) / {HALF_LIVES[name]}::DOUBLE)"
+    mean = ", ".join(f"coalesce(sum(b.{d} * {weight}) / nullif(sum(CASE WHEN b.{d} IS NOT NULL THEN {weight} END), 0), 0) AS {d}" for d in ("dx", "dy"))
+    return sql("SELECT * FROM result", "dense", "issues", **_match("vec"), **_walk_sql(name, f"SELECT a.f, {mean} FROM vec a JOIN vec b ON b.f BETWEEN a.f - 11 AND a.f GROUP BY a.f"))
+
+
 def _block_sql(name, as_name=None):
     """A block model: fields of the last pairs, averaged, smoothed, filled, then traced."""
     scans, sub, soft = motion.BLOCK_MODELS[name]

@@ -183,7 +183,7 @@ def limited(slopes, tangents):
 
 
 def _add_models():
-    texts = {"bw2": movement._block_sql("bw2"), "block-sub": movement._block_sql("block-sub")}
+    texts = {"bw2": movement._block_sql("bw2"), "block-sub": movement._block_sql("block-sub"), "gwx3": movement._half_life_sql("gwx3")}
     for name in ("gwx3", "block-26km", "block-sub", "bw2", "lk", "sprog", "steps-mean", "steps-bps-mean"):
 
         def run(spark, sf_dir, name=name):
