@@ -153,3 +153,10 @@ def near_means(stations: DataFrame, tracks: DataFrame, km: float, least: int = 3
     met = stations.select("id", "x", "y", i.alias("i"), j.alias("j")).join(dealt, ["i", "j"])
     near = met.where((F.col("x") - F.col("tx")) * (F.col("x") - F.col("tx")) + (F.col("y") - F.col("ty")) * (F.col("y") - F.col("ty")) <= km * km)
     return near.groupBy("f", "id").agg(F.avg("u").alias("u"), F.avg("v").alias("v"), F.count("*").alias("n")).where(F.col("n") >= least)
+
+
+def view(grid: GridSpec, width: Column, height: Column, stretch: float, margin: float = 8.0) -> tuple[Column, Column, Column]:
+    """(scale, x, y): pixels a degree of latitude and the map's corner where the grid fits a view with a margin; a degree of longitude counts as stretch. A view that is all margin has scale 0."""
+    wide, high = (grid.east - grid.west) * stretch, grid.north - grid.south
+    scale = F.greatest(F.lit(0.0), F.least((width - 2 * margin) / wide, (height - 2 * margin) / high))
+    return scale, (width - wide * scale) / 2, (height - high * scale) / 2

@@ -128,6 +128,60 @@ def point_lines(spark, sf_dir):
     return facts.select("k", "current", "peak", line.alias("line"))
 
 
+#: Views of a map in pixels, and what a degree of longitude counts as in degrees of latitude.
+VIEWS, STRETCH = ((640, 480), (300, 900), (16, 12)), 0.5563
+_WIDE_KM, _HIGH = f"(11.5::DOUBLE * {STRETCH}::DOUBLE)", "(58.5::DOUBLE - 53.9::DOUBLE)"
+
+
+@query(sql(f"SELECT id, w, inside, round(px, 6) AS x, round(py, 6) AS y, CASE WHEN scale > 0 THEN round(5.0::DOUBLE + (px - x0) / ({STRETCH}::DOUBLE * scale), 6) END AS lon, CASE WHEN scale > 0 THEN round(58.5::DOUBLE - (py - y0) / scale, 6) END AS lat FROM (SELECT *, x0 + (lon - 5.0::DOUBLE) * {STRETCH}::DOUBLE * scale AS px, y0 + (58.5::DOUBLE - lat) * scale AS py FROM (SELECT *, {_INSIDE} AS inside, (w - {_WIDE_KM} * scale) / 2 AS x0, (h - {_HIGH} * scale) / 2 AS y0 FROM (SELECT *, greatest(0.0::DOUBLE, least((w - 16) / {_WIDE_KM}, (h - 16) / {_HIGH})) AS scale FROM wide, (VALUES {', '.join(map(str, VIEWS))}) v(w, h))))", **analyses._ST, wide=_WIDE))
+def map_view(spark, sf_dir):
+    """Points in views of several sizes that the map is fitted into, whether the map holds them, and back from pixels; NULL where a view is too small."""
+    n = F.col("id")
+    points = analyses.stations(spark, sf_dir).select("id", (4 + n * 41 % 1000 / 1000 * 13.5).alias("lon"), (53.4 + n * 67 % 1000 / 1000 * 5.6).alias("lat"), F.explode(F.array(*(F.struct(F.lit(w).alias("w"), F.lit(h).alias("h")) for w, h in VIEWS))).alias("view"))
+    scale, x0, y0 = G.view(TRIAL, F.col("view.w"), F.col("view.h"), STRETCH)
+    placed = points.withColumns({"scale": scale, "x0": x0, "y0": y0}).withColumns({"px": F.col("x0") + (F.col("lon") - TRIAL.west) * STRETCH * F.col("scale"), "py": F.col("y0") + (TRIAL.north - F.col("lat")) * F.col("scale")})
+    inside = F.col("lat").between(TRIAL.south, TRIAL.north) & F.col("lon").between(TRIAL.west, TRIAL.east)
+    back = lambda c: F.when(F.col("scale") > 0, r6(c))
+    return placed.select("id", F.col("view.w").alias("w"), inside.alias("inside"), r6("px").alias("x"), r6("py").alias("y"), back(TRIAL.west + (F.col("px") - F.col("x0")) / (STRETCH * F.nullif(F.col("scale"), F.lit(0.0)))).alias("lon"), back(TRIAL.north - (F.col("py") - F.col("y0")) / F.nullif(F.col("scale"), F.lit(0.0))).alias("lat"))
+
+
+# --- listings and levels
+
+#: Items of a page, and how many of them the page before lists too.
+PAGE, OVERLAP = 300, 20
+
+
+@query(f"SELECT event_type, day, id, row_number() OVER (PARTITION BY event_type, day ORDER BY ts, id) AS place FROM (SELECT event_type, CAST(floor(epoch(ts) / 86400) AS BIGINT) AS day, ts, event_id AS id FROM events WHERE value >= 20 AND (event_id // {PAGE} % 7 <> 3 OR event_id % {PAGE} < {OVERLAP} AND (event_id // {PAGE} - 1) % 7 <> 3 AND event_id >= {PAGE}) AND event_id NOT IN (SELECT event_id FROM events WHERE event_type = 'view' AND value < 100))")
+def listing_new(spark, sf_dir):
+    """New items of a paged listing, each day's in order of time: pages that are cut short and items without a link are skipped, items that two pages list count once, those held already are left out."""
+    e = raster.table(spark, sf_dir, "events")
+    own = F.floor(F.col("event_id") / PAGE)
+    pages = F.array_compact(F.array(own, F.when((F.col("event_id") % PAGE < OVERLAP) & (own > 0), own - 1)))
+    item = F.struct(F.col("event_id").alias("id"), F.struct(F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("event_type").alias("kind")).alias("properties"), F.when(F.col("value") >= 20, F.concat(F.lit("scan/"), F.col("event_id").cast("string"))).alias("href"))
+    text = e.select(F.explode(pages).alias("page"), item.alias("item")).groupBy("page").agg(F.to_json(F.struct(F.collect_list("item").alias("features"))).alias("text"))  # PAGE + OVERLAP items
+    sent = text.select(F.when(F.col("page") % 7 == 3, F.expr("left(text, length(text) - 9)")).otherwise(F.col("text")).alias("text"))
+    listed = sent.select(F.from_json("text", "features array<struct<id:bigint,properties:struct<at:bigint,kind:string>,href:string>>, bad string", {"columnNameOfCorruptRecord": "bad"}).alias("j")).where("j.bad IS NULL").select(F.explode("j.features").alias("x"))
+    items = listed.where("x.id IS NOT NULL AND x.properties.at IS NOT NULL AND x.href IS NOT NULL").select("x.id", F.col("x.properties.at").alias("at"), F.col("x.properties.kind").alias("event_type")).distinct()
+    new = items.join(e.where("event_type = 'view' AND value < 100").select(F.col("event_id").alias("id")), "id", "left_anti").withColumn("day", F.floor(F.col("at") / 86_400_000_000))
+    return new.select("event_type", "day", "id", F.row_number().over(Window.partitionBy("event_type", "day").orderBy("at", "id")).alias("place"))
+
+
+#: Levels in the order in which they are declared; their mean follows as one more.
+LEVELS = ("R", "N", "A")
+
+
+@query("""WITH w AS (SELECT date_trunc('month', l_shipdate) AS t, l_returnflag AS level, l_suppkey % 4 AS lat, avg(l_quantity) * 3.6 AS v FROM lineitem GROUP BY ALL)
+SELECT dense_rank() OVER (ORDER BY t) AS time_no, CASE level WHEN 'R' THEN 1 WHEN 'N' THEN 2 WHEN 'A' THEN 3 ELSE 4 END AS level_no, dense_rank() OVER (ORDER BY lat) AS row_no, round(v, 6) AS v FROM (SELECT * FROM w UNION ALL SELECT t, 'layer', lat, avg(v) FROM w GROUP BY t, lat)""")
+def wind_order(spark, sf_dir):
+    """A wind cube in order: times ascending, levels as declared and then their mean, latitudes ascending, in km/h."""
+    line = raster.table(spark, sf_dir, "lineitem").select(F.trunc("l_shipdate", "month").alias("t"), F.col("l_returnflag").alias("level"), (F.col("l_suppkey") % 4).alias("lat"), "l_quantity")
+    each = line.groupBy("t", "level", "lat").agg((F.avg("l_quantity") * 3.6).alias("v"))
+    cube = each.unionByName(each.groupBy("t", "lat").agg(F.avg("v").alias("v")).withColumn("level", F.lit("layer")))
+    level = F.array_position(F.array(*map(F.lit, (*LEVELS, "layer"))), F.col("level"))
+    rank = lambda c: F.dense_rank().over(Window.orderBy(c))  # noqa: E731  one row for each time, level and latitude
+    return cube.select(rank("t").alias("time_no"), level.alias("level_no"), rank("lat").alias("row_no"), r6("v").alias("v"))
+
+
 # --- masks and vectors
 
 
