@@ -142,15 +142,15 @@ def mask_cells(mask: DataFrame, grid: GridSpec) -> DataFrame:
 
 
 def near_means(stations: DataFrame, tracks: DataFrame, km: float, least: int = 3) -> DataFrame:
-    """(f, id, u, v, n): the mean motion of a frame's tracks (f, x, y, u, v) within km of each station (id, x, y), where there are at least so many.
+    """(f, id, u, v, n): the mean motion of a frame's tracks (f, x, y, u, v) within km of each station that the frame has (f, id, x, y), where there are at least so many.
 
     Both sides are dealt into squares of that side; a track goes to its own and the eight around it, so they
-    meet in an equi-join, and sums are made before the shuffle by station.
+    meet in an equi-join by frame and square, and sums are made before the shuffle by station.
     """
     i, j = F.floor(F.col("x") / km), F.floor(F.col("y") / km)
     around = F.explode(F.array(*(F.struct(F.lit(p).alias("p"), F.lit(q).alias("q")) for p in (-1, 0, 1) for q in (-1, 0, 1)))).alias("to")
     dealt = tracks.select("f", F.col("x").alias("tx"), F.col("y").alias("ty"), "u", "v", i.alias("i"), j.alias("j"), around).withColumns({"i": F.col("i") + F.col("to.p"), "j": F.col("j") + F.col("to.q")})
-    met = stations.select("id", "x", "y", i.alias("i"), j.alias("j")).join(dealt, ["i", "j"])
+    met = stations.select("f", "id", "x", "y", i.alias("i"), j.alias("j")).join(dealt, ["f", "i", "j"])
     near = met.where((F.col("x") - F.col("tx")) * (F.col("x") - F.col("tx")) + (F.col("y") - F.col("ty")) * (F.col("y") - F.col("ty")) <= km * km)
     return near.groupBy("f", "id").agg(F.avg("u").alias("u"), F.avg("v").alias("v"), F.count("*").alias("n")).where(F.col("n") >= least)
 

@@ -63,9 +63,10 @@ def _station_wind(spark, sf_dir):
 def station_tracks(spark, sf_dir):
     """The wind of stations against the mean motion of the three or more tracks near them: speed ratio, turn, and the share within 30 degrees."""
     places = analyses.stations(spark, sf_dir).select("id", ((F.col("lon") - 5.0) / 11.5 * (TRIAL.cols * CELL_KM)).alias("x"), ((58.5 - F.col("lat")) / 4.6 * (TRIAL.rows * CELL_KM)).alias("y"))
-    rain = G.near_means(places, _tracks(spark, sf_dir), NEAR_KM)
+    wind = _station_wind(spark, sf_dir)
+    rain = G.near_means(wind.select("f", "id").join(places, "id"), _tracks(spark, sf_dir), NEAR_KM)
     u, v, wu, wv = (F.col(c) for c in ("u", "v", "wu", "wv"))
-    met = rain.join(_station_wind(spark, sf_dir), ["f", "id"]).where((F.sqrt(u * u + v * v) >= 10) & (F.col("speed") >= 1))
+    met = rain.join(wind, ["f", "id"]).where((F.sqrt(u * u + v * v) >= 10) & (F.col("speed") >= 1))
     each = met.select((F.col("speed") / F.sqrt(u * u + v * v)).alias("ratio"), F.degrees(F.atan2(u * wv - v * wu, u * wu + v * wv)).alias("turn"))
     return each.agg(F.count("*").alias("pairs"), *studies._quartiles("ratio", ("ratio25", "ratio50", "ratio75")), *studies._quartiles("turn", ("turn25", "turn50", "turn75")), r6(F.avg((F.abs("turn") <= 30).cast("double"))).alias("within_30"))
 

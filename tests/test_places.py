@@ -23,7 +23,7 @@ def test_near_means_are_those_of_all_pairs(spark):
     rng = random.Random(4)
     stations = [(i, rng.uniform(-50, 50), rng.uniform(-50, 50)) for i in range(12)] + [(12, None, 1.0), (13, 500.0, 500.0)]
     tracks = [(rng.randrange(3), rng.uniform(-50, 50), rng.uniform(-50, 50), rng.uniform(-9, 9), rng.uniform(-9, 9)) for _ in range(120)]
-    got = geometry.near_means(spark.createDataFrame(stations, "id int, x double, y double"), spark.createDataFrame(tracks, "f int, x double, y double, u double, v double"), 15.0)
+    got = geometry.near_means(spark.createDataFrame([(f, *s) for f in range(4) for s in stations], "f int, id int, x double, y double"), spark.createDataFrame(tracks, "f int, x double, y double, u double, v double"), 15.0)
     made = {(r.f, r.id): (r.n, r.u, r.v) for r in got.collect()}
     want = {}
     for i, x, y in stations:
