@@ -68,7 +68,7 @@ def packed(vectors: DataFrame, size: int, most: int = BLOCK_BYTES) -> DataFrame:
                         yield _pack(number, held.pop(kind))
                         number += 1
             # what waits is copied out of its batches; widest first, until it is within two blocks
-            held = {kind: [pa.RecordBatch.from_arrays([pa.concat_arrays([p.column(c) for p in parts]) for c in range(parts[0].num_columns)], parts[0].schema.names)] for kind, parts in held.items()}
+            held = {kind: [pa.RecordBatch.from_arrays([pa.concat_arrays([p.column(c) for p in parts]) for c in range(parts[0].num_columns)], schema=batch.schema)] for kind, parts in held.items()}
             while len(held) > 1 and sum(p.num_rows << kind + 3 for kind, (p,) in held.items()) > 2 * most:
                 yield _pack(number, held.pop(max(held)))
                 number += 1
@@ -202,7 +202,8 @@ def search(vectors: DataFrame, asked, k: int = 5, block: int = 8192, queries: in
     slots = max(1, mine.count())
     theirs = mine.mapInArrow(lambda b: _asked(b, queries), BLOB)
     theirs = theirs.select(*(F.col(c).alias(f"q_{c}") for c in theirs.columns)).withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))  # to about one candidate block each, as rows of bytes
-    pairs = mine.drop("places").withColumn("slot", F.pmod(F.xxhash64("block"), F.lit(slots)).cast("int")).join(theirs, "slot")
+    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes with much work: partitions are not put together
+    pairs = mine.drop("places").withColumn("slot", F.pmod(F.xxhash64("block"), F.lit(slots)).cast("int")).repartition(parts, "slot").join(theirs.repartition(parts, "slot"), "slot")
     found = pairs.mapInArrow(lambda b: _search(b, k), "q_block long, q_place long, query_id long, vec_id long, score long, beyond binary")
     order = Window.partitionBy("q_block", "q_place").orderBy(F.desc("score"), F.desc_nulls_last("beyond"), F.asc_nulls_last("vec_id"))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score", "beyond")

@@ -586,6 +586,13 @@ def test_topk(spark, block):
     assert topk.search(some.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_topk_of_more_rows_than_an_arrow_batch(spark):
+    """A block holds rows of several batches; its query meets all of them."""
+    rows = spark.range(20_500, numPartitions=1).select(F.col("id").alias("vec_id"), F.array(F.col("id").cast("double"), F.lit(1.0)).alias("embedding"))
+    got = topk.search(topk.quantised(rows), F.col("vec_id") == 1).orderBy("rank").collect()
+    assert [(r["rank"], r.vec_id, r.score) for r in got] == [(k, 20_500 - k, 65536 * (20_500 - k) + 65536) for k in range(1, 6)]
+
+
 def test_topk_blocks_hold_their_bytes(spark):
     """A wide vector among narrow ones, and many middling ones, make no block larger than its bound."""
     data = [(i, [1.0] * 8) for i in range(999)] + [(1000, [2.0] * 50_000), (None, [9.0] * 8)] + [(2000 + i, [0.5] * 3000) for i in range(60)]
