@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pluvia.sources.shared import spread
 from pluvia.spec import BANDS, BOX, RADARS, GridSpec
 
 EARTH_KM = 6371
@@ -141,6 +142,33 @@ def mask_cells(mask: DataFrame, grid: GridSpec) -> DataFrame:
     return at.select(F.expr(f"at div {grid.cols}").cast("int").alias("r"), (F.col("at") % grid.cols).alias("c"))
 
 
+#: Points of a place that are one row, at most, and the parts in which places meet others.
+LISTED, SHARES = 256, 4
+
+
+def _listed(points: DataFrame) -> DataFrame:
+    """(x, y, share, ids): points (id, x, y) of the same place as lists."""
+    place = Window.partitionBy("x", "y", "share").orderBy("id")
+    shared = points.select("id", "x", "y", F.pmod(F.xxhash64("id"), F.lit(SHARES)).cast("int").alias("share"))
+    return shared.withColumn("part", F.floor((F.row_number().over(place) - 1) / LISTED)).groupBy("x", "y", "share", "part").agg(F.collect_list("id").alias("ids")).drop("part")
+
+
+def near_pairs(points: DataFrame, others: DataFrame, km: float) -> DataFrame:
+    """(id, other, d): all pairs of points and others, both (id, x, y), at most km apart. What has no id or place takes no part.
+
+    Points of one place are lists. Both sides' lists are dealt into squares of that side and meet in a square or
+    its neighbours, so squares and distances are of lists; only the pairs that are the result are rows, and each
+    list of points makes its own. Lists are short and go to as many partitions as shuffles have.
+    """
+    i, j = F.floor(F.col("x") / km), F.floor(F.col("y") / km)
+    around = F.explode(F.array(*(F.struct(F.lit(p).alias("p"), F.lit(q).alias("q")) for p in (-1, 0, 1) for q in (-1, 0, 1)))).alias("to")
+    a = spread(_listed(points.where("id IS NOT NULL")).withColumns({"i": i, "j": j}), "i", "j", "share")
+    dealt = _listed(others.where("id IS NOT NULL")).select(F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("ids").alias("other_ids"), i.alias("i"), j.alias("j"), around).withColumns({"i": F.col("i") + F.col("to.p"), "j": F.col("j") + F.col("to.q")}).drop("to")
+    b = dealt.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+    near = a.join(b, ["i", "j", "share"]).withColumn("d", F.sqrt((F.col("x") - F.col("x2")) ** 2 + (F.col("y") - F.col("y2")) ** 2)).where(F.col("d") <= km)
+    return near.select(F.explode("ids").alias("id"), "other_ids", "d").select("id", F.explode("other_ids").alias("other"), "d")
+
+
 def near_means(stations: DataFrame, tracks: DataFrame, km: float, least: int = 3) -> DataFrame:
     """(f, id, u, v, n): the mean motion of a frame's tracks (f, x, y, u, v) within km of each station that the frame has (f, id, x, y), where there are at least so many.
 

@@ -265,15 +265,11 @@ def gauge_neighbours(spark, sf_dir):
 
 @query(sql("SELECT id, other, round(d, 4) AS d FROM (SELECT a.id, b.id AS other, sqrt(pow((a.lon - b.lon) * 111.2 * cos(radians(56.0)), 2) + pow((a.lat - b.lat) * 111.2, 2)) AS d FROM st a, tr b) WHERE d <= 25", **_ST, tr="SELECT s_suppkey AS id, 5 + s_suppkey * 53 % 1000 / 1000.0::DOUBLE * 11.5 AS lon, 53.9 + s_suppkey * 29 % 1000 / 1000.0::DOUBLE * 4.6 AS lat FROM supplier"))
 def station_near_tracks(spark, sf_dir):
-    """Tracks (suppliers) within 25 km of each station: both sides are dealt into squares of that size, and meet in a square or its neighbours."""
-    side = 25.0
+    """Tracks (suppliers) within 25 km of each station."""
     k, x, y = F.col("s_suppkey"), F.col("lon") * 111.2 * F.cos(F.radians(F.lit(56.0))), F.col("lat") * 111.2
     tracks = table(spark, sf_dir, "supplier").select(k.alias("id"), (5 + k * 53 % 1000 / 1000 * 11.5).alias("lon"), (53.9 + k * 29 % 1000 / 1000 * 4.6).alias("lat"))
-    a = stations(spark, sf_dir).select("id", x.alias("x"), y.alias("y"), F.floor(x / side).alias("i"), F.floor(y / side).alias("j"))
-    around = F.explode(F.array(*(F.struct(F.lit(p).alias("p"), F.lit(q).alias("q")) for p in (-1, 0, 1) for q in (-1, 0, 1)))).alias("n")
-    b = tracks.select(F.col("id").alias("other"), x.alias("x2"), y.alias("y2"), around).withColumns({"i": F.floor(F.col("x2") / side) + F.col("n.p"), "j": F.floor(F.col("y2") / side) + F.col("n.q")})
-    d = F.sqrt((F.col("x") - F.col("x2")) ** 2 + (F.col("y") - F.col("y2")) ** 2)
-    return a.join(b, ["i", "j"]).withColumn("d", d).where("d <= 25").select("id", "other", F.round("d", 4).alias("d"))
+    at = lambda points: points.select("id", x.alias("x"), y.alias("y"))
+    return G.near_pairs(at(stations(spark, sf_dir)), at(tracks), 25.0).withColumn("d", F.round("d", 4))
 
 
 #: Trial cities: centre cells.

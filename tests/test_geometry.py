@@ -39,3 +39,17 @@ def test_round_kernel_is_the_stretched_one_of_ratio_one(spark):
     slow = {(x.f, x.r, x.c): x.chance for x in ensembles.gauss_window(cells, F.col("v") >= 2, 1.2, ratio=1 + 1e-15).collect()}
     assert fast.keys() == slow.keys()
     assert max(abs(fast[k] - slow[k]) for k in fast) < 1e-9
+
+
+def test_near_pairs_list_the_points_of_a_place(spark):
+    """All pairs within the distance, as many as the points of a place give; only places are compared."""
+    rng = random.Random(11)
+    a = [(i, rng.uniform(0, 60), rng.uniform(-30, 30)) for i in range(50)] + [(100 + i, 20.0, 0.0) for i in range(700)] + [(999, None, 1.0)]
+    b = [(i, rng.uniform(0, 60), rng.uniform(-30, 30)) for i in range(40)] + [(500 + i, 29.0, 0.0) for i in range(3)] + [(998, 20.0, 10.0), (997, None, 1.0)]
+    schema = "id int, x double, y double"
+    found = geometry.near_pairs(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), 10.0)
+    got = {(r.id, r.other): r.d for r in found.collect()}
+    want = {(i, j): math.hypot(x - u, y - v) for i, x, y in a for j, u, v in b if x is not None and u is not None and math.hypot(x - u, y - v) <= 10}
+    assert found.count() == len(want) and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    lists = geometry._listed(spark.createDataFrame(a, schema).where("x = 20")).select(F.size("ids").alias("n")).collect()
+    assert sum(r.n for r in lists) == 700 and len(lists) <= 2 * geometry.SHARES and max(r.n for r in lists) <= geometry.LISTED
