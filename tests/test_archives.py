@@ -50,6 +50,32 @@ def test_points_meet_all_within_reach(spark, north):
     assert got.keys() == want.keys() and all(got[k][0] == n and abs(got[k][1] - s / n) < 1e-9 for k, (n, s) in want.items())
 
 
+def test_points_of_a_place_are_one_row(spark):
+    """Many points in few places, ids with several rows at a time and in two places: every pair counts, but none is a row."""
+    rng = random.Random(3)
+    places = [(55.0, 9.0), (55.3, 9.2), (57.0, 12.0)]
+    points = [(t, i, *places[i % 3], 300 + rng.uniform(-5, 5), rng.uniform(-5, 5)) for t in range(2) for i in range(90) for _ in range(1 + i % 2)]
+    points += [(0, 5, *places[0], 301.0, 2.0)]  # usually in another place
+    want = {}
+    for p in points:
+        for q in points:
+            if p[0] == q[0] and p[1] < q[1]:
+                la, lb = math.radians(p[2]), math.radians(q[2])
+                d = 2 * 6371 * math.asin(math.sqrt(math.sin((la - lb) / 2) ** 2 + math.cos(la) * math.cos(lb) * math.sin(math.radians(p[3] - q[3]) / 2) ** 2))
+                n, s = want.get(int(d // 20), (0, 0.0))
+                want[int(d // 20)] = n + 1, s + (p[4] - q[4]) ** 2 + (p[5] - q[5]) ** 2
+    table = spark.createDataFrame(points, "t long, id long, lat double, lon double, u double, v double")
+    got = {r.bin: (r.n, r.d) for r in structure.between_points(table).collect()}
+    assert got.keys() == want.keys() and all(got[k][0] == n and abs(got[k][1] - s / n) < 1e-9 for k, (n, s) in want.items())
+    one = table.groupBy("t", "lat", "lon").agg(F.count("*").alias("n"), F.sum("u").alias("u"), F.sum("v").alias("v"), F.sum(F.col("u") * F.col("u") + F.col("v") * F.col("v")).alias("s"))
+    assert one.count() == 6 and structure._between(one, ["t"], 20.0, 20).agg(F.sum("n")).first()[0] == sum(n for k, (n, _) in want.items() if k) + _own(points)
+
+
+def _own(points):
+    """Pairs of one id in two places at a time."""
+    return sum(p[:2] == q[:2] and p[2:4] < q[2:4] for p in points for q in points)
+
+
 def frames(spark, numbers, factor=1.0):
     return spark.createDataFrame([(f, [factor * (f % 5), float("nan"), 3.0]) for f in numbers], "f long, v array<double>")
 
