@@ -79,31 +79,39 @@ def components(cells: DataFrame, grid: GridSpec, write) -> DataFrame:
 def nearest(points: DataFrame, k: int, write, scale: float = 1.0) -> DataFrame:
     """(area, id, other, d, k): the k nearest other points of the same area for each of (area, id, x, y), d the squared distance with x scaled, ties to the smaller other.
 
-    Points are dealt into squares and meet those of the squares around; a point whose k-th distance
+    Points of one place have the same neighbours but for themselves, and of a place only the k + 1 smallest
+    ids can be among them: places look for k + 1 points, of which each point leaves itself out.
+    Places are dealt into squares and meet those of the squares around; a place whose last distance
     reaches beyond them goes on to squares of twice the side. write stores a table between rounds.
-    Points without coordinates take no part; areas of k points or fewer give fewer rows.
+    An id is one point. Points without id or coordinates take no part; areas of k points or fewer give fewer rows.
     """
-    points = points.where("x IS NOT NULL AND y IS NOT NULL")
+    points = points.where("id IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL").select("area", "id", "x", "y")
+    few = write(points.withColumn("n", F.row_number().over(Window.partitionBy("area", "x", "y").orderBy("id"))).where(F.col("n") <= k + 1))
+    places = few.where("n = 1").select("area", "x", "y")
     wide, high = F.max("x") - F.min("x"), F.max("y") - F.min("y")
-    spans = points.groupBy("area").agg(F.greatest(wide, high, F.lit(1e-9)).alias("extent"), F.sqrt(F.greatest(wide, F.lit(1e-9)) * F.greatest(high, F.lit(1e-9)) * k / F.count("*")).alias("side"))
-    sized = write(points.join(spans, "area").withColumn("side", F.greatest("side", F.col("extent") / 2**20)))
-    waiting, factor, found = sized, 1.0, []
+    spans = places.groupBy("area").agg(F.greatest(wide, high, F.lit(1e-9)).alias("extent"), F.sqrt(F.greatest(wide, F.lit(1e-9)) * F.greatest(high, F.lit(1e-9)) * k / F.count("*")).alias("side"))
+    sized = lambda some: some.join(spans, "area").withColumn("side", F.greatest("side", F.col("extent") / 2**20))
+    waiting, near, factor, found = write(sized(places)), write(sized(few.drop("n"))), 1.0, []
     around = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
     square = lambda axis: F.floor(F.col(axis) / (F.col("side") * factor))
     while True:
         asked = waiting.withColumn("n", around).withColumns({"i": square("x") + F.col("n.i"), "j": square("y") + F.col("n.j")}).drop("n")
-        others = sized.select("area", square("x").alias("i"), square("y").alias("j"), F.col("id").alias("other"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-        met = asked.join(others, ["area", "i", "j"]).where("id <> other").withColumn("d", F.pow((F.col("x") - F.col("x2")) * scale, F.lit(2)) + F.pow(F.col("y") - F.col("y2"), F.lit(2)))
-        best = write(met.withColumn("k", F.row_number().over(Window.partitionBy("area", "id").orderBy("d", "other"))).where(F.col("k") <= k))
+        others = near.select("area", square("x").alias("i"), square("y").alias("j"), F.col("id").alias("other"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+        met = asked.join(others, ["area", "i", "j"]).withColumn("d", F.pow((F.col("x") - F.col("x2")) * scale, F.lit(2)) + F.pow(F.col("y") - F.col("y2"), F.lit(2)))
+        best = write(met.withColumn("k", F.row_number().over(Window.partitionBy("area", "x", "y").orderBy("d", "other"))).where(F.col("k") <= k + 1))
         inside = F.col("side") * factor * (0.999 * min(1.0, scale))
-        sure = best.where((F.col("k") == k) & (F.col("d") <= inside * inside)).select("area", "id")
-        whole = waiting.where(F.col("side") * factor >= F.col("extent")).select("area", "id")
+        sure = best.where((F.col("k") == k + 1) & (F.col("d") <= inside * inside)).select("area", "x", "y")
+        whole = waiting.where(F.col("side") * factor >= F.col("extent")).select("area", "x", "y")
         settled = sure.unionByName(whole).distinct()
-        found.append(best.join(settled, ["area", "id"], "left_semi").select("area", "id", "other", "d", "k"))
-        waiting = write(waiting.join(settled, ["area", "id"], "left_anti"))
+        found.append(best.join(settled, ["area", "x", "y"], "left_semi").select("area", "x", "y", "other", "d", "k"))
+        waiting = write(waiting.join(settled, ["area", "x", "y"], "left_anti"))
         if waiting.isEmpty():
-            return reduce(DataFrame.unionByName, found)
+            break
         factor *= 2
+    lists = reduce(DataFrame.unionByName, found).groupBy("area", "x", "y").agg(F.array_sort(F.collect_list(F.struct("k", "other", "d"))).alias("near"))
+    rest = F.slice(F.filter("near", lambda p: p["other"] != F.col("id")), 1, k)
+    each = points.join(lists, ["area", "x", "y"]).select("area", "id", F.posexplode(rest).alias("at", "p"))
+    return each.select("area", "id", F.col("p.other").alias("other"), F.col("p.d").alias("d"), (F.col("at") + 1).alias("k"))
 
 
 def regrid(cells: DataFrame, k: int, rows: int, cols: int, scale: int, mode: str = "area", cover: float = 0.5) -> DataFrame:

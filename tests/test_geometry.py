@@ -53,3 +53,22 @@ def test_near_pairs_list_the_points_of_a_place(spark):
     assert found.count() == len(want) and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
     lists = geometry._listed(spark.createDataFrame(a, schema).where("x = 20")).select(F.size("ids").alias("n")).collect()
     assert sum(r.n for r in lists) == 700 and len(lists) <= 2 * geometry.SHARES and max(r.n for r in lists) <= geometry.LISTED
+
+
+def test_nearest_looks_for_places_once(spark):
+    """Points of a place share their list but for themselves, so what is stored between rounds grows with the places."""
+    points = [(1, i, float(i % 4), float(i % 2)) for i in range(800)] + [(1, None, 0.0, 0.0)]
+    write, sizes = stored(spark), []
+
+    def counted(df):
+        out = write(df)
+        sizes.append(out.count())
+        return out
+
+    found = geometry.nearest(spark.createDataFrame(points, "area int, id int, x double, y double"), 3, counted)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.id, {})[r.k] = (r.other, r.d)
+    # 200 points a place: the neighbours are the three smallest others there
+    assert got == {i: {k + 1: (j, 0.0) for k, j in enumerate([j for j in range(i % 4, 20, 4) if j != i][:3])} for i in range(800)}
+    assert max(sizes) <= 4 * 4
