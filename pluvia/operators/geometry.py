@@ -180,15 +180,22 @@ def near_pairs(points: DataFrame, others: DataFrame, km: float) -> DataFrame:
 def near_means(stations: DataFrame, tracks: DataFrame, km: float, least: int = 3) -> DataFrame:
     """(f, id, u, v, n): the mean motion of a frame's tracks (f, x, y, u, v) within km of each station that the frame has (f, id, x, y), where there are at least so many.
 
-    Both sides are dealt into squares of that side; a track goes to its own and the eight around it, so they
-    meet in an equi-join by frame and square, and sums are made before the shuffle by station.
+    A frame's tracks of one place are summed, and so are its stations: places are dealt into squares of that
+    side, a track's to its own and the eight around it, and meet in an equi-join by frame and square; stations
+    get the sums of their place.
     """
     i, j = F.floor(F.col("x") / km), F.floor(F.col("y") / km)
     around = F.explode(F.array(*(F.struct(F.lit(p).alias("p"), F.lit(q).alias("q")) for p in (-1, 0, 1) for q in (-1, 0, 1)))).alias("to")
-    dealt = tracks.select("f", F.col("x").alias("tx"), F.col("y").alias("ty"), "u", "v", i.alias("i"), j.alias("j"), around).withColumns({"i": F.col("i") + F.col("to.p"), "j": F.col("j") + F.col("to.q")})
-    met = stations.select("f", "id", "x", "y", i.alias("i"), j.alias("j")).join(dealt, ["f", "i", "j"])
+    sums = {"su": F.sum("u"), "cu": F.count("u"), "sv": F.sum("v"), "cv": F.count("v"), "n": F.count("*")}
+    summed = tracks.groupBy("f", "x", "y").agg(*(c.alias(k) for k, c in sums.items()))
+    dealt = summed.select("f", F.col("x").alias("tx"), F.col("y").alias("ty"), *sums, i.alias("i"), j.alias("j"), around).withColumns({"i": F.col("i") + F.col("to.p"), "j": F.col("j") + F.col("to.q")}).drop("to")
+    places = stations.select("f", "x", "y").distinct().select("f", "x", "y", i.alias("i"), j.alias("j"))
+    met = spread(places, "f", "i", "j").join(spread(dealt, "f", "i", "j"), ["f", "i", "j"])
     near = met.where((F.col("x") - F.col("tx")) * (F.col("x") - F.col("tx")) + (F.col("y") - F.col("ty")) * (F.col("y") - F.col("ty")) <= km * km)
-    return near.groupBy("f", "id").agg(F.avg("u").alias("u"), F.avg("v").alias("v"), F.count("*").alias("n")).where(F.col("n") >= least)
+    whole = [F.sum(k).alias(k) for k in sums]
+    each = stations.select("f", "id", "x", "y").join(near.groupBy("f", "x", "y").agg(*whole), ["f", "x", "y"]).groupBy("f", "id").agg(*whole).where(F.col("n") >= least)
+    mean = lambda k: F.try_divide(F.col(f"s{k}").cast("double"), F.col(f"c{k}").cast("double")).alias(k)
+    return each.select("f", "id", mean("u"), mean("v"), "n")
 
 
 def view(grid: GridSpec, width: Column, height: Column, stretch: float, margin: float = 8.0) -> tuple[Column, Column, Column]:

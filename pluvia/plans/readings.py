@@ -67,8 +67,9 @@ def station_tracks(spark, sf_dir):
     rain = G.near_means(wind.select("f", "id").join(places, "id"), _tracks(spark, sf_dir), NEAR_KM)
     u, v, wu, wv = (F.col(c) for c in ("u", "v", "wu", "wv"))
     met = rain.join(wind, ["f", "id"]).where((F.sqrt(u * u + v * v) >= 10) & (F.col("speed") >= 1))
-    each = met.select((F.col("speed") / F.sqrt(u * u + v * v)).alias("ratio"), F.degrees(F.atan2(u * wv - v * wu, u * wu + v * wv)).alias("turn"))
-    return each.agg(F.count("*").alias("pairs"), *studies._quartiles("ratio", ("ratio25", "ratio50", "ratio75")), *studies._quartiles("turn", ("turn25", "turn50", "turn75")), r6(F.avg((F.abs("turn") <= 30).cast("double"))).alias("within_30"))
+    each = stored(spark)(met.select((F.col("speed") / F.sqrt(u * u + v * v)).alias("ratio"), F.degrees(F.atan2(u * wv - v * wu, u * wu + v * wv)).alias("turn")))
+    quarters = [r6(F.lit(x).cast("double")).alias(f"{c}{p}") for c in ("ratio", "turn") for p, x in zip((25, 50, 75), pool.quantiles(each, c, (0.25, 0.5, 0.75)), strict=True)]
+    return each.agg(F.count("*").alias("pairs"), *quarters, r6(F.avg((F.abs("turn") <= 30).cast("double"))).alias("within_30"))
 
 
 # --- readings of points
