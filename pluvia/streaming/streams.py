@@ -123,33 +123,47 @@ class Collector:
             return spark.createDataFrame([], self.SCHEMAS[name])
         return spark.read.schema(self.SCHEMAS[name]).parquet(f"{self.folder}/{name}")
 
-    def _write(self, df: DataFrame, name: str, batch: int) -> DataFrame:
-        """Puts df in the place of the batch's partitions; gives them back as stored."""
+    def _found(self, spark: SparkSession, name: str, pattern: str) -> list[str]:
+        """Folders of a table that a pattern names."""
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}/{pattern}")
+        return [f.getPath().toString() for f in at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at) or []]
+
+    def _of(self, spark: SparkSession, name: str, folders: list[str]) -> DataFrame:
+        """The rows of some of a table's folders; no other folder is listed."""
+        if not folders:
+            return spark.createDataFrame([], self.SCHEMAS[name])
+        return spark.read.schema(self.SCHEMAS[name]).option("basePath", f"{self.folder}/{name}").parquet(*folders)
+
+    def _write(self, df: DataFrame, name: str, batch: int) -> tuple[DataFrame, set[str]]:
+        """Puts df in the place of the batch's partitions; gives them back as stored, and the folders' names of their days."""
         spark = df.sparkSession
         path = f"{self.folder}/{name}"
         # what an earlier attempt has left on days that this one does not write goes too
-        jvm = spark._jvm
-        root = jvm.org.apache.hadoop.fs.Path(path)
+        root = spark._jvm.org.apache.hadoop.fs.Path(path)
         system = root.getFileSystem(spark._jsc.hadoopConfiguration())
-        for found in system.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/day=*/batch={batch}")) or []:
-            system.delete(found.getPath(), True)
+        for found in self._found(spark, name, f"day=*/batch={batch}"):
+            system.delete(spark._jvm.org.apache.hadoop.fs.Path(found), True)
         df.withColumn("batch", F.lit(batch).cast("long")).write.mode("append").partitionBy("day", "batch").parquet(path)
-        return self.table(spark, name).where(F.col("batch") == batch)
+        mine = self._found(spark, name, f"day=*/batch={batch}")
+        return self._of(spark, name, mine), {f.split("/")[-2] for f in mine}
+
+    def _earlier(self, spark: SparkSession, name: str, days: set[str], batch: int) -> DataFrame:
+        """The rows of batches before this one on some days."""
+        there = [f for f in self._found(spark, name, "day=*") if f.split("/")[-1] in days]
+        return self._of(spark, name, there).where(F.col("batch") < batch)
 
     def __call__(self, rows: DataFrame, batch: int) -> None:
         spark = rows.sparkSession
         day = lambda c: F.floor(F.col(c) / self.slots).cast("long")
-        scans = self._write(rows.select(F.col("id").cast("long"), F.col("k").cast("long"), F.col("slot").cast("long"), F.col("v").cast("double")).withColumn("day", day("slot")), "scans", batch)
+        scans, seen = self._write(rows.select(F.col("id").cast("long"), F.col("k").cast("long"), F.col("slot").cast("long"), F.col("v").cast("double")).withColumn("day", day("slot")), "scans", batch)
         known = scans.where("k IS NOT NULL AND slot IS NOT NULL AND v IS NOT NULL")
         made = known.select("id", "k", F.col("slot").alias("issued"), F.col("v").alias("p"), F.explode(F.sequence(F.lit(1), F.lit(self.steps))).alias("lead")).withColumn("slot", F.col("issued") + F.col("lead"))
-        forecasts = self._write(made.select("id", "k", "issued", "lead", "slot", "p").withColumn("day", day("slot")), "forecasts", batch)
-        days = lambda df: df.agg(F.min("day").alias("a"), F.max("day").alias("b")).first()
-        seen, due = days(known), days(forecasts)
+        forecasts, due = self._write(made.select("id", "k", "issued", "lead", "slot", "p").withColumn("day", day("slot")), "forecasts", batch)
         truth = lambda df: df.where("k IS NOT NULL AND slot IS NOT NULL AND v IS NOT NULL").select("k", "slot", F.col("id").alias("truth_id"), "v")
         scored = []
-        if seen["a"] is not None:
-            earlier = self.table(spark, "forecasts").where((F.col("batch") < batch) & F.col("day").between(seen["a"], seen["b"]))
-            scored = [forecasts.join(truth(scans), ["k", "slot"]), earlier.join(truth(scans), ["k", "slot"]), forecasts.join(truth(self.table(spark, "scans").where((F.col("batch") < batch) & F.col("day").between(due["a"], due["b"]))), ["k", "slot"])]
+        if due:  # a scan that is known is followed by forecasts; the rows of a slot are of its day
+            earlier = self._earlier(spark, "forecasts", seen, batch)
+            scored = [forecasts.join(truth(scans), ["k", "slot"]), earlier.join(truth(scans), ["k", "slot"]), forecasts.join(truth(self._earlier(spark, "scans", due, batch)), ["k", "slot"])]
         for found in scored[1:]:
             scored[0] = scored[0].unionByName(found)
         out = scored[0].select("id", "truth_id", "lead", (F.col("p") - F.col("v")).alias("err"), "day") if scored else spark.createDataFrame([], self.SCHEMAS["scores"]).drop("batch")

@@ -170,3 +170,12 @@ def test_forecasts_without_truth_leave_once(spark, tmp_path):
     got = sorted((r.id, r.truth_id) for r in streams.drained(made.select("id", "truth_id")).collect())
     # 3's truth comes after the watermark has passed it: 3 has left with NULL by then
     assert got == [(1, 10), (2, None), (3, None), (4, None), (5, 12), (6, None)], got
+
+
+def test_a_batch_lists_its_days_only(spark, tmp_path):
+    collector = streams.Collector(str(tmp_path / "out"), 1, 24)
+    for batch, slot in enumerate((3, 100, 4)):
+        collector(spark.createDataFrame([(batch, 1, slot, 1.0 + batch)], "id long, k long, slot long, v double"), batch)
+    files = collector._earlier(spark, "scans", {"day=0"}, 2).inputFiles()
+    assert files and all("/day=0/" in f for f in files)
+    assert [(r.id, r.truth_id, r.err) for r in collector.table(spark, "scores").collect()] == [(0, 2, -2.0)]
