@@ -155,6 +155,41 @@ def shift_rows(issues: DataFrame, packed: DataFrame, models: dict[str, tuple[int
     return met.mapInArrow(run, schema).where("n > 0")
 
 
+def window_hours(issues: DataFrame, packed: DataFrame, windows: dict[str, tuple[int, int]], models: dict[str, tuple[int, int]], steps: int, half: int = 1, grid: GridSpec = TRIAL) -> DataFrame:
+    """(event, f, city, model, mm, obs) of whole-cell shifts {name: (dx, dy) a step} at the issues (event, f) on packed frames (f, v), NaN for no coverage.
+
+    mm and obs are means over the (2 half + 1) squared cells around each window's centre, summed over the leads; issues without a truth at a lead drop out.
+    A frame tells its own means, and those that the shifts will bring, in a few numbers: these meet the issues, no cell is a row. Sums run in the order of the leads.
+    """
+    names = ["f", "city", "t", *models]
+    schema = "f long, city string, t double, " + ", ".join(f"`{m}` double" for m in models)
+    around = np.arange(-half, half + 1)
+
+    def run(batches):
+        for part in few(batches):
+            v = part.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, grid.rows, grid.cols)
+            for city, (r, c) in windows.items():
+                own = v[:, r - half : r + half + 1, c - half : c + half + 1].reshape(len(v), -1)
+                known = ~np.isnan(own)
+                n, total = known.sum(axis=1), np.where(known, own, 0.0).sum(axis=1)
+                columns = [np.where(n > 0, total / np.maximum(n, 1), np.nan)]
+                for dx, dy in models.values():
+                    amount = np.zeros(len(v))
+                    for k in range(1, steps + 1):
+                        from_r, from_c = np.clip(r + around - k * dy, 0, grid.rows - 1), np.clip(c + around - k * dx, 0, grid.cols - 1)
+                        amount += np.nan_to_num(v[:, from_r][:, :, from_c]).reshape(len(v), -1).sum(axis=1) / len(around) ** 2
+                    columns.append(amount)
+                yield pa.RecordBatch.from_arrays([part.column("f"), pa.array([city] * len(v)), *(pa.array(x, from_pandas=True) for x in columns)], names)
+
+    means = packed.select("f", "v").mapInArrow(run, schema)
+    served = means.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(steps)))).withColumn("f", F.col("f") - F.col("k"))  # k 0: the issue's own frame
+    truths = [F.max(F.when(F.col("k") == k, F.col("t"))).alias(f"__t{k}") for k in range(1, steps + 1)]
+    each = served.groupBy("f", "city").agg(*(F.max(F.when(F.col("k") == 0, F.col(m))).alias(m) for m in models), *truths)
+    obs = sum((F.col(f"__t{k}") for k in range(2, steps + 1)), F.col("__t1"))  # NULL if any of them is
+    met = issues.select("event", "f").join(each.withColumn("obs", obs).where("obs IS NOT NULL"), "f")
+    return met.unpivot(["event", "f", "city", "obs"], list(models), "model", "mm").select("event", "f", "city", "model", "mm", "obs")
+
+
 def wet_counts(p: np.ndarray, t: np.ndarray, wet: float = WET) -> tuple[float, int, int]:
     """(sum_f, hit, fa) of a forecast frame and its truth; a forecast within half a millionth of the threshold reaches it."""
     yes, was = np.round(p, 6) >= wet, t >= wet

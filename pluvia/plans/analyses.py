@@ -7,14 +7,14 @@ import math
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pluvia.operators import asof
+from pluvia.operators import asof, score
 from pluvia.operators import geometry as G
 from pluvia.plans import trial
 from pluvia.plans.trial import sql
 from pluvia.sources import raster
 from pluvia.sources.raster import table
 from pluvia.sources.shared import stored
-from pluvia.spec import GRIDS, RADARS, TRIAL
+from pluvia.spec import GRIDS, RADARS, TRIAL, GridSpec
 
 QUERIES, ORACLE = {}, {}
 MAIN = GRIDS["3.2km"]
@@ -276,13 +276,11 @@ def station_near_tracks(spark, sf_dir):
 CITIES = {"north": (6, 12), "middle": (16, 24), "south": (26, 36)}
 
 
-def _city_hours(spark, sf_dir, pairs=None, cell=1):
-    """(event, f, city, model, mm, obs): means over the 3 x 3 cells of each city summed over the leads. cell: the trial's cells in a cell's side of the pairs."""
-    around = F.explode(F.array(*(F.struct(F.lit(n).alias("city"), F.lit(r // cell + i).alias("r"), F.lit(c // cell + j).alias("c")) for n, (r, c) in CITIES.items() for i in (-1, 0, 1) for j in (-1, 0, 1)))).alias("k")
-    windows = spark.range(1).select(around).select("k.*")
-    met = (trial.pairs(spark, sf_dir) if pairs is None else pairs).join(F.broadcast(windows), ["r", "c"])  # nine cells a city
-    each = met.groupBy("event", "f", "model", "lead", "city").agg(F.avg("p").alias("p"), F.avg("t").alias("t"))
-    return each.groupBy("event", "f", "model", "city").agg(F.sum("p").alias("mm"), F.sum("t").alias("obs"), F.count("t").alias("n")).where("n = 3").drop("n")
+def _city_hours(spark, sf_dir, cell=1):
+    """(event, f, city, model, mm, obs): means over the 3 x 3 cells of each city summed over the leads. cell: the trial's cells in a cell's side."""
+    packed, grid = trial.packed(spark, sf_dir), GridSpec(TRIAL.rows // cell, TRIAL.cols // cell)
+    frames = packed if cell == 1 else raster.coarsened(packed, cell)
+    return score.window_hours(trial.issues(spark, sf_dir), frames, {n: (r // cell, c // cell) for n, (r, c) in CITIES.items()}, {"persistence": (0, 0), "shift": (2 // cell, 0)}, trial.LEADS, 1, grid)
 
 
 _CITY = {

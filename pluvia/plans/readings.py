@@ -230,17 +230,10 @@ _COARSE_CITY = {
 }
 
 
-def _coarse_cells(spark, sf_dir):
-    """The archive on a grid of half its resolution."""
-    return raster.observed(trial.cells(spark, sf_dir)).groupBy("f", F.floor(F.col("r") / 2).cast("int").alias("r"), F.floor(F.col("c") / 2).cast("int").alias("c")).agg(F.avg("v").alias("v"))
-
-
 @query(sql("SELECT side, model, city, count(*) AS n, round(CAST(count(*) FILTER (WHERE mm >= 3 AND obs >= 3) AS DOUBLE) / nullif(count(*) FILTER (WHERE mm >= 3 OR obs >= 3), 0), 6) AS csi FROM (SELECT 1 AS side, model, city, mm, obs FROM hours UNION ALL SELECT 2, model, city, mm, obs FROM hours2) GROUP BY ALL", "fc", "asked", **analyses._CITY, **{k: studies._COARSE[k] for k in ("obs2", "met2")}, **_COARSE_CITY))
 def grid_cities(spark, sf_dir):
     """CSI of rain at cities on the trial grid (side 1) and on one of half its resolution (side 2)."""
-    seen, when = stored(spark)(_coarse_cells(spark, sf_dir)), trial.issues(spark, sf_dir)
-    both = forecast.persistence(when, seen, trial.LEADS).unionByName(forecast.shifted(when, seen, trial.LEADS, 1, 0))
-    hours = analyses._city_hours(spark, sf_dir).withColumn("side", F.lit(1)).unionByName(analyses._city_hours(spark, sf_dir, score.with_truth(both, seen), 2).withColumn("side", F.lit(2)))
+    hours = analyses._city_hours(spark, sf_dir).withColumn("side", F.lit(1)).unionByName(analyses._city_hours(spark, sf_dir, 2).withColumn("side", F.lit(2)))
     p, t = F.col("mm") >= 3, F.col("obs") >= 3
     return hours.groupBy("side", "model", "city").agg(F.count("*").alias("n"), r6(F.try_divide(F.count_if(p & t).cast("double"), F.count_if(p | t).cast("double"))).alias("csi"))
 
@@ -249,7 +242,7 @@ def grid_cities(spark, sf_dir):
 def grid_wins(spark, sf_dir):
     """Share of episodes whose gain over persistence is larger on the coarse grid, of those that have one on both."""
     fine = pool.against(pool.unit_sums(trial.score_rows(spark, sf_dir))).drop("model")
-    rows = score.shift_rows(trial.issues(spark, sf_dir), raster.packed_cells(_coarse_cells(spark, sf_dir), studies.COARSE), {"persistence": (0, 0), "shift": (1, 0)}, trial.LEADS, 2, studies.COARSE)
+    rows = score.shift_rows(trial.issues(spark, sf_dir), raster.coarsened(trial.packed(spark, sf_dir), 2), {"persistence": (0, 0), "shift": (1, 0)}, trial.LEADS, 2, studies.COARSE)
     coarse = pool.against(pool.unit_sums(rows)).select("unit", "lead", *(F.col(c).alias(f"c{c}") for c in ("e", "r", "e0", "r0")))
     gain = lambda k: F.try_divide(F.col(f"{k}e0").cast("double"), F.col(f"{k}r0").cast("double")) - F.try_divide(F.col(f"{k}e").cast("double"), F.col(f"{k}r").cast("double"))
     each = fine.join(coarse, ["unit", "lead"]).withColumns({"fine": gain(""), "coarse": gain("c")}).where("fine IS NOT NULL AND coarse IS NOT NULL")

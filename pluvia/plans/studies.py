@@ -122,9 +122,7 @@ COARSE = GridSpec(ROWS // 2, COLS // 2)
 def grid_gain_difference(spark, sf_dir):
     """Gains on the trial grid and on one of half its resolution, and the interval of their difference from the same draws."""
     fine = pool.against(pool.unit_sums(trial.score_rows(spark, sf_dir))).drop("model")
-    seen = raster.observed(trial.cells(spark, sf_dir)).groupBy("f", F.floor(F.col("r") / 2).cast("int").alias("r"), F.floor(F.col("c") / 2).cast("int").alias("c")).agg(F.avg("v").alias("v"))
-    packed = raster.packed_cells(seen, COARSE)
-    rows = score.shift_rows(trial.issues(spark, sf_dir), packed, {"persistence": (0, 0), "shift": (1, 0)}, trial.LEADS, 2, COARSE)
+    rows = score.shift_rows(trial.issues(spark, sf_dir), raster.coarsened(trial.packed(spark, sf_dir), 2), {"persistence": (0, 0), "shift": (1, 0)}, trial.LEADS, 2, COARSE)
     coarse = pool.against(pool.unit_sums(rows)).select("unit", "lead", *(F.col(c).alias(f"c{c}") for c in ("e", "r", "e0", "r0")))
     both = stored(spark)(fine.join(coarse, ["unit", "lead"]))
     weights = pool.draws(both, DRAWS, 5).unionByName(both.select("unit").distinct().select(F.lit(-1).alias("draw"), "unit", F.lit(1).cast("long").alias("w")))

@@ -94,17 +94,26 @@ def unpacked(packed: DataFrame, grid: GridSpec = TRIAL, gaps: bool = False) -> D
     return packed.select("f", "at", "v").mapInArrow(unpack, "f long, v array<double>")
 
 
-def packed_cells(cells: DataFrame, grid: GridSpec) -> DataFrame:
-    """(f, v) of dense cells (f, r, c, v): all cells row by row, NaN where v is NULL."""
-    rows = F.array_sort(F.collect_list(F.struct((F.col("r") * grid.cols + F.col("c")).alias("at"), F.coalesce(F.col("v").cast("double"), F.lit(float("nan"))).alias("v"))))
-    return cells.groupBy("f").agg(rows.alias("x")).select("f", F.col("x.v").alias("v"))
-
-
 def observed_frames(cells: DataFrame, grid: GridSpec = TRIAL) -> DataFrame:
     """observed() as a row for each frame that is there: (f, v), all cells row by row, NaN for no coverage."""
     return unpacked(axis(cells).where("f % 29 <> 0").join(frames(cells, grid), "f", "left"), grid, gaps=True)
 
 
+def coarsened(packed: DataFrame, by: int, grid: GridSpec = TRIAL) -> DataFrame:
+    """Frames (f, v), NaN for no coverage, on a grid of by times the cell's side: means of the covered cells. The grid's sides are multiples of by."""
+    rows, cols = grid.rows // by, grid.cols // by
+
+    def run(batches):
+        for batch in batches:
+            v = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, rows, by, cols, by)
+            known = ~np.isnan(v)
+            n, total = known.sum(axis=(2, 4)), np.where(known, v, 0.0).sum(axis=(2, 4))
+            mean = np.where(n > 0, total / np.maximum(n, 1), np.nan)
+            yield pa.RecordBatch.from_arrays([batch.column("f"), pa.ListArray.from_arrays(np.arange(len(v) + 1, dtype=np.int32) * (rows * cols), mean.ravel())], ["f", "v"])
+
+    return packed.select("f", "v").mapInArrow(run, "f long, v array<double>")
+
+
 def trial_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     return rain(showers(events), more=drizzle(events))
