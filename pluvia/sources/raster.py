@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pluvia.sources.shared import spread
 from pluvia.spec import TRIAL, GridSpec
 
 
@@ -65,7 +66,7 @@ def axis(cells: DataFrame) -> DataFrame:
 
 def observed(cells: DataFrame, grid: GridSpec = TRIAL) -> DataFrame:
     """(f, r, c, v) on the whole axis as a radar would give it: frames that are missing have no rows, cells without coverage are NULL."""
-    whole = dense(cells, axis(cells).where("f % 29 <> 0"), grid)
+    whole = dense(cells, spread(axis(cells).where("f % 29 <> 0"), "f"), grid)  # the axis is made in one task; its cells are not
     return whole.withColumn("v", F.when((F.col("r") * grid.cols + F.col("c") + F.col("f")) % 97 != 0, F.col("v")))
 
 

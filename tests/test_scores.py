@@ -77,3 +77,13 @@ def test_cities_on_two_grids_join_no_cells(spark):
         plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         joins = [line for line in plan.split("\n") if "Join" in line]
         assert joins and not [line for line in joins if " r#" in line or "(r#" in line or "[r#" in line or ", r#" in line]
+
+
+def test_the_cells_of_a_long_axis_are_made_by_many_tasks(spark):
+    """An axis is one row of the first and last frame: its frames are dealt out before each gets its cells."""
+    cells = spark.createDataFrame([(0, 0, 0, 3), (3000, 1, 1, 4)], "f long, r int, c int, v long")
+    seen = raster.observed(cells)
+    plan = seen._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    made = [line.split("#")[0].strip(" :+-") for line in plan if "Generate explode" in line or "RepartitionByExpression" in line]
+    assert [x.split()[0] for x in made] == ["Generate", "Generate", "RepartitionByExpression", "Generate"]
+    assert seen.count() == sum(f % 29 != 0 for f in range(3001)) * 32 * 48 and seen.where("v > 0").collect() == [(3000, 1, 1, 4)]
