@@ -80,7 +80,7 @@ _SCANS = "SELECT event_id AS id, user_id AS k, CAST(floor(epoch(ts) / 3600) AS B
 def stream_collected(spark, sf_dir):
     """What a collector that issues a forecast for twelve hours with each scan has scored, from a source of 5,000 rows a batch."""
     folder = shared.path(spark, "collected")
-    feed = streams.throttled(spark, f"{sf_dir}/events.parquet", 5000, f"{folder}/state").select(F.col("event_id").alias("id"), F.col("user_id").alias("k"), F.floor(F.col("ts").cast("timestamp").cast("double") / 3600).alias("slot"), F.col("value").alias("v"))
+    feed = streams.throttled(spark, f"{sf_dir}/events.parquet", 5000, f"{folder}/state", ("event_id", "user_id", "ts", "value")).select(F.col("event_id").alias("id"), F.col("user_id").alias("k"), F.floor(F.col("ts").cast("timestamp").cast("double") / 3600).alias("slot"), F.col("value").alias("v"))
     collector = streams.Collector(folder, 12, 24)
     streams.collected(feed, collector, f"{folder}/state")
     return collector.table(spark, "scores").select("id", "truth_id", "lead", F.round("err", 6).alias("err"), "day")

@@ -82,11 +82,11 @@ def issued(events: DataFrame, least_seconds: int) -> DataFrame:
     return events.groupBy("k").applyInPandasWithState(step, "k long, t long", "last long", "append", GroupStateTimeout.NoTimeout)
 
 
-def throttled(spark: SparkSession, path: str, rows_per_batch: int, checkpoint: str, **options) -> DataFrame:
-    """The rows of Parquet files as a stream of batches of at most so many rows; it goes on where the checkpoint ends."""
+def throttled(spark: SparkSession, path: str, rows_per_batch: int, checkpoint: str, columns: tuple[str, ...] = ("*",), **options) -> DataFrame:
+    """The rows of Parquet files as a stream of batches of at most so many rows; it goes on where the checkpoint ends. Only the named columns are read."""
     spark.dataSource.register(feed.Throttled)
     given = {"path": path, "rows_per_batch": rows_per_batch, "resume": feed.last_offset(spark, checkpoint), **options}
-    return spark.readStream.format("throttled").schema(spark.read.parquet(path).schema).options(**given).load()
+    return spark.readStream.format("throttled").schema(spark.read.parquet(path).select(*columns).schema).options(**given).load()
 
 
 def scored_or_given_up(forecasts: DataFrame, truth: DataFrame, late: str) -> DataFrame:
@@ -103,6 +103,10 @@ class Collector:
     truth; the batch that brings the later of the two makes it, so each is made once. Earlier rows
     are read of the days that the batch's rows can meet, which Spark prunes by partition.
 
+    Small batches of a stream may be kept as they come and go through the tables as one, a round,
+    whose number is that of its first batch (keep, settle; see collected). A round is marked when
+    its tables are whole: one that was lost has no mark and is made anew, with what has come since.
+
     Scans (id, k, slot, v) of one (k, slot) are all kept, as different scans; a scan without k,
     slot or v is collected, but gives no forecast and is no truth. steps are the leads in slots.
     """
@@ -152,10 +156,37 @@ class Collector:
         there = [f for f in self._found(spark, name, "day=*") if f.split("/")[-1] in days]
         return self._of(spark, name, there).where(F.col("batch") < batch)
 
+    @staticmethod
+    def _typed(rows: DataFrame) -> DataFrame:
+        return rows.select(F.col("id").cast("long"), F.col("k").cast("long"), F.col("slot").cast("long"), F.col("v").cast("double"))
+
+    def held(self, spark: SparkSession) -> int:
+        """How many batches of its stream the tables hold; the next round begins there."""
+        return max((int(f.split("/")[-1]) for f in self._found(spark, "rounds", "*")), default=0)
+
+    def keep(self, rows: DataFrame, first: int, batch: int) -> None:
+        """Keeps a batch for the round that begins with batch first; what an earlier attempt has left goes."""
+        self._typed(rows).write.mode("overwrite").parquet(f"{self.folder}/kept/first={first}/batch={batch}")
+
+    def settle(self, spark: SparkSession, first: int) -> int:
+        """Takes what is kept for a round through the tables, if there is any; where the next round begins."""
+        kept = self._found(spark, "kept", f"first={first}/batch=*")
+        if not kept:
+            return first
+        self(spark.read.schema("id long, k long, slot long, v double").parquet(f"{self.folder}/kept/first={first}"), first)
+        then = 1 + max(int(f.split("=")[-1]) for f in kept)
+        mark = spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/rounds/{then}")
+        system = mark.getFileSystem(spark._jsc.hadoopConfiguration())
+        system.createNewFile(mark)
+        for found in self._found(spark, "kept", "first=*"):
+            if int(found.split("=")[-1]) < then:
+                system.delete(spark._jvm.org.apache.hadoop.fs.Path(found), True)
+        return then
+
     def __call__(self, rows: DataFrame, batch: int) -> None:
         spark = rows.sparkSession
         day = lambda c: F.floor(F.col(c) / self.slots).cast("long")
-        scans, seen = self._write(rows.select(F.col("id").cast("long"), F.col("k").cast("long"), F.col("slot").cast("long"), F.col("v").cast("double")).withColumn("day", day("slot")), "scans", batch)
+        scans, seen = self._write(self._typed(rows).withColumn("day", day("slot")), "scans", batch)
         known = scans.where("k IS NOT NULL AND slot IS NOT NULL AND v IS NOT NULL")
         made = known.select("id", "k", F.col("slot").alias("issued"), F.col("v").alias("p"), F.explode(F.sequence(F.lit(1), F.lit(self.steps))).alias("lead")).withColumn("slot", F.col("issued") + F.col("lead"))
         forecasts, due = self._write(made.select("id", "k", "issued", "lead", "slot", "p").withColumn("day", day("slot")), "forecasts", batch)
@@ -170,10 +201,28 @@ class Collector:
         self._write(out, "scores", batch)
 
 
-def collected(stream: DataFrame, collector: Collector, checkpoint: str) -> None:
-    """Runs the collector over all that its stream has, batch after batch; a later call goes on where this one ends."""
-    running = stream.writeStream.foreachBatch(lambda rows, batch: collector(rows, batch)).option("checkpointLocation", checkpoint).start()
+def collected(stream: DataFrame, collector: Collector, checkpoint: str, least: int = 32) -> None:
+    """Runs the collector over all that its stream has; a later call goes on where this one ends.
+
+    How many rows the source gives at a time does not say how often scores are made. Each batch is
+    kept as it comes, and a round takes those kept through the tables as one batch: when they are at
+    least so many and no fewer than the batches of all rounds before, and when the stream has no
+    more. So rounds grow with what they meet, and a scan is read again in a few of them only.
+    """
+    spark = stream.sparkSession
+    first = collector.held(spark)
+
+    def take(rows: DataFrame, batch: int) -> None:
+        nonlocal first
+        if batch < first:  # run again after a failure, when a round has it already
+            return
+        collector.keep(rows, first, batch)
+        if batch + 1 - first >= max(least, first):
+            first = collector.settle(spark, first)
+
+    running = stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).start()
     try:
         running.processAllAvailable()
     finally:
         running.stop()
+    collector.settle(spark, first)

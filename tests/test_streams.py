@@ -179,3 +179,79 @@ def test_a_batch_lists_its_days_only(spark, tmp_path):
     files = collector._earlier(spark, "scans", {"day=0"}, 2).inputFiles()
     assert files and all("/day=0/" in f for f in files)
     assert [(r.id, r.truth_id, r.err) for r in collector.table(spark, "scores").collect()] == [(0, 2, -2.0)]
+
+
+def rounds_of(collector, at):
+    """Notes the batches that go through a collector's tables."""
+    plain = collector._write
+
+    def write(df, name, batch):
+        if name == "scans":
+            at.append(batch)
+        return plain(df, name, batch)
+
+    return write
+
+
+def test_small_batches_go_through_the_tables_in_rounds(spark, events, tmp_path, monkeypatch):
+    """Twelve batches are four rounds, each as long as all before it; the scores are the same."""
+    path, rows = events
+    collector, at = streams.Collector(str(tmp_path / "out"), 5, 24), []
+    monkeypatch.setattr(collector, "_write", rounds_of(collector, at))
+    streams.collected(streams.throttled(spark, path, 90, str(tmp_path / "state"), ("id", "k", "slot", "v")), collector, str(tmp_path / "state"), 2)
+    assert at == [0, 2, 4, 8]
+    assert scores(spark, collector) == plain_scores(rows, 5)
+    assert collector.table(spark, "scans").count() == len(rows) and collector.held(spark) == 12
+    assert not list((tmp_path / "out" / "kept").glob("*/*"))
+
+
+def test_few_batches_are_one_round(spark, events, tmp_path, monkeypatch):
+    path, rows = events
+    collector, at = streams.Collector(str(tmp_path / "out"), 5, 24), []
+    monkeypatch.setattr(collector, "_write", rounds_of(collector, at))
+    streams.collected(streams.throttled(spark, path, 200, str(tmp_path / "state")), collector, str(tmp_path / "state"))
+    assert at == [0] and scores(spark, collector) == plain_scores(rows, 5)
+
+
+def test_a_round_that_is_lost_is_made_anew(spark, events, tmp_path, monkeypatch):
+    """Lost before its scores, before its mark, and after its mark but before the stream has noted its batch."""
+    path, rows = events
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+
+    def run(change, *lost):
+        collector = streams.Collector(out, 5, 24)
+        with monkeypatch.context() as m:
+            change(m, collector)
+            stream = streams.throttled(spark, path, 90, state)
+            if not lost:
+                return streams.collected(stream, collector, state, 2)
+            with pytest.raises(Exception, match=lost[0]):
+                streams.collected(stream, collector, state, 2)
+        return None
+
+    def fails(*_):
+        raise RuntimeError("lost")
+
+    def before_scores(m, c):
+        plain = c._write
+        m.setattr(c, "_write", lambda df, name, batch: fails() if name == "scores" and batch == 2 else plain(df, name, batch))
+
+    def before_mark(m, c):
+        plain = c.__class__.__call__
+        m.setattr(c.__class__, "__call__", lambda self, df, batch: (plain(self, df, batch), fails() if batch == 2 else None))
+
+    def after_mark(m, c):
+        plain = c.settle
+        m.setattr(c, "settle", lambda s, first: (plain(s, first), fails())[0] if first == 2 else plain(s, first))
+
+    run(before_scores, "lost")
+    run(before_mark, "lost")
+    assert streams.Collector(out, 5, 24).held(spark) == 2
+    run(after_mark, "lost")
+    assert streams.Collector(out, 5, 24).held(spark) == 4
+    collector = streams.Collector(out, 5, 24)
+    run(lambda m, c: None)
+    assert scores(spark, collector) == plain_scores(rows, 5)
+    assert collector.table(spark, "scans").count() == len(rows) and collector.held(spark) == 12
+    run(lambda m, c: None)
+    assert scores(spark, collector) == plain_scores(rows, 5) and collector.held(spark) == 12
